@@ -1,0 +1,25 @@
+"""Shared plan helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Lookup tables up to this many rows are broadcast; larger ones take a shuffled join.
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan early), so it stays
+    cheap even when the lookup table turns out to be large; then the planner (and AQE at run
+    time) picks a shuffled join instead.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def broadcast_when(df: DataFrame, bound_rows: int | None, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose row count has a known static bound (e.g. classes x buckets)."""
+    return F.broadcast(df) if bound_rows is not None and bound_rows <= max_rows else df
