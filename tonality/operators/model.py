@@ -275,7 +275,7 @@ def sweep_class_weights(feats: DataFrame, weight_sets: dict[str, list[float]], f
 # ---------------------------------------------------------------- M1 text baseline
 
 def fit_text_baseline(train: DataFrame, test: DataFrame, tokens: str = "tokens", label: str = "label",
-                      C: float = 1.0, max_iter: int = 1000):
+                      C: float = 1.0, max_iter: int = 1000, tol: float = 1e-4):
     """M1: bag of words (vocabulary fitted on train) + multinomial logistic regression.
 
     ``regParam = 1 / (C * n_train)`` makes Spark's mean-loss objective equal to the usual
@@ -288,7 +288,7 @@ def fit_text_baseline(train: DataFrame, test: DataFrame, tokens: str = "tokens",
     n = train.count()
     cv = CountVectorizer(inputCol=tokens, outputCol="_bow")
     lr = LogisticRegression(featuresCol="_bow", labelCol=label, family="multinomial", maxIter=max_iter,
-                            regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False)
+                            regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, tol=tol)
     model = Pipeline(stages=[cv, lr]).fit(train.withColumn(label, F.col(label).cast("double")))
     pred = model.transform(test.withColumn(label, F.col(label).cast("double")))
     return model, pred.select(F.col(label).cast("int").alias("truth"), F.col("prediction").cast("int").alias("prediction"))

@@ -1 +1,115 @@
-"""Phase 4-6 queries."""
+"""Queries of phases 4-6: features, category counts, models, batch and stream scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tonality.functions import text as X
+from tonality.functions import vectors as V
+from tonality.operators import dist, split, tokens
+from tonality.operators.encode import hash_embed
+from tonality.plans import sqlfrag as Q
+from tonality.plans.catalog import query
+from tonality.sources import tables as S
+
+# ---------------------------------------------------------------- shared stand-in: documents as word lists
+
+
+def _docs(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    return split.split_hash(d, "doc_id", (0.2, 0.8), ("test", "train"), 42)
+
+
+_DOCS_SQL = f"""
+d AS (SELECT doc_id, list_filter(string_split({Q.clean_ascii('text')}, ' '), lambda w: length(w) >= 1) AS l,
+             CASE WHEN {Q.hash_unit('doc_id', 42)} < 0.2 THEN 'test' ELSE 'train' END AS split FROM documents),
+v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id
+      FROM (SELECT DISTINCT unnest(l) AS term FROM d WHERE split = 'train') WHERE length(term) >= 2)"""
+
+
+def _vocab(spark, sf):
+    d = _docs(spark, sf)
+    return d, tokens.fit_vocabulary(d.where(F.col("split") == "train"), "tokens", min_len=2)
+
+
+@query("fit_vocabulary", f"WITH {_DOCS_SQL} SELECT term, term_id FROM v")
+def q_fit_vocabulary(spark, sf):
+    return _vocab(spark, sf)[1]
+
+
+@query("bag_of_words", f"""
+WITH {_DOCS_SQL},
+t AS (SELECT doc_id, unnest(l) AS term FROM d WHERE split = 'test')
+SELECT doc_id, term_id, count(*) AS count FROM t JOIN v USING (term) WHERE length(term) >= 2
+GROUP BY doc_id, term_id""")
+def q_bag_of_words(spark, sf):
+    d, v = _vocab(spark, sf)
+    return tokens.bag_of_words(d.where(F.col("split") == "test"), "doc_id", "tokens", v, min_len=2)
+
+
+@query("encode_tokens", f"""
+WITH {_DOCS_SQL},
+p AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM d),
+i AS (SELECT doc_id, pos, CAST(coalesce(v.term_id + {tokens.FIRST_WORD_ID}, {tokens.UNK_ID}) AS INTEGER) AS id
+      FROM p LEFT JOIN v USING (term) WHERE pos < 62),
+s AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM i GROUP BY doc_id),
+f AS (SELECT d.doc_id, list_concat([{tokens.CLS_ID}], coalesce(s.ids, []), [{tokens.SEP_ID}]) AS seqall
+      FROM d LEFT JOIN s ON d.doc_id = s.doc_id),
+m AS (SELECT max(len(seqall)) AS target FROM f)
+SELECT doc_id, array_to_string(list_concat(seqall, list_transform(range(target - len(seqall)), lambda k: {tokens.PAD_ID})), ',')
+       AS input_ids, CAST(len(seqall) AS INTEGER) AS attention_len, CAST(target AS INTEGER) AS padded_len FROM f, m""")
+def q_encode_tokens(spark, sf):
+    d, v = _vocab(spark, sf)
+    enc = tokens.encode_tokens(d, "doc_id", "tokens", v, max_len=64, pad="longest")
+    return enc.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("int").alias("attention_len"),
+                      F.size("input_ids").cast("int").alias("padded_len"))
+
+
+@query("extend_vocabulary", f"""
+WITH {_DOCS_SQL},
+n AS (SELECT DISTINCT unnest(l) AS term FROM d WHERE split = 'test'),
+a AS (SELECT term FROM n WHERE length(term) >= 1 AND term NOT IN (SELECT term FROM v)),
+top AS (SELECT max(term_id) AS m FROM v)
+SELECT term, term_id FROM v
+UNION ALL SELECT term, row_number() OVER (ORDER BY term) + (SELECT m FROM top) AS term_id FROM a""")
+def q_extend_vocabulary(spark, sf):
+    d, v = _vocab(spark, sf)
+    return tokens.extend_vocabulary(v, d.where(F.col("split") == "test"), "tokens", min_len=1)
+
+
+@query("hash_embed", f"""
+WITH d AS (SELECT doc_id, list_filter(string_split({Q.clean_ascii('text')}, ' '), lambda w: length(w) >= 1) AS l
+           FROM documents),
+t AS (SELECT doc_id, md5(unnest(l)) AS h FROM d),
+s AS (SELECT doc_id, CAST(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 16 AS INTEGER) AS slot,
+             CASE WHEN CAST(('0x' || substr(h, 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END AS sg FROM t),
+a AS (SELECT doc_id, slot, sum(sg) AS v FROM s GROUP BY 1, 2),
+g AS (SELECT d.doc_id, r.slot FROM d, (SELECT unnest(range(16)) AS slot) r),
+w AS (SELECT g.doc_id, list(CAST(coalesce(a.v, 0) AS DOUBLE) ORDER BY g.slot) AS raw
+      FROM g LEFT JOIN a ON g.doc_id = a.doc_id AND g.slot = a.slot GROUP BY g.doc_id),
+n AS (SELECT doc_id, raw, greatest(sqrt(list_sum(list_transform(raw, lambda u: u * u))), 1e-12) AS nr FROM w),
+e AS (SELECT doc_id, list_transform(raw, lambda x: x / nr) AS e FROM n)
+SELECT doc_id, {Q.widen('e', 16)} FROM e""")
+def q_hash_embed(spark, sf):
+    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    e = hash_embed(d, "tokens", dim=16, out="e").select("doc_id", "e")
+    return V.widen_vector(e, "e", 16, keep=["doc_id"], digits=6)
+
+
+@query("category_counts", f"""
+SELECT category, count(*) AS count, CAST(GROUPING(category) AS INTEGER) AS is_total
+FROM (SELECT nullif(regexp_extract(url, '{S.PAGE_CLASS_PATTERN}', 1), '') AS category FROM pages)
+GROUP BY ROLLUP (category)""")
+def q_category_counts(spark, sf):
+    return dist.category_counts(S.page_files(spark, sf), "category", with_total=True)
+
+
+@query("unique_tokens", f"""
+WITH {_DOCS_SQL} SELECT DISTINCT unnest(l) AS term FROM d WHERE split = 'train'""")
+def q_unique_tokens(spark, sf):
+    d = _docs(spark, sf).where(F.col("split") == "train")
+    return dist.unique_tokens(tokens.terms(d, "tokens"), "term")
+
+
+from tonality.plans import catalog_models  # noqa: E402,F401  (rows-only model and stream queries)
