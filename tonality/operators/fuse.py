@@ -240,7 +240,9 @@ def fuse_expr(df: DataFrame, params: FusionParams, text: str = "text_vec", emoji
     d = params.text.d_out
 
     def proj(c, lay, dim):
-        x = F.col(c) if missing == "mask" else F.coalesce(F.col(c).cast("array<double>"), F.array_repeat(F.lit(0.0), dim))
+        if missing == "mask":
+            return F.when(F.col(c).isNotNull(), l2_normalize(project_expr(F.col(c), lay)))
+        x = F.coalesce(F.col(c).cast("array<double>"), F.array_repeat(F.lit(0.0), dim))
         return l2_normalize(project_expr(x, lay))
 
     t = proj(text, params.text, params.text.d_in)

@@ -83,9 +83,9 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_le
     occ = (df.select(key, F.posexplode(tokens).alias("pos", "term"))
            .where(F.col("pos") < body))
     ids = (occ.join(_lookup(vocab, max_broadcast_rows), "term", "left")
-           .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("id")))
-    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    seqs = seqs.select(key, F.transform("_s", lambda s: s["id"]).alias("_ids"))
+           .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("_tid")))
+    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_s"))
+    seqs = seqs.select(key, F.transform("_s", lambda s: s["_tid"]).alias("_ids"))
     base = df.select(key).join(seqs, key, "left")
     full = F.concat(F.array(F.lit(CLS_ID)), F.coalesce(F.col("_ids"), F.array().cast("array<int>")), F.array(F.lit(SEP_ID)))
     base = base.withColumn("_full", full)
