@@ -41,18 +41,24 @@ def dense_index(df: DataFrame, order_cols: list, partition_by: list[str] | tuple
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     if bucket is None:
         bucket = F.lit(0)
-    staged = df.withColumn("_b", bucket)
-    hist = staged.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # number rows inside (group, bucket) first; the bucket counts are then read from the same
+    # shuffle (both branches share the exchange below the window, which Spark reuses), so the
+    # input is computed once
+    # a non-nullable bucket keeps the join from inferring a null filter on one branch only, and
+    # max(row number) keeps the window in the count branch: both branches then have the same
+    # sub-plan up to the window's exchange
+    local = (df.withColumn("_b", F.coalesce(bucket, F.lit(0).cast(df.select(bucket).schema[0].dataType)))
+             .withColumn("_local", F.row_number().over(Window.partitionBy(*parts, "_b").orderBy(*order))))
+    hist = local.groupBy(*parts, "_b").agg(F.max("_local").cast("long").alias("_n"))
     w_prev = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*parts, "_b",
                           F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"),
                           F.sum("_n").over(Window.partitionBy(*parts)).alias("_tot"))
-    joined = staged.join(broadcast_when(offsets, bucket_bound), [*parts, "_b"], "inner")
-    w_local = Window.partitionBy(*parts, "_b").orderBy(*order)
-    out = joined.withColumn(name, F.col("_off") + F.row_number().over(w_local))
+    joined = local.join(broadcast_when(offsets, bucket_bound), [*parts, "_b"], "inner")
+    out = joined.withColumn(name, F.col("_off") + F.col("_local"))
     if total_name:
         out = out.withColumnRenamed("_tot", total_name)
-    return out.drop("_b", "_off", "_tot")
+    return out.drop("_b", "_off", "_tot", "_local")
 
 
 def _cut_points(rounding: str, fractions, total: Column) -> list[Column]:

@@ -35,8 +35,10 @@ def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
 def terms(df: DataFrame, tokens: str, key: str | None = None, min_len: int = 1) -> DataFrame:
     """One row per token occurrence (``key, term``), tokens shorter than ``min_len`` dropped."""
     cols = [key] if key else []
-    return (df.select(*cols, F.explode(tokens).alias("term"))
-            .where(F.length("term") >= min_len))
+    # explode_outer: a plain explode lets the optimizer infer ``size(tokens) > 0`` and push that
+    # (with the whole tokenising expression) below an earlier repartition, computing it twice
+    return (df.select(*cols, F.explode_outer(tokens).alias("term"))
+            .where(F.col("term").isNotNull() & (F.length("term") >= min_len)))
 
 
 def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2, prefix_len: int = 2) -> DataFrame:
@@ -80,8 +82,8 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_le
     ``max_len``. Tokens past the truncation point are dropped before the join.
     """
     body = max_len - 2
-    occ = (df.select(key, F.posexplode(tokens).alias("pos", "term"))
-           .where(F.col("pos") < body))
+    occ = (df.select(key, F.posexplode_outer(tokens).alias("pos", "term"))
+           .where(F.col("pos").isNotNull() & (F.col("pos") < body)))
     ids = (occ.join(_lookup(vocab, max_broadcast_rows), "term", "left")
            .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("_tid")))
     seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_s"))

@@ -16,7 +16,7 @@ from tonality.sources import tables as S
 
 
 def _docs(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    d = S.table(spark, sf, "documents", spread=True).select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
     return split.split_hash(d, "doc_id", (0.2, 0.8), ("test", "train"), 42)
 
 
@@ -92,7 +92,7 @@ n AS (SELECT doc_id, raw, greatest(sqrt(list_sum(list_transform(raw, lambda u: u
 e AS (SELECT doc_id, list_transform(raw, lambda x: x / nr) AS e FROM n)
 SELECT doc_id, {Q.widen('e', 16)} FROM e""")
 def q_hash_embed(spark, sf):
-    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    d = S.table(spark, sf, "documents", spread=True).select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
     e = hash_embed(d, "tokens", dim=16, out="e").select("doc_id", "e")
     return V.widen_vector(e, "e", 16, keep=["doc_id"], digits=6)
 

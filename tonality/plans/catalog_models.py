@@ -70,7 +70,7 @@ def q_fit_text_baseline(spark, sf):
 @query("score_table")
 def q_score_table(spark, sf):
     """M6: the comments table (documents stand-in) scored end to end."""
-    comments = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    comments = S.table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
     return score_table(comments, ScoringModel.closed_form())
 
 

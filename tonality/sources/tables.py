@@ -7,6 +7,8 @@ tables it is read from.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,42 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 PAGE_CLASS_PATTERN = r"^https?://[^/]+/([a-z]+)/"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Local inputs in this size range are spread over all cores after the scan (see ``table``).
+SPREAD_MIN_BYTES = 4 << 20
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def _local_size(path: str) -> int | None:
+    p = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in p or not os.path.exists(p):
+        return None
+    if os.path.isdir(p):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs)
+    return os.path.getsize(p)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read a driver table.
+
+    A parquet row group is read by one task, and the driver tables are single-row-group files;
+    a small local file of a few MB would then be processed by one core. Such inputs (between
+    ``SPREAD_MIN_BYTES`` and ``SPREAD_MAX_BYTES``) get a round-robin repartition to the
+    session's parallelism right after the scan (column pruning and filters still reach the
+    scan). Large or remote inputs arrive in many splits already and are left as read. Only the
+    text tables ask for it: their per-row work (regexes, tokenising, hashing) outweighs the
+    shuffle, while narrow tables are faster read by one task.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    size = _local_size(path) if spread else None
+    if size is not None and SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews stand-in: ``review_id, verified_reviews, rating`` from ``documents``; rating = doc_id % 5 + 1."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("verified_reviews"),
         (F.col("doc_id") % 5 + 1).cast("double").alias("rating"))
 
@@ -74,7 +105,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-folder stand-in: each page is a file, its language path segment is the folder."""
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages", spread=True).select(
         "page_id", F.col("url").alias("path"),
         F.nullif(F.regexp_extract("url", PAGE_CLASS_PATTERN, 1), F.lit("")).alias("category"))
 
@@ -102,6 +133,6 @@ def modality_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows (``text, emoji, sticker``) from ``conversations`` user turns."""
-    return table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations", spread=True).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
         F.lit(None).cast("string").alias("emoji"), F.lit(None).cast("string").alias("sticker"))
