@@ -72,3 +72,33 @@ def test_save_load_model(spark, tmp_dir):
     M.save_model(spark, m, tmp_dir + "/model")
     back = M.load_model(spark, tmp_dir + "/model")
     assert np.allclose(back.flat(), m.flat())
+
+
+def test_linear_head_and_weighted_logreg(spark):
+    from tonality.operators.fuse import random_linear
+    X, y, w, sp, df = _data(spark)
+    head = random_linear(3, 6, 4)
+    h = M.linear_head(df, "features", head).select("id", "probs", "predicted").orderBy("id").first()
+    P = M.softmax_rows(head(X[:1]))[0]
+    assert h.probs == pytest.approx(P.tolist()) and h.predicted == int(P.argmax())
+    model = M.fit_weighted_logreg(df, "features", "label", "weight", max_iter=50)
+    pred = M.predict_weighted_logreg(model, df, "features", keep=["id", "label"])
+    acc = pred.where(F.col("label") == F.col("predicted")).count() / df.count()
+    assert acc > 0.6
+
+
+def test_records_append_and_latest(spark, tmp_dir):
+    from tonality.operators import metrics
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "truth int, prediction int")
+    path = tmp_dir + "/records"
+    metrics.append_records(metrics.evaluation_record(df, "a"), path)
+    metrics.append_records(metrics.evaluation_record(df, "b"), path)
+    recs = spark.read.parquet(path)
+    assert recs.count() == 2
+    assert metrics.latest_record(recs).first().run_id == "b"
+
+
+def test_preview_orders(spark):
+    from tonality.operators.rank import preview
+    df = spark.range(100).withColumnRenamed("id", "k")
+    assert [r.k for r in preview(df, ["k"]).collect()] == [0, 1, 2, 3, 4]

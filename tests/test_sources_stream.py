@@ -104,3 +104,21 @@ def test_catalog_table_roundtrip(spark):
     out = score_table(read_comments(spark), ScoringModel.closed_form())
     write_sentiments(out)
     assert spark.table("product_sentiments").count() == 2
+
+
+def test_one_pass_scoring_equals_composition(spark):
+    from tonality.operators.fuse import fuse_modalities
+    from tonality.operators.model import score
+    from tonality.plans.scoring import message_vectors, score_messages
+    reqs = [(1, "Great stuff, really", "😀", None), (2, "bad", None, "sad.png"), (3, None, "😐😐", None),
+            (4, "", None, None)]
+    df = spark.createDataFrame(reqs, REQUEST_SCHEMA)
+    model = ScoringModel.closed_form()
+    one = {r.request_id: (r.predicted, r.confidence) for r in score_messages(df, model, "request_id").collect()}
+    v = message_vectors(df, model.dims)
+    v = v.withColumn("text_vec", F.coalesce("text_vec", F.array_repeat(F.lit(0.0), model.dims[0])))
+    fused = fuse_modalities(v.select("request_id", "text_vec", "emoji_vec", "sticker_vec"), model.params)
+    comp = {r.request_id: (r.predicted, r.confidence)
+            for r in score(fused.select("request_id", "fused"), "fused", model.classifier, keep=["request_id"]).collect()}
+    for k in one:
+        assert one[k][0] == comp[k][0] and abs(one[k][1] - comp[k][1]) < 1e-12

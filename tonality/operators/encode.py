@@ -33,6 +33,22 @@ def hash_slots(tokens, dim: int) -> Column:
     return F.transform(col, one)
 
 
+def slots_to_matrix(col, dim: int, normalize: bool = True) -> np.ndarray:
+    """Arrow list<int> of signed slots (one list per row) -> ``n x dim`` hashed counts (L2-normalised)."""
+    import pyarrow.compute as pc
+
+    n = len(col)
+    flat = np.asarray(pc.list_flatten(col).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    rows = np.repeat(np.arange(n), lens)
+    M = np.zeros((n, dim), dtype=np.float64)
+    if flat.size:
+        np.add.at(M, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
+    if normalize:
+        M = M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-12)
+    return M
+
+
 def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding", normalize: bool = True) -> DataFrame:
     """F4 built-in: signed hashed bag of words, L2-normalised (a row without words gets zeros)."""
     staged = df.withColumn("_slots", hash_slots(tokens, dim))
@@ -43,18 +59,8 @@ def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding"
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
         for batch in batches:
-            col = batch.column(si)
-            n = len(col)
-            flat = np.asarray(pc.list_flatten(col).to_numpy(zero_copy_only=False), dtype=np.int64)
-            lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            rows = np.repeat(np.arange(n), lens)
-            M = np.zeros((n, dim), dtype=np.float64)
-            if flat.size:
-                np.add.at(M, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
-            if normalize:
-                M = M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-12)
+            M = slots_to_matrix(batch.column(si), dim, normalize)
             cols = [batch.column(i) for i in keep_idx] + [arrow_vectors(M)]
             yield pa.RecordBatch.from_arrays(cols, names=[batch.schema.names[i] for i in keep_idx] + [out])
 

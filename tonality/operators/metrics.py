@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonality.functions.labels import CLASS_NAMES
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
+    """A small literal table built on the JVM (no Python-side row shipping)."""
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
+
+
 def _grid(spark: SparkSession, labels, truth: str, pred: str) -> DataFrame:
     rows = [(int(t), int(p)) for t in labels for p in labels]
-    schema = T.StructType([T.StructField(truth, T.IntegerType()), T.StructField(pred, T.IntegerType())])
-    return spark.createDataFrame(rows, schema)
+    return literal_rows(spark, rows, [truth, pred], ["int", "int"])
 
 
 def confusion_counts(df: DataFrame, truth: str = "truth", pred: str = "prediction") -> DataFrame:
@@ -64,8 +68,8 @@ def _ratios(j: DataFrame) -> DataFrame:
 
 def _per_class(cm: DataFrame, truth: str, pred: str, labels) -> DataFrame:
     spark = cm.sparkSession
-    lab = spark.createDataFrame([(int(c), CLASS_NAMES[c] if 0 <= c < len(CLASS_NAMES) else str(c)) for c in labels],
-                                "label int, class string")
+    lab = literal_rows(spark, [(int(c), CLASS_NAMES[c] if 0 <= c < len(CLASS_NAMES) else str(c)) for c in labels],
+                       ["label", "class"], ["int", "string"])
     tot = _class_totals(cm, truth, pred)
     j = (F.broadcast(lab).join(tot, "label", "left")
          .select("label", "class",
@@ -155,3 +159,8 @@ def evaluation_record(df: DataFrame, run_id: str, truth: str = "truth", pred: st
 def latest_record(records: DataFrame) -> DataFrame:
     """The newest record (largest stamp, then run_id) as one row."""
     return records.orderBy(F.desc("stamp"), F.desc("run_id")).limit(1)
+
+
+def append_records(records: DataFrame, path: str) -> None:
+    """Add evaluation records to a Parquet table (one row per run, keyed by ``run_id``)."""
+    records.write.mode("append").parquet(path)

@@ -304,3 +304,46 @@ def save_model(spark: SparkSession, model: ReluClassifier, path: str, mode: str
 def load_model(spark: SparkSession, path: str) -> ReluClassifier:
     layers = layers_from_table(spark.read.parquet(path))
     return ReluClassifier(layers["fc1"], layers["fc2"])
+
+
+# ---------------------------------------------------------------- F5 / F7 classifier head
+
+def linear_head(df: DataFrame, vec_col: str, head: Linear, probs: str = "probs", code: str = "predicted") -> DataFrame:
+    """Class probabilities ``softmax(W x + b)`` and their argmax code, next to the vector.
+
+    Expression form (the head has few outputs); pair it with ``encode_batch`` for the vectors.
+    """
+    from tonality.functions.vectors import argmax, softmax
+    from tonality.operators.fuse import project_expr
+
+    out = df.withColumn(probs, softmax(project_expr(F.col(vec_col), head)))
+    return out.withColumn(code, F.when(F.col(vec_col).isNotNull(), argmax(probs)))
+
+
+# ---------------------------------------------------------------- M2a weighted logistic regression
+
+def fit_weighted_logreg(train: DataFrame, features: str = "features", label: str = "label", weight: str = "weight",
+                        reg: float = 0.0, max_iter: int = 100):
+    """Multinomial logistic regression with per-row class weights (MLlib ``weightCol``).
+
+    ``features`` is ``array<double>``; it is turned into an MLlib vector only at this edge.
+    Returns the fitted model; ``predict_weighted_logreg`` scores a frame with it.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    src = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
+                       F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
+    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial",
+                            regParam=reg, maxIter=max_iter, standardization=False)
+    return lr.fit(src)
+
+
+def predict_weighted_logreg(model, df: DataFrame, features: str = "features", keep: list[str] | None = None) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    keep = [c for c in df.columns if c != features] if keep is None else keep
+    src = df.select(*keep, array_to_vector(F.col(features).cast("array<double>")).alias("_x"))
+    out = model.setFeaturesCol("_x").transform(src)
+    return out.select(*keep, F.col("prediction").cast("int").alias("predicted"),
+                      vector_to_array("probability").alias("probs"))

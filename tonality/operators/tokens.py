@@ -82,13 +82,15 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_le
     ``max_len``. Tokens past the truncation point are dropped before the join.
     """
     body = max_len - 2
+    # posexplode_outer keeps one (null) row for a document without words, so every document
+    # reaches the group-by and no join back to the input is needed
     occ = (df.select(key, F.posexplode_outer(tokens).alias("pos", "term"))
-           .where(F.col("pos").isNotNull() & (F.col("pos") < body)))
+           .where(F.col("pos").isNull() | (F.col("pos") < body)))
     ids = (occ.join(_lookup(vocab, max_broadcast_rows), "term", "left")
            .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("_tid")))
-    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_tid"))).alias("_s"))
-    seqs = seqs.select(key, F.transform("_s", lambda s: s["_tid"]).alias("_ids"))
-    base = df.select(key).join(seqs, key, "left")
+    seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct("pos", "_tid")))).alias("_s"))
+    base = seqs.select(key, F.transform("_s", lambda s: s["_tid"]).alias("_ids"))
     full = F.concat(F.array(F.lit(CLS_ID)), F.coalesce(F.col("_ids"), F.array().cast("array<int>")), F.array(F.lit(SEP_ID)))
     base = base.withColumn("_full", full)
     if pad == "longest":

@@ -45,6 +45,16 @@ def q_fit_relu_classifier(spark, sf):
         "epochs_run", F.lit(hist.count()))
 
 
+@query("fit_weighted_logreg")
+def q_fit_weighted_logreg(spark, sf):
+    """MLlib logistic regression with inverse-frequency row weights; report on the test split."""
+    from tonality.operators.model import fit_weighted_logreg, predict_weighted_logreg
+    feats = _train_features(spark, sf)
+    model = fit_weighted_logreg(feats.where(F.col("split") == "train"), "features", "label", "weight")
+    pred = predict_weighted_logreg(model, feats.where(F.col("split") == "test"), "features", keep=["label"])
+    return metrics.classification_report(pred.select(F.col("label").alias("truth"), F.col("predicted").alias("prediction")))
+
+
 @query("sweep_class_weights")
 def q_sweep_class_weights(spark, sf):
     """M4: one evaluation record per class-weight set."""

@@ -35,8 +35,7 @@ def message_vectors(df: DataFrame, dims=(64, 32, 16), text: str = "text", emoji:
     """Hashed vectors per modality; a null input gives a null vector (the modality is missing)."""
     dt, de, ds = dims
     staged = (df.withColumn("_tw", words(normalize_text(text)))
-              .withColumn("_ew", F.filter(F.regexp_extract_all(F.coalesce(F.col(emoji), F.lit("")), F.lit(r"(\X)"), 1),
-                                          lambda t: F.trim(t) != ""))
+              .withColumn("_ew", _emoji_tokens(emoji))
               .withColumn("_sw", F.array(F.lower(F.coalesce(F.col(sticker), F.lit(""))))))
     staged = hash_embed(staged, "_tw", dt, "text_vec")
     staged = hash_embed(staged, "_ew", de, "emoji_vec")
@@ -47,19 +46,65 @@ def message_vectors(df: DataFrame, dims=(64, 32, 16), text: str = "text", emoji:
             .drop("_tw", "_ew", "_sw"))
 
 
+def _emoji_tokens(emoji: str):
+    """One token per grapheme cluster (an emoji with modifiers stays whole); blanks dropped."""
+    return F.filter(F.regexp_extract_all(F.coalesce(F.col(emoji), F.lit("")), F.lit(r"(\X)"), 1),
+                    lambda t: F.trim(t) != "")
+
+
 def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "text", emoji: str = "emoji",
                    sticker: str = "sticker") -> DataFrame:
-    """``key, sentiment, confidence`` (plus ``predicted``) for each message row.
+    """``key, predicted, sentiment, confidence`` for each message row, in one Arrow pass.
 
-    A message whose text is missing but has an emoji or sticker is scored on a zero text vector;
-    a message with all three inputs missing is ``neutral`` with a null confidence.
+    The JVM cleans the inputs and hashes every word to a signed slot; one NumPy kernel per
+    batch then builds the three hashed vectors, fuses them (missing modalities masked) and runs
+    the classifier. A message whose text is missing but has an emoji or sticker is scored on a
+    zero text vector; a message with all three inputs missing is ``neutral`` with a null
+    confidence.
     """
-    v = message_vectors(df.select(key, text, emoji, sticker), model.dims, text, emoji, sticker)
-    dt = model.dims[0]
-    any_input = F.col(text).isNotNull() | F.col(emoji).isNotNull() | F.col(sticker).isNotNull()
-    v = v.withColumn("text_vec", F.when(any_input, F.coalesce("text_vec", F.array_repeat(F.lit(0.0), dt))))
-    fused = fuse_modalities(v.select(key, "text_vec", "emoji_vec", "sticker_vec"), model.params, missing="mask")
-    return score(fused.select(key, "fused"), "fused", model.classifier, keep=[key])
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from tonality.functions.labels import CLASS_NAMES
+    from tonality.operators.encode import hash_slots, slots_to_matrix
+    from tonality.operators.fuse import fuse_arrays
+    from tonality.operators.model import softmax_rows
+
+    dt, de, ds = model.dims
+    staged = df.select(
+        key,
+        F.when(F.col(text).isNotNull(), hash_slots(words(normalize_text(text)), dt)).alias("_ts"),
+        F.when(F.col(emoji).isNotNull(), hash_slots(_emoji_tokens(emoji), de)).alias("_es"),
+        F.when(F.col(sticker).isNotNull(), hash_slots(F.array(F.lower(F.col(sticker))), ds)).alias("_ss"),
+        (F.col(text).isNotNull() | F.col(emoji).isNotNull() | F.col(sticker).isNotNull()).alias("_any"))
+    bc = df.sparkSession.sparkContext.broadcast(model)
+    key_field = staged.schema[key]
+    schema = T.StructType([key_field, T.StructField("predicted", T.IntegerType(), True),
+                           T.StructField("sentiment", T.StringType(), True),
+                           T.StructField("confidence", T.DoubleType(), True)])
+    names = np.array(CLASS_NAMES, dtype=object)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        m = bc.value
+        for batch in batches:
+            valid = {c: np.asarray(pc.is_valid(batch.column(c)).to_numpy(zero_copy_only=False), dtype=bool)
+                     for c in ("_ts", "_es", "_ss")}
+            anyin = np.asarray(batch.column("_any").to_numpy(zero_copy_only=False), dtype=bool)
+            Xt = slots_to_matrix(batch.column("_ts"), dt)
+            Xe = slots_to_matrix(batch.column("_es"), de)
+            Xs = slots_to_matrix(batch.column("_ss"), ds)
+            Y = fuse_arrays(Xt, Xe, valid["_es"].astype(np.float64), Xs, valid["_ss"].astype(np.float64),
+                            m.params, "mask")
+            P = softmax_rows(m.classifier.logits(Y))
+            pred = np.where(anyin, P.argmax(axis=1), 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(pred, type=pa.int32()), pa.array(names[pred].tolist(), type=pa.string()),
+                 pa.array(P.max(axis=1), type=pa.float64(), mask=~anyin)],
+                names=[key, "predicted", "sentiment", "confidence"])
+
+    return staged.mapInArrow(run, schema)
 
 
 def score_table(comments: DataFrame, model: ScoringModel, key: str = "id", text: str = "comment_text") -> DataFrame:
