@@ -274,19 +274,28 @@ def sweep_class_weights(feats: DataFrame, weight_sets: dict[str, list[float]], f
 
 # ---------------------------------------------------------------- M1 text baseline
 
+# MLlib keeps the fitted vocabulary and the coefficient matrix on the driver.
+MAX_BASELINE_VOCAB = 1 << 24
+
+
 def fit_text_baseline(train: DataFrame, test: DataFrame, tokens: str = "tokens", label: str = "label",
                       C: float = 1.0, max_iter: int = 1000, tol: float = 1e-4):
     """M1: bag of words (vocabulary fitted on train) + multinomial logistic regression.
 
     ``regParam = 1 / (C * n_train)`` makes Spark's mean-loss objective equal to the usual
-    ``C * sum(loss) + ||w||^2 / 2`` form. Returns (fitted pipeline, test predictions).
+    ``C * sum(loss) + ||w||^2 / 2`` form. The vocabulary is exact (every training term): its size
+    is counted first and the fit refuses a vocabulary above ``MAX_BASELINE_VOCAB`` instead of
+    silently keeping only the most frequent terms. Returns (fitted pipeline, test predictions).
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     n = train.count()
-    cv = CountVectorizer(inputCol=tokens, outputCol="_bow")
+    n_terms = train.select(F.explode_outer(tokens).alias("_t")).where(F.col("_t").isNotNull()).distinct().count()
+    if n_terms > MAX_BASELINE_VOCAB:
+        raise ValueError(f"{n_terms} distinct terms exceed the driver-side bound {MAX_BASELINE_VOCAB}")
+    cv = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=max(n_terms, 1), minDF=1.0)
     lr = LogisticRegression(featuresCol="_bow", labelCol=label, family="multinomial", maxIter=max_iter,
                             regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0, standardization=False, tol=tol)
     model = Pipeline(stages=[cv, lr]).fit(train.withColumn(label, F.col(label).cast("double")))

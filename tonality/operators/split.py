@@ -78,14 +78,16 @@ def _assign(idx: Column, cuts: list[Column], names) -> Column:
 
 
 def split_stratified(df: DataFrame, key: str, label: str, fractions=(0.2, 0.8), names=("test", "train"),
-                     seed: int = 42, rounding: str = "ceil", digits: int = 3, max_classes: int = 16,
+                     seed: int = 42, rounding: str = "ceil", digits: int = 4, max_classes: int = 3,
                      split_col: str = "split") -> DataFrame:
     """Exact per-class split in a seeded hash order.
 
     Inside each class, rows sorted by ``md5(key:seed)``; the first ``ceil(f0 * n_class)`` rows
     get ``names[0]`` (test by default), the next share ``names[1]`` and so on. Same result for
-    any partitioning of the input. ``digits`` hex digits of the hash form the buckets (16**digits
-    per class); raise it when one class holds more than a few hundred million rows.
+    any partitioning of the input. ``digits`` hex digits of the hash form the buckets (16**4 =
+    65,536 per class by default, so a class of 3e10 rows is numbered in tasks of ~500k rows).
+    ``max_classes`` bounds the label count; within ``max_classes * 16**digits`` offset rows the
+    offset table is broadcast, beyond it AQE decides from its real size.
     """
     h = hash_order(key, seed)
     staged = df.withColumn("_h", h)
