@@ -49,3 +49,14 @@ def test_expressions_stay_in_jvm_and_prune(spark):
 def test_filter_pushed_to_scan(spark):
     df = S.table(spark, SF001, "orders").where(F.col("o_orderkey") < 100).select("o_orderkey")
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)]" in _plan(df)
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from tonality.operators.common import bounded_broadcast
+    small = spark.range(10)
+    big = spark.range(1000)
+    probe = spark.range(5000).withColumnRenamed("id", "k")
+    j_small = probe.join(bounded_broadcast(small.withColumnRenamed("id", "k"), 100), "k")
+    j_big = probe.join(bounded_broadcast(big.withColumnRenamed("id", "k"), 100), "k")
+    assert "BroadcastHashJoin" in _plan(j_small)
+    assert "ResolvedHint" not in j_big._jdf.queryExecution().analyzed().toString()

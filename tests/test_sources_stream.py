@@ -38,7 +38,7 @@ def test_image_manifest_and_counts(spark, tmp_dir):
     _folders(tmp_dir)
     man = images.image_manifest(spark, tmp_dir)
     plan = man._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1].split("]")[0] if "ReadSchema" in plan else True
+    assert "ReadSchema: struct<path:string>" in plan     # image bytes are never read for the manifest
     rows = man.collect()
     assert len(rows) == 6   # .txt ignored, upper-case .PNG kept
     assert {r.path.split("/")[-2] for r in rows if r.filename == "mocking.png"} == {"negative", "positive"}

@@ -81,3 +81,15 @@ def test_stack_splits(spark):
     b = spark.createDataFrame([(2,), (3,)], "x int")
     s = split.stack_splits({"train": a, "test": b})
     assert sorted((r.x, r.split) for r in s.collect()) == [(1, "train"), (2, "test"), (3, "test")]
+
+
+def test_split_keeps_null_labels_and_spreads_hot_class(spark):
+    rows = [(i, None if i % 50 == 0 else (2 if i % 10 else 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    s = split.split_stratified(df, "k", "y", seed=1)
+    assert s.count() == 5000
+    nulls = s.where("y IS NULL")
+    assert nulls.count() == 100 and nulls.where("split = 'test'").count() == 20
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    # the numbering window is partitioned by (class, hash bucket), not by class alone
+    assert "Window [row_number()" in plan and "_b" in plan.split("Window [row_number()")[1].split("]")[1]

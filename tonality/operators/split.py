@@ -54,7 +54,12 @@ def dense_index(df: DataFrame, order_cols: list, partition_by: list[str] | tuple
     offsets = hist.select(*parts, "_b",
                           F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"),
                           F.sum("_n").over(Window.partitionBy(*parts)).alias("_tot"))
-    joined = local.join(broadcast_when(offsets, bucket_bound), [*parts, "_b"], "inner")
+    # null-safe on the group columns: rows of a null group keep their own numbering
+    off = offsets.select(*[F.col(p).alias(f"_g{i}") for i, p in enumerate(parts)], F.col("_b").alias("_ob"),
+                         "_off", "_tot")
+    cond = [F.col(p).eqNullSafe(F.col(f"_g{i}")) for i, p in enumerate(parts)] + [F.col("_b") == F.col("_ob")]
+    joined = local.join(broadcast_when(off, bucket_bound), cond, "inner")
+    joined = joined.drop(*[f"_g{i}" for i in range(len(parts))], "_ob")
     out = joined.withColumn(name, F.col("_off") + F.col("_local"))
     if total_name:
         out = out.withColumnRenamed("_tot", total_name)
