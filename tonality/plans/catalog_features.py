@@ -112,4 +112,37 @@ def q_unique_tokens(spark, sf):
     return dist.unique_tokens(tokens.terms(d, "tokens"), "term")
 
 
+# ---------------------------------------------------------------- the reference's preprocessing scripts
+
+@query("text_preprocess", f"""
+WITH l AS (SELECT review_id, verified_reviews AS original_review, {Q.normalize_text('verified_reviews')} AS comment_clean,
+                  {Q.label_le2('rating')} AS label_numeric FROM ({Q.reviews()})),
+o AS (SELECT *, row_number() OVER (PARTITION BY label_numeric ORDER BY {Q.hash_order('review_id', 42)}, review_id) AS rn,
+             count(*) OVER (PARTITION BY label_numeric) AS cnt FROM l)
+SELECT review_id, original_review, comment_clean, {Q.label_name('label_numeric')} AS sentiment_label, label_numeric,
+       CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM o""")
+def q_text_preprocess(spark, sf):
+    from tonality.plans.pipelines import text_info
+    return text_info(S.reviews(spark, sf)).select("review_id", "original_review", "comment_clean", "sentiment_label",
+                                                  "label_numeric", "split")
+
+
+@query("emoji_preprocess", f"""
+WITH lex AS ({Q.emoji_lexicon()}),
+n AS (SELECT CAST(r_regionkey AS VARCHAR) AS symbol, min(':' || replace(lower(r_name), ' ', '_') || ':') AS name
+      FROM region GROUP BY 1),
+l AS (SELECT Emoji AS emoji, {Q.strip_ws('coalesce(n.name, lex.Emoji)')} AS emoji_clean,
+             CAST(CASE WHEN Negative >= Neutral AND Negative >= Positive THEN 0
+                       WHEN Neutral >= Positive THEN 1 ELSE 2 END AS INTEGER) AS label_numeric
+      FROM lex LEFT JOIN n ON lex.Emoji = n.symbol),
+o AS (SELECT *, row_number() OVER (PARTITION BY label_numeric ORDER BY {Q.hash_order('emoji', 42)}, emoji) AS rn,
+             count(*) OVER (PARTITION BY label_numeric) AS cnt FROM l)
+SELECT emoji, emoji_clean, {Q.label_name('label_numeric')} AS sentiment_label, label_numeric,
+       CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM o""")
+def q_emoji_preprocess(spark, sf):
+    from tonality.plans.pipelines import emoji_info
+    info = emoji_info(S.emoji_lexicon(spark, sf), S.symbol_names(spark, sf))
+    return info.select("emoji", "emoji_clean", "sentiment_label", "label_numeric", "split")
+
+
 from tonality.plans import catalog_models  # noqa: E402,F401  (rows-only model and stream queries)

@@ -97,8 +97,13 @@ def _fusion_input(spark, sf):
                     F.when(F.col("label") % 3 == 2, F.slice(x, 33, 16)).alias("sticker_vec"))
 
 
-def _fusion_sql(missing: str) -> str:
-    P = fuse.FusionParams.closed_form(64, 32, 16)  # noqa: F841  (salts 11..15 below)
+_FUSION_INPUT_SQL = """x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS xt,
+                  CASE WHEN label % 3 <> 1 THEN CAST(embedding AS DOUBLE[])[1:32] END AS xe,
+                  CASE WHEN label % 3 = 2 THEN CAST(embedding AS DOUBLE[])[33:48] END AS xs FROM embeddings)"""
+
+
+def _fusion_sql(missing: str, inputs: str = _FUSION_INPUT_SQL) -> str:
+    # closed-form parameters, salts 11..15 (FusionParams.closed_form(64, 32, 16))
     if missing == "mask":
         pe = f"CASE WHEN xe IS NULL THEN NULL ELSE {Q.project('xe', 64, 32, 12)} END"
         ps = f"CASE WHEN xs IS NULL THEN NULL ELSE {Q.project('xs', 64, 16, 13)} END"
@@ -106,9 +111,7 @@ def _fusion_sql(missing: str) -> str:
         pe = Q.project("coalesce(xe, list_transform(range(32), lambda i: 0.0::DOUBLE))", 64, 32, 12)
         ps = Q.project("coalesce(xs, list_transform(range(16), lambda i: 0.0::DOUBLE))", 64, 16, 13)
     return f"""
-WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS xt,
-                  CASE WHEN label % 3 <> 1 THEN CAST(embedding AS DOUBLE[])[1:32] END AS xe,
-                  CASE WHEN label % 3 = 2 THEN CAST(embedding AS DOUBLE[])[33:48] END AS xs FROM embeddings),
+WITH {inputs},
 p AS (SELECT vec_id, {Q.project('xt', 64, 64, 11)} AS pt, {pe} AS pe, {ps} AS ps FROM x),
 n AS (SELECT vec_id, pt, pe, ps,
              greatest(sqrt(list_sum(list_transform(pt, lambda u: u * u))), 1e-12) AS nt,
@@ -136,6 +139,33 @@ def q_fuse_modalities_zeros(spark, sf):
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
 
 
+_POSITIONAL_INPUT_SQL = """b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS xt, row_number() OVER (ORDER BY vec_id) - 1 AS pos
+      FROM embeddings),
+e AS (SELECT CAST(embedding AS DOUBLE[])[1:32] AS xe, row_number() OVER (ORDER BY vec_id) - 1 AS pos
+      FROM embeddings WHERE label % 3 <> 1),
+s AS (SELECT CAST(embedding AS DOUBLE[])[33:48] AS xs, row_number() OVER (ORDER BY vec_id) - 1 AS pos
+      FROM embeddings WHERE label = 0),
+x AS (SELECT b.vec_id, b.xt, coalesce(e.xe, list_transform(range(32), lambda i: 0.0::DOUBLE)) AS xe,
+             coalesce(s.xs, list_transform(range(16), lambda i: 0.0::DOUBLE)) AS xs
+      FROM b LEFT JOIN e ON b.pos = e.pos LEFT JOIN s ON b.pos = s.pos)"""
+
+
+@query("fusion_positional", _fusion_sql("zeros", _POSITIONAL_INPUT_SQL))
+def q_fusion_positional(spark, sf):
+    """The reference's fusion script: emoji and sticker rows paired with text rows by position
+    (zero rows appended when shorter, extra rows cut), then the gated fusion with zero inputs."""
+    v = S.vectors(spark, sf)
+    x = F.col("embedding").cast("array<double>")
+    base = v.select("vec_id", x.alias("text_vec"))
+    emo = v.where(F.col("label") % 3 != 1).select(F.col("vec_id").alias("e_id"), F.slice(x, 1, 32).alias("emoji_vec"))
+    stk = v.where(F.col("label") == 0).select(F.col("vec_id").alias("s_id"), F.slice(x, 33, 16).alias("sticker_vec"))
+    j = align.align_positional(base, emo, "vec_id", "e_id", "emoji_vec", 32, pos="pos")
+    j = align.align_positional(j.drop("pos", "other_e_id"), stk, "vec_id", "s_id", "sticker_vec", 16, pos="pos")
+    j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
+    f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
+    return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
+
+
 _SCORE_SQL = f"""
 WITH h AS (SELECT vec_id, list_transform({Q.project(Q.dvec('embedding'), 128, 64, 1)}, lambda v: greatest(v, 0.0)) AS h
            FROM embeddings),

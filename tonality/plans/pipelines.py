@@ -48,13 +48,18 @@ def emoji_analysis(lexicon: DataFrame, n: int = 100, k: int = 10) -> dict[str, D
     }
 
 
-def emoji_info(lexicon: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Emoji preprocessing output: ``emoji, emoji_clean, sentiment_label, label_numeric``."""
+def emoji_info(lexicon: DataFrame, names: DataFrame | None = None, split: bool = True) -> DataFrame:
+    """Emoji preprocessing output: ``emoji, emoji_clean, sentiment_label, label_numeric`` and, with
+    ``split``, the exact stratified 80/20 split keyed on the symbol."""
     from tonality.operators.lookup import demojize
     info = lexicon_labels(lexicon)
     if names is None:
-        return info.withColumn("emoji_clean", F.col("emoji"))
-    return demojize(info, "emoji", names, out="emoji_clean")
+        info = info.withColumn("emoji_clean", F.col("emoji"))
+    else:
+        info = demojize(info, "emoji", names, out="emoji_clean")
+    if split:
+        info = split_stratified(info, "emoji", "label_numeric", fractions=(0.2, 0.8), names=("test", "train"))
+    return info
 
 
 def class_report_frame(df: DataFrame, label: str) -> DataFrame:
