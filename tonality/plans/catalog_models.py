@@ -16,6 +16,7 @@ from tonality.functions import text as X
 from tonality.functions.labels import label_rating
 from tonality.operators import dist, metrics, split
 from tonality.operators.model import fit_relu_classifier, fit_text_baseline, history_frame, score, sweep_class_weights
+from tonality.plans import sqlfrag as Q
 from tonality.plans.catalog import query
 from tonality.plans.scoring import ScoringModel, score_table
 from tonality.sources import tables as S
@@ -77,14 +78,41 @@ def q_fit_text_baseline(spark, sf):
     return metrics.classification_report(pred)
 
 
-@query("score_table")
+def _score_sql(source: str, key: str) -> str:
+    """Oracle of the message-scoring chain for text-only messages: words of the normalised text
+    hashed into 64 signed slots (md5), L2-normalised, projected by the text layer of the fusion
+    (salt 11) and normalised (emoji and sticker absent, so masked), then the ReLU classifier
+    (salts 1 and 2)."""
+    return f"""
+WITH d AS (SELECT {key} AS k, list_filter(string_split({Q.normalize_text('text')}, ' '), lambda w: length(w) >= 1) AS l
+           FROM ({source})),
+t AS (SELECT k, md5(unnest(l)) AS h FROM d),
+s AS (SELECT k, CAST(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 64 AS INTEGER) AS slot,
+             CASE WHEN CAST(('0x' || substr(h, 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END AS sg FROM t),
+a AS (SELECT k, slot, sum(sg) AS v FROM s GROUP BY 1, 2),
+g AS (SELECT d.k, r.slot FROM d, (SELECT unnest(range(64)) AS slot) r),
+w AS (SELECT g.k, list(CAST(coalesce(a.v, 0) AS DOUBLE) ORDER BY g.slot) AS raw
+      FROM g LEFT JOIN a ON g.k = a.k AND g.slot = a.slot GROUP BY g.k),
+x AS (SELECT k, list_transform(raw, lambda u: u / greatest(sqrt(list_sum(list_transform(raw, lambda q: q * q))), 1e-12))
+             AS xt FROM w),
+p AS (SELECT k, {Q.project('xt', 64, 64, 11)} AS pt FROM x),
+f AS (SELECT k, list_transform(pt, lambda u: u / greatest(sqrt(list_sum(list_transform(pt, lambda q: q * q))), 1e-12))
+             AS fused FROM p),
+h AS (SELECT k, list_transform({Q.project('fused', 128, 64, 1)}, lambda u: greatest(u, 0.0)) AS h FROM f),
+z AS (SELECT k, {Q.project('h', 3, 128, 2)} AS z FROM h),
+pr AS (SELECT k, z, {Q.softmax('z')} AS p FROM z)
+SELECT k AS {key}, {Q.label_name(Q.argmax('z'))} AS sentiment, round(list_max(p), 6) AS confidence FROM pr"""
+
+
+@query("score_table", _score_sql("SELECT doc_id AS id, text FROM documents", "id"))
 def q_score_table(spark, sf):
     """M6: the comments table (documents stand-in) scored end to end."""
     comments = S.table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
-    return score_table(comments, ScoringModel.closed_form())
+    out = score_table(comments, ScoringModel.closed_form())
+    return out.select("id", "sentiment", F.round("confidence", 6).alias("confidence"))
 
 
-@query("score_stream")
+@query("score_stream", _score_sql("SELECT conv_id * 1000 + turn AS request_id, text FROM conversations", "request_id"))
 def q_score_stream(spark, sf):
     """ST1: conversation turns written as JSON request files, scored by a streaming query run to
     completion (availableNow); returns the sink's rows."""
@@ -96,4 +124,4 @@ def q_score_stream(spark, sf):
     S.requests(spark, sf).write.mode("overwrite").json(src)
     q = start_scoring(spark, src, sink, ck, ScoringModel.closed_form(), available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("request_id", "sentiment", F.round("confidence", 6).alias("confidence"))
