@@ -33,6 +33,18 @@ def align_positional(base: DataFrame, other: DataFrame, base_order: str, other_o
     return j.withColumn(out, F.coalesce(F.col("_v"), zeros(dim))).drop("_v")
 
 
+def align_positional_many(base: DataFrame, base_order: str, others: dict[str, tuple], pos: str = "pos") -> DataFrame:
+    """J1 for several modalities at once: the base is indexed once and every other frame is
+    left-joined on the same position. ``others`` maps an output column to
+    ``(frame, order column, vector column, dim)``."""
+    out = positional_index(base, base_order, name=pos)
+    for name, (df, order, vec, dim) in others.items():
+        o = positional_index(df.select(order, vec), order, name=pos)
+        o = o.select(pos, F.col(vec).cast("array<double>").alias(f"_v_{name}"))
+        out = out.join(o, pos, "left").withColumn(name, F.coalesce(F.col(f"_v_{name}"), zeros(dim))).drop(f"_v_{name}")
+    return out
+
+
 def zip_columns(left: DataFrame, right: DataFrame, key: str | None = None, left_order: str | None = None,
                 right_order: str | None = None) -> DataFrame:
     """Put two frames of equal length side by side.

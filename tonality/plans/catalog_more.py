@@ -159,8 +159,8 @@ def q_fusion_positional(spark, sf):
     base = v.select("vec_id", x.alias("text_vec"))
     emo = v.where(F.col("label") % 3 != 1).select(F.col("vec_id").alias("e_id"), F.slice(x, 1, 32).alias("emoji_vec"))
     stk = v.where(F.col("label") == 0).select(F.col("vec_id").alias("s_id"), F.slice(x, 33, 16).alias("sticker_vec"))
-    j = align.align_positional(base, emo, "vec_id", "e_id", "emoji_vec", 32, pos="pos")
-    j = align.align_positional(j.drop("pos", "other_e_id"), stk, "vec_id", "s_id", "sticker_vec", 16, pos="pos")
+    j = align.align_positional_many(base, "vec_id", {"emoji_vec": (emo, "e_id", "emoji_vec", 32),
+                                                     "sticker_vec": (stk, "s_id", "sticker_vec", 16)})
     j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
     f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
