@@ -140,11 +140,10 @@ def evaluation_record(df: DataFrame, run_id: str, truth: str = "truth", pred: st
                       weights: list[float] | None = None, labels=(0, 1, 2)) -> DataFrame:
     """One-row record ``run_id, stamp, f1_weighted, f1_macro, accuracy, confusion_matrix,
     per_class_metrics (map<string, struct>), weights_used``."""
-    from tonality.session import checkpoint_dir
+    from tonality.session import materialize
 
-    checkpoint_dir(df.sparkSession)
-    # the nine counts are used three times; a reliable checkpoint computes them once
-    cm = confusion_matrix(df, truth, pred, labels).checkpoint(eager=True)
+    # the nine counts are used three times; written once to the shared folder
+    cm = materialize(confusion_matrix(df, truth, pred, labels), "confusion")
     mat = matrix_rows(cm, truth, pred, labels)
     rep = classification_report(cm, truth, pred, labels, from_counts=True)
     per = rep.agg(F.map_from_entries(F.collect_list(F.struct(

@@ -198,7 +198,7 @@ def fit_relu_classifier(feats: DataFrame, features: str = "features", label: str
     training rows (exact weighted mean loss, batch-size free). Training stops after
     ``patience`` epochs without a strict improvement and returns the best epoch's parameters.
     """
-    from tonality.session import checkpoint_dir
+    from tonality.session import materialize
 
     spark = feats.sparkSession
     src = feats.select(F.col(features).cast("array<double>").alias(features), F.col(label).cast("int").alias(label),
@@ -207,8 +207,7 @@ def fit_relu_classifier(feats: DataFrame, features: str = "features", label: str
     if d_in is None:
         d_in = int(src.agg(F.max(F.size(features))).first()[0])
     if checkpoint:
-        checkpoint_dir(spark)
-        src = src.checkpoint(eager=True)   # reliable copy in the shared folder: each step re-reads it
+        src = materialize(src, "train-features")   # reliable copy in the shared folder: each step re-reads it
     model = ReluClassifier.seeded(d_in, hidden, classes, seed)
     theta = model.flat()
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -254,11 +253,9 @@ def sweep_class_weights(feats: DataFrame, weight_sets: dict[str, list[float]], f
     Features are checkpointed once and shared by all runs.
     """
     from tonality.operators.metrics import evaluation_record
-    from tonality.session import checkpoint_dir
+    from tonality.session import materialize
 
-    spark = feats.sparkSession
-    checkpoint_dir(spark)
-    base = feats.checkpoint(eager=True)
+    base = materialize(feats, "sweep-features")
     records = None
     for run_id, ws in weight_sets.items():
         wmap = F.element_at(F.array(*[F.lit(float(w)) for w in ws]), (F.col(label) + 1).cast("int"))

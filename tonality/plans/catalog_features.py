@@ -28,8 +28,12 @@ v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id
 
 
 def _vocab(spark, sf):
+    """Training documents and their fitted vocabulary. The vocabulary is used several times by
+    each query (lookup side, anti-join side, largest id), so it is written once as a Parquet
+    table in the shared folder, like a stored vocabulary."""
+    from tonality.session import materialize
     d = _docs(spark, sf)
-    return d, tokens.fit_vocabulary(d.where(F.col("split") == "train"), "tokens", min_len=2)
+    return d, materialize(tokens.fit_vocabulary(d.where(F.col("split") == "train"), "tokens", min_len=2), "vocabulary")
 
 
 @query("fit_vocabulary", f"WITH {_DOCS_SQL} SELECT term, term_id FROM v")

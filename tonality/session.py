@@ -59,3 +59,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the checkpoint folder for a written intermediate table."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, but computes the frame only once (an eager
+    ``checkpoint()`` of an unpersisted frame computes it a second time to write it). Survives
+    executor loss: the copy lives in the shared folder, not on executors.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
