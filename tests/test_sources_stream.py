@@ -122,3 +122,23 @@ def test_one_pass_scoring_equals_composition(spark):
             for r in score(fused.select("request_id", "fused"), "fused", model.classifier, keep=["request_id"]).collect()}
     for k in one:
         assert one[k][0] == comp[k][0] and abs(one[k][1] - comp[k][1]) < 1e-12
+
+
+def test_invalid_image_dropped(spark, tmp_dir):
+    _folders(tmp_dir)
+    with open(os.path.join(tmp_dir, "neutral", "broken.png"), "wb") as f:
+        f.write(b"not a png at all")
+    assert images.image_manifest(spark, tmp_dir).count() == 7     # the manifest lists every file
+    assert images.read_images(spark, tmp_dir).count() == 6        # decoding drops the broken one
+
+
+def test_emoji_info_names_and_majority(spark):
+    from tonality.plans.pipelines import emoji_info
+    lex = spark.createDataFrame([("❤", 1, 2, 30), ("♡", 5, 5, 1), ("😢", 9, 1, 0)],
+                                "Emoji string, Negative long, Neutral long, Positive long") \
+        .withColumn("Occurrences", F.col("Negative") + F.col("Neutral") + F.col("Positive"))
+    names = spark.createDataFrame([("❤", ":red_heart: "), ("😢", ":crying_face:")], "symbol string, name string")
+    got = {r.emoji: r for r in emoji_info(lex, names, split=False).collect()}
+    assert got["❤"].emoji_clean == ":red_heart:" and got["❤"].sentiment_label == "positive"
+    assert got["♡"].emoji_clean == "♡" and got["♡"].label_numeric == 0        # unknown kept; tie -> negative
+    assert got["😢"].sentiment_label == "negative"
