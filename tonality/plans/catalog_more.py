@@ -13,23 +13,25 @@ from tonality.sources import tables as S
 
 # ---------------------------------------------------------------- phase 3: alignment, fusion, scoring
 
-_STICKERS_SQL = "SELECT vec_id AS s_id, CAST(embedding AS DOUBLE[])[33:48] AS s_vec FROM embeddings WHERE label = 0"
+_PAGE_VECTORS = Q.hashed_vectors("pv", "SELECT page_id, url FROM pages", "page_id", Q.page_words("url"), 16)
+_TURN_VECTORS = Q.hashed_vectors("tv", "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations", "turn_id",
+                                 Q.text_words("text"), 32)
 
 
 @query("align_positional", f"""
-WITH b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
-o AS (SELECT s_id, s_vec, row_number() OVER (ORDER BY s_id) - 1 AS pos FROM ({_STICKERS_SQL})),
-j AS (SELECT b.vec_id, b.pos, o.s_id AS other_s_id,
+WITH {_PAGE_VECTORS},
+b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
+o AS (SELECT k AS page_id, v AS s_vec, row_number() OVER (ORDER BY k) - 1 AS pos FROM pv),
+j AS (SELECT b.vec_id, b.pos, o.page_id AS other_page_id,
              coalesce(o.s_vec, list_transform(range(16), lambda i: 0.0::DOUBLE)) AS v
       FROM b LEFT JOIN o ON b.pos = o.pos)
-SELECT vec_id, pos, other_s_id, {Q.widen('v', 16)} FROM j""")
+SELECT vec_id, pos, other_page_id, {Q.widen('v', 16)} FROM j""")
 def q_align_positional(spark, sf):
-    v = S.vectors(spark, sf)
-    base = v.select("vec_id")
-    stickers = v.where(F.col("label") == 0).select(F.col("vec_id").alias("s_id"),
-                                                   F.slice(F.col("embedding").cast("array<double>"), 33, 16).alias("s_vec"))
-    j = align.align_positional(base, stickers, "vec_id", "s_id", "s_vec", 16, out="v")
-    return V.widen_vector(j, "v", 16, keep=["vec_id", "pos", "other_s_id"], digits=6)
+    """Embedding rows paired by position with page vectors (zeros when pages run out,
+    surplus pages dropped)."""
+    base = S.vectors(spark, sf).select("vec_id")
+    j = align.align_positional(base, S.page_vectors(spark, sf, 16), "vec_id", "page_id", "s_vec", 16, out="v")
+    return V.widen_vector(j, "v", 16, keep=["vec_id", "pos", "other_page_id"], digits=6)
 
 
 def _modal_sql() -> str:
@@ -139,12 +141,11 @@ def q_fuse_modalities_zeros(spark, sf):
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
 
 
-_POSITIONAL_INPUT_SQL = """b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS xt, row_number() OVER (ORDER BY vec_id) - 1 AS pos
-      FROM embeddings),
-e AS (SELECT CAST(embedding AS DOUBLE[])[1:32] AS xe, row_number() OVER (ORDER BY vec_id) - 1 AS pos
-      FROM embeddings WHERE label % 3 <> 1),
-s AS (SELECT CAST(embedding AS DOUBLE[])[33:48] AS xs, row_number() OVER (ORDER BY vec_id) - 1 AS pos
-      FROM embeddings WHERE label = 0),
+_POSITIONAL_INPUT_SQL = f"""{_PAGE_VECTORS},
+{_TURN_VECTORS},
+b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS xt, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
+e AS (SELECT v AS xe, row_number() OVER (ORDER BY k) - 1 AS pos FROM tv),
+s AS (SELECT v AS xs, row_number() OVER (ORDER BY k) - 1 AS pos FROM pv),
 x AS (SELECT b.vec_id, b.xt, coalesce(e.xe, list_transform(range(32), lambda i: 0.0::DOUBLE)) AS xe,
              coalesce(s.xs, list_transform(range(16), lambda i: 0.0::DOUBLE)) AS xs
       FROM b LEFT JOIN e ON b.pos = e.pos LEFT JOIN s ON b.pos = s.pos)"""
@@ -152,15 +153,14 @@ x AS (SELECT b.vec_id, b.xt, coalesce(e.xe, list_transform(range(32), lambda i:
 
 @query("fusion_positional", _fusion_sql("zeros", _POSITIONAL_INPUT_SQL))
 def q_fusion_positional(spark, sf):
-    """The reference's fusion script: emoji and sticker rows paired with text rows by position
-    (zero rows appended when shorter, extra rows cut), then the gated fusion with zero inputs."""
+    """The reference's fusion script: text rows (embeddings) paired by position with emoji
+    vectors (conversation turns) and sticker vectors (pages), zero rows appended when a modality
+    is shorter and surplus rows cut, then the gated fusion with zero inputs."""
     v = S.vectors(spark, sf)
-    x = F.col("embedding").cast("array<double>")
-    base = v.select("vec_id", x.alias("text_vec"))
-    emo = v.where(F.col("label") % 3 != 1).select(F.col("vec_id").alias("e_id"), F.slice(x, 1, 32).alias("emoji_vec"))
-    stk = v.where(F.col("label") == 0).select(F.col("vec_id").alias("s_id"), F.slice(x, 33, 16).alias("sticker_vec"))
-    j = align.align_positional_many(base, "vec_id", {"emoji_vec": (emo, "e_id", "emoji_vec", 32),
-                                                     "sticker_vec": (stk, "s_id", "sticker_vec", 16)})
+    base = v.select("vec_id", F.col("embedding").cast("array<double>").alias("text_vec"))
+    j = align.align_positional_many(base, "vec_id", {
+        "emoji_vec": (S.turn_vectors(spark, sf, 32), "turn_id", "e_vec", 32),
+        "sticker_vec": (S.page_vectors(spark, sf, 16), "page_id", "s_vec", 16)})
     j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
     f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)

@@ -108,3 +108,26 @@ def softmax(x: str) -> str:
 
 def argmax(x: str) -> str:
     return f"CAST(list_position({x}, list_max({x})) - 1 AS INTEGER)"
+
+
+def hashed_vectors(name: str, source: str, key: str, words_expr: str, dim: int) -> str:
+    """CTEs ending in ``name(k, v)``: signed md5 feature hashing of the words of each row of
+    ``source`` into ``dim`` slots, L2-normalised (a row without words gets zeros)."""
+    return f"""{name}_d AS (SELECT {key} AS k, {words_expr} AS l FROM ({source})),
+{name}_t AS (SELECT k, md5(unnest(l)) AS h FROM {name}_d),
+{name}_s AS (SELECT k, CAST(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS slot,
+             CASE WHEN CAST(('0x' || substr(h, 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END AS sg FROM {name}_t),
+{name}_a AS (SELECT k, slot, sum(sg) AS v FROM {name}_s GROUP BY 1, 2),
+{name}_g AS (SELECT {name}_d.k, r.slot FROM {name}_d, (SELECT unnest(range({dim})) AS slot) r),
+{name}_w AS (SELECT g.k, list(CAST(coalesce(a.v, 0) AS DOUBLE) ORDER BY g.slot) AS raw
+      FROM {name}_g g LEFT JOIN {name}_a a ON g.k = a.k AND g.slot = a.slot GROUP BY g.k),
+{name} AS (SELECT k, list_transform(raw, lambda u: u / greatest(sqrt(list_sum(list_transform(raw, lambda q: q * q))),
+           1e-12)) AS v FROM {name}_w)"""
+
+
+def page_words(url: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({url}), '[^a-z]+'), lambda w: length(w) > 0)"
+
+
+def text_words(text: str) -> str:
+    return f"list_filter(string_split({clean_ascii(text)}, ' '), lambda w: length(w) >= 1)"

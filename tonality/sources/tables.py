@@ -136,3 +136,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", spread=True).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
         F.lit(None).cast("string").alias("emoji"), F.lit(None).cast("string").alias("sticker"))
+
+
+def page_vectors(spark: SparkSession, sf_dir: str, dim: int = 16) -> DataFrame:
+    """A second modality from another table: ``page_id, s_vec`` = hashed words of the page URL
+    (split on non-letters), ``dim`` wide. Pages are fewer than embeddings at small scale factors
+    and more at larger ones, so positional alignment both pads and cuts."""
+    from tonality.operators.encode import hash_embed
+    p = table(spark, sf_dir, "pages", spread=True).select(
+        "page_id", F.filter(F.split(F.lower("url"), "[^a-z]+"), lambda w: F.length(w) > 0).alias("_w"))
+    return hash_embed(p, "_w", dim, "s_vec").select("page_id", "s_vec")
+
+
+def turn_vectors(spark: SparkSession, sf_dir: str, dim: int = 32) -> DataFrame:
+    """A third modality: ``turn_id, e_vec`` = hashed words of each conversation turn."""
+    from tonality.functions.text import clean_ascii, words
+    from tonality.operators.encode import hash_embed
+    c = table(spark, sf_dir, "conversations", spread=True).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), words(clean_ascii("text"), 1).alias("_w"))
+    return hash_embed(c, "_w", dim, "e_vec").select("turn_id", "e_vec")
