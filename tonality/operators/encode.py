@@ -14,6 +14,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tonality.session import ship_package
 from pyspark.sql import types as T
 
 from tonality.operators.fuse import arrow_vectors
@@ -51,6 +53,7 @@ def slots_to_matrix(col, dim: int, normalize: bool = True) -> np.ndarray:
 
 def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding", normalize: bool = True) -> DataFrame:
     """F4 built-in: signed hashed bag of words, L2-normalised (a row without words gets zeros)."""
+    ship_package(df.sparkSession)
     staged = df.withColumn("_slots", hash_slots(tokens, dim))
     schema = T.StructType([f for f in staged.schema.fields if f.name != "_slots"]
                           + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
@@ -74,6 +77,7 @@ def encode_batch(df: DataFrame, col: str, encoder_factory: Callable[[], Callable
 
     Batch size follows ``spark.sql.execution.arrow.maxRecordsPerBatch`` (lower it for images).
     """
+    ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != col] if keep is None else keep
     src = df.select(*keep, col)
     schema = T.StructType([f for f in src.schema.fields if f.name in keep]
@@ -98,6 +102,7 @@ def normalize_images(df: DataFrame, image_col: str = "image", size: int = 128, k
     """decoded image rows (Spark's ``image`` source: BGR(A) bytes) -> float32 ``3 x size x size``
     in [0, 1], channel first, RGB order; nearest-neighbour resize. Flattened to one array.
     """
+    ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != image_col] if keep is None else keep
     src = df.select(*keep, image_col)
     schema = T.StructType([f for f in src.schema.fields if f.name in keep]

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tonality.session import ship_package
 from pyspark.sql import types as T
 
 from tonality.functions.vectors import as_double, l2_normalize
@@ -157,6 +159,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def project_vector(df: DataFrame, col: str, layer: Linear, out: str = "projected", method: str = "arrow") -> DataFrame:
     """``W x + b`` per row. ``method="arrow"``: one matrix product per Arrow batch with ``W``
     broadcast; ``method="expr"``: higher-order array expressions (small dims only)."""
+    ship_package(df.sparkSession)
     if method == "expr":
         return df.withColumn(out, project_expr(F.col(col), layer))
     _check_size({"p": layer})
@@ -213,6 +216,7 @@ def fuse_modalities(df: DataFrame, params: FusionParams, text: str = "text_vec",
     input vector, so (as in the reference) it still adds the normalised projection bias.
     A null text vector gives a null result.
     """
+    ship_package(df.sparkSession)
     layers = params.layers()
     _check_size(layers)
     bc = df.sparkSession.sparkContext.broadcast(params)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tonality.session import ship_package
 from pyspark.sql import types as T
 
 from tonality.functions.labels import CLASS_NAMES
@@ -88,6 +90,7 @@ def score(df: DataFrame, vec_col: str, model: ReluClassifier, keep: list[str] |
     One forward pass per Arrow batch with the parameters broadcast. A null vector (nothing to
     score) gives ``neutral`` with a null confidence.
     """
+    ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != vec_col] if keep is None else keep
     src = df.select(*keep, vec_col)
     d_in = model.fc1.d_in
@@ -131,6 +134,7 @@ def _partial_gradients(feats: DataFrame, model: ReluClassifier, d_in: int, featu
                        weight: str, split_col: str) -> np.ndarray:
     """One job: per partition ``[grad..., sum w*nll (train), sum w (train), sum w*nll (val), sum w (val)]``,
     summed over partitions chunk by chunk with a mergeable vector-sum aggregate."""
+    ship_package(feats.sparkSession)
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 

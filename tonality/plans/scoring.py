@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonality.session import ship_package
+
 from tonality.functions.text import normalize_text, words
 from tonality.operators.encode import hash_embed
 from tonality.operators.fuse import FusionParams, fuse_modalities
@@ -62,6 +64,7 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
     zero text vector; a message with all three inputs missing is ``neutral`` with a null
     confidence.
     """
+    ship_package(df.sparkSession)
     import numpy as np
     from pyspark.sql import types as T
 

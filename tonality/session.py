@@ -35,9 +35,37 @@ def get_spark(master: str | None = None, app: str = "tonality", shuffle_partitio
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tonality`` importable by the Python workers that run Arrow-batch operators.
+
+    A local session gets the package's parent folder on the workers' ``PYTHONPATH``; any other
+    master receives the package as a zip through ``addPyFile`` (what ``--py-files`` does).
+    Idempotent per Spark context.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.master.startswith("local"):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join(paths + [root])
+    else:
+        import shutil
+        base = os.path.join(tempfile.mkdtemp(prefix="tonality-pkg-"), "tonality")
+        archive = shutil.make_archive(base, "zip", root_dir=root, base_dir="tonality")
+        sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints and intermediate tables.
 
