@@ -29,8 +29,12 @@ SELECT vec_id, pos, other_page_id, {Q.widen('v', 16)} FROM j""")
 def q_align_positional(spark, sf):
     """Embedding rows paired by position with page vectors (zeros when pages run out,
     surplus pages dropped)."""
+    from tonality.session import materialize
     base = S.vectors(spark, sf).select("vec_id")
-    j = align.align_positional(base, S.page_vectors(spark, sf, 16), "vec_id", "page_id", "s_vec", 16, out="v")
+    # the page vectors come from a Python (Arrow) pass, which column pruning cannot skip; the
+    # quantile sketch and both index branches read them, so they are written once
+    pages = materialize(S.page_vectors(spark, sf, 16), "page-vectors")
+    j = align.align_positional(base, pages, "vec_id", "page_id", "s_vec", 16, out="v")
     return V.widen_vector(j, "v", 16, keep=["vec_id", "pos", "other_page_id"], digits=6)
 
 
@@ -156,11 +160,13 @@ def q_fusion_positional(spark, sf):
     """The reference's fusion script: text rows (embeddings) paired by position with emoji
     vectors (conversation turns) and sticker vectors (pages), zero rows appended when a modality
     is shorter and surplus rows cut, then the gated fusion with zero inputs."""
+    from tonality.session import materialize
     v = S.vectors(spark, sf)
     base = v.select("vec_id", F.col("embedding").cast("array<double>").alias("text_vec"))
-    j = align.align_positional_many(base, "vec_id", {
-        "emoji_vec": (S.turn_vectors(spark, sf, 32), "turn_id", "e_vec", 32),
-        "sticker_vec": (S.page_vectors(spark, sf, 16), "page_id", "s_vec", 16)})
+    turns = materialize(S.turn_vectors(spark, sf, 32), "turn-vectors")
+    pages = materialize(S.page_vectors(spark, sf, 16), "page-vectors")
+    j = align.align_positional_many(base, "vec_id", {"emoji_vec": (turns, "turn_id", "e_vec", 32),
+                                                     "sticker_vec": (pages, "page_id", "s_vec", 16)})
     j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
     f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
