@@ -60,3 +60,11 @@ def test_bounded_broadcast_checks_size(spark):
     j_big = probe.join(bounded_broadcast(big.withColumnRenamed("id", "k"), 100), "k")
     assert "BroadcastHashJoin" in _plan(j_small)
     assert "ResolvedHint" not in j_big._jdf.queryExecution().analyzed().toString()
+
+
+def test_cluster_conf_sizes_partitions():
+    from tonality.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), 8000)          # 100 TB on 8000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert cluster_conf(1 << 30, 8, image_rows=True)["spark.sql.execution.arrow.maxRecordsPerBatch"] == "64"

@@ -39,6 +39,28 @@ def get_spark(master: str | None = None, app: str = "tonality", shuffle_partitio
     return spark
 
 
+def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20,
+                 image_rows: bool = False) -> dict[str, str]:
+    """Settings sized from the input volume, for ``get_spark(extra=...)`` or ``spark-submit --conf``.
+
+    Shuffle partitions ~ input / 256 MB (at least 2 x cores), so each reducer's share fits in
+    executor memory and spills little; AQE coalesces small ones and splits skewed ones at run
+    time. Scan splits of 256 MB. Arrow batches of 10k rows, 64 for image rows (3 x 128 x 128
+    float32 = 196 KB each).
+    """
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "64" if image_rows else "10000",
+    }
+
+
 _SHIPPED: set = set()
 
 
