@@ -142,3 +142,20 @@ def test_emoji_info_names_and_majority(spark):
     assert got["❤"].emoji_clean == ":red_heart:" and got["❤"].sentiment_label == "positive"
     assert got["♡"].emoji_clean == "♡" and got["♡"].label_numeric == 0        # unknown kept; tie -> negative
     assert got["😢"].sentiment_label == "negative"
+
+
+def test_stream_restart_scores_each_file_once(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, p) for p in ("in", "out", "ck"))
+    model = ScoringModel.closed_form()
+    first = spark.createDataFrame([(i, f"text {i}", None, None) for i in range(5)], REQUEST_SCHEMA)
+    first.coalesce(1).write.json(os.path.join(src, "batch1"))
+    q = start_scoring(spark, os.path.join(src, "*"), out, ck, model, available_now=True)
+    q.awaitTermination()
+    assert spark.read.parquet(out).count() == 5
+    second = spark.createDataFrame([(i, f"more {i}", "😀", None) for i in range(5, 9)], REQUEST_SCHEMA)
+    second.coalesce(1).write.json(os.path.join(src, "batch2"))
+    # a restarted query with the same checkpoint picks up only the new file
+    q = start_scoring(spark, os.path.join(src, "*"), out, ck, model, available_now=True)
+    q.awaitTermination()
+    ids = sorted(r.request_id for r in spark.read.parquet(out).collect())
+    assert ids == list(range(9))
