@@ -93,3 +93,13 @@ def test_split_keeps_null_labels_and_spreads_hot_class(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     # the numbering window is partitioned by (class, hash bucket), not by class alone
     assert "Window [row_number()" in plan and "_b" in plan.split("Window [row_number()")[1].split("]")[1]
+
+
+def test_positional_index_splits_a_hot_order_value(spark):
+    # a third of the rows share one order value; the tie-break orders them
+    rows = [(5 if i % 3 == 0 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "o long, t long")
+    got = split.positional_index(df, "o", ["t"], n_buckets=64, n_sub=16)
+    plain = df.withColumn("pos", (F.row_number().over(Window.orderBy("o", "t")) - 1).cast("long"))
+    assert got.select("o", "t", "pos").exceptAll(plain.select("o", "t", "pos")).count() == 0
+    assert got.where("o = 5").count() == 1001      # i % 3 == 0, plus i = 5 itself

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tonality.operators.common import broadcast_when
 
@@ -136,13 +137,18 @@ def split_hash(df: DataFrame, key: str, fractions=(0.2, 0.8), names=("test", "tr
 
 
 def positional_index(df: DataFrame, order_col: str, tie_break: list[str] | tuple = (), name: str = "pos",
-                     n_buckets: int | None = None) -> DataFrame:
+                     n_buckets: int | None = None, n_sub: int = 64) -> DataFrame:
     """T0 for a value order: 0-based position of each row in ``order_col`` (then ``tie_break``) order.
 
     Buckets are ranges of ``order_col`` cut at approximate quantiles (one mergeable sketch pass;
     the cut list, at most ``n_buckets`` numbers, is the only thing brought to the driver), so a
-    bucket holds about ``rows / n_buckets`` rows whatever the key distribution.
+    bucket holds about ``rows / n_buckets`` rows whatever the key distribution. A hot value (one
+    that spans several quantile steps, i.e. holds more than ``1 / n_buckets`` of the rows) is cut
+    again by quantiles of the first (numeric) tie-break column, computed for the hot values only
+    in one aggregate, so even a value shared by a third of the rows is numbered in many tasks.
     """
+    from collections import Counter
+
     from pyspark.ml.feature import Bucketizer
 
     spark = df.sparkSession
@@ -151,13 +157,31 @@ def positional_index(df: DataFrame, order_col: str, tie_break: list[str] | tuple
     keyed = df.withColumn("_ok", F.coalesce(F.col(order_col).cast("double"), F.lit(float("inf"))))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = keyed.approxQuantile("_ok", probs, 1.0 / (10 * n_buckets)) if probs else []
-    splits = [float("-inf")] + sorted({c for c in cuts if c not in (float("inf"), float("-inf"))}) + [float("inf")]
+    finite = [c for c in cuts if c not in (float("inf"), float("-inf"))]
+    splits = [float("-inf")] + sorted(set(finite)) + [float("inf")]
     if len(splits) < 3:
         bucketed = keyed.withColumn("_bk", F.lit(0.0))
     else:
         bucketed = Bucketizer(splits=splits, inputCol="_ok", outputCol="_bk", handleInvalid="keep").transform(keyed)
+    hot = [v for v, k in Counter(finite).items() if k >= 2]
+    sub = F.lit(0)
+    if hot and tie_break and isinstance(df.schema[tie_break[0]].dataType, NumericType):
+        t = F.col(tie_break[0]).cast("double")
+        sub_probs = [i / n_sub for i in range(1, n_sub)]
+        rows = (keyed.where(F.col("_ok").isin(hot)).groupBy("_ok")
+                .agg(F.percentile_approx(t, sub_probs, 10 * n_sub).alias("_q")).collect())
+        expr = None
+        for r in rows:
+            qs = sorted(set(r["_q"]))
+            steps = sum((F.when(t >= F.lit(q), 1).otherwise(0) for q in qs), F.lit(0))
+            cond = F.col("_ok") == F.lit(r["_ok"])
+            expr = F.when(cond, steps) if expr is None else expr.when(cond, steps)
+        # a hot value is the lower edge of its range bucket; the bucket's other (larger) values
+        # come after all slices of the hot value
+        sub = expr.otherwise(n_sub) if expr is not None else sub
+    bucket = F.col("_bk") * F.lit(float(n_sub + 1)) + sub.cast("double")
     order = [F.col(order_col).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie_break]]
-    idx = dense_index(bucketed, order, [], F.col("_bk"), bucket_bound=len(splits) + 1, name="_pos1")
+    idx = dense_index(bucketed, order, [], bucket, bucket_bound=(len(splits) + 1) * (n_sub + 1), name="_pos1")
     return idx.withColumn(name, (F.col("_pos1") - 1).cast("long")).drop("_pos1", "_ok", "_bk")
 
 
