@@ -41,7 +41,7 @@ def terms(df: DataFrame, tokens: str, key: str | None = None, min_len: int = 1)
             .where(F.col("term").isNotNull() & (F.length("term") >= min_len)))
 
 
-def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2, prefix_len: int = 2) -> DataFrame:
+def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2, prefix_len: int = 3) -> DataFrame:
     """``term, term_id`` with ids 0.. in term order (code-point order), from the distinct terms.
 
     The distinct step is a map-side-deduplicated aggregate; the ids come from ``dense_index``
@@ -67,7 +67,7 @@ def extend_vocabulary(vocab: DataFrame, df: DataFrame, tokens: str, min_len: int
     """append unseen tokens to a vocabulary; new ids follow the largest id, in term order."""
     new = terms(df, tokens, min_len=min_len).distinct().join(vocab.select("term"), "term", "left_anti")
     top = vocab.agg(F.coalesce(F.max("term_id"), F.lit(-1)).cast("long").alias("_top"))
-    idx = dense_index(new, ["term"], [], F.substring("term", 1, 2), bucket_bound=None, name="_i")
+    idx = dense_index(new, ["term"], [], F.substring("term", 1, 3), bucket_bound=None, name="_i")
     added = _one_row_join(idx, top).select("term", (F.col("_i") + F.col("_top")).cast("long").alias("term_id"))
     return vocab.select("term", "term_id").unionByName(added)
 
