@@ -12,12 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.session import ship_package
-
 from tonality.functions.text import normalize_text, words
 from tonality.operators.encode import hash_embed
-from tonality.operators.fuse import FusionParams, fuse_modalities
-from tonality.operators.model import ReluClassifier, score
+from tonality.operators.fuse import FusionParams
+from tonality.operators.model import ReluClassifier
+from tonality.session import ship_package
 
 
 @dataclass
