@@ -176,6 +176,7 @@ def _partial_gradients(feats: DataFrame, model: ReluClassifier, d_in: int, featu
     summed = (parts.groupBy("chunk")
               .agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
               .collect())
+    bc.destroy()   # the step's job is done; do not keep one parameter copy per step on the executors
     out = np.zeros(total)
     for r in summed:
         v = np.asarray(r["g"], dtype=np.float64)
