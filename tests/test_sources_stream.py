@@ -159,3 +159,13 @@ def test_stream_restart_scores_each_file_once(spark, tmp_dir):
     q.awaitTermination()
     ids = sorted(r.request_id for r in spark.read.parquet(out).collect())
     assert ids == list(range(9))
+
+
+def test_parse_json_requests(spark):
+    from tonality.streaming.score_stream import parse_requests
+    raw = spark.createDataFrame([('{"request_id": 1, "text": "nice", "emoji": "😀"}',), ('{"request_id": 2}',)], "value string")
+    reqs = parse_requests(raw)
+    assert reqs.columns == ["request_id", "text", "emoji", "sticker"]
+    got = {r.request_id: r for r in score_stream(reqs, ScoringModel.closed_form()).collect()}
+    assert got[2].sentiment == "neutral" and got[2].confidence is None
+    assert got[1].confidence is not None

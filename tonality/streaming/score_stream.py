@@ -28,8 +28,16 @@ def request_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
     return r.json(source_dir)
 
 
+def parse_requests(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """JSON request text (e.g. a Kafka ``value``) -> ``request_id, text, emoji, sticker`` with the
+    declared schema (``from_json``; a missing field reads as null, so each input is optional)."""
+    from pyspark.sql import functions as F
+    return df.select(F.from_json(F.col(value_col).cast("string"), REQUEST_SCHEMA).alias("r")).select("r.*")
+
+
 def score_stream(requests: DataFrame, model: ScoringModel) -> DataFrame:
-    """The scoring transformation (works on a batch frame as well as on a stream)."""
+    """The scoring transformation for any frame with ``REQUEST_SCHEMA``: a file stream
+    (``request_stream``), a Kafka stream through ``parse_requests``, or a batch frame."""
     return score_messages(requests, model, "request_id")
 
 
