@@ -103,3 +103,13 @@ def test_positional_index_splits_a_hot_order_value(spark):
     plain = df.withColumn("pos", (F.row_number().over(Window.orderBy("o", "t")) - 1).cast("long"))
     assert got.select("o", "t", "pos").exceptAll(plain.select("o", "t", "pos")).count() == 0
     assert got.where("o = 5").count() == 1001      # i % 3 == 0, plus i = 5 itself
+
+
+def test_bucket_digits_scale_with_rows(spark):
+    assert split.bucket_digits(None, 4) == 4
+    assert split.bucket_digits(10_000, 4) == 1
+    assert split.bucket_digits(10 ** 12, 4) == 6
+    df = spark.range(300).withColumnRenamed("id", "k")
+    a = split.split_exact(df, "k", seed=5)
+    b = split.split_exact(df, "k", seed=5, expected_rows=10 ** 9)
+    assert a.exceptAll(b).count() == 0          # the bucket width never changes the result

@@ -67,6 +67,17 @@ def dense_index(df: DataFrame, order_cols: list, partition_by: list[str] | tuple
     return out.drop("_b", "_off", "_tot", "_local")
 
 
+def bucket_digits(expected_rows: int | None, default: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Hex digits of the hash prefix so that a bucket holds about ``rows_per_bucket`` rows of the
+    largest group (between 1 and 6 digits, i.e. 16 to 16.8 M buckets)."""
+    if not expected_rows:
+        return default
+    d = 1
+    while d < 6 and expected_rows / 16 ** d > rows_per_bucket:
+        d += 1
+    return d
+
+
 def _cut_points(rounding: str, fractions, total: Column) -> list[Column]:
     fn = F.ceil if rounding == "ceil" else F.floor
     cuts, acc = [], F.lit(0).cast("long")
@@ -85,7 +96,7 @@ def _assign(idx: Column, cuts: list[Column], names) -> Column:
 
 def split_stratified(df: DataFrame, key: str, label: str, fractions=(0.2, 0.8), names=("test", "train"),
                      seed: int = 42, rounding: str = "ceil", digits: int = 4, max_classes: int = 3,
-                     split_col: str = "split") -> DataFrame:
+                     split_col: str = "split", expected_rows: int | None = None) -> DataFrame:
     """Exact per-class split in a seeded hash order.
 
     Inside each class, rows sorted by ``md5(key:seed)``; the first ``ceil(f0 * n_class)`` rows
@@ -93,8 +104,10 @@ def split_stratified(df: DataFrame, key: str, label: str, fractions=(0.2, 0.8),
     any partitioning of the input. ``digits`` hex digits of the hash form the buckets (16**4 =
     65,536 per class by default, so a class of 3e10 rows is numbered in tasks of ~500k rows).
     ``max_classes`` bounds the label count; within ``max_classes * 16**digits`` offset rows the
-    offset table is broadcast, beyond it AQE decides from its real size.
+    offset table is broadcast, beyond it AQE decides from its real size. ``expected_rows`` (rows
+    of the largest class, if known) picks ``digits`` for about a million rows per bucket.
     """
+    digits = bucket_digits(expected_rows, digits)
     h = hash_order(key, seed)
     staged = df.withColumn("_h", h)
     idx = dense_index(staged, ["_h", key], [label], F.substring("_h", 1, digits),
@@ -104,13 +117,16 @@ def split_stratified(df: DataFrame, key: str, label: str, fractions=(0.2, 0.8),
 
 
 def split_exact(df: DataFrame, key: str, fractions=(0.2, 0.8), names=("test", "train"), seed: int = 42,
-                rounding: str = "ceil", digits: int = 4, split_col: str = "split") -> DataFrame:
+                rounding: str = "ceil", digits: int = 4, split_col: str = "split",
+                expected_rows: int | None = None) -> DataFrame:
     """Exact global split in a seeded hash order.
 
     ``fractions=(0.2, 0.8), rounding="ceil"`` is the 80/20 rule (test = ceil(0.2 n));
     ``fractions=(0.7, 0.15, 0.15), names=("train","val","test"), rounding="floor"`` is the
-    70/15/15 rule (floor, floor, rest).
+    70/15/15 rule (floor, floor, rest). ``expected_rows`` picks the bucket width as in
+    ``split_stratified``.
     """
+    digits = bucket_digits(expected_rows, digits)
     h = hash_order(key, seed)
     staged = df.withColumn("_h", h)
     idx = dense_index(staged, ["_h", key], [], F.substring("_h", 1, digits),
