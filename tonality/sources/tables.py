@@ -132,7 +132,7 @@ def modality_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request rows (``text, emoji, sticker``) from ``conversations`` user turns."""
+    """Request rows (``text, emoji, sticker``): one per conversation turn (every role), text only."""
     return table(spark, sf_dir, "conversations", spread=True).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
         F.lit(None).cast("string").alias("emoji"), F.lit(None).cast("string").alias("sticker"))
