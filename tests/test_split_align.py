@@ -113,3 +113,18 @@ def test_bucket_digits_scale_with_rows(spark):
     a = split.split_exact(df, "k", seed=5)
     b = split.split_exact(df, "k", seed=5, expected_rows=10 ** 9)
     assert a.exceptAll(b).count() == 0          # the bucket width never changes the result
+
+
+def test_align_many_equals_single_and_positional_zip(spark):
+    base = spark.createDataFrame([(i,) for i in range(6)], "b long")
+    e = spark.createDataFrame([(10 + i, [float(i)]) for i in range(4)], "o long, v array<double>")
+    s = spark.createDataFrame([(20 + i, [float(-i), 1.0]) for i in range(9)], "o long, v array<double>")
+    many = {r.b: (r.ev, r.sv) for r in align.align_positional_many(base, "b", {"ev": (e, "o", "v", 1),
+                                                                              "sv": (s, "o", "v", 2)}).collect()}
+    one_e = {r.b: r.ev for r in align.align_positional(base, e, "b", "o", "v", 1, out="ev").collect()}
+    one_s = {r.b: r.sv for r in align.align_positional(base, s, "b", "o", "v", 2, out="sv").collect()}
+    assert many == {b: (one_e[b], one_s[b]) for b in range(6)}
+    left = spark.createDataFrame([(5 - i, f"x{i}") for i in range(5)], "lk long, a string")
+    right = spark.createDataFrame([(100 + i, i * 2) for i in range(5)], "rk long, c long")
+    z = {r.lk: r.c for r in align.zip_columns(left, right, left_order="lk", right_order="rk").collect()}
+    assert z == {lk: 2 * (lk - 1) for lk in range(1, 6)}
