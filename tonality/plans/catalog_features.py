@@ -131,6 +131,21 @@ def q_text_preprocess(spark, sf):
                                                   "label_numeric", "split")
 
 
+@query("flagship_summary", f"""
+WITH l AS (SELECT review_id, {Q.normalize_text('verified_reviews')} AS comment_clean,
+                  {Q.label_le2('rating')} AS label_numeric FROM ({Q.reviews()})),
+o AS (SELECT *, row_number() OVER (PARTITION BY label_numeric ORDER BY {Q.hash_order('review_id', 42)}, review_id) AS rn,
+             count(*) OVER (PARTITION BY label_numeric) AS cnt FROM l),
+s AS (SELECT *, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM o)
+SELECT split, label_numeric, {Q.label_name('label_numeric')} AS sentiment_label, count(*) AS rows,
+       CAST(sum(length(comment_clean)) AS BIGINT) AS clean_chars
+FROM s GROUP BY split, label_numeric""")
+def q_flagship_summary(spark, sf):
+    """``entry()``'s chain on any scale factor: clean -> label -> stratified split -> rows per (split, class)."""
+    from tonality.plans.pipelines import text_preprocess_summary
+    return text_preprocess_summary(spark, sf)
+
+
 @query("emoji_preprocess", f"""
 WITH lex AS ({Q.emoji_lexicon()}),
 n AS (SELECT CAST(r_regionkey AS VARCHAR) AS symbol, min(':' || replace(lower(r_name), ' ', '_') || ':') AS name
