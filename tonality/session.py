@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -61,7 +62,6 @@ def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256
     }
 
 
-_SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,8 +72,7 @@ def ship_package(spark: SparkSession) -> None:
     Idempotent per Spark context.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED:
+    if getattr(sc, "_tonality_shipped", False):  # a mark on the context itself: a new context starts without it
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if sc.master.startswith("local"):
@@ -85,7 +84,7 @@ def ship_package(spark: SparkSession) -> None:
         base = os.path.join(tempfile.mkdtemp(prefix="tonality-pkg-"), "tonality")
         archive = shutil.make_archive(base, "zip", root_dir=root, base_dir="tonality")
         sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    sc._tonality_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -111,16 +110,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+_WRITTEN: list[tuple] = []
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, but computes the frame only once (an eager
     ``checkpoint()`` of an unpersisted frame computes it a second time to write it). Survives
-    executor loss: the copy lives in the shared folder, not on executors.
+    executor loss: the copy lives in the shared folder, not on executors. The copies belong to
+    the driver process: ``drop_scratch`` deletes one or all of them, and leaving Python does too.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _WRITTEN:
+        atexit.register(drop_scratch)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_scratch(df=None) -> None:
+    """Delete the written copy behind ``df`` (as ``materialize`` returned it), or all of this process."""
+    wanted = None if df is None else df._scratch_path
+    for spark, path in [w for w in _WRITTEN if wanted in (None, w[1])]:
+        _WRITTEN.remove((spark, path))
+        try:
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: nothing can be deleted through it
+            if df is not None:
+                raise
