@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import line_dedup, simhash
+from tonality.llm import decontaminate, language_id, line_dedup, simhash
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,15 @@ def q_line_dedup(spark, sf):
     """Keys of 1 code point or more in 10 documents or more lose all their lines."""
     done = line_dedup.dedup_lines(table(spark, sf, "documents"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_decontamination")
+def q_decontamination(spark, sf):
+    """Windows of 8 template tokens, 13 tokens in step."""
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=8, min_tokens=13)
+
+
+@query("op9_language_id")
+def q_language_id(spark, sf):
+    """Trigrams in 1,024 dimensions."""
+    return language_id.identify(table(spark, sf, "documents"), n=3, dims=1024)
