@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import decontaminate, language_id, line_dedup, simhash
+from tonality.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,13 @@ def q_decontamination(spark, sf):
 def q_language_id(spark, sf):
     """Trigrams in 1,024 dimensions."""
     return language_id.identify(table(spark, sf, "documents"), n=3, dims=1024)
+
+
+@query("op4_bpe")
+def q_bpe(spark, sf):
+    """The public 49k word-level file; ids and decoded texts leave the tasks as digests."""
+    import public_tokenizers
+
+    done = bpe.encode_texts(table(spark, sf, "documents").select("doc_id", "text"),
+                            public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
