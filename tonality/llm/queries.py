@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from tonality.llm import bpe, decontaminate, language_id, line_dedup, quality, secret_scan, simhash
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,25 @@ def q_bpe(spark, sf):
     done = bpe.encode_texts(table(spark, sf, "documents").select("doc_id", "text"),
                             public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
     return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+TOKENS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op10_quality_rules")
+def q_quality(spark, sf):
+    """The base rule of the contract, then the cascade of default rules."""
+    return quality.cascade(table(spark, sf, "documents"))
+
+
+@query("op5_secret_scan")
+def q_secrets(spark, sf):
+    """A first scan: the ledger is empty, every blob is scanned once with every rule."""
+    base = [r.kind for r in secret_scan.BASE]
+    found = secret_scan.findings(table(spark, sf, "documents"))
+    kinds = F.col("spans.kind")
+    count = {k: F.size(F.array_remove(kinds, k)) for k in base}
+    count = {k: (F.size(kinds) - rest).cast("long").alias(f"n_{k}") for k, rest in count.items()}
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *count.values(), F.sha2(secret_scan.listed(of_base), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
