@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import bpe, decontaminate, language_id, line_dedup, quality, secret_scan, simhash
+from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, quality, secret_scan, simhash
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,9 @@ def q_secrets(spark, sf):
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select("doc_id", *count.values(), F.sha2(secret_scan.listed(of_base), 256).alias("base_sha256"),
                         secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+@query("op3_html_extraction")
+def q_html(spark, sf):
+    """The tree of the default labelled table."""
+    return html_text.extract(table(spark, sf, "pages"))
