@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, quality, secret_scan, simhash
+from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, quality, secret_scan, simhash, substring_dedup
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,10 @@ def q_secrets(spark, sf):
 def q_html(spark, sf):
     """The tree of the default labelled table."""
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query("op7_substring_dedup")
+def q_substring(spark, sf):
+    """Windows of 35 words; anchors of 15 words at 5 of 21 positions."""
+    done = substring_dedup.remove_repeated(table(spark, sf, "documents"), length=35, period=21)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
