@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, quality, secret_scan, simhash, substring_dedup
+from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, ppm, quality, secret_scan, simhash, substring_dedup
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -104,3 +104,9 @@ def q_substring(spark, sf):
     """Windows of 35 words; anchors of 15 words at 5 of 21 positions."""
     done = substring_dedup.remove_repeated(table(spark, sf, "documents"), length=35, period=21)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_lm_scoring")
+def q_ppm(spark, sf):
+    """Contexts of up to 5 bytes."""
+    return ppm.score(table(spark, sf, "documents"), order=5)
