@@ -7,7 +7,7 @@ link density of its two neighbours. A decision tree, trained on a small labelled
 which blocks belong to the article.
 
 The labelled table is :func:`labelled_blocks`: ``pages`` small page plans of different layouts, made by
-a rule from a seed (``pages`` bounds it). In half of them the hints are hidden, so the tree also
+a rule from a seed (``pages`` bounds it). In a third of them the hints are hidden, so the tree also
 learns to tell blocks by their words, links and neighbours alone. Any other labelled rows of
 the same form may be passed instead.
 
@@ -150,15 +150,14 @@ def features(words: np.ndarray, linked: np.ndarray, hint: np.ndarray, page: np.n
     return out
 
 
-def labelled_blocks(pages: int = 400, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: feature rows and whether each is content, from ``pages`` page plans."""
     rng = np.random.default_rng(seed)
     some = lambda a, b: int(rng.integers(a, b))
     x, y = [], []
     for page in range(pages):
         rows = []  # words, linked words, hint, content
-        for _ in range(some(3, 10)):  # menu
-            w = some(1, 4)
+        for w in [some(2, 15)] if rng.random() < .4 else rng.integers(1, 4, some(3, 10)).tolist():  # menu: one line or a list
             rows.append((w, w, -1, 0))
         for _ in range(some(0, 3)):  # notice, advert
             rows.append((some(3, 15), some(0, 3) if rng.random() < .5 else 0, -1, 0))
@@ -183,7 +182,7 @@ def labelled_blocks(pages: int = 400, seed: int = 5) -> tuple[np.ndarray, np.nda
                 w = some(2, 14)
                 rows.append((w, w if rng.random() < .4 else 0, -1, 0))
         words, linked, hint, label = (np.array(c, float) for c in zip(*rows))
-        if page % 2:
+        if page % 3 == 0:
             hint = hint * 0
                 # without hints, readers' comments and short notices look like paragraphs: they teach nothing
             sure = (label == 1) | (words < 4) | (linked > words / 2)
@@ -194,7 +193,7 @@ def labelled_blocks(pages: int = 400, seed: int = 5) -> tuple[np.ndarray, np.nda
     return np.concatenate(x), np.concatenate(y)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, leaf: int = 4):
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 12, leaf: int = 2):
     """A decision tree by Gini impurity: ``(feature, limit, low, high)`` or a bool."""
     majority = bool(y.mean() >= 0.5) if len(y) else False
     if depth == 0 or len(y) < 2 * leaf or y.all() or not y.any():

@@ -4,8 +4,9 @@ The model is a byte-context trie: how often each symbol followed each context of
 symbols in the training texts (symbols: the 256 byte values and one end of text, which also
 stands before a text's start). A symbol unseen in a context escapes to the next shorter one
 (escape estimation of method D: of the weight ``2 T`` of a context seen ``T`` times with ``d``
-different symbols, ``d`` goes to the escape and ``2 c - 1`` to a symbol seen ``c`` times); symbols that the longer
-context has ruled out are excluded there, so no probability is spent on them. Below order 0
+different symbols, ``d`` goes to the escape and ``2 c - 1`` to a symbol seen ``c`` times; a context that leaves
+no symbol to escape to has no escape); symbols that the longer context has ruled out are excluded
+there, so no probability is spent on them. Below order 0
 the unseen symbols share evenly. The score is the log10 probability of all bytes and the end.
 
 How it runs: documents are dealt into blocks of about ``block_bytes``. A block lists its distinct
@@ -115,12 +116,14 @@ def price(wanted: np.ndarray, trie: list[Level]) -> np.ndarray:
         symbols = look_up(level.contexts, level.symbols, context) - gone
         count = level.count(wanted & mask(j + 1))
         hit, miss = open_ & (count > 0), open_ & (count == 0) & (symbols > 0)
-        out[hit] += np.log10((2 * count[hit] - 1) / (2 * total[hit]))
-        out[miss] += np.log10(symbols[miss] / (2 * total[miss]))
+        weight = 2 * total - symbols * (symbols + gone == SYMBOLS)  # nothing is left to escape to
+        out[hit] += np.log10((2 * count[hit] - 1) / weight[hit])
+        out[miss] += np.log10(symbols[miss] / weight[miss])
         open_ &= count == 0
         without = look_up(level.contexts, level.below, context)
         gone = look_up(level.contexts, level.symbols, context)
-    out[open_] -= np.log10(SYMBOLS - len(trie[0].keys))
+    if open_.any():
+        out[open_] -= np.log10(SYMBOLS - len(trie[0].keys))
     return out
 
 
@@ -137,11 +140,12 @@ def adaptive_cost(data: bytes, order: int) -> float:
         for j in range(order, -1, -1):
             seen = counts.get(tuple(symbols[i - j:i]), {})
             left = {x: c for x, c in seen.items() if x not in gone}
+            weight = 2 * sum(left.values()) - len(left) * (len(left) + len(gone) == SYMBOLS)
             if s in left:
-                out += np.log10((2 * left[s] - 1) / (2 * sum(left.values())))
+                out += np.log10((2 * left[s] - 1) / weight)
                 break
             if left:
-                out += np.log10(len(left) / (2 * sum(left.values())))
+                out += np.log10(len(left) / weight)
             gone |= seen.keys()
         else:
             out -= np.log10(SYMBOLS - len(gone))
