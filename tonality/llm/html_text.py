@@ -150,7 +150,7 @@ def features(words: np.ndarray, linked: np.ndarray, hint: np.ndarray, page: np.n
     return out
 
 
-def labelled_blocks(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages: int = 2000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: feature rows and whether each is content, from ``pages`` page plans."""
     rng = np.random.default_rng(seed)
     some = lambda a, b: int(rng.integers(a, b))
@@ -159,10 +159,10 @@ def labelled_blocks(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.nda
         rows = []  # words, linked words, hint, content
         for w in [some(2, 15)] if rng.random() < .4 else rng.integers(1, 4, some(3, 10)).tolist():  # menu: one line or a list
             rows.append((w, w, -1, 0))
-        for _ in range(some(0, 3)):  # notice, advert
+        for _ in range(some(0, 3) if rng.random() < .5 else 0):  # notice, advert
             rows.append((some(3, 15), some(0, 3) if rng.random() < .5 else 0, -1, 0))
         brief = rng.random() < .25  # an article of a few short lines
-        if not brief:
+        if not brief and rng.random() < .7:
             rows.append((some(2, 14), 0, 1, 1))  # title
         for k in range(some(1, 4) if brief else some(1, 14)):
             kind = rng.random()
@@ -184,8 +184,8 @@ def labelled_blocks(pages: int = 900, seed: int = 5) -> tuple[np.ndarray, np.nda
         words, linked, hint, label = (np.array(c, float) for c in zip(*rows))
         if page % 3 == 0:
             hint = hint * 0
-                # without hints, readers' comments and short notices look like paragraphs: they teach nothing
-            sure = (label == 1) | (words < 4) | (linked > words / 2)
+                # without hints, comments and notices look like short paragraphs: only links and a page's last line teach
+            sure = (label == 1) | (linked > words / 2) | (np.arange(len(words)) == len(words) - 1)
         else:
             sure = np.ones(len(words), bool)
         x.append(features(words, np.minimum(linked, words), hint, np.zeros(len(words)))[sure])
