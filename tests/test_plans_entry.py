@@ -51,15 +51,19 @@ def test_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)]" in _plan(df)
 
 
-def test_bounded_broadcast_checks_size(spark):
-    from tonality.operators.common import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(1000)
-    probe = spark.range(5000).withColumnRenamed("id", "k")
-    j_small = probe.join(bounded_broadcast(small.withColumnRenamed("id", "k"), 100), "k")
-    j_big = probe.join(bounded_broadcast(big.withColumnRenamed("id", "k"), 100), "k")
-    assert "BroadcastHashJoin" in _plan(j_small)
-    assert "ResolvedHint" not in j_big._jdf.queryExecution().analyzed().toString()
+def test_splits_read_documents_once_and_move_no_text(spark):
+    from tonality.plans.pipelines import text_info
+
+    info = text_info(S.reviews(spark, SF001))
+    plan = _plan(info)
+    assert plan.count("documents.parquet") == 1
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_no_size_switch_in_the_sources():
+    import tonality.sources.tables as tables
+
+    assert "getsize" not in open(tables.__file__).read()
 
 
 def test_cluster_conf_sizes_partitions():

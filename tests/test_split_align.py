@@ -13,8 +13,7 @@ def test_dense_index_equals_row_number(spark):
     o = S.table(spark, SF01, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("g"))
     h = split.hash_order("o_orderkey", 9)
     staged = o.withColumn("_h", h)
-    ours = split.dense_index(staged, ["_h", "o_orderkey"], ["g"], F.substring("_h", 1, 2), bucket_bound=3 * 256,
-                             name="rn")
+    ours = split.dense_index(staged, ["_h", "o_orderkey"], F.substring("_h", 1, 2), ["g"], name="rn")
     plain = staged.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("_h", "o_orderkey")))
     a = ours.select("o_orderkey", "g", "rn")
     b = plain.select("o_orderkey", "g", "rn")
@@ -90,29 +89,50 @@ def test_split_keeps_null_labels_and_spreads_hot_class(spark):
     assert s.count() == 5000
     nulls = s.where("y IS NULL")
     assert nulls.count() == 100 and nulls.where("split = 'test'").count() == 20
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    # the numbering window is partitioned by (class, hash bucket), not by class alone
-    assert "Window [row_number()" in plan and "_b" in plan.split("Window [row_number()")[1].split("]")[1]
+    plain = df.withColumn("h", split.hash_order("k", 1)).withColumn("rn", F.row_number().over(Window.partitionBy("y").orderBy("h")))
+    n = F.count(F.lit(1)).over(Window.partitionBy("y"))
+    want = plain.withColumn("split", F.when(F.col("rn") <= F.ceil(0.2 * n), "test").otherwise("train")).select("k", "y", "split")
+    assert s.exceptAll(want).count() == 0
+
+
+def test_splits_of_small_and_empty_groups(spark):
+    df = spark.createDataFrame([(i, i % 7, f"pad{i}") for i in range(9)], "k long, y int, pad string")
+    s = split.split_exact(df, "k", (0.05, 0.05, 0.9), ("a", "b", "c"), seed=2, rounding="floor")
+    assert s.columns == ["k", "y", "pad", "split"] and {r.split for r in s.collect()} == {"c"}
+    s = split.split_stratified(df, "k", "y", (0.5, 0.5), ("a", "b"), rounding="ceil")
+    assert s.where("split = 'a'").count() == 7 and s.where("split = 'b'").count() == 2
+    assert split.split_stratified(df.limit(0), "k", "y").count() == 0
+    assert split.split_exact(df.limit(0), "k").count() == 0
 
 
 def test_positional_index_splits_a_hot_order_value(spark):
     # a third of the rows share one order value; the tie-break orders them
     rows = [(5 if i % 3 == 0 else i, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "o long, t long")
-    got = split.positional_index(df, "o", ["t"], n_buckets=64, n_sub=16)
+    got = split.positional_index(df, "o", ["t"], partitions=16)
     plain = df.withColumn("pos", (F.row_number().over(Window.orderBy("o", "t")) - 1).cast("long"))
     assert got.select("o", "t", "pos").exceptAll(plain.select("o", "t", "pos")).count() == 0
     assert got.where("o = 5").count() == 1001      # i % 3 == 0, plus i = 5 itself
 
 
-def test_bucket_digits_scale_with_rows(spark):
-    assert split.bucket_digits(None, 4) == 4
-    assert split.bucket_digits(10_000, 4) == 1
-    assert split.bucket_digits(10 ** 12, 4) == 5      # 10**12 / 16**5 = 954k rows per bucket
-    df = spark.range(300).withColumnRenamed("id", "k")
-    a = split.split_exact(df, "k", seed=5)
-    b = split.split_exact(df, "k", seed=5, expected_rows=10 ** 9)
-    assert a.exceptAll(b).count() == 0          # the bucket width never changes the result
+def test_positional_index_takes_nulls_nan_and_text(spark):
+    rows = [(None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i % 11), None if i % 4 == 0 else i, f"t{i % 13}")
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "o double, t long, s string")
+    for cols in (["o", "t", "s"], ["s", "o", "t"]):
+        order = [F.col(c).asc_nulls_last() for c in cols]
+        plain = df.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        got = split.positional_index(df, cols[0], cols[1:], partitions=9)
+        key = lambda r: (r.pos, repr(r.o), r.t, r.s)
+        assert sorted(map(key, got.collect()), key=str) == sorted(map(key, plain.collect()), key=str)
+    same = spark.createDataFrame([(1,)] * 50, "o int")
+    assert sorted(r.pos for r in split.positional_index(same, "o").collect()) == list(range(50))
+    assert split.positional_index(same.limit(0), "o").count() == 0
+
+
+def test_bucket_digits_scale_with_rows():
+    assert split.bucket_digits(10_000) == 1
+    assert split.bucket_digits(10 ** 12) == 5      # 10**12 / 16**5 = 954k rows per bucket
 
 
 def test_align_many_equals_single_and_positional_zip(spark):

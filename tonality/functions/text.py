@@ -57,11 +57,19 @@ def clean_ascii(col) -> Column:
 
 
 def words(col, min_len: int = 1) -> Column:
-    """Split a cleaned text on single spaces into an array of words of at least ``min_len`` chars."""
-    parts = F.split(_c(col), " ")
+    """Split a text on runs of white space (Python's set) into words of at least ``min_len`` chars."""
+    parts = F.split(F.translate(_c(col), OTHER_WS, " " * len(OTHER_WS)), r"\s+")
     return F.filter(parts, lambda w: F.length(w) >= min_len)
 
 
-def run_stamp() -> Column:
-    """The ``yyyyMMdd_HHmmss`` stamp used to name evaluation records."""
-    return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+def run_stamp(at=None) -> Column:
+    """The ``yyyyMMdd_HHmmss`` stamp used to name evaluation records (of now, or of a timestamp)."""
+    return F.date_format(F.current_timestamp() if at is None else _c(at), "yyyyMMdd_HHmmss")
+
+
+def has_suffix(col, suffixes) -> Column:
+    """P10: whether a path ends with one of the suffixes, in any letter case."""
+    out = F.lit(False)
+    for s in suffixes:
+        out = out | F.endswith(F.lower(_c(col)), F.lit(s.lower()))
+    return out

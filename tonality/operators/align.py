@@ -14,7 +14,7 @@ from tonality.functions.vectors import zeros
 from tonality.operators.split import positional_index
 
 
-def align_positional(base: DataFrame, other: DataFrame, base_order: str, other_order: str, vec_col: str,
+def align_positional(base: DataFrame, other: DataFrame, base_order, other_order, vec_col: str,
                      dim: int, other_cols: list[str] | tuple = (), out: str | None = None,
                      pos: str = "pos") -> DataFrame:
     """Give base row ``i`` (in ``base_order``) the vector of other row ``i`` (in ``other_order``).
@@ -22,31 +22,33 @@ def align_positional(base: DataFrame, other: DataFrame, base_order: str, other_o
     The base keeps all its rows; when ``other`` is shorter the missing vectors are zeros (the
     reference pads with zero rows), when it is longer its extra rows are dropped. Both sides get a
     dense position from range buckets, then a left equi-join on the position (a shuffle on both
-    sides, no single-task window).
+    sides, no single-task window). An order is one column or several (the others break ties).
     """
     out = out or vec_col
+    order = [other_order] if isinstance(other_order, str) else list(other_order)
     b = positional_index(base, base_order, name=pos)
-    o = positional_index(other.select(other_order, vec_col, *other_cols), other_order, name=pos)
+    o = positional_index(other.select(*order, vec_col, *other_cols), order, name=pos)
     o = o.select(pos, F.col(vec_col).cast("array<double>").alias("_v"),
-                 *[F.col(c).alias(f"other_{c}") for c in (other_order, *other_cols)])
+                 *[F.col(c).alias(f"other_{c}") for c in (*order, *other_cols)])
     j = b.join(o, pos, "left")
     return j.withColumn(out, F.coalesce(F.col("_v"), zeros(dim))).drop("_v")
 
 
-def align_positional_many(base: DataFrame, base_order: str, others: dict[str, tuple], pos: str = "pos") -> DataFrame:
+def align_positional_many(base: DataFrame, base_order, others: dict[str, tuple], pos: str = "pos") -> DataFrame:
     """J1 for several modalities at once: the base is indexed once and every other frame is
     left-joined on the same position. ``others`` maps an output column to
-    ``(frame, order column, vector column, dim)``."""
+    ``(frame, order column or columns, vector column, dim)``."""
     out = positional_index(base, base_order, name=pos)
     for name, (df, order, vec, dim) in others.items():
-        o = positional_index(df.select(order, vec), order, name=pos)
+        order = [order] if isinstance(order, str) else list(order)
+        o = positional_index(df.select(*order, vec), order, name=pos)
         o = o.select(pos, F.col(vec).cast("array<double>").alias(f"_v_{name}"))
         out = out.join(o, pos, "left").withColumn(name, F.coalesce(F.col(f"_v_{name}"), zeros(dim))).drop(f"_v_{name}")
     return out
 
 
-def zip_columns(left: DataFrame, right: DataFrame, key: str | None = None, left_order: str | None = None,
-                right_order: str | None = None) -> DataFrame:
+def zip_columns(left: DataFrame, right: DataFrame, key: str | None = None, left_order=None,
+                right_order=None) -> DataFrame:
     """Put two frames of equal length side by side.
 
     With a shared ``key`` this is an inner equi-join; without one, rows are matched by position

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.operators.common import broadcast_when
+from tonality.session import materialize
 
 
 def class_distribution(df: DataFrame, label: str = "label", dense: bool = False) -> DataFrame:
     """A1 / A2: rows per class, most frequent first.
 
     ``dense=True`` is the ``bincount`` form: one row for every code from 0 to the largest code
-    seen, with 0 for an absent code. The grid is built from a one-row aggregate, so nothing is
-    collected to the driver.
+    seen, with 0 for an absent code. The counts are written once; only the largest code reaches
+    the driver, and the grid is a distributed range, so a stray large code costs no single task.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
     if dense:
-        top = counts.agg(F.max(label).alias("_max"))
-        grid = top.select(F.explode(F.sequence(F.lit(0), F.col("_max").cast("int"))).alias(label))
-        counts = (grid.join(counts.withColumn(label, F.col(label).cast("int")), label, "left")
-                  .select(label, F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+        spark = df.sparkSession
+        counts = materialize(counts.withColumn(label, F.col(label).cast("int")), "class-counts")
+        top = counts.agg(F.max(label)).first()[0]
+        grid = spark.range(0 if top is None else top + 1).select(F.col("id").cast("int").alias(label))
+        counts = grid.join(counts, label, "left").select(label, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc(label))
 
 
@@ -58,9 +59,10 @@ def class_weights(df: DataFrame, label: str = "label", split_col: str | None = N
             .select(label, "count", (F.lit(1.0) / F.col("count").cast("double")).alias("weight")))
 
 
-def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label", max_classes: int = 1000) -> DataFrame:
-    """Attach each row's class weight (broadcast join: one weight row per class)."""
-    return df.join(broadcast_when(weights.select(label, "weight"), max_classes), label, "inner")
+def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
+    """Attach each row's class weight. Every row stays: a class without a weight row (one that
+    the training rows lack) gets a null weight. The planner picks the join from the real size."""
+    return df.join(weights.select(label, "weight"), label, "left")
 
 
 def category_counts(df: DataFrame, category: str = "category", with_total: bool = True) -> DataFrame:

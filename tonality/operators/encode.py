@@ -122,8 +122,8 @@ def normalize_images(df: DataFrame, image_col: str = "image", size: int = 128, k
             a = np.repeat(a, 3, axis=2)
         else:
             a = a[:, :, [2, 1, 0]]          # BGR(A) -> RGB
-        ri = (np.arange(size) * h // size).clip(0, h - 1)
-        ci = (np.arange(size) * w // size).clip(0, w - 1)
+        ri = ((2 * np.arange(size) + 1) * h // (2 * size)).clip(0, h - 1)  # the pixel under the centre of each target pixel
+        ci = ((2 * np.arange(size) + 1) * w // (2 * size)).clip(0, w - 1)
         a = a[ri][:, ci].astype(np.float32) / np.float32(255.0)
         return np.transpose(a, (2, 0, 1)).ravel()
 
@@ -140,7 +140,7 @@ def normalize_images(df: DataFrame, image_col: str = "image", size: int = 128, k
                 arrs.append(None)
                 shapes.append(None)
             else:
-                arrs.append(to_chw(im["height"], im["width"], im["nChannels"], im["data"]).tolist())
+                arrs.append(to_chw(im["height"], im["width"], im["nChannels"], im["data"]))
                 shapes.append([3, size, size])
         yield pa.RecordBatch.from_arrays(
             list(batch.columns[:k]) + [pa.array(arrs, type=pa.list_(pa.float32())),

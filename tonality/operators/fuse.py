@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonality.functions.vectors import as_double, l2_normalize
+from tonality.functions.vectors import as_double, gate, l2_normalize
 from tonality.session import ship_package
 
 # Parameters above this many numbers are refused for broadcast (a 768 x 768 layer has 0.6 M).
@@ -127,6 +127,10 @@ def arrow_matrix(col, dim: int):
     valid = np.asarray(pc.is_valid(col).to_numpy(zero_copy_only=False), dtype=bool)
     X = np.zeros((n, dim), dtype=np.float64)
     if valid.any():
+        width = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+        if (width[valid] != dim).any():
+            bad = int(np.flatnonzero(valid & (width != dim))[0])
+            raise ValueError(f"row {bad} of the batch has a vector of {int(width[bad])} values, not {dim}")
         vals = np.asarray(pc.list_flatten(col.filter(pa.array(valid))).to_numpy(zero_copy_only=False), dtype=np.float64)
         X[valid] = vals.reshape(-1, dim)
     return X, valid
@@ -264,6 +268,4 @@ def fuse_expr(df: DataFrame, params: FusionParams, text: str = "text_vec", emoji
 
 def gate_expr(x: Column, layer: Linear) -> Column:
     """``sigmoid(w . x + b)`` for a one-output layer."""
-    w = F.array(*[F.lit(float(v)) for v in layer.W[0]])
-    dotp = F.aggregate(F.zip_with(as_double(x), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(dotp + F.lit(float(layer.b[0])))))
+    return gate(x, layer.W[0].tolist(), float(layer.b[0]))

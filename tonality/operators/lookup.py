@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from tonality.functions.labels import label_majority, label_name, sentiment_score
 from tonality.functions.text import strip_ws
-from tonality.operators.common import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 
 def demojize(df: DataFrame, col: str, names: DataFrame, symbol: str = "symbol", name: str = "name",
-             out: str = "emoji_clean", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+             out: str = "emoji_clean") -> DataFrame:
     """Replace a symbol by its short name (``:red_heart:``); unknown symbols stay as they are.
 
-    A left join against the name table, broadcast when it is within ``max_broadcast_rows``
-    (an emoji name table has a few thousand rows), else a shuffled join.
+    A left join against the name table; the planner broadcasts it if its real size allows.
     """
     lookup = names.select(F.col(symbol).alias("_sym"), F.col(name).alias("_name"))
     # a symbol table may list a symbol twice; keep one name per symbol so the join cannot add rows
     lookup = lookup.groupBy("_sym").agg(F.min("_name").alias("_name"))
-    joined = df.join(bounded_broadcast(lookup, max_broadcast_rows), F.col(col) == F.col("_sym"), "left")
+    joined = df.join(lookup, F.col(col) == F.col("_sym"), "left")
     return joined.withColumn(out, strip_ws(F.coalesce(F.col("_name"), F.col(col).cast("string")))).drop("_sym", "_name")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.labels import CLASS_NAMES
+from tonality.functions.text import run_stamp
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
@@ -29,12 +30,13 @@ def confusion_counts(df: DataFrame, truth: str = "truth", pred: str = "predictio
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def confusion_matrix(df: DataFrame, truth: str = "truth", pred: str = "prediction", labels=(0, 1, 2)) -> DataFrame:
+def confusion_matrix(df: DataFrame, truth: str = "truth", pred: str = "prediction", labels=(0, 1, 2),
+                     from_counts: bool = False) -> DataFrame:
     """Long form ``truth, prediction, count`` on the fixed label grid (rows = truth); pairs with a
     label outside the grid are left out, as with an explicit label list."""
-    counts = confusion_counts(df, truth, pred)
+    counts = df if from_counts else confusion_counts(df, truth, pred)
     grid = _grid(df.sparkSession, labels, truth, pred)
-    return (F.broadcast(grid).join(counts, [truth, pred], "left")
+    return (grid.join(counts, [truth, pred], "left")
             .select(truth, pred, F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
@@ -71,7 +73,7 @@ def _per_class(cm: DataFrame, truth: str, pred: str, labels) -> DataFrame:
     lab = literal_rows(spark, [(int(c), CLASS_NAMES[c] if 0 <= c < len(CLASS_NAMES) else str(c)) for c in labels],
                        ["label", "class"], ["int", "string"])
     tot = _class_totals(cm, truth, pred)
-    j = (F.broadcast(lab).join(tot, "label", "left")
+    j = (lab.join(tot, "label", "left")
          .select("label", "class",
                  F.coalesce("support", F.lit(0)).cast("double").alias("support"),
                  F.coalesce("predicted", F.lit(0)).cast("double").alias("predicted"),
@@ -111,10 +113,10 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
     return cls.unionByName(avg_rows).orderBy("label").drop("label")
 
 
-def f1_scores(df: DataFrame, truth: str = "truth", pred: str = "prediction") -> DataFrame:
+def f1_scores(df: DataFrame, truth: str = "truth", pred: str = "prediction", from_counts: bool = False) -> DataFrame:
     """``f1_macro`` over the classes seen in truth or prediction (no fixed list, as the
     reference's f1 call), ``f1_weighted`` (weights = truth support) and ``accuracy``; one row."""
-    tot = _class_totals(confusion_counts(df, truth, pred), truth, pred)
+    tot = _class_totals(df if from_counts else confusion_counts(df, truth, pred), truth, pred)
     j = tot.select(F.col("support").cast("double").alias("s"), F.col("predicted").cast("double").alias("q"),
                    F.col("tp").cast("double").alias("t"))
     # f1 = 2 tp / (support + predicted); 0 when both are 0
@@ -128,11 +130,15 @@ def f1_scores(df: DataFrame, truth: str = "truth", pred: str = "prediction") ->
 def weighted_log_loss(df: DataFrame, probs: str, label: str, weight: str = "weight",
                       by: list[str] | tuple = ()) -> DataFrame:
     """A10: ``sum(w * -log p[label]) / sum(w)`` over each group of ``by`` (the weighted cross-entropy
-    over a whole split, independent of batch size)."""
-    p = F.element_at(F.col(probs), (F.col(label) + 1).cast("int"))
-    nll = -F.log(F.greatest(p, F.lit(1e-300)))
+    over a whole split, independent of batch size).
+
+    Rows whose label has no entry in the vector, or without a weight, count in ``rows`` only; no
+    weight at all gives a null loss."""
+    p = F.try_element_at(F.col(probs), (F.when(F.col(label) >= 0, F.col(label)) + 1).cast("int"))
+    nll = F.when(p.isNotNull(), -F.log(F.greatest(p, F.lit(1e-300))))
+    w = F.when(nll.isNotNull(), F.col(weight))
     return df.groupBy(*by).agg(
-        (F.sum(F.col(weight) * nll) / F.sum(weight)).alias("log_loss"),
+        F.try_divide(F.sum(w * nll), F.sum(w)).alias("log_loss"),
         F.count(F.lit(1)).alias("rows"))
 
 
@@ -142,18 +148,18 @@ def evaluation_record(df: DataFrame, run_id: str, truth: str = "truth", pred: st
     per_class_metrics (map<string, struct>), weights_used``."""
     from tonality.session import materialize
 
-    # the nine counts are used three times; written once to the shared folder
-    cm = materialize(confusion_matrix(df, truth, pred, labels), "confusion")
-    mat = matrix_rows(cm, truth, pred, labels)
-    rep = classification_report(cm, truth, pred, labels, from_counts=True)
+    # one pass over the input: everything is derived from its pair counts, written once
+    counts = materialize(confusion_counts(df, truth, pred), "confusion")
+    mat = matrix_rows(confusion_matrix(counts, truth, pred, labels, from_counts=True), truth, pred, labels)
+    rep = classification_report(counts, truth, pred, labels, from_counts=True)
     per = rep.agg(F.map_from_entries(F.collect_list(F.struct(
         "class", F.struct("precision", "recall", "f1", "support")))).alias("per_class_metrics"))
-    f1s = f1_scores(df, truth, pred)
+    f1s = f1_scores(counts, truth, pred, from_counts=True)
     w = F.array(*[F.lit(float(x)) for x in weights]) if weights else F.lit(None).cast("array<double>")
     one = F.lit(1).alias("_k")
     rec = (f1s.select("*", one).join(mat.select("*", one), "_k").join(per.select("*", one), "_k")
            .select(F.lit(run_id).alias("run_id"),
-                   F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss").alias("stamp"),
+                   run_stamp().alias("stamp"),
                    "f1_weighted", "f1_macro", "accuracy", "confusion_matrix", "per_class_metrics",
                    w.alias("weights_used")))
     return rec
@@ -164,6 +170,27 @@ def latest_record(records: DataFrame) -> DataFrame:
     return records.orderBy(F.desc("stamp"), F.desc("run_id")).limit(1)
 
 
+def csv_record(records: DataFrame) -> DataFrame:
+    """A8 as CSV columns: the nested ones become JSON text (lists of lists, objects by class)."""
+    as_json = {c: F.to_json(c).alias(c) for c in ("confusion_matrix", "per_class_metrics", "weights_used")}
+    return records.select(*[as_json.get(c, F.col(c)) for c in records.columns])
+
+
+def read_csv_record(df: DataFrame) -> DataFrame:
+    """The inverse of ``csv_record`` for a headed CSV read with every field as text."""
+    kinds = {"f1_weighted": "double", "f1_macro": "double", "accuracy": "double"}
+    nested = {"confusion_matrix": "array<array<bigint>>", "weights_used": "array<double>",
+              "per_class_metrics": "map<string,struct<precision:double,recall:double,f1:double,support:double>>"}
+    return df.select(*[F.from_json(c, nested[c]).alias(c) if c in nested
+                       else F.col(c).cast(kinds.get(c, "string")).alias(c) for c in df.columns])
+
+
+def latest_summary(records: DataFrame) -> DataFrame:
+    """The three-column record of the newest run: ``F1_weighted, F1_macro, Confusion_matrix`` (JSON text)."""
+    return latest_record(records).select(F.col("f1_weighted").alias("F1_weighted"), F.col("f1_macro").alias("F1_macro"),
+                                         F.to_json("confusion_matrix").alias("Confusion_matrix"))
+
+
 def append_records(records: DataFrame, path: str) -> None:
     """Add evaluation records to a Parquet table (one row per run, keyed by ``run_id``)."""
     records.write.mode("append").parquet(path)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from tonality.operators.fuse import Linear, arrow_matrix, closed_form_linear, la
 from tonality.session import ship_package
 
 GRAD_CHUNK = 4096
+GRAD_LANES = 64  # tasks that share the first sum of a chunk
 
 
 @dataclass
@@ -152,7 +154,8 @@ def _partial_gradients(feats: DataFrame, model: ReluClassifier, d_in: int, featu
         for batch in batches:
             X, _ = arrow_matrix(batch.column(fi), d_in)
             y = np.asarray(batch.column(li).to_numpy(zero_copy_only=False), dtype=np.int64)
-            w = np.asarray(batch.column(wi).to_numpy(zero_copy_only=False), dtype=np.float64)
+            # a class that the training rows lack has no weight: its rows count for nothing
+            w = np.nan_to_num(np.asarray(batch.column(wi).to_numpy(zero_copy_only=False), dtype=np.float64))
             sp = np.asarray(batch.column(si).to_numpy(zero_copy_only=False), dtype=object)
             tr, va = sp == "train", sp == "val"
             if tr.any():
@@ -168,14 +171,17 @@ def _partial_gradients(feats: DataFrame, model: ReluClassifier, d_in: int, featu
         ids = np.arange(n_chunks, dtype=np.int32)
         vals = [acc[i * GRAD_CHUNK:(i + 1) * GRAD_CHUNK] for i in ids]
         offsets = np.cumsum([0] + [len(v) for v in vals]).astype(np.int32)
+        lane = np.full(n_chunks, TaskContext.get().partitionId() % GRAD_LANES, np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(vals)))],
-            names=["chunk", "g"])
-
-    parts = feats.mapInArrow(run, "chunk int, g array<double>")
-    summed = (parts.groupBy("chunk")
-              .agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
-              .collect())
+            [pa.array(ids), pa.array(lane), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(vals)))],
+            names=["chunk", "lane", "g"])
+
+    # two levels: many partitions' sums of one chunk meet in GRAD_LANES tasks first
+    parts = feats.mapInArrow(run, "chunk int, lane int, g array<double>")
+    summed = parts
+    for by in (["chunk", "lane"], ["chunk"]):
+        summed = summed.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    summed = summed.collect()
     bc.destroy()   # the step's job is done; do not keep one parameter copy per step on the executors
     out = np.zeros(total)
     for r in summed:

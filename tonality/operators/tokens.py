@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.operators.common import bounded_broadcast
-from tonality.operators.split import dense_index
+from tonality.operators.split import positional_index
 
 # Special token ids of the uncased BERT vocabulary, and the first id given to a
 # fitted word (ids below it are reserved).
@@ -18,20 +17,6 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 100, 101, 102, 103
 FIRST_WORD_ID = 1000
 
 
-def _lookup(vocab: DataFrame, max_broadcast_rows: int | None) -> DataFrame:
-    """A fitted vocabulary is data-derived: its size is checked at run time by AQE, which turns
-    the join into a broadcast join when the vocabulary is small. ``max_broadcast_rows`` forces a
-    row-count check up front instead (worth it when the vocabulary is a stored table)."""
-    v = vocab.select("term", "term_id")
-    return bounded_broadcast(v, max_broadcast_rows) if max_broadcast_rows else v
-
-
-def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (equi-join on a constant key; the
-    one-row side is broadcast)."""
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def terms(df: DataFrame, tokens: str, key: str | None = None, min_len: int = 1) -> DataFrame:
     """One row per token occurrence (``key, term``), tokens shorter than ``min_len`` dropped."""
     cols = [key] if key else []
@@ -41,62 +26,57 @@ def terms(df: DataFrame, tokens: str, key: str | None = None, min_len: int = 1)
             .where(F.col("term").isNotNull() & (F.length("term") >= min_len)))
 
 
-def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2, prefix_len: int = 3) -> DataFrame:
+def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2) -> DataFrame:
     """``term, term_id`` with ids 0.. in term order (code-point order), from the distinct terms.
 
-    The distinct step is a map-side-deduplicated aggregate; the ids come from ``dense_index``
-    with a term prefix as the bucket, so no single task sorts the whole vocabulary.
+    The distinct step is a map-side-deduplicated aggregate; the ids are positions in a range
+    partitioning of the terms, so no task holds more than its share, whatever their beginnings.
     """
     vocab = terms(df, tokens, min_len=min_len).distinct()
-    idx = dense_index(vocab, ["term"], [], F.substring("term", 1, prefix_len), bucket_bound=None, name="_i")
-    return idx.select("term", (F.col("_i") - 1).cast("long").alias("term_id"))
+    return positional_index(vocab, "term", name="term_id").select("term", "term_id")
 
 
-def bag_of_words(df: DataFrame, key: str, tokens: str, vocab: DataFrame, min_len: int = 2,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+def bag_of_words(df: DataFrame, key: str, tokens: str, vocab: DataFrame, min_len: int = 2) -> DataFrame:
     """sparse count vectors ``key, term_id, count``; terms outside the vocabulary are dropped.
 
     Counts per (key, term) are combined map-side first, so the join sees one row per distinct
     term of a document.
     """
     counts = terms(df, tokens, key, min_len).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
-    return counts.join(_lookup(vocab, max_broadcast_rows), "term", "inner").select(key, "term_id", "count")
+    return counts.join(vocab.select("term", "term_id"), "term", "inner").select(key, "term_id", "count")
 
 
 def extend_vocabulary(vocab: DataFrame, df: DataFrame, tokens: str, min_len: int = 1) -> DataFrame:
     """append unseen tokens to a vocabulary; new ids follow the largest id, in term order."""
     new = terms(df, tokens, min_len=min_len).distinct().join(vocab.select("term"), "term", "left_anti")
-    top = vocab.agg(F.coalesce(F.max("term_id"), F.lit(-1)).cast("long").alias("_top"))
-    idx = dense_index(new, ["term"], [], F.substring("term", 1, 3), bucket_bound=None, name="_i")
-    added = _one_row_join(idx, top).select("term", (F.col("_i") + F.col("_top")).cast("long").alias("term_id"))
-    return vocab.select("term", "term_id").unionByName(added)
+    top = vocab.agg(F.max("term_id")).first()[0]  # one number
+    added = positional_index(new, "term", name="_i")
+    return vocab.select("term", "term_id").unionByName(
+        added.select("term", (F.col("_i") + F.lit(0 if top is None else top + 1)).cast("long").alias("term_id")))
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_len: int = 64,
-                  pad: str = "longest", max_broadcast_rows: int | None = None) -> DataFrame:
+                  pad: str = "longest") -> DataFrame:
     """``input_ids`` = [CLS] word ids [SEP], truncated to ``max_len``, padded with [PAD]; and
     ``attention_mask`` (1 for real tokens).
 
     Word id = ``FIRST_WORD_ID + term_id``; an unknown word is [UNK]. ``pad="longest"`` pads to
-    the longest sequence of the whole frame (one small aggregate), ``pad="max_length"`` to
-    ``max_len``. Tokens past the truncation point are dropped before the join.
+    the longest sequence of the whole frame (known before the join: one number from a narrow
+    aggregate over the token counts), ``pad="max_length"`` to ``max_len``. Tokens past the truncation point are dropped before the join.
     """
     body = max_len - 2
     # posexplode_outer keeps one (null) row for a document without words, so every document
     # reaches the group-by and no join back to the input is needed
     occ = (df.select(key, F.posexplode_outer(tokens).alias("pos", "term"))
            .where(F.col("pos").isNull() | (F.col("pos") < body)))
-    ids = (occ.join(_lookup(vocab, max_broadcast_rows), "term", "left")
+    ids = (occ.join(vocab.select("term", "term_id"), "term", "left")
            .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("_tid")))
     seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", "_tid")))).alias("_s"))
     base = seqs.select(key, F.transform("_s", lambda s: s["_tid"]).alias("_ids"))
     full = F.concat(F.array(F.lit(CLS_ID)), F.coalesce(F.col("_ids"), F.array().cast("array<int>")), F.array(F.lit(SEP_ID)))
-    base = base.withColumn("_full", full)
-    if pad == "longest":
-        base = _one_row_join(base, base.agg(F.max(F.size("_full")).alias("_target")))
-    else:
-        base = base.withColumn("_target", F.lit(max_len))
+    longest = df.agg(F.max(F.size(tokens))).first()[0] if pad == "longest" else body
+    base = base.withColumn("_full", full).withColumn("_target", F.lit(min(max(longest or 0, 0), body) + 2))
     n = F.size("_full")
     return base.select(
         key,

@@ -167,8 +167,8 @@ def q_top_k_best(spark, sf):
 @query("top_k_worst", f"""
 SELECT * FROM ({_SCORED_SQL}) ORDER BY sentiment_score ASC NULLS LAST, Occurrences DESC, Emoji LIMIT 10""")
 def q_top_k_worst(spark, sf):
-    s = _scored_lexicon(spark, sf)
-    return s.orderBy(F.col("sentiment_score").asc_nulls_last(), F.desc("Occurrences"), "Emoji").limit(10)
+    return rank.top_k(_scored_lexicon(spark, sf), ["sentiment_score", "Occurrences"], 10, ascending=[True, False],
+                      tie_break=["Emoji"])
 
 
 _SPLIT_REVIEWS_SQL = f"""
@@ -302,10 +302,10 @@ def q_f1_scores(spark, sf):
 
 
 @query("argmax", f"""
-SELECT vec_id, {Q.argmax(f"{Q.dvec('embedding')}[1:3]")} AS predicted FROM embeddings""")
+SELECT vec_id, {Q.argmax(Q.dvec('embedding'))} AS predicted FROM embeddings""")
 def q_argmax(spark, sf):
     v = S.vectors(spark, sf)
-    return v.select("vec_id", V.argmax(F.slice("embedding", 1, 3)).alias("predicted"))
+    return v.select("vec_id", V.argmax("embedding").alias("predicted"))
 
 
 @query("widen_vector", f"""SELECT vec_id, label, {Q.widen(Q.dvec('embedding'), 64)} FROM embeddings""")
@@ -314,19 +314,19 @@ def q_widen_vector(spark, sf):
 
 
 @query("softmax", f"""
-WITH s AS (SELECT vec_id, {Q.softmax(f"{Q.dvec('embedding')}[1:3]")} AS p FROM embeddings)
-SELECT vec_id, {Q.widen('p', 3, prefix='p_')} FROM s""")
+WITH s AS (SELECT vec_id, {Q.softmax(Q.dvec('embedding'))} AS p FROM embeddings)
+SELECT vec_id, {Q.widen('p', 64, prefix='p_')} FROM s""")
 def q_softmax(spark, sf):
-    v = S.vectors(spark, sf).select("vec_id", V.softmax(F.slice("embedding", 1, 3)).alias("p"))
-    return V.widen_vector(v, "p", 3, prefix="p_", keep=["vec_id"], digits=6)
+    v = S.vectors(spark, sf).select("vec_id", V.softmax("embedding").alias("p"))
+    return V.widen_vector(v, "p", 64, prefix="p_", keep=["vec_id"], digits=6)
 
 
 @query("l2_normalize", f"""
-WITH s AS (SELECT vec_id, {Q.l2norm(f"{Q.dvec('embedding')}[1:16]")} AS v FROM embeddings)
-SELECT vec_id, {Q.widen('v', 16)} FROM s""")
+WITH s AS (SELECT vec_id, {Q.l2norm(Q.dvec('embedding'))} AS v FROM embeddings)
+SELECT vec_id, {Q.widen('v', 64)} FROM s""")
 def q_l2_normalize(spark, sf):
-    v = S.vectors(spark, sf).select("vec_id", V.l2_normalize(F.slice("embedding", 1, 16)).alias("v"))
-    return V.widen_vector(v, "v", 16, keep=["vec_id"], digits=6)
+    v = S.vectors(spark, sf).select("vec_id", V.l2_normalize("embedding").alias("v"))
+    return V.widen_vector(v, "v", 64, keep=["vec_id"], digits=6)
 
 
 def queries() -> dict[str, QueryFn]:

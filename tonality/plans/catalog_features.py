@@ -16,7 +16,7 @@ from tonality.sources import tables as S
 
 
 def _docs(spark, sf):
-    d = S.table(spark, sf, "documents", spread=True).select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
     return split.split_hash(d, "doc_id", (0.2, 0.8), ("test", "train"), 42)
 
 
@@ -43,12 +43,12 @@ def q_fit_vocabulary(spark, sf):
 
 @query("bag_of_words", f"""
 WITH {_DOCS_SQL},
-t AS (SELECT doc_id, unnest(l) AS term FROM d WHERE split = 'test')
+t AS (SELECT doc_id, unnest(l) AS term FROM d)
 SELECT doc_id, term_id, count(*) AS count FROM t JOIN v USING (term) WHERE length(term) >= 2
 GROUP BY doc_id, term_id""")
 def q_bag_of_words(spark, sf):
     d, v = _vocab(spark, sf)
-    return tokens.bag_of_words(d.where(F.col("split") == "test"), "doc_id", "tokens", v, min_len=2)
+    return tokens.bag_of_words(d, "doc_id", "tokens", v, min_len=2)
 
 
 @query("encode_tokens", f"""
@@ -96,7 +96,7 @@ n AS (SELECT doc_id, raw, greatest(sqrt(list_sum(list_transform(raw, lambda u: u
 e AS (SELECT doc_id, list_transform(raw, lambda x: x / nr) AS e FROM n)
 SELECT doc_id, {Q.widen('e', 16)} FROM e""")
 def q_hash_embed(spark, sf):
-    d = S.table(spark, sf, "documents", spread=True).select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
+    d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
     e = hash_embed(d, "tokens", dim=16, out="e").select("doc_id", "e")
     return V.widen_vector(e, "e", 16, keep=["doc_id"], digits=6)
 
@@ -110,10 +110,9 @@ def q_category_counts(spark, sf):
 
 
 @query("unique_tokens", f"""
-WITH {_DOCS_SQL} SELECT DISTINCT unnest(l) AS term FROM d WHERE split = 'train'""")
+WITH {_DOCS_SQL} SELECT DISTINCT unnest(l) AS term FROM d""")
 def q_unique_tokens(spark, sf):
-    d = _docs(spark, sf).where(F.col("split") == "train")
-    return dist.unique_tokens(tokens.terms(d, "tokens"), "term")
+    return dist.unique_tokens(tokens.terms(_docs(spark, sf), "tokens"), "term")
 
 
 # ---------------------------------------------------------------- the reference's preprocessing scripts

@@ -16,8 +16,10 @@ from tonality.functions import text as X
 from tonality.functions.labels import label_rating
 from tonality.operators import dist, metrics, split
 from tonality.operators.model import fit_relu_classifier, fit_text_baseline, history_frame, score, sweep_class_weights
+from tonality.functions.text import WS_CLASS
 from tonality.plans import sqlfrag as Q
 from tonality.plans.catalog import query
+from tonality.plans.catalog_more import _fusion_sql as fusion_sql
 from tonality.plans.scoring import ScoringModel, score_table
 from tonality.sources import tables as S
 
@@ -78,13 +80,40 @@ def q_fit_text_baseline(spark, sf):
     return metrics.classification_report(pred)
 
 
+# the words of a message, by the rule: the text in lower case, cut at runs of white space
+MESSAGE_WORDS = f"list_filter(string_split_regex({Q.normalize_text('text')}, '{WS_CLASS}+'), lambda w: length(w) >= 1)"
+
+_REQUESTS_SQL = """SELECT conv_id || '-' || turn AS rid,
+    CASE WHEN NOT ((turn % 2 = 0 OR turn % 3 = 0) AND conv_id % 5 = 0) THEN text END AS text,
+    CASE WHEN turn % 2 = 0 THEN substr(role, 1, 2) END AS emoji,
+    CASE WHEN turn % 3 = 0 THEN 'Sticker' || (conv_id % 7) END AS sticker FROM conversations"""
+
+
+def _request_score_sql() -> str:
+    """Oracle of request scoring with all three modalities: hashed vectors, gated fusion with the missing
+    ones masked (a missing text is a zero vector), ReLU classifier (salts 1 and 2)."""
+    zeros = "list_transform(range(64), lambda i: 0.0::DOUBLE)"
+    inputs = f"""req AS ({_REQUESTS_SQL}),
+{Q.hashed_vectors('tv', "SELECT rid, text FROM req WHERE text IS NOT NULL", 'rid', MESSAGE_WORDS, 64)},
+{Q.hashed_vectors('ev', "SELECT rid, emoji FROM req WHERE emoji IS NOT NULL", 'rid', "string_split(emoji, '')", 32)},
+{Q.hashed_vectors('sv', "SELECT rid, sticker FROM req WHERE sticker IS NOT NULL", 'rid', "[lower(sticker)]", 16)},
+x AS (SELECT req.rid AS vec_id, coalesce(tv.v, {zeros}) AS xt, ev.v AS xe, sv.v AS xs
+      FROM req LEFT JOIN tv ON req.rid = tv.k LEFT JOIN ev ON req.rid = ev.k LEFT JOIN sv ON req.rid = sv.k)"""
+    fused = fusion_sql("mask", inputs).rsplit("SELECT vec_id,", 1)[0]
+    return f"""{fused.rstrip()},
+h AS (SELECT vec_id, list_transform({Q.project('fused', 128, 64, 1)}, lambda u: greatest(u, 0.0)) AS h FROM f),
+z AS (SELECT vec_id, {Q.project('h', 3, 128, 2)} AS z FROM h),
+pr AS (SELECT vec_id, z, {Q.softmax('z')} AS p FROM z)
+SELECT vec_id AS request_id, {Q.label_name(Q.argmax('z'))} AS sentiment, round(list_max(p), 6) AS confidence FROM pr"""
+
+
 def _score_sql(source: str, key: str) -> str:
     """Oracle of the message-scoring chain for text-only messages: words of the normalised text
     hashed into 64 signed slots (md5), L2-normalised, projected by the text layer of the fusion
     (salt 11) and normalised (emoji and sticker absent, so masked), then the ReLU classifier
     (salts 1 and 2)."""
     return f"""
-WITH d AS (SELECT {key} AS k, list_filter(string_split({Q.normalize_text('text')}, ' '), lambda w: length(w) >= 1) AS l
+WITH d AS (SELECT {key} AS k, {MESSAGE_WORDS} AS l
            FROM ({source})),
 t AS (SELECT k, md5(unnest(l)) AS h FROM d),
 s AS (SELECT k, CAST(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 64 AS INTEGER) AS slot,
@@ -107,12 +136,12 @@ SELECT k AS {key}, {Q.label_name(Q.argmax('z'))} AS sentiment, round(list_max(p)
 @query("score_table", _score_sql("SELECT doc_id AS id, text FROM documents", "id"))
 def q_score_table(spark, sf):
     """M6: the comments table (documents stand-in) scored end to end."""
-    comments = S.table(spark, sf, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    comments = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
     out = score_table(comments, ScoringModel.closed_form())
     return out.select("id", "sentiment", F.round("confidence", 6).alias("confidence"))
 
 
-@query("score_stream", _score_sql("SELECT conv_id * 1000 + turn AS request_id, text FROM conversations", "request_id"))
+@query("score_stream", _request_score_sql())
 def q_score_stream(spark, sf):
     """ST1: conversation turns written as JSON request files, scored by a streaming query run to
     completion (availableNow); returns the sink's rows."""
@@ -125,3 +154,6 @@ def q_score_stream(spark, sf):
     q = start_scoring(spark, src, sink, ck, ScoringModel.closed_form(), available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink).select("request_id", "sentiment", F.round("confidence", 6).alias("confidence"))
+
+
+from tonality.plans import catalog_io  # noqa: E402,F401  (sources, sinks and round trips)

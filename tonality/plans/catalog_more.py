@@ -14,7 +14,7 @@ from tonality.sources import tables as S
 # ---------------------------------------------------------------- phase 3: alignment, fusion, scoring
 
 _PAGE_VECTORS = Q.hashed_vectors("pv", "SELECT page_id, url FROM pages", "page_id", Q.page_words("url"), 16)
-_TURN_VECTORS = Q.hashed_vectors("tv", "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations", "turn_id",
+_TURN_VECTORS = Q.hashed_vectors("tv", "SELECT conv_id * 1000000000 + turn AS turn_id, text FROM conversations", "turn_id",
                                  Q.text_words("text"), 32)
 
 
@@ -68,13 +68,13 @@ def q_align_keyed(spark, sf):
 
 
 @query("zip_columns", f"""
-WITH p AS (SELECT vec_id, {Q.softmax(f"{Q.dvec('embedding')}[1:3]")} AS p FROM embeddings)
-SELECT e.vec_id, e.label, {Q.widen('p.p', 3, prefix='p_')} FROM embeddings e JOIN p ON e.vec_id = p.vec_id""")
+WITH p AS (SELECT vec_id, {Q.softmax(Q.dvec('embedding'))} AS p FROM embeddings)
+SELECT e.vec_id, e.label, {Q.widen('p.p', 64, prefix='p_')} FROM embeddings e JOIN p ON e.vec_id = p.vec_id""")
 def q_zip_columns(spark, sf):
     v = S.vectors(spark, sf)
-    probs = v.select("vec_id", V.softmax(F.slice("embedding", 1, 3)).alias("p"))
+    probs = v.select("vec_id", V.softmax("embedding").alias("p"))
     z = align.zip_columns(v.select("vec_id", "label"), probs, key="vec_id")
-    return V.widen_vector(z, "p", 3, prefix="p_", keep=["vec_id", "label"], digits=6)
+    return V.widen_vector(z, "p", 64, prefix="p_", keep=["vec_id", "label"], digits=6)
 
 
 @query("project_vector", f"""
@@ -165,7 +165,7 @@ def q_fusion_positional(spark, sf):
     base = v.select("vec_id", F.col("embedding").cast("array<double>").alias("text_vec"))
     turns = materialize(S.turn_vectors(spark, sf, 32), "turn-vectors")
     pages = materialize(S.page_vectors(spark, sf, 16), "page-vectors")
-    j = align.align_positional_many(base, "vec_id", {"emoji_vec": (turns, "turn_id", "e_vec", 32),
+    j = align.align_positional_many(base, "vec_id", {"emoji_vec": (turns, ["conv_id", "turn"], "e_vec", 32),
                                                      "sticker_vec": (pages, "page_id", "s_vec", 16)})
     j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
     f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
@@ -189,14 +189,14 @@ def q_score(spark, sf):
 
 
 @query("weighted_log_loss", f"""
-WITH x AS (SELECT vec_id, CAST(label % 3 AS INTEGER) AS y, {Q.softmax(f"{Q.dvec('embedding')}[1:3]")} AS p,
+WITH x AS (SELECT vec_id, CAST(label % 3 AS INTEGER) AS y, {Q.softmax(Q.dvec('embedding'))} AS p,
                   CASE WHEN {Q.hash_unit('vec_id', 42)} < 0.2 THEN 'test' ELSE 'train' END AS split FROM embeddings),
 w AS (SELECT y, 1.0 / CAST(count(*) AS DOUBLE) AS weight FROM x GROUP BY y)
 SELECT split, round(sum(weight * -ln(greatest(p[y + 1], 1e-300))) / sum(weight), 6) AS log_loss, count(*) AS rows
 FROM x JOIN w USING (y) GROUP BY split""")
 def q_weighted_log_loss(spark, sf):
     v = S.vectors(spark, sf).select("vec_id", (F.col("label") % 3).cast("int").alias("y"),
-                                    V.softmax(F.slice("embedding", 1, 3)).alias("p"))
+                                    V.softmax("embedding").alias("p"))
     v = split.split_hash(v, "vec_id", (0.2, 0.8), ("test", "train"), 42)
     w = dist.class_weights(v, "y", scope="all")
     r = metrics.weighted_log_loss(dist.with_class_weight(v, w, "y"), "p", "y", "weight", by=["split"])

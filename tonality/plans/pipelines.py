@@ -44,7 +44,7 @@ def emoji_analysis(lexicon: DataFrame, n: int = 100, k: int = 10) -> dict[str, D
     scored = score_lexicon(lexicon, n)
     return {
         "best": rank.top_k(scored, ["sentiment_score", "Occurrences"], k, ascending=False, tie_break=["Emoji"]),
-        "worst": scored.orderBy(F.col("sentiment_score").asc_nulls_last(), F.desc("Occurrences"), "Emoji").limit(k),
+        "worst": rank.top_k(scored, ["sentiment_score", "Occurrences"], k, ascending=[True, False], tie_break=["Emoji"]),
     }
 
 
@@ -60,8 +60,3 @@ def emoji_info(lexicon: DataFrame, names: DataFrame | None = None, split: bool =
     if split:
         info = split_stratified(info, "emoji", "label_numeric", fractions=(0.2, 0.8), names=("test", "train"))
     return info
-
-
-def class_report_frame(df: DataFrame, label: str) -> DataFrame:
-    """A1 for any labelled frame."""
-    return dist.class_distribution(df, label)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.text import normalize_text, words
 from tonality.operators.encode import hash_embed
-from tonality.operators.fuse import FusionParams
+from tonality.operators.fuse import FusionParams, Linear, layers_from_table, params_table
 from tonality.operators.model import ReluClassifier
 from tonality.session import ship_package
 
@@ -64,7 +65,6 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
     confidence.
     """
     ship_package(df.sparkSession)
-    import numpy as np
     from pyspark.sql import types as T
 
     from tonality.functions.labels import CLASS_NAMES
@@ -114,3 +114,18 @@ def score_table(comments: DataFrame, model: ScoringModel, key: str = "id", text:
     src = comments.select(F.col(key), F.col(text).alias("text"), F.lit(None).cast("string").alias("emoji"),
                           F.lit(None).cast("string").alias("sticker"))
     return score_messages(src, model, key).select(key, "sentiment", "confidence")
+
+
+def save_scoring_model(spark: SparkSession, model: ScoringModel, path: str, mode: str = "overwrite") -> None:
+    """The whole scoring model (fusion, classifier, input widths) as one DM17 parameter table."""
+    layers = model.params.layers() | {"fc1": model.classifier.fc1, "fc2": model.classifier.fc2}
+    params = params_table(spark, layers)
+    dims = params_table(spark, {"dims": Linear(np.array([model.dims], dtype=float), np.zeros(1))})
+    params.unionByName(dims).write.mode(mode).parquet(path)
+
+
+def load_scoring_model(spark: SparkSession, path: str) -> ScoringModel:
+    layers = layers_from_table(spark.read.parquet(path))
+    dims = tuple(int(d) for d in layers.pop("dims").W[0])
+    classifier = ReluClassifier(layers.pop("fc1"), layers.pop("fc2"))
+    return ScoringModel(FusionParams(**layers), classifier, dims)

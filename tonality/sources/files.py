@@ -15,32 +15,35 @@ def _read_named(spark: SparkSession, path: str, columns: dict[str, str], multili
     """Read a headed CSV with every field as text, then pick and cast columns by header name.
 
     Nothing is inferred (no extra pass over the data) and column order in the file does not
-    matter, unlike a positional schema.
+    matter, unlike a positional schema. A field that does not read as its type is null.
     """
     raw = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
            .option("inferSchema", False).option("encoding", "UTF-8").csv(path))
     missing = [c for c in columns if c not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()],
+    raw = raw.withColumn("_path", F.col("_metadata.file_path"))
+    return raw.select("_path", *[F.col(c).try_cast(t).alias(c) for c, t in columns.items()],
                       *[c for c in raw.columns if c not in columns and c == "review_id"])
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """``review_id, verified_reviews, rating``.
 
-    A ``review_id`` column in the file is used as the key; otherwise one is assigned. Multi-line
-    CSV files are read whole per file, so the assigned id is repeatable for the same files.
+    A ``review_id`` column in the file is used as the key; otherwise one is assigned: the row's
+    position in the order of file path and content, which no split of the files changes.
     """
     df = _read_named(spark, path, REVIEW_COLUMNS, multiline=True)
     if "review_id" in df.columns:
         return df.select(F.col("review_id").cast("long"), "verified_reviews", "rating")
-    return df.select(F.monotonically_increasing_id().alias("review_id"), "verified_reviews", "rating")
+    from tonality.operators.split import positional_index
+    keyed = positional_index(df, ["_path", "verified_reviews", "rating"], name="review_id")
+    return keyed.select("review_id", "verified_reviews", "rating")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Emoji lexicon ``Emoji, Negative, Neutral, Positive, Occurrences``."""
-    return _read_named(spark, path, LEXICON_COLUMNS, multiline=False)
+    return _read_named(spark, path, LEXICON_COLUMNS, multiline=False).drop("_path")
 
 
 def _flatten_arrays(df: DataFrame) -> DataFrame:
@@ -59,7 +62,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     out = _flatten_arrays(df)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (out.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_bundle(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:

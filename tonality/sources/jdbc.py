@@ -25,9 +25,13 @@ def read_comments(spark: SparkSession, table: str = "product_comments", url: str
 
 
 def write_sentiments(df: DataFrame, table: str = "product_sentiments", url: str | None = None,
-                     properties: dict | None = None, mode: str = "overwrite") -> None:
-    """Replace the output table with ``id, sentiment`` (and any other columns given)."""
+                     properties: dict | None = None, mode: str = "overwrite",
+                     num_partitions: int = 16, batch_size: int = 10_000) -> None:
+    """Replace the output table with ``id, sentiment`` (and any other columns given).
+
+    A JDBC target sees at most ``num_partitions`` connections, each writing ``batch_size`` rows a time."""
     if url is None:
         df.write.mode(mode).saveAsTable(table)
     else:
-        df.write.mode(mode).jdbc(url, table, properties=dict(properties or {}))
+        (df.write.mode(mode).option("numPartitions", num_partitions).option("batchsize", batch_size)
+         .jdbc(url, table, properties=dict(properties or {})))

@@ -7,8 +7,6 @@ tables it is read from.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,42 +19,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 PAGE_CLASS_PATTERN = r"^https?://[^/]+/([a-z]+)/"
 
 
-# Local inputs in this size range are spread over all cores after the scan (see ``table``).
-SPREAD_MIN_BYTES = 4 << 20
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def _local_size(path: str) -> int | None:
-    p = path[len("file:"):] if path.startswith("file:") else path
-    if "://" in p or not os.path.exists(p):
-        return None
-    if os.path.isdir(p):
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs)
-    return os.path.getsize(p)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read a driver table.
-
-    A parquet row group is read by one task, and the driver tables are single-row-group files;
-    a small local file of a few MB would then be processed by one core. Such inputs (between
-    ``SPREAD_MIN_BYTES`` and ``SPREAD_MAX_BYTES``) get a round-robin repartition to the
-    session's parallelism right after the scan (column pruning and filters still reach the
-    scan). Large or remote inputs arrive in many splits already and are left as read. Only the
-    text tables ask for it: their per-row work (regexes, tokenising, hashing) outweighs the
-    shuffle, while narrow tables are faster read by one task.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    size = _local_size(path) if spread else None
-    if size is not None and SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table: one plan at every size and place."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews stand-in: ``review_id, verified_reviews, rating`` from ``documents``; rating = doc_id % 5 + 1."""
-    return table(spark, sf_dir, "documents", spread=True).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("verified_reviews"),
         (F.col("doc_id") % 5 + 1).cast("double").alias("rating"))
 
@@ -105,7 +75,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-folder stand-in: each page is a file, its language path segment is the folder."""
-    return table(spark, sf_dir, "pages", spread=True).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id", F.col("url").alias("path"),
         F.nullif(F.regexp_extract("url", PAGE_CLASS_PATTERN, 1), F.lit("")).alias("category"))
 
@@ -132,10 +102,18 @@ def modality_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request rows (``text, emoji, sticker``): one per conversation turn (every role), text only."""
-    return table(spark, sf_dir, "conversations", spread=True).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text",
-        F.lit(None).cast("string").alias("emoji"), F.lit(None).cast("string").alias("sticker"))
+    """Request rows: one per conversation turn (every role), keyed ``conv_id-turn``.
+
+    All three modalities occur: every second turn has an emoji and every third a sticker (texts
+    derived from the role and the conversation), every fifth turn of those has no text.
+    """
+    turn = F.col("turn")
+    has_emoji, has_sticker = turn % 2 == 0, turn % 3 == 0
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("request_id"),
+        F.when(~((has_emoji | has_sticker) & (F.col("conv_id") % 5 == 0)), F.col("text")).alias("text"),
+        F.when(has_emoji, F.substring("role", 1, 2)).alias("emoji"),
+        F.when(has_sticker, F.concat(F.lit("Sticker"), (F.col("conv_id") % 7).cast("string"))).alias("sticker"))
 
 
 def page_vectors(spark: SparkSession, sf_dir: str, dim: int = 16) -> DataFrame:
@@ -143,15 +121,15 @@ def page_vectors(spark: SparkSession, sf_dir: str, dim: int = 16) -> DataFrame:
     (split on non-letters), ``dim`` wide. Pages are fewer than embeddings at small scale factors
     and more at larger ones, so positional alignment both pads and cuts."""
     from tonality.operators.encode import hash_embed
-    p = table(spark, sf_dir, "pages", spread=True).select(
+    p = table(spark, sf_dir, "pages").select(
         "page_id", F.filter(F.split(F.lower("url"), "[^a-z]+"), lambda w: F.length(w) > 0).alias("_w"))
     return hash_embed(p, "_w", dim, "s_vec").select("page_id", "s_vec")
 
 
 def turn_vectors(spark: SparkSession, sf_dir: str, dim: int = 32) -> DataFrame:
-    """A third modality: ``turn_id, e_vec`` = hashed words of each conversation turn."""
+    """A third modality: ``conv_id, turn, e_vec`` = hashed words of each conversation turn."""
     from tonality.functions.text import clean_ascii, words
     from tonality.operators.encode import hash_embed
-    c = table(spark, sf_dir, "conversations", spread=True).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), words(clean_ascii("text"), 1).alias("_w"))
-    return hash_embed(c, "_w", dim, "e_vec").select("turn_id", "e_vec")
+    c = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", words(clean_ascii("text"), 1).alias("_w"))
+    return hash_embed(c, "_w", dim, "e_vec").select("conv_id", "turn", "e_vec")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tonality.plans.scoring import ScoringModel, score_messages
 
 REQUEST_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType(), True),
+    T.StructField("request_id", T.StringType(), True),
     T.StructField("text", T.StringType(), True),
     T.StructField("emoji", T.StringType(), True),
     T.StructField("sticker", T.StringType(), True),
