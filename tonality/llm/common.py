@@ -60,6 +60,21 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make: Callable):
+    """What a Python worker remembers from batch to batch and task to task (tables of known words).
+
+    One entry only: when another operator's tasks reach the worker, the tables of the one before go,
+    so a job of many operators needs no more memory than its largest.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def word_offsets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word in ``b" ".join(words)``."""
     n = np.fromiter(map(len, words), np.int64, len(words))

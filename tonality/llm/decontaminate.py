@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.llm.common import arrow_map, text_hash, texts
+from tonality.llm.common import arrow_map, column_bytes, text_hash, texts, worker_state
 from tonality.session import materialize
 
 # Words read as units and as numbers.
@@ -46,72 +48,88 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 MEASURE = re.compile(r"[+-]?[$€£]?(\d[\d.,:/]*)([^\W\d_]+)")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE_END = re.compile(r"[.!?:;][\W_]*$")
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
+BREAK = "\0"  # stands for a line break: no token, but a sentence ends
+LINE_BREAK = b" \0 "
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd; weights of the positions in a window
-VOCABULARY = 400_000  # words remembered per task before the table starts anew
+VOCABULARY = 400_000  # words remembered per worker before the table starts anew
+CHUNK = 1 << 22  # bytes of text worked on at a time
 
 
-class Template:
-    """Words to template codes, remembered per word: code within and at the start of a sentence."""
+class Template(dict):
+    """Words (UTF-8) to numbers, remembered from batch to batch; per number the template codes."""
 
     def __init__(self) -> None:
-        self.inside = np.zeros(1 << 12, np.uint64)  # code of the template token (0: none)
-        self.first = np.zeros(1 << 12, np.uint64)
+        super().__init__()
+        self.inside = np.zeros(1 << 12, np.uint64)  # code of the template token within a sentence (0: none)
+        self.first = np.zeros(1 << 12, np.uint64)  # and at its start
         self.slot = np.zeros((1 << 12, 2), bool)  # whether it is a slot: within, at the start
-        self.ends = np.zeros(1 << 12, bool)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.value: list[str] = []
-
-    def add(self, word: str) -> int:
-        core = EDGE.sub("", word)
-        low = core.lower()
-        if NUMBER.fullmatch(core) or low in NUMBERS:
-            inside = first = "num"
-        elif low in UNITS or core in "%°" and core:
-            inside = first = "unit"
-        elif (m := MEASURE.fullmatch(core)) and m[2].lower() in UNITS:
-            inside = first = "measure"
-        else:
-            first = ""
-            inside = "name" if core[:1].isupper() and core[1:].islower() else ""
-        code = lambda kind: xxhash.xxh64_intdigest(f"\0{kind}" if kind else low) | 1
-        n = len(self.value)
+        self.ends = np.zeros(1 << 12, bool)  # whether a sentence ends here
+        self.values: dict[int, str] = {}  # of words that can be slots
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
         if n == len(self.ends):
             for name in ("inside", "first", "slot", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.inside[n], self.first[n] = (code(inside), code(first)) if core else (0, 0)
+        text = word.decode()
+        core = EDGE.sub("", text)
+        low, inside, first = core.lower(), "", ""
+        if not (core.islower() and core.isalpha()) or low in UNITS or low in NUMBERS:
+            inside, first = slot_kinds(core, low)
+        self.inside[n], self.first[n] = (template_code(inside, low), template_code(first, low)) if core else (0, 0)
         self.slot[n] = bool(inside), bool(first)
-        self.ends[n] = bool(SENTENCE_END.search(word))
-        self.value.append(low)
-        self.index[word] = n
+        self.ends[n] = not text.isalpha() and (text == BREAK or bool(SENTENCE_END.search(text)))
+        if inside:
+            self.values[n] = low
+        self[word] = n
         return n
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Codes, slot flags and word indexes of the template tokens of a text."""
-        if len(self.index) > VOCABULARY:
-            self.clear()
-        index, ids, starts = self.index, [], [0]
-        for line in text.split("\n"):
-            for w in SPACES.split(line):
-                if w:
-                    i = index.get(w)
-                    ids.append(self.add(w) if i is None else i)
-            starts.append(len(ids))
-        if not ids:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), []
-        at = np.array(ids)
-        start = np.zeros(len(ids) + 1, bool)
-        start[starts] = True
-        start[1:] |= self.ends[at]
-        start = start[:-1]
-        code = np.where(start, self.first[at], self.inside[at])
-        real = code != 0
-        flag = np.where(start, self.slot[at, 1], self.slot[at, 0])
-        return code[real], flag[real], at[real]
+
+def slot_kinds(core: str, low: str) -> tuple[str, str]:
+    """The slot type of a word within a sentence and at its start; empty for a plain word."""
+    if NUMBER.fullmatch(core) or low in NUMBERS:
+        return "num", "num"
+    if low in UNITS:
+        return "unit", "unit"
+    if (m := MEASURE.fullmatch(core)) and m[2].lower() in UNITS:
+        return "measure", "measure"
+    return ("name" if core[:1].isupper() and core[1:].islower() else ""), ""
+
+
+def template_code(kind: str, low: str) -> int:
+    return xxhash.xxh64_intdigest(f"\0{kind}" if kind else low) | 1
+
+
+@dataclass
+class Tokens:
+    """The template tokens of several texts in one row: codes, slot flags, word numbers, owner text, place in it."""
+
+    code: np.ndarray
+    slot: np.ndarray
+    word: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    size: np.ndarray  # tokens of each text
+
+
+def tokens(template: Template, texts: list[bytes | None]) -> Tokens:
+    if len(template) > VOCABULARY:
+        template.clear()
+        template.values.clear()
+    split = [t.replace(b"\n", LINE_BREAK).split() if t else [] for t in texts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    word = np.fromiter(map(template.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    start = np.ones(len(word), bool)
+    start[1:] = (owner[1:] != owner[:-1]) | template.ends[word[:-1]]
+    code = np.where(start, template.first[word], template.inside[word])
+    real = code != 0
+    slot = np.where(start, template.slot[word, 1], template.slot[word, 0])[real]
+    owner = owner[real]
+    size = np.bincount(owner, minlength=len(texts))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return Tokens(code[real], slot, word[real], owner, place, size)
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -129,20 +147,26 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _windows(template: Template, text: str, sizes: list[int], allowed=None) -> Iterator[tuple]:
-    """``(hash, position, number of tokens, slot values)`` of the windows that ``allowed`` lets pass."""
-    codes, slot, at = template.tokens(text)
-    for size in sizes:
-        h = window_hashes(codes, size)
-        if not len(h):
-            continue
-        slots = np.convolve(slot, np.ones(size, int), "valid") if slot.any() else np.zeros(len(h), int)
-        ok = slots * 2 <= size
-        if allowed is not None:
-            ok &= allowed(h)
-        for p in np.flatnonzero(ok).tolist():
-            values = [template.value[at[j]] for j in range(p, p + size) if slot[j]]
-            yield int(h[p].astype(np.int64)), p, len(codes), values
+def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool = False) -> Iterator[tuple]:
+    """``(owner, hash, place, size, tokens, slot values)`` of the usable windows that ``allowed`` lets pass.
+
+    A window lies within one text and has no more slots than plain words; with ``whole`` it is the whole text.
+    """
+    h = window_hashes(t.code, size)
+    n = len(h)
+    if not n:
+        return
+    ok = t.owner[:n] == t.owner[size - 1:]
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    ok &= (slots[size:] - slots[:n]) * 2 <= size
+    if whole:
+        ok &= t.size[t.owner[:n]] == size
+    if allowed is not None:
+        ok &= allowed(h)
+    for p in np.flatnonzero(ok).tolist():
+        values = [template.values[w] for w in t.word[p:p + size][t.slot[p:p + size]].tolist()]
+        owner = int(t.owner[p])
+        yield owner, int(h[p].astype(np.int64)), int(t.place[p]), size, int(t.size[owner]), values
 
 
 WINDOW_SCHEMA = "hash long, pos int, size int, tokens int, slots array<string>"
@@ -153,22 +177,22 @@ def item_windows(benchmark: DataFrame, window: int = 8) -> DataFrame:
     src = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        template, rows, owner = Template(), [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            n = len(template.tokens(text or "")[0])
-            size = min(window, n)
-            for h, p, n, v in _windows(template, text or "", [size] if n else []):
-                rows.append((h, p, size, n, v))
-                owner.append(i)
-        return _batch(rows, {"item_id": batch.column("item_id").take(pa.array(owner, pa.int64()))})
+        template = Template()
+        t = tokens(template, column_bytes(batch, "text"))
+        rows = list(windows(template, t, window))
+        for size in sorted(set(t.size[(t.size > 0) & (t.size < window)].tolist())):
+            rows += windows(template, t, size, whole=True)
+        return _batch(rows, batch, ["item_id"])
     return arrow_map(src, run, f"item_id {src.schema['item_id'].dataType.simpleString()}, {WINDOW_SCHEMA}")
 
 
-def _batch(rows: list[tuple], ids: dict) -> pa.RecordBatch:
-    h, p, size, n, v = zip(*rows) if rows else ([], [], [], [], [])
+def _batch(rows: list[tuple], batch: pa.RecordBatch, ids: list[str]) -> pa.RecordBatch:
+    owner, h, p, size, n, v = zip(*rows) if rows else ([],) * 6
+    own = pa.array(owner, pa.int64())
     arrays = [pa.array(h, pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int32()), pa.array(n, pa.int32()),
               pa.array(v, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([*ids.values(), *arrays], names=[*ids, "hash", "pos", "size", "tokens", "slots"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ids), *arrays],
+                                      names=[*ids, "hash", "pos", "size", "tokens", "slots"])
 
 
 def hash_bitmap(windows: DataFrame, bits: int) -> np.ndarray:
@@ -192,27 +216,20 @@ def document_windows(docs: DataFrame, sizes: list[int], bitmap, bits: int) -> Da
         def allowed(h: np.ndarray) -> np.ndarray:
             top = h >> np.uint64(64 - bits)
             return (words[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
-        template, rows, owner = _template(), [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for size in sizes:
-                for h, p, n, v in _windows(template, text or "", [size], allowed):
-                    rows.append((h, p, size, n, v))
-                    owner.append(i)
-        owner = pa.array(owner, pa.int64())
-        return _batch(rows, {"d1": batch.column("d1").take(owner), "d2": batch.column("d2").take(owner)})
+        template, rows, group, size, first = worker_state(("template",), Template), [], [], 0, 0
+        data = column_bytes(batch, "text")
+        for i, text in enumerate(data):
+            group.append(text)
+            size += len(text or b"")
+            if size > CHUNK or i == len(data) - 1:
+                t = tokens(template, group)
+                for k in sizes:
+                    rows += [(first + o, *rest) for o, *rest in windows(template, t, k, allowed)]
+                group, size, first = [], 0, i + 1
+        return _batch(rows, batch, ["d1", "d2"])
     return arrow_map(src, run, f"d1 {src.schema['d1'].dataType.simpleString()}, d2 long, {WINDOW_SCHEMA}")
 
 
-_TEMPLATES: list[Template] = []
-
-
-def _template() -> Template:
-    """The worker's own table of words, kept from batch to batch."""
-    if not _TEMPLATES:
-        _TEMPLATES.append(Template())
-    return _TEMPLATES[0]
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, filter_bits: int = 24) -> DataFrame:
     """``d1, d2, item_id`` for each document (id, text hash) and the items it contains."""
     items = materialize(item_windows(benchmark, window), "benchmark-windows")
