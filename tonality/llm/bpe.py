@@ -31,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from tonality.llm.common import arrow_map
-
-WORDS = 500_000  # words remembered per task before the table starts anew; the same for chunks between white space
-PAIRS = 2_000_000
-SHORT = 48  # symbols; longer words are merged with a heap
+from tonality.llm.common import arrow_map, worker_state
+
+WORDS = 200_000  # words remembered per worker before the table starts anew
+CHUNKS = 400_000  # the same for what stands between white space
+PAIRS = 1_000_000
+SHORT = 40  # bytes; shorter words are worked on together as rows of a matrix, longer ones one by one
+BASE = np.uint64(0x9E3779B97F4A7C15)  # of the polynomial hashes of byte runs
+NONE = 1 << 30
+ROWS = 1 << 14  # of a matrix
 # Texts of these characters only need no normalising but lower case: no combining marks, no odd white space.
 PLAIN = regex.compile(r"[\t\n\r -~\u00A1-\u00AC\u00AE-\u012F\u0131-\u024F]*+")
 
@@ -47,6 +51,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte runs as the rows of a matrix, and their lengths."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs))
+    width = int(size.max())
+    return np.frombuffer(b"".join([r.ljust(width, b"\0") for r in runs]), np.uint8).reshape(len(runs), width), size
+
+
 class WordBpe:
     """One tokenizer file: encoding by speculate and verify, and decoding."""
 
@@ -65,17 +76,15 @@ class WordBpe:
         self.normalize = library.normalizer.normalize_str  # Unicode tables as the library has them
         self.split_any = library.pre_tokenizer.pre_tokenize_str
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.longest: dict[str, int] = {}  # of the tokens with the same first two characters
-        for name in self.vocab:
-            self.longest[name[:2]] = max(len(name), self.longest.get(name[:2], 0))
         table = {b: s for b, s in enumerate(self.symbol) if chr(b) != s}
         self.shown = lambda word: word.encode().decode("latin-1").translate(table)
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
         self.words: dict[str, str] = {}  # ids as text, by word
         self.chunks: dict[str, str] = {}  # and by what stands between white space
         self.names_by_text: dict[str, str] = {}
+        self.id_text = {i: str(i) for i in self.names}
+        self._tables()
         self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)  # known pairs, sorted
-        self.token_symbols: dict[int, list[str]] = {}
 
     # ------------------------------------------------------------------ words of a text
 
@@ -89,41 +98,63 @@ class WordBpe:
         out[-1] += self.suffix
         return out
 
+    def _tables(self) -> None:
+        """The vocabulary as sorted arrays: byte runs by hash, merges by pair of ids."""
+        back = {s: b for b, s in enumerate(self.symbol)}
+        self.first_id = np.array([self.vocab[s] for s in self.symbol])  # of each byte
+        self.last_id = np.array([self.vocab[s + self.suffix] for s in self.symbol])  # of each byte that ends a word
+        self.run: dict[int, tuple[bytes, bool]] = {}  # of each token: its bytes, and whether it ends a word
+        hashes, ids, self.longest = [], [], np.ones(1 << 16, np.int64)  # longest token by its first two bytes
+        for name, i in self.vocab.items():
+            last = name.endswith(self.suffix) and len(name) > len(self.suffix)
+            run = bytes(back[c] for c in (name[:-len(self.suffix)] if last else name))
+            self.run[i] = run, last
+            h = 0
+            for b in run:
+                h = (h * int(BASE) + b + 1) % (1 << 64)
+            hashes.append(h << 1 & (1 << 64) - 1 | last)
+            ids.append(i)
+            if len(run) > 1:
+                at = run[0] << 8 | run[1]
+                self.longest[at] = max(self.longest[at], len(run))
+        order = np.argsort(np.array(hashes, np.uint64))
+        self.run_hash, self.run_id = np.array(hashes, np.uint64)[order], np.array(ids)[order]
+        pairs = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in self.rank])
+        order = np.argsort(pairs)
+        self.pair_key, self.pair_rank = pairs[order], order  # ranks are places in the file
+        self.pair_id = np.array([self.vocab[a + b] for a, b in self.rank])[order]
+
     # ------------------------------------------------------------------ speculate
 
-    def propose(self, shown: str) -> list[int]:
-        """Greedy longest match over the byte symbols of a word."""
-        vocab, longest, end, out, i = self.vocab, self.longest, len(shown), [], 0
-        shown += self.suffix
-        while i < end:
-            most = i + longest.get(shown[i:i + 2], 1)
-            t = vocab.get(shown[i:]) if most >= len(shown) or i == end - 1 else None
-            if t is not None:  # the last token carries the suffix
-                out.append(t)
-                break
-            for j in range(min(end - 1, most), i, -1):
-                t = vocab.get(shown[i:j])
-                if t is not None:
-                    break
-            out.append(t)
-            i = j
+    def propose(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Greedy longest match: one row of token ids (then -1) for each row of ``size`` bytes of ``data``."""
+        rows, width = data.shape
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(width, BASE)]))
+        run = np.zeros((rows, width + 1), np.uint64)
+        for k in range(width):
+            run[:, k + 1] = run[:, k] * BASE + data[:, k] + np.uint64(1)
+        out = np.full((rows, width), -1, np.int64)
+        at, row, step = np.zeros(rows, np.int64), np.arange(rows), 0
+        while len(row):
+            left = size[row] - at[row]
+            second = np.where(left > 1, data[row, np.minimum(at[row] + 1, width - 1)], 0).astype(np.int64)
+            most = np.where(left > 1, np.minimum(self.longest[data[row, at[row]].astype(np.int64) << 8 | second], left), 1)
+            token, used = np.full(len(row), -1, np.int64), np.zeros(len(row), np.int64)
+            for n in range(int(most.max()), 0, -1):
+                open_ = np.flatnonzero((token < 0) & (most >= n))
+                r, start = row[open_], at[row[open_]]
+                h = (run[r, start + n] - run[r, start] * power[n]) << np.uint64(1) | (n == left[open_])
+                found = np.searchsorted(self.run_hash, h)
+                found[found == len(self.run_hash)] = 0
+                ok = self.run_hash[found] == h
+                token[open_[ok]], used[open_[ok]] = self.run_id[found[ok]], n
+            out[row, step] = token
+            at[row] += used
+            row, step = row[at[row] < size[row]], step + 1
         return out
 
     # ------------------------------------------------------------------ verify
 
-    def parts(self, token: int) -> list[str]:
-        """The byte symbols of a token, the last with its suffix."""
-        got = self.token_symbols.get(token)
-        if got is None:
-            name = self.names[token]
-            if name.endswith(self.suffix) and len(name) > len(self.suffix):
-                got = list(name[:-len(self.suffix)])
-                got[-1] += self.suffix
-            else:
-                got = list(name)
-            self.token_symbols[token] = got
-        return got
-
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the symbols of each two tokens, merged together, give just these two tokens."""
         pairs = left.astype(np.int64) << 32 | right
@@ -133,31 +164,67 @@ class WordBpe:
             if len(self.good) + len(self.bad) > PAIRS:
                 self.good = self.bad = np.zeros(0, np.int64)
                 new = wanted
-            ok = np.array([self.merge(self.parts(p >> 32) + self.parts(p & 0xFFFFFFFF)) == [p >> 32, p & 0xFFFFFFFF]
-                           for p in new.tolist()], bool)
+            ok = np.concatenate([self.merges_to(new[a:a + ROWS]) for a in range(0, len(new), ROWS)])
             self.good, self.bad = np.union1d(self.good, new[ok]), np.union1d(self.bad, new[~ok])
         at = np.searchsorted(self.good, pairs)
         at[at == len(self.good)] = 0
         return self.good[at] == pairs if len(self.good) else np.zeros(len(pairs), bool)
 
-    def merge(self, symbols: list[str]) -> list[int]:
-        """Exact merging by rank, then place."""
-        if len(symbols) > SHORT:
-            return self.merge_long(symbols)
-        part, rank, none = list(symbols), self.rank.get, len(self.rank)
-        ranks = [rank(p, none) for p in zip(part, part[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            part[i:i + 2] = [part[i] + part[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((part[i - 1], part[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((part[i], part[i + 1]), none)
-        return [self.vocab[p] for p in part]
+    def merges_to(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each pair of tokens merge to just this pair."""
+        runs = [self.run[p >> 32][0] + self.run[p & 0xFFFFFFFF][0] for p in pairs.tolist()]
+        final = np.array([self.run[p & 0xFFFFFFFF][1] for p in pairs.tolist()])
+        got = self.merge(*padded(runs), final)
+        both = (got >= 0).sum(axis=1) == 2
+        first = got[:, 0]
+        second = got[:, 1:].max(axis=1)  # the only other part, where there are two
+        return both & (first == pairs >> 32) & (second == pairs & 0xFFFFFFFF)
+
+    def merge(self, data: np.ndarray, size: np.ndarray, final: np.ndarray | None = None) -> np.ndarray:
+        """Exact merging by rank, then place, of all rows at once; -1 where no token starts.
+
+        ``final``: whether a row's last byte ends a word (all do if it is not given).
+        """
+        rows, width = data.shape
+        token = self.first_id[data]
+        last = np.arange(rows) if final is None else np.flatnonzero(final)
+        token[last, size[last] - 1] = self.last_id[data[last, size[last] - 1]]
+        place = np.arange(width)
+        token[place >= size[:, None]] = -1
+        after = np.where(place + 1 < size[:, None], place + 1, width)  # linked list of the parts of each row
+        before = np.broadcast_to(place - 1, (rows, width)).copy()
+        token = np.concatenate([token, np.full((rows, 1), -1)], axis=1)  # what stands after the last part
+        rank, merged = np.full((rows, width), NONE), np.zeros((rows, width), np.int64)
+
+        def rate(r: np.ndarray, i: np.ndarray) -> None:
+            right = token[r, after[r, i]]
+            key = token[r, i] << 32 | right
+            found = np.searchsorted(self.pair_key, key)
+            found[found == len(self.pair_key)] = 0
+            ok = (self.pair_key[found] == key) & (right >= 0)
+            rank[r, i] = np.where(ok, self.pair_rank[found], NONE)
+            merged[r, i] = self.pair_id[found]
+
+        r, i = np.nonzero(place + 1 < size[:, None])
+        rate(r, i)
+        row = np.arange(rows)
+        while len(row):
+            i = rank[row].argmin(axis=1)
+            go = rank[row, i] < NONE
+            row, i = row[go], i[go]
+            j = after[row, i]
+            token[row, i] = merged[row, i]
+            token[row, j], rank[row, j] = -1, NONE
+            after[row, i] = after[row, j]
+            inner = after[row, i] < width
+            before[row[inner], after[row, i][inner]] = i[inner]
+            rate(row, i)
+            back = before[row, i] >= 0
+            rate(row[back], before[row, i][back])
+        return token[:, :width]
 
     def merge_long(self, symbols: list[str]) -> list[int]:
-        """The same with a heap over a linked list: n log n for a word of n symbols."""
+        """The same for one row of symbols, with a heap over a linked list: n log n for n symbols."""
         n = len(symbols)
         part, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.rank.get((part[i], part[i + 1]))) is not None]
@@ -185,25 +252,34 @@ class WordBpe:
         words = [w for w in words if w not in self.words]
         if not words:
             return
-        shown = [self.shown(w) for w in words]
-        guess = [self.propose(s) for s in shown]
-        size = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter((t for g in guess for t in g), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(guess)), size)
-        inside = owner[1:] == owner[:-1]
-        ok = self.compatible(flat[:-1][inside], flat[1:][inside])
-        fails = np.zeros(len(guess), bool)
-        fails[owner[1:][inside][~ok]] = True
-        for i in np.flatnonzero(fails).tolist():
-            guess[i] = self.merge([*shown[i][:-1], shown[i][-1] + self.suffix])
-        for w, g in zip(words, guess):
-            self.words[w] = " ".join(map(str, g))
+        data = [w.encode() for w in words]
+        for a in range(0, len(words), ROWS):
+            short = [k for k in range(a, min(a + ROWS, len(words))) if len(data[k]) <= SHORT]
+            if short:
+                self.words.update(zip([words[k] for k in short], self.encode_rows([data[k] for k in short])))
+        for w, d in zip(words, data):
+            if len(d) > SHORT:
+                self.words[w] = " ".join(map(str, self.merge_long(self.symbols(w))))
+
+    def encode_rows(self, data: list[bytes]) -> list[str]:
+        """Ids as text of short words: speculate, verify, merge the rest."""
+        bytes_, size = padded(data)
+        guess = self.propose(bytes_, size)
+        r, c = np.nonzero(guess[:, 1:] >= 0)
+        fails = np.zeros(len(data), bool)
+        fails[r[~self.compatible(guess[r, c], guess[r, c + 1])]] = True
+        if fails.any():
+            guess[fails] = self.merge(bytes_[fails], size[fails])
+        real = guess >= 0
+        ids = list(map(self.id_text.__getitem__, guess[real].tolist()))
+        stop = np.cumsum(real.sum(axis=1)).tolist()
+        return [" ".join(ids[x:y]) for x, y in zip([0, *stop], stop)]
 
     def encode_plain(self, texts: list[str]) -> list[str]:
         """Ids as text of PLAIN texts: they are looked up by what stands between white space."""
         split = [t.lower().split() for t in texts]
         new = {c for cs in split for c in cs}
-        if len(self.chunks) + len(new) > WORDS:
+        if len(self.chunks) + len(new) > CHUNKS:
             self.chunks.clear()
         new = [c for c in new if c not in self.chunks]
         pieces = [self.pattern.findall(c) for c in new]
@@ -238,14 +314,9 @@ class WordBpe:
         return " ".join(map(self.names_by_text.__getitem__, ids.split()))
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def tokenizer(path: str) -> WordBpe:
     """The worker's own copy, with its tables, kept from batch to batch."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return worker_state(("bpe", path), lambda: WordBpe(path))
 
 
 # What an output column holds, by name: its type, and its value from the tokenizer and the ids as text.
