@@ -200,13 +200,15 @@ class TrainResult:
 def fit_relu_classifier(feats: DataFrame, features: str = "features", label: str = "label", weight: str = "weight",
                         split_col: str = "split", hidden: int = 128, classes: int = 3, epochs: int = 50,
                         patience: int = 5, lr: float = 1e-3, steps_per_epoch: int = 1, seed: int = 42,
-                        d_in: int | None = None, checkpoint: bool = True) -> TrainResult:
+                        d_in: int | None = None, checkpoint: bool = True,
+                        start: ReluClassifier | None = None) -> TrainResult:
     """M2b + M3: class-weighted ReLU classifier, Adam, early stop on the validation loss.
 
     ``feats`` carries ``features array<double>, label int, weight double, split`` with
     ``split`` in train / val (other rows are ignored). Every step is one full pass over the
     training rows (exact weighted mean loss, batch-size free). Training stops after
     ``patience`` epochs without a strict improvement and returns the best epoch's parameters.
+    The first parameters are drawn from ``seed``, or given as ``start``.
     """
     from tonality.session import materialize
 
@@ -218,7 +220,7 @@ def fit_relu_classifier(feats: DataFrame, features: str = "features", label: str
         d_in = int(src.agg(F.max(F.size(features))).first()[0])
     if checkpoint:
         src = materialize(src, "train-features")   # reliable copy in the shared folder: each step re-reads it
-    model = ReluClassifier.seeded(d_in, hidden, classes, seed)
+    model = start or ReluClassifier.seeded(d_in, hidden, classes, seed)
     theta = model.flat()
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     b1, b2, eps = 0.9, 0.999, 1e-8
@@ -251,6 +253,18 @@ def fit_relu_classifier(feats: DataFrame, features: str = "features", label: str
     return TrainResult(model.with_flat(best_theta), history, best_epoch)
 
 
+def relu_gradient(feats: DataFrame, model: ReluClassifier, features: str = "features", label: str = "label",
+                  weight: str = "weight", split_col: str = "split") -> DataFrame:
+    """One step's result at given parameters: ``idx, value`` with the weighted mean training loss at
+    -1, the validation loss at -2 and the gradient of the training loss at 0.. (order of ``flat()``)."""
+    src = feats.select(F.col(features).cast("array<double>").alias(features), label, weight, split_col)
+    acc = _partial_gradients(src, model, model.fc1.d_in, features, label, weight, split_col)
+    n = model.flat().size
+    rows = [(-1, float(acc[n] / acc[n + 1])), (-2, float(acc[n + 2] / acc[n + 3]) if acc[n + 3] > 0 else None)]
+    rows += [(i, float(v)) for i, v in enumerate(acc[:n] / acc[n + 1])]
+    return feats.sparkSession.createDataFrame(rows, "idx int, value double")
+
+
 def history_frame(spark: SparkSession, res: TrainResult, run_id: str = "run") -> DataFrame:
     return spark.createDataFrame([(run_id, e, tl, vl) for e, tl, vl in res.history],
                                  "run_id string, epoch int, train_loss double, val_loss double")

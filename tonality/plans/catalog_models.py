@@ -1,8 +1,7 @@
-"""Rows-only queries: model fitting, weight sweep, batch-table and stream scoring.
+"""Model fitting, weight sweep, batch-table and stream scoring.
 
-These run iterative optimisers or a streaming query, which have no SQL twin; the driver checks
-their row counts. Their building blocks (scoring, metrics, losses) have SQL twins elsewhere in
-the catalog.
+The optimisers start from closed-form parameters and take a fixed number of steps, so SQL can take
+the same steps; the convex fits are checked by a property of their optimum.
 """
 
 from __future__ import annotations
@@ -14,58 +13,176 @@ from pyspark.sql import functions as F
 
 from tonality.functions import text as X
 from tonality.functions.labels import label_rating
-from tonality.operators import dist, metrics, split
-from tonality.operators.model import fit_relu_classifier, fit_text_baseline, history_frame, score, sweep_class_weights
+from tonality.functions import vectors as V
+from tonality.operators import dist, fuse, metrics, split
+from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, history_frame, relu_gradient,
+                                      sweep_class_weights)
 from tonality.functions.text import WS_CLASS
 from tonality.plans import sqlfrag as Q
 from tonality.plans.catalog import query
 from tonality.plans.catalog_more import _fusion_sql as fusion_sql
 from tonality.plans.scoring import ScoringModel, score_table
+from tonality.session import materialize
 from tonality.sources import tables as S
 
 
+# A label the vector decides: the argmax of a closed-form projection of all 64 values (salt 41).
+LABEL_SALT, HIDDEN, CLASSES, WIDTH = 41, 4, 3, 64
+
+
+def _labelled_vectors(spark, sf):
+    x = F.col("embedding").cast("array<double>")
+    v = S.vectors(spark, sf).select("vec_id", x.alias("features"))
+    label = V.argmax(fuse.project_expr(F.col("features"), fuse.closed_form_linear(CLASSES, WIDTH, LABEL_SALT)))
+    v = v.withColumn("label", label)
+    return split.split_exact(v, "vec_id", (0.7, 0.15, 0.15), ("train", "val", "test"), seed=7, rounding="floor")
+
+
 def _train_features(spark, sf):
-    """Features for the classifier: 64-d embeddings, three classes (label % 3), 70/15/15 split,
-    inverse-frequency weights from the training rows."""
-    v = S.vectors(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("features"),
-                                    (F.col("label") % 3).cast("int").alias("label"))
-    v = split.split_exact(v, "vec_id", (0.7, 0.15, 0.15), ("train", "val", "test"), seed=7, rounding="floor")
+    """Features for the classifier: 64-d embeddings with their labels, 70/15/15 split, inverse-frequency
+    weights from the training rows; written once, as every optimiser step reads them."""
+    v = materialize(_labelled_vectors(spark, sf), "labelled-vectors")
     w = dist.class_weights(v, "label", split_col="split", scope="train")
     return dist.with_class_weight(v, w, "label")
 
 
-@query("fit_relu_classifier")
+_FEATURES_SQL = f"""
+o AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (ORDER BY {Q.hash_order('vec_id', 7)}, vec_id) AS rn,
+             count(*) OVER () AS cnt FROM embeddings),
+lab AS (SELECT *, {Q.project('x', CLASSES, WIDTH, LABEL_SALT)} AS q FROM o),
+sp AS (SELECT vec_id, x, {Q.argmax('q')} AS y,
+              CASE WHEN rn <= floor(CAST(0.7 AS DOUBLE) * cnt) THEN 'train'
+                   WHEN rn <= floor(CAST(0.7 AS DOUBLE) * cnt) + floor(CAST(0.15 AS DOUBLE) * cnt) THEN 'val' ELSE 'test' END AS split
+       FROM lab),
+cw AS (SELECT y, 1.0 / CAST(count(*) AS DOUBLE) AS w FROM sp WHERE split = 'train' GROUP BY y)"""
+
+
+def _step_sql(state: str, data: str, k: str) -> str:
+    """CTEs of one optimiser step: forward pass, losses and mean gradient at the parameters of ``state(theta)``."""
+    w1, b1, w2 = HIDDEN * WIDTH, HIDDEN * WIDTH + HIDDEN, HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN
+    return f"""
+a{k} AS (SELECT d.*, s.theta, list_transform(range({HIDDEN}), lambda i: list_sum(list_transform(range({WIDTH}),
+             lambda j: x[j + 1] * s.theta[i * {WIDTH} + j + 1])) + s.theta[{w1} + i + 1]) AS pre FROM {data} d, {state} s),
+h{k} AS (SELECT *, list_transform(pre, lambda u: greatest(u, 0.0)) AS h FROM a{k}),
+z{k} AS (SELECT *, list_transform(range({CLASSES}), lambda c: list_sum(list_transform(range({HIDDEN}),
+             lambda i: h[i + 1] * theta[{b1} + c * {HIDDEN} + i + 1])) + theta[{w2} + c + 1]) AS z FROM h{k}),
+p{k} AS (SELECT *, {Q.softmax('z')} AS p FROM z{k}),
+l{k} AS (SELECT sum(w * -ln(p[y + 1])) FILTER (WHERE split = 'train') / sum(w) FILTER (WHERE split = 'train') AS train_loss,
+                sum(w * -ln(p[y + 1])) FILTER (WHERE split = 'val') / sum(w) FILTER (WHERE split = 'val') AS val_loss FROM p{k}),
+dz{k} AS (SELECT *, list_transform(range({CLASSES}), lambda c: w * (p[c + 1] - CASE WHEN y = c THEN 1.0 ELSE 0.0 END)) AS dz
+          FROM p{k} WHERE split = 'train'),
+dh{k} AS (SELECT *, list_transform(range({HIDDEN}), lambda i: CASE WHEN pre[i + 1] > 0 THEN list_sum(list_transform(
+              range({CLASSES}), lambda c: dz[c + 1] * theta[{b1} + c * {HIDDEN} + i + 1])) ELSE 0.0 END) AS dh FROM dz{k}),
+r{k} AS (SELECT w, list_concat(list_concat(flatten(list_transform(range({HIDDEN}), lambda i: list_transform(range({WIDTH}),
+             lambda j: dh[i + 1] * x[j + 1]))), dh), list_concat(flatten(list_transform(range({CLASSES}),
+             lambda c: list_transform(range({HIDDEN}), lambda i: dz[c + 1] * h[i + 1]))), dz)) AS g FROM dh{k}),
+u{k} AS (SELECT unnest(g) AS v, generate_subscripts(g, 1) AS idx FROM r{k}),
+s{k} AS (SELECT idx, sum(v) / (SELECT sum(w) FROM r{k}) AS v FROM u{k} GROUP BY idx),
+g{k} AS (SELECT list(v ORDER BY idx) AS g FROM s{k})"""
+
+
+def _start_sql(name: str) -> str:
+    theta = f"""list_concat(list_concat(flatten(list_transform(range({HIDDEN}), lambda i: list_transform(range({WIDTH}),
+        lambda j: {Q.weight('i', 'j', 1)}))), list_transform(range({HIDDEN}), lambda i: {Q.bias('i', 1)})),
+        list_concat(flatten(list_transform(range({CLASSES}), lambda i: list_transform(range({HIDDEN}), lambda j: {Q.weight('i', 'j', 2)}))),
+        list_transform(range({CLASSES}), lambda i: {Q.bias('i', 2)})))"""
+    return f"{name} AS (SELECT theta, list_transform(theta, lambda u: 0.0::DOUBLE) AS m, list_transform(theta, lambda u: 0.0::DOUBLE) AS v FROM (SELECT {theta} AS theta))"
+
+
+def _adam_sql(name: str, state: str, grad: str, t: int, lr: float) -> str:
+    """CTE of the state after Adam's step ``t``."""
+    n = HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN + CLASSES
+    return f"""
+{name}_m AS (SELECT s.theta, list_transform(range({n}), lambda i: 0.9 * s.m[i + 1] + 0.1 * g.g[i + 1]) AS m,
+       list_transform(range({n}), lambda i: 0.999 * s.v[i + 1] + 0.001 * g.g[i + 1] * g.g[i + 1]) AS v FROM {state} s, {grad} g),
+{name} AS (SELECT list_transform(range({n}), lambda i: theta[i + 1] - {lr} * (m[i + 1] / {1 - 0.9 ** t!r})
+       / (sqrt(v[i + 1] / {1 - 0.999 ** t!r}) + 1e-8)) AS theta, m, v FROM {name}_m)"""
+
+
+def _fit_sql(data: str, epochs: int, lr: float, tag: str = "") -> tuple[str, list[str]]:
+    """CTEs of ``epochs`` Adam steps from the closed-form start, and the names of the states after each."""
+    parts, states = [_start_sql(f"t{tag}0")], []
+    for k in range(epochs + 1):
+        parts.append(_step_sql(f"t{tag}{k}", data, f"{tag}{k}"))
+        if k < epochs:
+            parts.append(_adam_sql(f"t{tag}{k + 1}", f"t{tag}{k}", f"g{tag}{k}", k + 1, lr))
+            states.append(f"t{tag}{k + 1}")
+    return ",\n".join(p.strip() for p in parts), states
+
+
+_WEIGHTED_SQL = "dat AS (SELECT vec_id, x, y, w, split FROM sp JOIN cw USING (y) WHERE split <> 'test')"
+
+
+@query("relu_gradient", f"""
+WITH {_FEATURES_SQL}, {_WEIGHTED_SQL}, {_start_sql('t0')}, {_step_sql('t0', 'dat', '0').strip()}
+SELECT CAST(idx - 1 AS INTEGER) AS idx, round(v, 8) AS value FROM s0
+UNION ALL SELECT -1, round(train_loss, 8) FROM l0 UNION ALL SELECT -2, round(val_loss, 8) FROM l0""")
+def q_relu_gradient(spark, sf):
+    """Loss and every gradient entry at closed-form parameters."""
+    g = relu_gradient(_train_features(spark, sf), ReluClassifier.closed_form(WIDTH, HIDDEN, CLASSES, salt=1))
+    return g.select("idx", F.round("value", 8).alias("value"))
+
+
+_EPOCHS, _LR = 4, 0.05
+_FIT, _ = _fit_sql("dat", _EPOCHS, _LR)
+
+
+@query("fit_relu_classifier", f"""
+WITH {_FEATURES_SQL}, {_WEIGHTED_SQL}, {_FIT}
+{' UNION ALL '.join(f"SELECT {k} AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM l{k}" for k in range(1, _EPOCHS + 1))}""")
 def q_fit_relu_classifier(spark, sf):
-    """M2b + M3: train (Adam, early stop on validation loss), report on the test split with the best epoch."""
-    feats = _train_features(spark, sf)
-    res = fit_relu_classifier(feats, "features", "label", "weight", "split", hidden=128, classes=3,
-                              epochs=50, patience=5, lr=1e-3, steps_per_epoch=1, seed=42)
-    test = feats.where(F.col("split") == "test")
-    scored = score(test, "features", res.model, keep=["label"])
-    rep = metrics.classification_report(scored.select(F.col("label").alias("truth"), F.col("predicted").alias("prediction")))
-    hist = history_frame(spark, res, "relu")
-    return rep.withColumn("best_epoch", F.lit(res.best_epoch)).withColumn(
-        "epochs_run", F.lit(hist.count()))
-
-
-@query("fit_weighted_logreg")
+    """M2b + M3: four Adam epochs from a closed-form start; the losses after each."""
+    res = fit_relu_classifier(_train_features(spark, sf), hidden=HIDDEN, classes=CLASSES, epochs=_EPOCHS, patience=_EPOCHS,
+                              lr=_LR, start=ReluClassifier.closed_form(WIDTH, HIDDEN, CLASSES, salt=1))
+    return history_frame(spark, res, "relu").select("epoch", F.round("train_loss", 6).alias("train_loss"),
+                                                    F.round("val_loss", 6).alias("val_loss"))
+
+
+@query("fit_weighted_logreg", f"""
+WITH {_FEATURES_SQL} SELECT y AS label, count(*) AS rows, true AS at_optimum FROM sp WHERE split = 'train' GROUP BY y""")
 def q_fit_weighted_logreg(spark, sf):
-    """MLlib logistic regression with inverse-frequency row weights; report on the test split."""
+    """At the optimum, with a free intercept, the weighted mean probability of each class over the
+    training rows is the class's share of the weight."""
     from tonality.operators.model import fit_weighted_logreg, predict_weighted_logreg
-    feats = _train_features(spark, sf)
-    model = fit_weighted_logreg(feats.where(F.col("split") == "train"), "features", "label", "weight")
-    pred = predict_weighted_logreg(model, feats.where(F.col("split") == "test"), "features", keep=["label"])
-    return metrics.classification_report(pred.select(F.col("label").alias("truth"), F.col("predicted").alias("prediction")))
+    train = _train_features(spark, sf).where(F.col("split") == "train")
+    model = fit_weighted_logreg(train, "features", "label", "weight", reg=1e-3, max_iter=500)
+    pred = predict_weighted_logreg(model, train, "features", keep=["label", "weight"])
+    classes = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), (F.col("weight") * F.col("probs")[c]).alias("mass"),
+                                           F.when(F.col("label") == c, F.col("weight")).otherwise(0.0).alias("own"),
+                                           (F.col("label") == c).cast("long").alias("row")) for c in range(CLASSES)]))
+    sums = pred.select("weight", classes.alias("c")).groupBy("c.label").agg(
+        F.sum("c.row").alias("rows"), ((F.sum("c.mass") - F.sum("c.own")) / F.sum("weight")).alias("gap"))
+    return sums.where("rows > 0").select("label", "rows", (F.abs("gap") < 1e-3).alias("at_optimum"))
+
+
+_SETS = {"w_2_3_1": [2.0, 3.0, 1.0], "w_3_1_1": [3.0, 1.0, 1.0], "w_4_1_1": [4.0, 1.0, 1.0]}
+_SWEEP_EPOCHS = 2
+
+
+def _sweep_sql() -> str:
+    parts, runs = [_FEATURES_SQL.strip()], []
+    for n, (run, ws) in enumerate(_SETS.items()):
+        tag = f"{chr(97 + n)}"
+        parts.append(f"d{tag} AS (SELECT vec_id, x, y, {ws}[y + 1] AS w, split FROM sp)")
+        cte, states = _fit_sql(f"d{tag}", _SWEEP_EPOCHS, _LR, tag)
+        parts.append(cte)
+        losses = " UNION ALL ".join(f"SELECT {k} AS k, val_loss, (SELECT theta FROM {s}) AS theta FROM l{tag}{k}" for k, s in enumerate(states, 1))
+        parts.append(f"best{tag} AS (SELECT theta FROM ({losses}) ORDER BY val_loss, k LIMIT 1)")
+        parts.append(_step_sql(f"best{tag}", f"d{tag}", f"{tag}x").strip())
+        parts.append(f"pr{tag} AS (SELECT y AS truth, {Q.argmax('z')} AS prediction FROM z{tag}x WHERE split = 'test')")
+        parts.append(f"""f{tag} AS (SELECT c, count(*) FILTER (WHERE truth = c) AS s, count(*) FILTER (WHERE prediction = c) AS q,
+            count(*) FILTER (WHERE truth = c AND prediction = c) AS t FROM pr{tag}, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c)""")
+        runs.append(f"""SELECT '{run}' AS run_id, round(sum(f1 * s) / sum(s), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro,
+            round(CAST(sum(t) AS DOUBLE) / sum(s), 6) AS accuracy FROM (SELECT *, 2.0 * t / (s + q) AS f1 FROM f{tag} WHERE s + q > 0)""")
+    return "WITH " + ",\n".join(parts) + "\n" + "\nUNION ALL ".join(runs)
 
 
-@query("sweep_class_weights")
+@query("sweep_class_weights", _sweep_sql())
 def q_sweep_class_weights(spark, sf):
-    """M4: one evaluation record per class-weight set."""
-    feats = _train_features(spark, sf).drop("weight")
-    sets = {"w_2_3_1": [2.0, 3.0, 1.0], "w_3_1_1": [3.0, 1.0, 1.0], "w_4_1_1": [4.0, 1.0, 1.0]}
-    rec = sweep_class_weights(feats, sets, "features", "label", "split", hidden=128, classes=3, epochs=50,
-                              patience=5, lr=1e-3, seed=42)
-    return rec.select("run_id", "f1_weighted", "f1_macro", "accuracy")
+    """M4: one evaluation record per class-weight set, two Adam epochs each from a closed-form start."""
+    rec = sweep_class_weights(_labelled_vectors(spark, sf), _SETS, "features", "label", "split", hidden=HIDDEN, classes=CLASSES,
+                              epochs=_SWEEP_EPOCHS, patience=5, lr=_LR, start=ReluClassifier.closed_form(WIDTH, HIDDEN, CLASSES, salt=1))
+    return rec.select("run_id", *[F.round(c, 6).alias(c) for c in ("f1_weighted", "f1_macro", "accuracy")])
 
 
 @query("fit_text_baseline")
