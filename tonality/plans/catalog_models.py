@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from tonality.functions import text as X
 from tonality.functions.labels import label_rating
 from tonality.functions import vectors as V
-from tonality.operators import dist, fuse, metrics, split
-from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, history_frame, relu_gradient,
-                                      sweep_class_weights)
+from tonality.operators import dist, fuse, split
+from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, history_frame, predict_text_baseline,
+                                      relu_gradient, sweep_class_weights)
 from tonality.functions.text import WS_CLASS
 from tonality.plans import sqlfrag as Q
+from tonality.operators.metrics import literal_rows
 from tonality.plans.catalog import query
 from tonality.plans.catalog_more import _fusion_sql as fusion_sql
 from tonality.plans.scoring import ScoringModel, score_table
@@ -185,16 +186,60 @@ def q_sweep_class_weights(spark, sf):
     return rec.select("run_id", *[F.round(c, 6).alias(c) for c in ("f1_weighted", "f1_macro", "accuracy")])
 
 
-@query("fit_text_baseline")
+_TEXT_STEPS, _TEXT_LR = 3, 0.01
+
+
+def _text_baseline_sql() -> str:
+    """Adagrad steps of the bag-of-words classifier, unrolled; then the confusion counts on the test rows."""
+    c3 = range(CLASSES)
+    parts = [f"""
+d AS (SELECT review_id AS k, list_filter(string_split({Q.clean_ascii('verified_reviews')}, ' '), lambda w: length(w) >= 2) AS l,
+             {Q.label_ge4('rating')} AS y, row_number() OVER (ORDER BY {Q.hash_order('review_id', 42)}, review_id) AS rn,
+             count(*) OVER () AS cnt FROM ({Q.reviews()})),
+s AS (SELECT k, l, y, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM d),
+tr AS (SELECT k, y FROM s WHERE split = 'train'),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr),
+bag AS (SELECT k, split, term, CAST(count(*) AS DOUBLE) AS c FROM (SELECT k, split, unnest(l) AS term FROM s) GROUP BY 1, 2, 3),
+b AS (SELECT k, term, c FROM bag WHERE split = 'train'),
+w0 AS (SELECT DISTINCT term, {', '.join(f'0.0::DOUBLE AS w{c}, 0.0::DOUBLE AS a{c}' for c in c3)} FROM b),
+i0 AS (SELECT {', '.join(f'0.0::DOUBLE AS b{c}, 0.0::DOUBLE AS a{c}' for c in c3)})"""]
+    for t in range(_TEXT_STEPS):
+        e = " + ".join(f"exp(z{c} - top)" for c in c3)
+        parts.append(f"""
+x{t} AS (SELECT b.k, {', '.join(f'sum(c * w{c}) AS s{c}' for c in c3)} FROM b JOIN w{t} USING (term) GROUP BY b.k),
+y{t} AS (SELECT tr.k, tr.y, {', '.join(f'coalesce(s{c}, 0) + i.b{c} AS z{c}' for c in c3)} FROM tr LEFT JOIN x{t} USING (k), i{t} i),
+m{t} AS (SELECT *, greatest({', '.join(f'z{c}' for c in c3)}) AS top FROM y{t}),
+e{t} AS (SELECT *, {e} AS tot FROM m{t}),
+r{t} AS (SELECT k, ln(tot) + top - CASE y {' '.join(f'WHEN {c} THEN z{c}' for c in c3)} END AS loss,
+                {', '.join(f'exp(z{c} - top) / tot - CASE WHEN y = {c} THEN 1.0 ELSE 0.0 END AS r{c}' for c in c3)} FROM e{t}),
+g{t} AS (SELECT term, {', '.join(f'sum(c * r{c}) / (SELECT n FROM n) AS g{c}' for c in c3)} FROM b JOIN r{t} USING (k) GROUP BY term),
+f{t} AS (SELECT w.term, {', '.join(f'w.w{c}, w.a{c}, coalesce(g.g{c}, 0) + w.w{c} / (SELECT n FROM n) AS g{c}' for c in c3)}
+         FROM w{t} w LEFT JOIN g{t} g USING (term)),
+w{t + 1} AS (SELECT term, {', '.join(f'w{c} - {_TEXT_LR} * g{c} / (sqrt(a{c} + g{c} * g{c}) + 1e-8) AS w{c}, a{c} + g{c} * g{c} AS a{c}' for c in c3)} FROM f{t}),
+h{t} AS (SELECT {', '.join(f'(SELECT sum(r{c}) FROM r{t}) / (SELECT n FROM n) AS g{c}' for c in c3)}),
+i{t + 1} AS (SELECT {', '.join(f'b{c} - {_TEXT_LR} * g{c} / (sqrt(a{c} + g{c} * g{c}) + 1e-8) AS b{c}, a{c} + g{c} * g{c} AS a{c}' for c in c3)}
+         FROM i{t}, h{t})""")
+    last = _TEXT_STEPS
+    parts.append(f"""
+v AS (SELECT bag.k, {', '.join(f'sum(c * w{c}) AS s{c}' for c in c3)} FROM bag JOIN w{last} USING (term) WHERE split = 'test' GROUP BY bag.k),
+q AS (SELECT s.k, s.y, [{', '.join(f'coalesce(s{c}, 0) + i.b{c}' for c in c3)}] AS z FROM s LEFT JOIN v USING (k), i{last} i WHERE split = 'test')""")
+    losses = " UNION ALL ".join(f"SELECT 'loss {t}' AS item, round(sum(loss) / (SELECT n FROM n), 6) AS value FROM r{t}" for t in range(last))
+    return ("WITH " + ",".join(parts) + f"\n{losses} UNION ALL SELECT 'right', CAST(count(*) FILTER (WHERE y = {Q.argmax('z')}) AS DOUBLE) FROM q")
+
+
+@query("fit_text_baseline", _text_baseline_sql())
 def q_fit_text_baseline(spark, sf):
-    """M1: bag of words + multinomial logistic regression on the reviews stand-in; report on test."""
+    """M1: three Adagrad steps of the bag-of-words classifier on the reviews stand-in; the training loss
+    before each and the number of test rows it gets right."""
     r = S.reviews(spark, sf)
-    d = r.select("review_id", X.words(X.clean_ascii("verified_reviews"), 2).alias("tokens"),
-                 label_rating("rating", "ge4").alias("label"))
-    d = split.split_exact(d, "review_id", (0.2, 0.8), ("test", "train"), seed=42, rounding="ceil")
-    _, pred = fit_text_baseline(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"),
-                                "tokens", "label", C=1.0, max_iter=1000)
-    return metrics.classification_report(pred)
+    d = r.select("review_id", X.words(X.clean_ascii("verified_reviews"), 2).alias("tokens"), label_rating("rating", "ge4").alias("label"))
+    d = materialize(split.split_exact(d, "review_id", (0.2, 0.8), ("test", "train"), seed=42, rounding="ceil"), "baseline-tokens")
+    model = fit_text_baseline(d.where(F.col("split") == "train"), "review_id", steps=_TEXT_STEPS, lr=_TEXT_LR, tol=0.0)
+    test = d.where(F.col("split") == "test")
+    right = predict_text_baseline(model, test, "review_id").join(test, "review_id").agg(
+        F.lit("right").alias("item"), F.sum((F.col("predicted") == F.col("label")).cast("double")).alias("value"))
+    losses = literal_rows(spark, [(f"loss {t}", round(v, 6)) for t, v in model.history], ["item", "value"], ["string", "double"])
+    return losses.unionByName(right)
 
 
 # the words of a message, by the rule: the text in lower case, cut at runs of white space
