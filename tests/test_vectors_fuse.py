@@ -70,3 +70,13 @@ def test_params_table_roundtrip(spark):
     back = fuse.layers_from_table(fuse.params_table(spark, p.layers()))
     for k, lay in p.layers().items():
         assert np.allclose(back[k].W, lay.W) and np.allclose(back[k].b, lay.b)
+
+
+def test_arrow_nodes_carry_only_what_is_kept(spark):
+    from tonality.operators.encode import hash_embed
+
+    df = spark.createDataFrame([(1, "pad", ["a", "b"], [1.0, 2.0])], "k int, pad string, w array<string>, x array<double>")
+    for out in (hash_embed(df, "w", 8, "v", keep=["k"]), fuse.project_vector(df, "x", fuse.closed_form_linear(3, 2, 1), "v", keep=["k"])):
+        assert out.columns == ["k", "v"] and len(out.first().v) in (8, 3)
+        node = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+        assert "pad" not in node.split("LogicalRDD")[0]

@@ -44,16 +44,20 @@ def slots_to_matrix(col, dim: int, normalize: bool = True) -> np.ndarray:
     rows = np.repeat(np.arange(n), lens)
     M = np.zeros((n, dim), dtype=np.float64)
     if flat.size:
-        np.add.at(M, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
+        M = np.bincount(rows * dim + np.abs(flat) - 1, np.sign(flat), n * dim).reshape(n, dim)
     if normalize:
         M = M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-12)
     return M
 
 
-def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding", normalize: bool = True) -> DataFrame:
-    """F4 built-in: signed hashed bag of words, L2-normalised (a row without words gets zeros)."""
+def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding", normalize: bool = True,
+               keep: list[str] | None = None) -> DataFrame:
+    """F4 built-in: signed hashed bag of words, L2-normalised (a row without words gets zeros).
+
+    Only the columns of ``keep`` (default: all) and the word slots travel to Python.
+    """
     ship_package(df.sparkSession)
-    staged = df.withColumn("_slots", hash_slots(tokens, dim))
+    staged = df.select(*(df.columns if keep is None else keep), hash_slots(tokens, dim).alias("_slots"))
     schema = T.StructType([f for f in staged.schema.fields if f.name != "_slots"]
                           + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
     si = staged.columns.index("_slots")

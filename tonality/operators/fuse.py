@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tonality.functions.vectors import as_double, gate, l2_normalize
 from tonality.session import ship_package
 
-# Parameters above this many numbers are refused for broadcast (a 768 x 768 layer has 0.6 M).
-MAX_BROADCAST_PARAMS = 50_000_000
+# Layers above this many bytes are refused for broadcast (a 768 x 768 layer has 4.7 MB).
+MAX_BROADCAST_BYTES = 400 << 20
 
 
 @dataclass
@@ -91,10 +91,11 @@ class FusionParams:
                             random_linear(1, d, seed + 4))
 
 
-def _check_size(layers: dict[str, Linear]) -> None:
-    n = sum(l.W.size + l.b.size for l in layers.values())
-    if n > MAX_BROADCAST_PARAMS:
-        raise ValueError(f"{n} parameters exceed the broadcast bound {MAX_BROADCAST_PARAMS}")
+def check_broadcast(layers) -> None:
+    """The one size check of every operator that sends layers to the tasks."""
+    n = sum(layer.W.nbytes + layer.b.nbytes for layer in layers)
+    if n > MAX_BROADCAST_BYTES:
+        raise ValueError(f"layers of {n} bytes exceed the broadcast bound {MAX_BROADCAST_BYTES}")
 
 
 def params_table(spark: SparkSession, layers: dict[str, Linear]) -> DataFrame:
@@ -159,28 +160,31 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- F9 projection
 
-def project_vector(df: DataFrame, col: str, layer: Linear, out: str = "projected", method: str = "arrow") -> DataFrame:
+def project_vector(df: DataFrame, col: str, layer: Linear, out: str = "projected", method: str = "arrow",
+                   keep: list[str] | None = None) -> DataFrame:
     """``W x + b`` per row. ``method="arrow"``: one matrix product per Arrow batch with ``W``
-    broadcast; ``method="expr"``: higher-order array expressions (small dims only)."""
+    broadcast; ``method="expr"``: higher-order array expressions (small dims only). Only ``keep``
+    (default: all columns) comes back next to the result."""
     ship_package(df.sparkSession)
     if method == "expr":
-        return df.withColumn(out, project_expr(F.col(col), layer))
-    _check_size({"p": layer})
+        return df.select(*(df.columns if keep is None else keep), project_expr(F.col(col), layer).alias(out))
+    check_broadcast([layer])
     bc = df.sparkSession.sparkContext.broadcast((layer.W, layer.b))
     d_in = layer.d_in
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
-    col_idx = df.columns.index(col)
+    keep = df.columns if keep is None else keep
+    src = df.select(*keep, F.col(col).alias("_x"))
+    schema = T.StructType(src.schema.fields[:-1] + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
+    k = len(keep)
 
     def run(batches):
         import pyarrow as pa
         W, b = bc.value
         for batch in batches:
-            X, valid = arrow_matrix(batch.column(col_idx), d_in)
+            X, valid = arrow_matrix(batch.column(k), d_in)
             Y = X @ W.T + b
-            arr = arrow_vectors(Y, valid)
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + [arr], names=list(batch.schema.names) + [out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], arrow_vectors(Y, valid)], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def project_expr(x: Column, layer: Linear) -> Column:
@@ -211,34 +215,35 @@ def fuse_arrays(Xt, Xe, ve, Xs, vs, params: FusionParams, missing: str) -> np.nd
 
 
 def fuse_modalities(df: DataFrame, params: FusionParams, text: str = "text_vec", emoji: str = "emoji_vec",
-                    sticker: str = "sticker_vec", out: str = "fused", missing: str = "mask") -> DataFrame:
+                    sticker: str = "sticker_vec", out: str = "fused", missing: str = "mask",
+                    keep: list[str] | None = None) -> DataFrame:
     """``fused = t + sigmoid(g_e . t) e + sigmoid(g_s . t) s`` with each modality projected to
     the common width and L2-normalised.
 
     A null modality is ``missing="mask"``: it contributes nothing; ``missing="zeros"``: it is a zero
     input vector, so (as in the reference) it still adds the normalised projection bias.
-    A null text vector gives a null result.
+    A null text vector gives a null result. Only ``keep`` (default: all columns) comes back next
+    to the result.
     """
     ship_package(df.sparkSession)
     layers = params.layers()
-    _check_size(layers)
+    check_broadcast(layers.values())
     bc = df.sparkSession.sparkContext.broadcast(params)
     dt, de, ds = params.text.d_in, params.emoji.d_in, params.sticker.d_in
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
-    it, ie, is_ = df.columns.index(text), df.columns.index(emoji), df.columns.index(sticker)
+    keep = df.columns if keep is None else keep
+    src = df.select(*keep, *[F.col(c).alias(f"_x{i}") for i, c in enumerate((text, emoji, sticker))])
+    k = len(keep)
+    schema = T.StructType(src.schema.fields[:k] + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
 
     def run(batches):
         import pyarrow as pa
         p = bc.value
         for batch in batches:
-            Xt, vt = arrow_matrix(batch.column(it), dt)
-            Xe, ve = arrow_matrix(batch.column(ie), de)
-            Xs, vs = arrow_matrix(batch.column(is_), ds)
+            (Xt, vt), (Xe, ve), (Xs, vs) = (arrow_matrix(batch.column(k + i), d) for i, d in enumerate((dt, de, ds)))
             Y = fuse_arrays(Xt, Xe, ve.astype(np.float64), Xs, vs.astype(np.float64), p, missing)
-            arr = arrow_vectors(Y, vt)
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + [arr], names=list(batch.schema.names) + [out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], arrow_vectors(Y, vt)], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def fuse_expr(df: DataFrame, params: FusionParams, text: str = "text_vec", emoji: str = "emoji_vec",

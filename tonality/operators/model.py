@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonality.functions.labels import CLASS_NAMES
-from tonality.operators.fuse import Linear, arrow_matrix, closed_form_linear, layers_from_table, params_table, random_linear
+from tonality.operators.fuse import Linear, arrow_matrix, check_broadcast, closed_form_linear, layers_from_table, params_table, random_linear
 from tonality.session import ship_package
 
 GRAD_CHUNK = 4096
@@ -56,6 +56,11 @@ class ReluClassifier:
         return ReluClassifier(Linear(W1.copy(), b1.copy()), Linear(W2.copy(), b2.copy()))
 
 
+def class_names(n: int) -> np.ndarray:
+    """Names of ``n`` classes: the three known ones, then their numbers."""
+    return np.array([*CLASS_NAMES, *map(str, range(len(CLASS_NAMES), n))], dtype=object)
+
+
 def softmax_rows(Z: np.ndarray) -> np.ndarray:
     Z = Z - Z.max(axis=1, keepdims=True)
     E = np.exp(Z)
@@ -95,6 +100,7 @@ def score(df: DataFrame, vec_col: str, model: ReluClassifier, keep: list[str] |
     keep = [c for c in df.columns if c != vec_col] if keep is None else keep
     src = df.select(*keep, vec_col)
     d_in = model.fc1.d_in
+    check_broadcast([model.fc1, model.fc2])
     bc = df.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in src.schema.fields if f.name in keep]
     fields += [T.StructField("predicted", T.IntegerType(), True), T.StructField("sentiment", T.StringType(), True),
@@ -103,7 +109,7 @@ def score(df: DataFrame, vec_col: str, model: ReluClassifier, keep: list[str] |
         fields.append(T.StructField("probs", T.ArrayType(T.DoubleType()), True))
     schema = T.StructType(fields)
     vi = len(keep)
-    names = np.array(CLASS_NAMES + tuple(str(i) for i in range(len(CLASS_NAMES), 64)), dtype=object)
+    names = class_names(model.fc2.d_out)
 
     def run(batches):
         import pyarrow as pa
@@ -140,6 +146,7 @@ def _partial_gradients(feats: DataFrame, model: ReluClassifier, d_in: int, featu
     from pyspark.ml.stat import Summarizer
 
     spark = feats.sparkSession
+    check_broadcast([model.fc1, model.fc2])
     bc = spark.sparkContext.broadcast(model)
     cols = feats.columns
     fi, li, wi, si = cols.index(features), cols.index(label), cols.index(weight), cols.index(split_col)

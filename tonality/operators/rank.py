@@ -18,7 +18,7 @@ def top_k(df: DataFrame, by: list, k: int = 10, ascending: bool | list[bool] = F
     (ascending) make the order total.
 
     ``orderBy(..).limit(k)`` plans as TakeOrderedAndProject: each task keeps its own k best rows
-    and only those reach the final merge, so no full sort or shuffle of the input happens.
+    and only those reach the last merge, so no full sort or shuffle of the input happens.
     """
     tb = [F.col(c).asc_nulls_last() for c in (tie_break or [])]
     return df.orderBy(*_order(by, ascending), *tb).limit(k)

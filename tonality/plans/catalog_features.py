@@ -97,7 +97,7 @@ e AS (SELECT doc_id, list_transform(raw, lambda x: x / nr) AS e FROM n)
 SELECT doc_id, {Q.widen('e', 16)} FROM e""")
 def q_hash_embed(spark, sf):
     d = S.table(spark, sf, "documents").select("doc_id", X.words(X.clean_ascii("text"), 1).alias("tokens"))
-    e = hash_embed(d, "tokens", dim=16, out="e").select("doc_id", "e")
+    e = hash_embed(d, "tokens", dim=16, out="e", keep=["doc_id"])
     return V.widen_vector(e, "e", 16, keep=["doc_id"], digits=6)
 
 

@@ -163,7 +163,7 @@ SELECT p.doc_id, CASE WHEN {Q.hash_unit('p.doc_id', 42)} < 0.2 THEN 'test' ELSE
        CAST(p.doc_id % 3 AS INTEGER) AS label FROM p""")
 def q_extraction(spark, sf):
     """Vectors, class probabilities, code and name of the head, train and test stacked and widened."""
-    d = hash_embed(_docs(spark, sf), "tokens", dim=16, out="v").select("doc_id", "split", "v")
+    d = hash_embed(_docs(spark, sf), "tokens", dim=16, out="v", keep=["doc_id", "split"])
     d = linear_head(d, "v", fuse.closed_form_linear(3, 16, 31))
     d = d.withColumns({"predicted_label": L.label_name("predicted"), "label": (F.col("doc_id") % 3).cast("int")})
     keep = ["doc_id", "split", "probs", "predicted", "predicted_label", "label"]

@@ -82,7 +82,7 @@ WITH p AS (SELECT vec_id, {Q.project(Q.dvec('embedding'), 16, 64, 21)} AS v FROM
 SELECT vec_id, {Q.widen('v', 16)} FROM p""")
 def q_project_vector(spark, sf):
     v = S.vectors(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    p = fuse.project_vector(v, "x", fuse.closed_form_linear(16, 64, 21), out="v")
+    p = fuse.project_vector(v, "x", fuse.closed_form_linear(16, 64, 21), out="v", keep=["vec_id"])
     return V.widen_vector(p, "v", 16, keep=["vec_id"], digits=6)
 
 
@@ -135,13 +135,13 @@ SELECT vec_id, {Q.widen('fused', 64)} FROM f"""
 
 @query("fuse_modalities", _fusion_sql("mask"))
 def q_fuse_modalities(spark, sf):
-    f = fuse.fuse_modalities(_fusion_input(spark, sf), fuse.FusionParams.closed_form(64, 32, 16), missing="mask")
+    f = fuse.fuse_modalities(_fusion_input(spark, sf), fuse.FusionParams.closed_form(64, 32, 16), missing="mask", keep=["vec_id"])
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
 
 
 @query("fuse_modalities_zeros", _fusion_sql("zeros"))
 def q_fuse_modalities_zeros(spark, sf):
-    f = fuse.fuse_modalities(_fusion_input(spark, sf), fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
+    f = fuse.fuse_modalities(_fusion_input(spark, sf), fuse.FusionParams.closed_form(64, 32, 16), missing="zeros", keep=["vec_id"])
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
 
 
@@ -168,7 +168,7 @@ def q_fusion_positional(spark, sf):
     j = align.align_positional_many(base, "vec_id", {"emoji_vec": (turns, ["conv_id", "turn"], "e_vec", 32),
                                                      "sticker_vec": (pages, "page_id", "s_vec", 16)})
     j = j.select("vec_id", "text_vec", "emoji_vec", "sticker_vec")
-    f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros")
+    f = fuse.fuse_modalities(j, fuse.FusionParams.closed_form(64, 32, 16), missing="zeros", keep=["vec_id"])
     return V.widen_vector(f, "fused", 64, keep=["vec_id"], digits=6)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tonality.functions.text import normalize_text, words
 from tonality.operators.encode import hash_embed
-from tonality.operators.fuse import FusionParams, Linear, layers_from_table, params_table
+from tonality.operators.fuse import FusionParams, Linear, check_broadcast, layers_from_table, params_table
 from tonality.operators.model import ReluClassifier
 from tonality.session import ship_package
 
@@ -67,10 +67,9 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
     ship_package(df.sparkSession)
     from pyspark.sql import types as T
 
-    from tonality.functions.labels import CLASS_NAMES
     from tonality.operators.encode import hash_slots, slots_to_matrix
     from tonality.operators.fuse import fuse_arrays
-    from tonality.operators.model import softmax_rows
+    from tonality.operators.model import class_names, softmax_rows
 
     dt, de, ds = model.dims
     staged = df.select(
@@ -79,12 +78,13 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
         F.when(F.col(emoji).isNotNull(), hash_slots(_emoji_tokens(emoji), de)).alias("_es"),
         F.when(F.col(sticker).isNotNull(), hash_slots(F.array(F.lower(F.col(sticker))), ds)).alias("_ss"),
         (F.col(text).isNotNull() | F.col(emoji).isNotNull() | F.col(sticker).isNotNull()).alias("_any"))
+    check_broadcast([*model.params.layers().values(), model.classifier.fc1, model.classifier.fc2])
     bc = df.sparkSession.sparkContext.broadcast(model)
     key_field = staged.schema[key]
     schema = T.StructType([key_field, T.StructField("predicted", T.IntegerType(), True),
                            T.StructField("sentiment", T.StringType(), True),
                            T.StructField("confidence", T.DoubleType(), True)])
-    names = np.array(CLASS_NAMES, dtype=object)
+    names = class_names(model.classifier.fc2.d_out)
 
     def run(batches):
         import pyarrow as pa

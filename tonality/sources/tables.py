@@ -123,7 +123,7 @@ def page_vectors(spark: SparkSession, sf_dir: str, dim: int = 16) -> DataFrame:
     from tonality.operators.encode import hash_embed
     p = table(spark, sf_dir, "pages").select(
         "page_id", F.filter(F.split(F.lower("url"), "[^a-z]+"), lambda w: F.length(w) > 0).alias("_w"))
-    return hash_embed(p, "_w", dim, "s_vec").select("page_id", "s_vec")
+    return hash_embed(p, "_w", dim, "s_vec", keep=["page_id"])
 
 
 def turn_vectors(spark: SparkSession, sf_dir: str, dim: int = 32) -> DataFrame:
@@ -132,4 +132,4 @@ def turn_vectors(spark: SparkSession, sf_dir: str, dim: int = 32) -> DataFrame:
     from tonality.operators.encode import hash_embed
     c = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", words(clean_ascii("text"), 1).alias("_w"))
-    return hash_embed(c, "_w", dim, "e_vec").select("conv_id", "turn", "e_vec")
+    return hash_embed(c, "_w", dim, "e_vec", keep=["conv_id", "turn"])
