@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonality.llm.common import arrow_map
+from tonality.llm.common import arrow_map, worker_state
 
 UND = "und"
 EDGE = 0  # the code of a word edge
@@ -108,13 +108,6 @@ class Bundler:
         return out
 
 
-_BUNDLERS: dict[tuple, Bundler] = {}
-
-
-def bundler(n: int, dims: int, seed: int) -> Bundler:
-    return _BUNDLERS.setdefault((n, dims, seed), Bundler(n, dims, seed))
-
-
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1):
     """Whether a row is kept from training: ``crc32(id as text) mod parts = part`` (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts == part
@@ -171,7 +164,7 @@ def predict(docs: DataFrame, names: list[str], profiles: np.ndarray, n: int = 3,
 
         def flush() -> None:
             nonlocal group, size
-            bundles = bundler(n, dims, seed).bundle(group)
+            bundles = worker_state(("bundler", n, dims, seed), lambda: Bundler(n, dims, seed)).bundle(group)
             norm = np.linalg.norm(bundles, axis=1)
             cosine = bundles @ shared.value.T / np.maximum(norm, 1e-12)[:, None]
             for c, g in zip(cosine, group):
