@@ -173,21 +173,21 @@ class WordBpe:
     def merges_to(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the bytes of each pair of tokens merge to just this pair."""
         runs = [self.run[p >> 32][0] + self.run[p & 0xFFFFFFFF][0] for p in pairs.tolist()]
-        final = np.array([self.run[p & 0xFFFFFFFF][1] for p in pairs.tolist()])
-        got = self.merge(*padded(runs), final)
+        closed = np.array([self.run[p & 0xFFFFFFFF][1] for p in pairs.tolist()])
+        got = self.merge(*padded(runs), closed)
         both = (got >= 0).sum(axis=1) == 2
         first = got[:, 0]
         second = got[:, 1:].max(axis=1)  # the only other part, where there are two
         return both & (first == pairs >> 32) & (second == pairs & 0xFFFFFFFF)
 
-    def merge(self, data: np.ndarray, size: np.ndarray, final: np.ndarray | None = None) -> np.ndarray:
+    def merge(self, data: np.ndarray, size: np.ndarray, closed: np.ndarray | None = None) -> np.ndarray:
         """Exact merging by rank, then place, of all rows at once; -1 where no token starts.
 
-        ``final``: whether a row's last byte ends a word (all do if it is not given).
+        ``closed``: whether a row's last byte ends a word (all do if it is not given).
         """
         rows, width = data.shape
         token = self.first_id[data]
-        last = np.arange(rows) if final is None else np.flatnonzero(final)
+        last = np.arange(rows) if closed is None else np.flatnonzero(closed)
         token[last, size[last] - 1] = self.last_id[data[last, size[last] - 1]]
         place = np.arange(width)
         token[place >= size[:, None]] = -1

@@ -10,8 +10,8 @@ from tonality.llm.common import table
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-# Fixed value: the contract's word separators, as a character class.
-WORD = r"[^\x20\x09-\x0D]+"
+# Fixed value: the contract's words, for SQL.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def query(name: str, sql: str | None = None):
@@ -71,16 +71,48 @@ def q_bpe(spark, sf):
     return done.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-TOKENS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+@query("op10_quality_rules", f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (
+        SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS s FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i FROM k JOIN (SELECT doc_id, s FROM k WHERE s IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, s)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g) GROUP BY doc_id),
+m AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, x, count(*) AS n FROM x GROUP BY 1, 2) GROUP BY doc_id),
+c AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+             coalesce(n_repeat, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS marks, n_lines, top
+      FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN m USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words::DOUBLE BETWEEN 2.0 AND 25.0 AND n_symbols <= 0.3::DOUBLE * n_words
+       AND marks <= 0.3::DOUBLE * n_words AND n_dup_lines <= 0.5::DOUBLE * n_lines AND top / n_words::DOUBLE <= 0.4::DOUBLE AS kept FROM b""")
+def q_quality(spark, sf):
+    """The base rule of the contract, then the cascade of default rules (in whatever order was measured)."""
+    return quality.cascade(table(spark, sf, "documents")).drop("rejected_by")
 
 
-@query("op10_quality_rules")
-def q_quality(spark, sf):
-    """The base rule of the contract, then the cascade of default rules."""
-    return quality.cascade(table(spark, sf, "documents"))
+def _spans_sql(rule, rank: int) -> str:
+    """Spans of one kind: gaps and matches of the pattern in turn give the positions."""
+    p = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, stop - length(m) AS start, stop FROM (
+  SELECT doc_id, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, unnest(string_split_regex(t, '{p}')) AS gap, unnest(regexp_extract_all(t, '{p}')) AS m,
+           unnest(regexp_extract_all(t, '{p}', {rule.group})) AS g, generate_subscripts(string_split_regex(t, '{p}'), 1) AS i FROM d)
+  WHERE m IS NOT NULL) WHERE length(g) >= {rule.min_chars}"""
+
+
+_LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(_spans_sql(r, i) for i, r in enumerate(secret_scan.RULES))}),
+a AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE)},
+             {_LISTED} FILTER (WHERE rank < {len(secret_scan.BASE)}) AS base, {_LISTED} AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)""")
 def q_secrets(spark, sf):
     """A first scan: the ledger is empty, every blob is scanned once with every rule."""
     base = [r.kind for r in secret_scan.BASE]
@@ -99,7 +131,15 @@ def q_html(spark, sf):
     return html_text.extract(table(spark, sf, "pages"))
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again),
+n AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS k FROM n ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(k, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""")
 def q_substring(spark, sf):
     """Windows of 35 words; anchors of 15 words at 5 of 21 positions."""
     done = substring_dedup.remove_repeated(table(spark, sf, "documents"), length=35, period=21)
