@@ -20,6 +20,12 @@ def as_double(col) -> Column:
     return _c(col).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside an array function a plain sub-expression
+    would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def vsum(col) -> Column:
     return F.aggregate(_c(col), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
@@ -35,17 +41,14 @@ def l2_norm(col) -> Column:
 def l2_normalize(col, eps: float = 1e-12) -> Column:
     """x / max(||x||, eps); a zero vector stays zero."""
     x = as_double(col)
-    n = F.greatest(l2_norm(x), F.lit(eps))
-    return F.transform(x, lambda v: v / n)
+    return let(F.greatest(l2_norm(x), F.lit(eps)), lambda n: F.transform(x, lambda v: v / n))
 
 
 def softmax(col) -> Column:
     """F8: exp(x - max x) / sum exp(x - max x)."""
     x = as_double(col)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = vsum(e)
-    return F.transform(e, lambda v: v / s)
+    return let(F.array_max(x), lambda m: let(F.transform(x, lambda v: F.exp(v - m)),
+                                             lambda e: let(vsum(e), lambda s: F.transform(e, lambda v: v / s))))
 
 
 def sigmoid(col) -> Column:
