@@ -49,14 +49,16 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    """``materialize`` (a Parquet table in the shared checkpoint folder), then let Spark's cleaner
-    free the shuffle files behind it: it acts when the driver collects unreachable plans."""
+def written_once(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` what ``make()`` gives (a Parquet table in the shared checkpoint folder), and let
+    Spark's cleaner free the shuffle files behind it. It does so once the driver has collected the
+    plan, so nothing outside may hold it: hence a function."""
+    df = make()
     out = materialize(df, name)
     del df
-    gc.collect()
-    df_jvm = out.sparkSession._jvm
-    df_jvm.System.gc()
+    for _ in range(2):  # Python tells the JVM of its dropped references with the next call only
+        gc.collect()
+        out.sparkSession._jvm.System.gc()
     return out
 
 

@@ -73,7 +73,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     A key found in ``min_docs`` documents or more loses all its lines, or with ``keep_first`` all
     but the first by document id, text hash and line number.
     """
-    stream = written_once(repeated(line_rows(docs, min_chars), min_docs, keep_first), "line-runs")
+    stream = written_once(lambda: repeated(line_rows(docs, min_chars), min_docs, keep_first), "line-runs")
     by_doc = settle(stream, min_docs, keep_first).groupBy("d1", "d2").agg(F.collect_set("pos").alias("dropped"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonality.llm.common import arrow_map, column_bytes, text_hash, texts, written_once
+from tonality.session import drop_scratch
 
 BITS, END, SYMBOLS = 9, 256, 257
 LOW = (1 << BITS) - 1
@@ -287,11 +288,12 @@ def score(docs: DataFrame, order: int = 5, block_bytes: int = 24 << 20) -> DataF
     blocks = max(1, -(-size // block_bytes))
     # the partition that repartition() deals a row to, so a block is one partition
     dealt = src.withColumn("block", F.pmod(F.hash("doc_id", "h"), F.lit(blocks)).cast("int"))
-    lists = written_once(_lists(dealt.repartition(blocks, "doc_id", "h"), order), "ppm-lists")
+    lists = written_once(lambda: _lists(dealt.repartition(blocks, "doc_id", "h"), order), "ppm-lists")
     sums = lambda kind: lists.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n"))
-    gram_sums = written_once(sums(GRAM), "ppm-grams")
-    prices = written_once(_prices(gram_sums, order), "ppm-prices")
-    counts = written_once(sums(WORD).select("key", F.col("n").cast("double").alias("value")), "ppm-words")
+    gram_sums = written_once(lambda: sums(GRAM), "ppm-grams")
+    prices = written_once(lambda: _prices(gram_sums, order), "ppm-prices")
+    drop_scratch(gram_sums)
+    counts = written_once(lambda: sums(WORD).select("key", F.col("n").cast("double").alias("value")), "ppm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count(F.when(F.col("value") > 0, 1))).first()
     answers = None
     for kind, table in ((GRAM, prices), (WORD, counts)):

@@ -95,7 +95,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     ``component_id`` is the smallest id reachable by links, ``root_fp`` the component's smallest
     fingerprint (the component's own key where ids are null or repeat).
     """
-    fps = written_once(fingerprints(docs, shingle), "simhash-fp")
+    fps = written_once(lambda: fingerprints(docs, shingle), "simhash-fp")
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(links(fps, radius), "simhash-cc")
     nodes = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(

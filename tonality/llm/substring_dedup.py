@@ -10,7 +10,7 @@ them (with period 21, five positions in 21 are hashed).
 1. Anchors ``(hash, document, position)`` are range-partitioned, sorted and streamed
    (:mod:`runs`); those that occur once go.
 2. Around the others the match is extended: each window of ``length`` words that contains a
-   repeated anchor is hashed in full (128 bits) and the same stream keeps those that repeat.
+   repeated anchor is hashed in full (96 bits) and the same stream keeps those that repeat.
 3. The starts found return to their documents, which drop the covered words.
 
 Hot anchors are split by the range partitioning; no pairs are formed and no group is collected.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tonality.llm.common import arrow_map, column_bytes, text_hash, texts, word_offsets, written_once
 from tonality.llm.runs import repeated, settle
+from tonality.session import drop_scratch
 
 ROW = "k1 long, k2 long, d1 long, d2 long, pos int"
 
@@ -49,11 +50,14 @@ def difference_cover(period: int) -> list[int]:
 
 
 def _rows(batch: pa.RecordBatch, keys: list[bytes], pos: list[int], counts: list[int]) -> pa.RecordBatch:
-    """Rows of ``ROW`` from 8- or 16-byte keys, ``counts`` of them for each document of the batch."""
+    """Rows of ``ROW`` from 8- or 16-byte keys, ``counts`` of them for each document of the batch.
+
+    Of 16 bytes 12 are kept (a 96-bit key): the rest would only be shuffled.
+    """
     width = len(keys[0]) // 8 if keys else 1
     key = np.frombuffer(b"".join(keys), ">i8").reshape(-1, width).astype(np.int64)
     owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-    second = key[:, 1] if width > 1 else np.zeros(len(key), np.int64)
+    second = key[:, 1] & 0xFFFFFFFF if width > 1 else np.zeros(len(key), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(second), batch.column("d1").take(owner),
                                        batch.column("d2").take(owner), pa.array(pos, pa.int32())],
                                       names=["k1", "k2", "d1", "d2", "pos"])
@@ -122,9 +126,10 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21) -> Dat
     """``d1, d2, pos``: the starts of windows of ``length`` words that also start elsewhere, by document (id, text hash)."""
     if not 1 <= period <= length:
         raise ValueError("period must lie between 1 and length")
-    found = written_once(repeated(anchors(docs, length, period), 2, each_row=True), "anchors")
-    found = written_once(repeated(windows(docs, settle(found, 2), length, period), 2, each_row=True), "windows")
-    return settle(found, 2)
+    near = written_once(lambda: repeated(anchors(docs, length, period), 2, each_row=True), "anchors")
+    far = written_once(lambda: repeated(windows(docs, settle(near, 2), length, period), 2, each_row=True), "windows")
+    drop_scratch(near)
+    return settle(far, 2)
 
 
 def kept_words(text: bytes, at: list[int] | None, length: int) -> tuple[int, list[bytes]]:
