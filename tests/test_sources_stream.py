@@ -81,8 +81,8 @@ def test_csv_readers_and_bundle(spark, tmp_dir):
 
 
 def test_stream_equals_batch(spark, tmp_dir):
-    reqs = [(1, "I love it", None, None), (2, None, "😀😀", None), (3, None, None, "happy.png"),
-            (4, None, None, None), (5, "meh", "😐", "x.png")]
+    reqs = [("1", "I love it", None, None), ("2", None, "😀😀", None), ("3", None, None, "happy.png"),
+            ("4", None, None, None), ("5", "meh", "😐", "x.png")]
     df = spark.createDataFrame(reqs, REQUEST_SCHEMA)
     src = os.path.join(tmp_dir, "in")
     df.write.json(src)
@@ -92,8 +92,8 @@ def test_stream_equals_batch(spark, tmp_dir):
     streamed = {r.request_id: (r.sentiment, r.confidence) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect()}
     batch = {r.request_id: (r.sentiment, r.confidence) for r in score_stream(df, model).collect()}
     assert streamed == batch
-    assert batch[4] == ("neutral", None)
-    assert all(batch[i][1] is not None for i in (1, 2, 3, 5))
+    assert batch["4"] == ("neutral", None)
+    assert all(batch[i][1] is not None for i in "1235")
 
 
 def test_catalog_table_roundtrip(spark):
@@ -147,18 +147,18 @@ def test_emoji_info_names_and_majority(spark):
 def test_stream_restart_scores_each_file_once(spark, tmp_dir):
     src, out, ck = (os.path.join(tmp_dir, p) for p in ("in", "out", "ck"))
     model = ScoringModel.closed_form()
-    first = spark.createDataFrame([(i, f"text {i}", None, None) for i in range(5)], REQUEST_SCHEMA)
+    first = spark.createDataFrame([(str(i), f"text {i}", None, None) for i in range(5)], REQUEST_SCHEMA)
     first.coalesce(1).write.json(os.path.join(src, "batch1"))
     q = start_scoring(spark, os.path.join(src, "*"), out, ck, model, available_now=True)
     q.awaitTermination()
     assert spark.read.parquet(out).count() == 5
-    second = spark.createDataFrame([(i, f"more {i}", "😀", None) for i in range(5, 9)], REQUEST_SCHEMA)
+    second = spark.createDataFrame([(str(i), f"more {i}", "😀", None) for i in range(5, 9)], REQUEST_SCHEMA)
     second.coalesce(1).write.json(os.path.join(src, "batch2"))
     # a restarted query with the same checkpoint picks up only the new file
     q = start_scoring(spark, os.path.join(src, "*"), out, ck, model, available_now=True)
     q.awaitTermination()
     ids = sorted(r.request_id for r in spark.read.parquet(out).collect())
-    assert ids == list(range(9))
+    assert ids == [str(i) for i in range(9)]
 
 
 def test_parse_json_requests(spark):
@@ -167,5 +167,5 @@ def test_parse_json_requests(spark):
     reqs = parse_requests(raw)
     assert reqs.columns == ["request_id", "text", "emoji", "sticker"]
     got = {r.request_id: r for r in score_stream(reqs, ScoringModel.closed_form()).collect()}
-    assert got[2].sentiment == "neutral" and got[2].confidence is None
-    assert got[1].confidence is not None
+    assert got["2"].sentiment == "neutral" and got["2"].confidence is None
+    assert got["1"].confidence is not None
