@@ -32,7 +32,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of ``benchmark``, also with other numbers or names, go."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return decontaminate.drop_contaminated(docs, benchmark, window=8, min_tokens=13)
+    return decontaminate.drop_contaminated(docs, benchmark, window=8, min_tokens=13, by_run=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,13 @@ def test_decontamination_short_and_equal_items(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r[0] for r in awkward_rows()} - {1}
 
 
+def test_decontamination_run_beside_a_changed_value(spark):
+    item = "a pays 5 and b pays 5 so both of them pay 5 and 5 in this long question about 5 coins"
+    changed, short = item.replace("pays 5 and", "pays 8 and", 1), " ".join(item.split()[3:])
+    unlike = item.replace("5", "7", 2).replace("pay 5 and 5", "pay 6 and 5").replace("about 5", "about 4")
+    assert leaks(spark, [changed, short, item, unlike], [item], by_run=True) == [[0], [0], [0], []]
+
+
 def test_decontamination_equals_brute_force(spark):
     """On the given tables: exactly the documents that hold 13 words in a row of an item."""
     sf = "/root/testdata/sf0.01"

@@ -6,7 +6,8 @@ items are hash-joined; the matches of one document, item and alignment must then
 slots: each benchmark value stands for one document value and the other way round. So a copy
 matches, and so does a question whose numbers or names were exchanged consistently, while two
 texts that only share a form do not. An alignment counts if its windows span ``min_tokens``
-tokens (or the whole item, if that is shorter).
+tokens (or the whole item, if that is shorter); with ``by_run`` also if any run of windows of that
+span agrees within itself, so a value changed elsewhere in the item hides no copy.
 
 Scale: the document side is one narrow pass. A bitmap of benchmark hashes (``2**filter_bits``
 bits, a fixed size) lets only candidate windows reach the shuffle; the join itself is exact and
@@ -230,20 +231,38 @@ def document_windows(docs: DataFrame, sizes: list[int], bitmap, bits: int) -> Da
     return arrow_map(src, run, f"d1 {src.schema['d1'].dataType.simpleString()}, d2 long, {WINDOW_SCHEMA}")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, filter_bits: int = 24) -> DataFrame:
-    """``d1, d2, item_id`` for each document (id, text hash) and the items it contains."""
+def _one_to_one(pairs):
+    return ((F.size(pairs) == F.size(F.array_distinct(pairs["slots"])))
+            & (F.size(pairs) == F.size(F.array_distinct(pairs["d_slots"]))))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, filter_bits: int = 24,
+            by_run: bool = False) -> DataFrame:
+    """``d1, d2, item_id`` for each document (id, text hash) and the items it contains.
+
+    With ``by_run`` an alignment also counts if one of its runs does; else its slots must agree as a whole.
+    """
     items = materialize(item_windows(benchmark, window), "benchmark-windows")
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # window, and lengths below it
     bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(items, filter_bits))
     found = document_windows(docs, sizes, bitmap, filter_bits).withColumnsRenamed({"pos": "d_pos", "slots": "d_slots"})
     pairs = found.drop("tokens").join(items, ["hash", "size"]).where(F.size("slots") == F.size("d_slots"))
-    slots = F.flatten(F.collect_set(F.arrays_zip("slots", "d_slots")))
+    matched = F.struct("pos", F.array_distinct(F.arrays_zip("slots", "d_slots")).alias("pairs"))
     lined = (pairs.groupBy("d1", "d2", "item_id", (F.col("d_pos") - F.col("pos")).alias("shift"), "size", "tokens")
-             .agg(F.count_distinct("d_pos").alias("windows"), F.array_distinct(slots).alias("pairs")))
-    one_to_one = ((F.size("pairs") == F.size(F.array_distinct("pairs.slots")))
-                  & (F.size("pairs") == F.size(F.array_distinct("pairs.d_slots"))))
-    long_enough = F.col("windows") >= F.least(F.lit(min_tokens), F.col("tokens")) - F.col("size") + 1
-    return lined.where(one_to_one & long_enough).select("d1", "d2", "item_id").distinct()
+             .agg(F.array_sort(F.collect_set(matched)).alias("run"))
+             .withColumn("need", F.greatest(F.least(F.lit(min_tokens), F.col("tokens")) - F.col("size") + 1, F.lit(1))))
+
+    def agrees(run):
+        return _one_to_one(F.array_distinct(F.flatten(run["pairs"])))
+
+    def run_agrees(i):  # the ``need`` windows from the i-th on follow each other
+        part = F.slice("run", i, F.col("need"))
+        return (F.get(part["pos"], F.col("need") - 1) - F.get(part["pos"], F.lit(0)) == F.col("need") - 1) & agrees(part)
+    hit = agrees(F.col("run"))
+    if by_run:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("need") + 1, F.lit(1)))
+        hit |= F.exists(starts, run_agrees)
+    return lined.where(F.size("run") >= F.col("need")).where(hit).select("d1", "d2", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

@@ -52,7 +52,7 @@ def q_line_dedup(spark, sf):
 @query("op8_decontamination")
 def q_decontamination(spark, sf):
     """Windows of 8 template tokens, 13 tokens in step."""
-    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=8, min_tokens=13)
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=8, min_tokens=13, by_run=True)
 
 
 @query("op9_language_id")
