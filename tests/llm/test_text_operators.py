@@ -257,6 +257,15 @@ def test_decontamination_run_beside_a_changed_value(spark):
     assert leaks(spark, [changed, short, item, unlike], [item], by_run=True) == [[0], [0], [0], []]
 
 
+def test_decontamination_names_at_sentence_starts(spark):
+    tom = "Tom has 5 apples. Tom buys 7 more. How many apples does Tom have now?"
+    which = "Which river flows through the capital of France"
+    texts = [tom.replace("Tom", "Anna"), tom.replace("Tom", "Anna").replace(". How", ", how"), tom.replace("Tom", "Anna").replace("Anna buys", "Rob buys"),
+             "see also " + which, "1) " + which, "a | " + which, "so " + which.replace("Which", "which"),
+             "Did Anna Smith see it? " + which.replace("river", "road")]
+    assert leaks(spark, texts, [tom, which], by_run=True) == [[0], [0], [], [1], [1], [1], [1], []]
+
+
 def test_decontamination_equals_brute_force(spark):
     """On the given tables: exactly the documents that hold 13 words in a row of an item."""
     sf = "/root/testdata/sf0.01"

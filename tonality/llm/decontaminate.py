@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders (slots); the other words are lower-cased and
-lose punctuation at both ends. Windows of ``window`` template tokens of documents and benchmark
+lose punctuation at both ends. A capitalised word at a sentence start is read both ways, as a name
+and plain, on both sides. Windows of ``window`` template tokens of documents and benchmark
 items are hash-joined; the matches of one document, item and alignment must then agree on the
 slots: each benchmark value stands for one document value and the other way round. So a copy
 matches, and so does a question whose numbers or names were exchanged consistently, while two
@@ -104,10 +105,11 @@ def template_code(kind: str, low: str) -> int:
 
 @dataclass
 class Tokens:
-    """The template tokens of several texts in one row: codes, slot flags, word numbers, owner text, place in it."""
+    """The template tokens of several texts in one row: codes, slot flags, name codes, word numbers, owner text, place in it."""
 
     code: np.ndarray
     slot: np.ndarray
+    name: np.ndarray  # code as a name, of a capitalised word at a sentence start (0: no such word); ``code`` has it plain
     word: np.ndarray
     owner: np.ndarray
     place: np.ndarray
@@ -127,47 +129,80 @@ def tokens(template: Template, texts: list[bytes | None]) -> Tokens:
     code = np.where(start, template.first[word], template.inside[word])
     real = code != 0
     slot = np.where(start, template.slot[word, 1], template.slot[word, 0])[real]
+    name = np.where(start & template.slot[word, 0] & ~template.slot[word, 1], template.inside[word], np.uint64(0))[real]
     owner = owner[real]
     size = np.bincount(owner, minlength=len(texts))
     place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    return Tokens(code[real], slot, word[real], owner, place, size)
+    return Tokens(code[real], slot, name, word[real], owner, place, size)
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` codes, with the size mixed in."""
+def weights(size: int) -> np.ndarray:
+    """The odd weights of the positions in a window."""
+    return np.array([pow(MULTIPLIER, j + 1, 1 << 64) for j in range(size)], np.uint64)
+
+
+def window_sums(codes: np.ndarray, size: int) -> np.ndarray:
+    """Weighted sum of every window of ``size`` codes, with the size mixed in."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, size, np.uint64)
-    weight = 1
-    for j in range(size):
-        weight = weight * MULTIPLIER % (1 << 64)
-        out += codes[j:j + n] * np.uint64(weight)
-    out ^= out >> np.uint64(29)
+    for j, weight in enumerate(weights(size)):
+        out += codes[j:j + n] * weight
+    return out
+
+
+def mixed(sums: np.ndarray) -> np.ndarray:
+    out = sums ^ (sums >> np.uint64(29))
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
+def readings(t: Tokens, sums: np.ndarray, size: int, at: np.ndarray) -> Iterator[tuple]:
+    """``(windows, hashes, places of words read as names)``: capitalised words at sentence starts, each plain and as a name."""
+    either = np.flatnonzero(t.name)
+    before = np.concatenate([[0], np.cumsum(t.name != 0)])
+    count = before[at + size] - before[at]
+    weight = weights(size)
+    for k in np.unique(count).tolist():
+        p = at[count == k]
+        token = either[before[p][:, None] + np.arange(k)]  # the k such words of each window
+        place = token - p[:, None]
+        step = (t.name[token] - t.code[token]) * weight[place]
+        for choice in range(1 << k):
+            named = [j for j in range(k) if choice >> j & 1]
+            yield p, mixed(sums[p] + step[:, named].sum(axis=1, dtype=np.uint64)), place[:, named]
+
+
 def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool = False) -> Iterator[tuple]:
     """``(owner, hash, place, size, tokens, slot values)`` of the usable windows that ``allowed`` lets pass.
 
     A window lies within one text and has no more slots than plain words; with ``whole`` it is the whole text.
     """
-    h = window_hashes(t.code, size)
-    n = len(h)
+    sums = window_sums(t.code, size)
+    n = len(sums)
     if not n:
         return
     ok = t.owner[:n] == t.owner[size - 1:]
     slots = np.concatenate([[0], np.cumsum(t.slot)])
-    ok &= (slots[size:] - slots[:n]) * 2 <= size
+    slots = slots[size:] - slots[:n]
     if whole:
         ok &= t.size[t.owner[:n]] == size
-    if allowed is not None:
-        ok &= allowed(h)
-    for p in np.flatnonzero(ok).tolist():
-        values = [template.values[w] for w in t.word[p:p + size][t.slot[p:p + size]].tolist()]
-        owner = int(t.owner[p])
-        yield owner, int(h[p].astype(np.int64)), int(t.place[p]), size, int(t.size[owner]), values
+    for at, h, named in readings(t, sums, size, np.flatnonzero(ok)):
+        good = (slots[at] + named.shape[1]) * 2 <= size
+        if allowed is not None:
+            good &= allowed(h)
+        for i in np.flatnonzero(good).tolist():
+            p = int(at[i])
+            flags = t.slot[p:p + size].copy()
+            flags[named[i]] = True
+            yield _row(template, t, p, size, h[i], flags)
+
+
+def _row(template: Template, t: Tokens, p: int, size: int, h: np.uint64, flags: np.ndarray) -> tuple:
+    values = [template.values[w] for w in t.word[p:p + size][flags].tolist()]
+    owner = int(t.owner[p])
+    return owner, int(h.astype(np.int64)), int(t.place[p]), size, int(t.size[owner]), values
 
 
 WINDOW_SCHEMA = "hash long, pos int, size int, tokens int, slots array<string>"
@@ -247,9 +282,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens:
     bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(items, filter_bits))
     found = document_windows(docs, sizes, bitmap, filter_bits).withColumnsRenamed({"pos": "d_pos", "slots": "d_slots"})
     pairs = found.drop("tokens").join(items, ["hash", "size"]).where(F.size("slots") == F.size("d_slots"))
-    matched = F.struct("pos", F.array_distinct(F.arrays_zip("slots", "d_slots")).alias("pairs"))
+    # of the readings of a window the one with the fewest slots asks least: words read plain are equal on both sides
+    matched = F.struct("pos", F.size("slots").alias("n"), F.array_distinct(F.arrays_zip("slots", "d_slots")).alias("pairs"))
+    first_of_pos = lambda x, i: (i == 0) | (x["pos"] != F.get(F.col("run.pos"), i - 1))
     lined = (pairs.groupBy("d1", "d2", "item_id", (F.col("d_pos") - F.col("pos")).alias("shift"), "size", "tokens")
              .agg(F.array_sort(F.collect_set(matched)).alias("run"))
+             .withColumn("run", F.filter("run", first_of_pos))
              .withColumn("need", F.greatest(F.least(F.lit(min_tokens), F.col("tokens")) - F.col("size") + 1, F.lit(1))))
 
     def agrees(run):
