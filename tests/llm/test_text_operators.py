@@ -266,6 +266,14 @@ def test_decontamination_names_at_sentence_starts(spark):
     assert leaks(spark, texts, [tom, which], by_run=True) == [[0], [0], [], [1], [1], [1], [1], []]
 
 
+def test_decontamination_items_of_mostly_slots(spark):
+    sums = "Compute 12 + 34 - 56 * 78 and give 90 over 15"
+    dates = "Paris 1889 Rome 1891 Berlin 1893 and Madrid 1895 then Oslo 1897 Vienna 1899 Prague 1901"
+    texts = ["first " + sums + " then", "please " + sums.replace("Compute", "compute"), dates, "In " + dates,
+             sums.replace("56", "57"), dates.replace("1893", "1894"), ITEM.replace("moves at", "moves at 3 4 5 6 7")]
+    assert leaks(spark, texts, [sums, dates, ITEM], by_run=True)[:6] == [[0], [0], [1], [1], [], []]
+
+
 def test_decontamination_equals_brute_force(spark):
     """On the given tables: exactly the documents that hold 13 words in a row of an item."""
     sf = "/root/testdata/sf0.01"

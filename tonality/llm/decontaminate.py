@@ -16,8 +16,8 @@ neither side is collected or hinted for broadcast. Windows are 64-bit hashes; an
 several of them in step.
 
 Defined cases: null or empty text has no windows and is clean; an item of fewer than ``window``
-tokens is one window of its own length; windows with fewer than half plain words are not used
-alone (they hold nearly only slots); repeated rows get equal results; equal items are each
+tokens is one window of its own length; windows with fewer than half plain words (they hold nearly
+only slots) match by their words, values included, not by their template; repeated rows get equal results; equal items are each
 reported; empty tables on either side find nothing; a null ``doc_id`` is an id like any other;
 extra columns are carried by :func:`drop_contaminated` and ignored elsewhere.
 """
@@ -52,6 +52,7 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE_END = re.compile(r"[.!?:;][\W_]*$")
 BREAK = "\0"  # stands for a line break: no token, but a sentence ends
 LINE_BREAK = b" \0 "
+LITERAL = np.uint64(0xD6E8FEB86659FD93)  # sets hashes of the words themselves apart
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd; weights of the positions in a window
 VOCABULARY = 400_000  # words remembered per worker before the table starts anew
 CHUNK = 1 << 22  # bytes of text worked on at a time
@@ -64,6 +65,7 @@ class Template(dict):
         super().__init__()
         self.inside = np.zeros(1 << 12, np.uint64)  # code of the template token within a sentence (0: none)
         self.first = np.zeros(1 << 12, np.uint64)  # and at its start
+        self.plain = np.zeros(1 << 12, np.uint64)  # code of the word itself, for windows of mostly slots
         self.slot = np.zeros((1 << 12, 2), bool)  # whether it is a slot: within, at the start
         self.ends = np.zeros(1 << 12, bool)  # whether a sentence ends here
         self.values: dict[int, str] = {}  # of words that can be slots
@@ -71,7 +73,7 @@ class Template(dict):
     def __missing__(self, word: bytes) -> int:
         n = len(self)
         if n == len(self.ends):
-            for name in ("inside", "first", "slot", "ends"):
+            for name in ("inside", "first", "plain", "slot", "ends"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         text = word.decode()
@@ -80,6 +82,7 @@ class Template(dict):
         if not (core.islower() and core.isalpha()) or low in UNITS or low in NUMBERS:
             inside, first = slot_kinds(core, low)
         self.inside[n], self.first[n] = (template_code(inside, low), template_code(first, low)) if core else (0, 0)
+        self.plain[n] = template_code("", low) if core else 0
         self.slot[n] = bool(inside), bool(first)
         self.ends[n] = not text.isalpha() and (text == BREAK or bool(SENTENCE_END.search(text)))
         if inside:
@@ -175,9 +178,10 @@ def readings(t: Tokens, sums: np.ndarray, size: int, at: np.ndarray) -> Iterator
 
 
 def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool = False) -> Iterator[tuple]:
-    """``(owner, hash, place, size, tokens, slot values)`` of the usable windows that ``allowed`` lets pass.
+    """``(owner, hash, place, size, tokens, slot values)`` of the windows that ``allowed`` lets pass.
 
-    A window lies within one text and has no more slots than plain words; with ``whole`` it is the whole text.
+    A window lies within one text; with ``whole`` it is the whole text. A reading with more slots than plain
+    words is left to the hash of the words themselves, whose slot values are numbers, units and measures.
     """
     sums = window_sums(t.code, size)
     n = len(sums)
@@ -197,6 +201,14 @@ def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool
             flags = t.slot[p:p + size].copy()
             flags[named[i]] = True
             yield _row(template, t, p, size, h[i], flags)
+    names = np.concatenate([[0], np.cumsum(t.name != 0)])
+    at = np.flatnonzero(ok & ((slots + names[size:] - names[:n]) * 2 > size))
+    if len(at):
+        h = mixed(window_sums(template.plain[t.word], size)[at] ^ LITERAL)
+        valued = template.slot[t.word, 1]
+        for i in (range(len(at)) if allowed is None else np.flatnonzero(allowed(h)).tolist()):
+            p = int(at[i])
+            yield _row(template, t, p, size, h[i], valued[p:p + size])
 
 
 def _row(template: Template, t: Tokens, p: int, size: int, h: np.uint64, flags: np.ndarray) -> tuple:
