@@ -57,6 +57,28 @@ def test_html_pages(name):
     assert html_text.main_texts([page], tree) == [want]
 
 
+LONG = "word " * 80
+OPEN_PAGES = {
+    "head": (f"<html><head><title>x</title><meta a=b><body><article><p>{LONG}</p></article>", LONG.strip()),
+    "closed head": (f"<html><head><title>x</title><object>y</object></head><body><article><p>{LONG}</p></article>", LONG.strip()),
+    "button": (f"<article><p>{LONG}</p><button>Like<p>More words</p><button>Share</button><p>{LONG}</p></article>",
+               LONG.strip() + "\nMore words\n" + LONG.strip()),
+    "object": (f"<main><div><object>no plug-in</div><p>{LONG}</p></main>", LONG.strip()),
+    "svg": (f"<article><p>{LONG}</p><svg><g><text>a</text></g></svg><p>Last words here</p></article>", LONG.strip() + "\nLast words here"),
+    "words": (f"<div class='content-sidebar-wrap'><article class='post tag-social'><p>{LONG}</p><p>Last words</p></article></div>",
+              LONG.strip() + "\nLast words"),
+    "inherited": (f"<div class='banner'><p>{LONG * 2}</p><p>{LONG * 2}</p></div>", (LONG * 2).strip() + "\n" + (LONG * 2).strip()),
+    "against": (f"<article><p>{LONG}</p><div class='post-comments'><p>I say this too</p></div></article>", LONG.strip()),
+}
+
+
+@pytest.mark.parametrize("name", OPEN_PAGES)
+def test_html_open_elements_and_wrong_hints(name):
+    tree = html_text.train_tree(*html_text.labelled_blocks())
+    page, want = OPEN_PAGES[name]
+    assert html_text.main_texts([page], tree) == [want]
+
+
 def test_html_query(spark, tables):
     got = QUERIES["op3_html_extraction"](spark, tables).collect()
     assert sorted(map(tuple, got), key=sort_key) == sorted([(1, "u", "Hi", 2), (1, "u", "Hi", 2), (None, None, "", 0), (2, "v", "", 0)], key=sort_key)
