@@ -15,8 +15,8 @@ from tonality.functions import text as X
 from tonality.functions.labels import label_rating
 from tonality.functions import vectors as V
 from tonality.operators import dist, fuse, split
-from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, history_frame, predict_text_baseline,
-                                      relu_gradient, sweep_class_weights)
+from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, fit_text_baseline_converged, history_frame, predict_text_baseline,
+                                      relu_gradient, sweep_class_weights, text_baseline_probabilities)
 from tonality.functions.text import WS_CLASS
 from tonality.plans import sqlfrag as Q
 from tonality.operators.metrics import literal_rows
@@ -242,6 +242,28 @@ def q_fit_text_baseline(spark, sf):
     return losses.unionByName(right)
 
 
+_TEXT_TRAIN_SQL = f"""
+WITH d AS (SELECT {Q.label_ge4('rating')} AS y, row_number() OVER (ORDER BY {Q.hash_order('review_id', 42)}, review_id) AS rn,
+                  count(*) OVER () AS cnt FROM ({Q.reviews()}))
+SELECT y AS label, count(*) AS rows, true AS at_optimum FROM d WHERE rn > ceil(CAST(0.2 AS DOUBLE) * cnt) GROUP BY y"""
+
+
+@query("fit_text_baseline_converged", _TEXT_TRAIN_SQL)
+def q_fit_text_baseline_converged(spark, sf):
+    """M1: C=1 and up to 1000 iterations, to the optimum; there the mean probability of each class over the
+    training rows is the class's share (the intercepts are free), by the predictions on the training rows."""
+    r = S.reviews(spark, sf)
+    d = r.select("review_id", X.words(X.clean_ascii("verified_reviews"), 2).alias("tokens"), label_rating("rating", "ge4").alias("label"))
+    d = split.split_exact(d, "review_id", (0.2, 0.8), ("test", "train"), seed=42, rounding="ceil")
+    train = materialize(d.where(F.col("split") == "train"), "baseline-train")
+    model = fit_text_baseline_converged(train, "review_id")
+    probs = text_baseline_probabilities(model, train, "review_id").join(train.select("review_id", "label"), "review_id")
+    classes = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col("probs")[c].alias("mass"),
+                                           (F.col("label") == c).cast("long").alias("row")) for c in range(CLASSES)]))
+    sums = probs.select(classes.alias("c")).groupBy("c.label").agg(F.sum("c.row").alias("rows"), F.avg(F.col("c.mass") - F.col("c.row")).alias("gap"))
+    return sums.where("rows > 0").select("label", "rows", ((F.abs("gap") < 1e-3) & F.lit(model.converged)).alias("at_optimum"))
+
+
 # the words of a message, by the rule: the text in lower case, cut at runs of white space
 MESSAGE_WORDS = f"list_filter(string_split_regex({Q.normalize_text('text')}, '{WS_CLASS}+'), lambda w: length(w) >= 1)"
 
