@@ -342,6 +342,12 @@ def test_language_cases(spark, tables):
     assert {r[0] for r in awkward_rows()} - {r.doc_id for r in kept.select("doc_id").collect()} == want
 
 
+def test_language_filter_without_labels(spark):
+    rows = [(1, "some text", None, "s", 1), (4, "12 - 34", None, "s", 1), (5, None, None, "s", 1), (6, "", None, "s", 1), (7, "été", None, "s", 1)]
+    kept = language_id.keep_identified(frame(spark, rows))
+    assert kept.schema == frame(spark, rows).schema and {r.doc_id for r in kept.select("doc_id").collect()} == {1, 7}
+
+
 def test_bundles_are_sums_of_ngram_vectors():
     b = language_id.Bundler(3, 64, 7)
     docs = [language_id.ngrams("Été à la mer"), language_id.ngrams("xx"), np.zeros(0, np.int64)]

@@ -197,6 +197,11 @@ def identify(docs: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7) -> Da
 
 
 def keep_identified(docs: DataFrame, n: int = 3, dims: int = 1024, seed: int = 7) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``); all columns stay."""
+    """``docs`` without the rows whose language cannot be told (``und``); all columns stay.
+
+    With no label to learn from, only the rows without a letter go.
+    """
     names, profiles = prototypes(docs.select("doc_id", "text", "lang").where(~held_out()), n, dims, seed)
+    if not len(names):
+        return docs.where(F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}"))
     return predict(docs, names, profiles, n, seed).where(F.col("lang_pred") != UND).select("row.*")
