@@ -100,22 +100,3 @@ def test_fits_beat_chance_on_held_out_rows(spark):
     assert losses[-1] < losses[0] / 2
     pred = M.predict_text_baseline(model, train, "k").join(train, "k")
     assert pred.where("predicted = label").count() == 80
-
-
-def test_text_baseline_reaches_its_optimum(spark):
-    words = ["good", "fine", "bad", "awful", "so", "la", "la"]
-    docs = [(i, [words[i % 2 * 2 + (i // 2) % 2], "so", words[4 + i % 3]], 1 if i % 7 == 0 else i % 2 * 2) for i in range(80)]
-    train = spark.createDataFrame(docs, "k int, tokens array<string>, label int")
-    model = M.fit_text_baseline_converged(train, "k", gtol=1e-4)
-    vocab = {r.term: r.term_id for r in model.vocabulary.collect()}
-    coef = {r.term_id: r for r in model.coefficients.collect()}
-    x = np.zeros((80, len(vocab)))
-    for i, tokens, _ in docs:
-        for t in tokens:
-            x[i, [k for k in sorted(vocab)].index(t)] += 1
-    w = np.array([[coef[vocab[t]][f"w{c}"] for c in range(3)] for t in sorted(vocab)])
-    z = x @ w + np.array(model.intercepts)
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    own = np.eye(3)[[d[2] for d in docs]]
-    assert model.converged and np.abs(x.T @ (p - own) / 80 + w / 80).max() < 2e-4 and np.abs((p - own).mean(axis=0)).max() < 2e-4
-    assert np.abs(w).max() > 0.5 and not M.fit_text_baseline_converged(train, "k", max_iter=1).converged

@@ -309,7 +309,6 @@ class TextBaseline:
     coefficients: DataFrame
     intercepts: list[float]
     history: list                  # (step, mean training loss before the step)
-    converged: bool = False        # the largest entry of the gradient fell to ``gtol`` (only fits with one say so)
 
 
 def _class_columns(prefix: str, classes: int) -> list[str]:
@@ -374,56 +373,6 @@ def fit_text_baseline(train: DataFrame, key: str, tokens: str = "tokens", label:
     return TextBaseline(vocabulary, coef, bias.tolist(), history)
 
 
-def fit_text_baseline_converged(train: DataFrame, key: str, tokens: str = "tokens", label: str = "label", classes: int = 3,
-                                C: float = 1.0, max_iter: int = 1000, gtol: float = 1e-4) -> TextBaseline:
-    """M1 at its optimum: the objective of ``fit_text_baseline``, until no entry of its gradient exceeds ``gtol``.
-
-    Barzilai-Borwein steps (long and short in turn) from zero; the last weights and gradients are columns beside
-    the present ones, so the driver holds the intercepts and sums only. ``converged`` says whether ``gtol`` was reached.
-    """
-    from tonality.operators.tokens import bag_of_words, fit_vocabulary
-    from tonality.session import drop_scratch, materialize
-
-    src = train.select(F.col(key).alias("_key"), tokens, F.col(label).cast("int").alias("_y")).where(F.col(label).isNotNull())
-    vocabulary = materialize(fit_vocabulary(src, tokens, min_len=2), "baseline-vocabulary")
-    bag = materialize(bag_of_words(src, "_key", tokens, vocabulary, min_len=2), "baseline-bag")
-    docs = materialize(src.select("_key", "_y"), "baseline-labels")
-    n = max(docs.count(), 1)
-    ks, zero, history = range(classes), F.lit(0.0), []
-    coef = vocabulary.select("term_id", *[zero.alias(f"{x}{c}") for x in "wvh" for c in ks])  # weights; last weights, gradients
-    bias, last_bias, last_gb, state = np.zeros(classes), np.zeros(classes), np.zeros(classes), None
-    for step in range(max_iter + 1):
-        z = _text_logits(docs, bag, coef, bias.tolist())
-        top = F.greatest(*[f"z{c}" for c in ks])
-        total = sum((F.exp(F.col(f"z{c}") - top) for c in ks), zero)
-        own = sum((F.when(F.col("_y") == c, F.col(f"z{c}")).otherwise(0.0) for c in ks), zero)
-        rest = [(F.exp(F.col(f"z{c}") - top) / total - (F.col("_y") == c).cast("double")).alias(f"r{c}") for c in ks]
-        rows = materialize(z.select("_key", (F.log(total) + top - own).alias("loss"), *rest), "baseline-rows")
-        sums = rows.agg(F.sum("loss"), *[F.sum(f"r{c}") for c in ks]).first()
-        history.append((step, float(sums[0] or 0.0) / n))
-        gb = np.array([float(x or 0.0) for x in sums[1:]]) / n
-        grads = bag.join(rows, "_key").groupBy("term_id").agg(*[(F.sum(F.col("count") * F.col(f"r{c}")) / n).alias(f"s{c}") for c in ks])
-        g = [(F.coalesce(f"s{c}", zero) + F.col(f"w{c}") / (C * n)).alias(f"g{c}") for c in ks]
-        nxt = materialize(coef.join(grads, "term_id", "left").select("term_id", *[f"{x}{c}" for x in "wvh" for c in ks], *g), "baseline-coefficients")
-        for old in filter(None, (state, rows)):
-            drop_scratch(old)
-        state = nxt
-        dw, dg = ([F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in ks] for a, b in ("wv", "gh"))
-        total_of = lambda a, b: F.sum(sum((x * y for x, y in zip(a, b)), zero))
-        top_g, ss, sy, yy = (float(x or 0.0) for x in state.agg(
-            F.max(F.greatest(*[F.abs(f"g{c}") for c in ks])), total_of(dw, dw), total_of(dw, dg), total_of(dg, dg)).first())
-        db, dgb = bias - last_bias, gb - last_gb
-        ss, sy, yy = ss + db @ db, sy + db @ dgb, yy + dgb @ dgb
-        converged = max(top_g, float(np.abs(gb).max())) <= gtol
-        if converged or step == max_iter:
-            break
-        rate = 0.5 if step == 0 or sy <= 0 else float(ss / sy if step % 2 else sy / yy)
-        coef = state.select("term_id", *[(F.col(f"w{c}") - rate * F.col(f"g{c}")).alias(f"w{c}") for c in ks],
-                            *[F.col(f"w{c}").alias(f"v{c}") for c in ks], *[F.col(f"g{c}").alias(f"h{c}") for c in ks])
-        last_bias, last_gb, bias = bias, gb, bias - rate * gb
-    return TextBaseline(vocabulary, state.select("term_id", *[f"w{c}" for c in ks]), bias.tolist(), history, converged)
-
-
 def predict_text_baseline(model: TextBaseline, df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``key, predicted`` for every row; terms outside the vocabulary are dropped, a tie takes the first class."""
     from tonality.functions.vectors import argmax
@@ -435,17 +384,6 @@ def predict_text_baseline(model: TextBaseline, df: DataFrame, key: str, tokens:
     return z.select(F.col("_key").alias(key), argmax(F.array(*_class_columns("z", len(model.intercepts)))).alias("predicted"))
 
 
-def text_baseline_probabilities(model: TextBaseline, df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``key, probs`` for every row; terms outside the vocabulary are dropped."""
-    from tonality.functions.vectors import softmax
-    from tonality.operators.tokens import bag_of_words
-
-    src = df.select(F.col(key).alias("_key"), tokens)
-    bag = bag_of_words(src, "_key", tokens, model.vocabulary, min_len=2)
-    z = _text_logits(src.select("_key"), bag, model.coefficients, model.intercepts)
-    return z.select(F.col("_key").alias(key), softmax(F.array(*_class_columns("z", len(model.intercepts)))).alias("probs"))
-
-
 # ---------------------------------------------------------------- S11 persistence
 
 def save_model(spark: SparkSession, model: ReluClassifier, path: str, mode: str = "overwrite") -> None:
