@@ -7,7 +7,7 @@ from tonality.operators import rank
 from tonality.operators.lookup import demojize
 from tonality.sources import tables as S
 
-from conftest import SF001
+from table_dirs import SF001
 
 
 def _plan(df):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tonality.operators import align, split
 from tonality.sources import tables as S
 
-from conftest import SF01
+from table_dirs import SF01
 
 
 def test_dense_index_equals_row_number(spark):
