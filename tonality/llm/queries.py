@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonality.llm import bpe, decontaminate, html_text, language_id, line_dedup, ppm, quality, secret_scan, simhash, substring_dedup
+from tonality.llm import (bpe, collocations, decontaminate, html_text, language_id, line_dedup, pii, ppm, quality, secret_scan,
+                          simhash, spelling, substring_dedup)
 from tonality.llm.common import table
 
 QUERIES: dict = {}
@@ -150,3 +151,109 @@ def q_substring(spark, sf):
 def q_ppm(spark, sf):
     """Contexts of up to 5 bytes."""
     return ppm.score(table(spark, sf, "documents"), order=5)
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, passes: str, group: int = 0) -> str:
+    """Spans of one kind of personal data: gaps and matches in turn; ``passes`` tells of the match or its group ``g``."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, stop - length(g) AS start, stop FROM (
+  SELECT doc_id, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, unnest(string_split_regex(t, '{p}')) AS gap, unnest(regexp_extract_all(t, '{p}')) AS m,
+           unnest(regexp_extract_all(t, '{p}', {group})) AS g, generate_subscripts(string_split_regex(t, '{p}'), 1) AS i FROM d)
+  WHERE m IS NOT NULL) WHERE {passes}"""
+
+
+_DIGITS = "regexp_replace(g, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT
+  ELSE 2 * substr(reverse({_DIGITS}), i, 1)::INT - CASE WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_CODE = "replace(g, ' ', '')"
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(
+  string_split(substr({_CODE}, 5) || substr({_CODE}, 1, 4), ''),
+  lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda d: d::INT)), lambda x, y: (10 * x + y) % 97) = 1"""
+_PII_SQL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+     "len(list_filter(string_split(g, '.'), lambda x: length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255')) = 0", 0),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", 0),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", 0),
+    ("login", r"(?:(?i:https?|s?ftp|ssh)://)[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*", "true", 0),
+    ("iban", r"(?i:iban)[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?))\b",
+     f"length({_CODE}) BETWEEN 15 AND 34 AND {_MOD97}", 1),
+    ("account", r"(?i:account|acct)(?:\x20(?:number|no\.?|nr\.?))?\x20*[:#]\x20*([0-9](?:[\x20-]?[0-9])+)", f"length({_DIGITS}) BETWEEN 8 AND 17", 1),
+    ("ssn", r"(?i:ssn|social security)(?:\x20number)?[\x20:#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})\b",
+     "substr(g, 1, 3) NOT IN ('000', '666') AND substr(g, 1, 1) <> '9' AND substr(g, 5, 2) <> '00' AND substr(g, 8) <> '0000'", 1),
+]
+_PII_BASE = [k.name for k in pii.BASE]
+
+
+@query("op11_pii", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(_kind_sql(i, kind, pattern, passes, group) for i, (kind, pattern, passes, group) in enumerate(_PII_SQL))}),
+a AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _PII_BASE)},
+             {_LISTED} FILTER (WHERE rank < {len(_PII_BASE)}) AS base, {_LISTED} AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PII_BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)""")
+def q_pii(spark, sf):
+    """The contract's four kinds and those that need a scheme or a cue word."""
+    found = pii.find(table(spark, sf, "documents"))
+    kinds = F.col("spans.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in _PII_BASE]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(_PII_BASE))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(of_base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+# crc32 by a table of its 256 steps, over the bytes of ``<doc_id>:<run>``
+_STEPS = """SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps"""
+_CRC = """4294967295 - list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, list_extract(steps, xor(c & 255, b) + 1)))"""
+
+
+@query("op12_spelling_variants", f"""
+WITH RECURSIVE steps AS ({_STEPS}),
+r AS (SELECT doc_id, unnest(regexp_extract_all({LOWER_AZ.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+d AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h, count(*) AS n FROM r GROUP BY doc_id, run),
+x AS (SELECT run, n, {_CRC} AS crc FROM d, steps),
+w AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM x GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+-- a letter left out, and where: words that share it and the place have a replaced letter there; a word that is one has a letter less
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM v a JOIN w b ON a.v = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM v a JOIN w b ON a.v = b.word),
+best AS (SELECT word, n, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY 1, 2),
+forms AS (SELECT best.word, min(near) AS form, any_value(top) AS form_n FROM best JOIN near ON near.word = best.word AND near_n = top
+  WHERE top >= 10 * best.n GROUP BY 1),
+chain AS (SELECT word, form AS root, 1 AS steps FROM forms UNION ALL SELECT chain.word, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = chain.root),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY 1)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)""")
+def q_spelling(spark, sf):
+    """Words of 7 letters and 2 occurrences; a form is 10 times as frequent."""
+    return spelling.variants(table(spark, sf, "documents"), min_chars=7, min_count=2, ratio=10, one_in=31)
+
+
+@query("op13_collocations", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_AZ.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g1 AS (SELECT lang, x AS p1, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY 1, 2),
+g2 AS (SELECT lang, x[1] AS p1, x[2] AS p2, count(*) AS f FROM (
+  SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) AS x FROM w) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+g3 AS (SELECT lang, x[1] AS p1, x[2] AS p2, x[3] AS p3, count(*) AS f FROM (
+  SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS x FROM w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+longer AS (SELECT lang, p1, p2, max(f) AS f FROM (SELECT lang, p1, p2, f FROM g3 UNION ALL SELECT lang, p2, p3, f FROM g3) GROUP BY 1, 2, 3),
+c2 AS (SELECT g2.lang, g2.p1 || ' ' || g2.p2 AS phrase, g2.f AS a, l.f AS l, r.f AS r,
+              1000000::HUGEINT * g2.f * g2.f // (l.f::HUGEINT * r.f) AS score
+       FROM g2 JOIN g1 l ON l.lang = g2.lang AND l.p1 = g2.p1 JOIN g1 r ON r.lang = g2.lang AND r.p1 = g2.p2
+       LEFT JOIN longer x ON x.lang = g2.lang AND x.p1 = g2.p1 AND x.p2 = g2.p2 WHERE x.f IS NULL OR 100 * x.f < 50 * g2.f),
+t3 AS (SELECT g3.lang, g3.p1 || ' ' || g3.p2 || ' ' || g3.p3 AS phrase, g3.f AS a, a1.f AS f1, a23.f AS f23, a12.f AS f12, a3.f AS f3,
+              1000000::HUGEINT * g3.f * g3.f // (a1.f::HUGEINT * a23.f) AS s1, 1000000::HUGEINT * g3.f * g3.f // (a12.f::HUGEINT * a3.f) AS s2
+       FROM g3 JOIN g1 a1 ON a1.lang = g3.lang AND a1.p1 = g3.p1 JOIN g1 a3 ON a3.lang = g3.lang AND a3.p1 = g3.p3
+       JOIN g2 a12 ON a12.lang = g3.lang AND a12.p1 = g3.p1 AND a12.p2 = g3.p2
+       JOIN g2 a23 ON a23.lang = g3.lang AND a23.p1 = g3.p2 AND a23.p2 = g3.p3),
+c AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN f1 ELSE f12 END, CASE WHEN s1 <= s2 THEN f23 ELSE f3 END, least(s1, s2) FROM t3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k JOIN (SELECT lang, sum(f)::BIGINT AS n FROM g1 GROUP BY lang) USING (lang) WHERE rank <= 2000""")
+def q_collocations(spark, sf):
+    """Phrases of two or three words found 10 times; covered at 50 per cent; 2,000 per language."""
+    return collocations.collocations(table(spark, sf, "documents"), min_count=10, cover=50, top=2000)
