@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 from llm_cases import awkward_rows, frame, sort_key, write_tables
@@ -228,10 +229,46 @@ def test_paths_are_the_repeated_passages(spark, monkeypatch):
     assert found["cc", "ha ha ha"] == [38]
     every = Counter(g for (lang, words) in found for g in zip([lang] * 999, words.split(), words.split()[1:], words.split()[2:]))
     assert max(every.values()) == 1  # every edge lies on one path
-    heavy = collocations.edges(frame(spark, rows)).where("n >= 10 AND w3 <> ''")
+    heavy = collocations.edges(frame(spark, rows)).groupBy("lang", "w1", "w2", "w3").sum("n").where("`sum(n)` >= 10 AND w3 <> ''")
     assert sum(every.values()) == heavy.count()
 
 
+def test_hot_nodes_are_split(spark):
+    """A pair with a third of all rows goes to many parts by its third word, and nothing changes."""
+    rows = [(i, " ".join(f"the same w{j % 97} x{j % 5}" for j in range(i, i + 40)), "aa", "s", 1) for i in range(60)] + collocation_rows()
+    df = frame(spark, rows)
+    hot = collocations.hot_nodes(df, share=0.05)
+    assert ("aa", "the", "same") in hot and len(hot) <= 20
+    found = collocations.edges(df, hot=hot).where("w1 = 'the' AND w2 = 'same'").select("w3", "salt").distinct().collect()
+    assert len({r.salt for r in found}) > 20 and len({r.w3 for r in found}) == len(found)
+    assert sorted(map(tuple, collocations.collocations(df).collect())) == naive_collocations(rows)
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_flow_of_a_partition_in_small_blocks(monkeypatch, block):
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [("aa", rng.choice("ab"), rng.choice("xy"), rng.choice(["", "u", "v"]), rng.randint(1, 5), rng.choice([0, 0, 3])) for _ in range(200)]
+    rows = sorted((hash((r[:3], r[5])) % 50, r) for r in rows)  # neighbours; some nodes share a hash
+    cols = ["lang", "w1", "w2", "w3", "n", "salt"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(cols, r), h=h) for h, r in rows[i:i + 7]]) for i in range(0, len(rows), 7)]
+    got = Counter()
+    for out in collocations._settled(iter(batches), 10):
+        for r in out.to_pylist():
+            got[r["kind"], r["w1"], r["w2"], r["w3"]] += r["n"]
+    edge, node, word = Counter(), Counter(), Counter()
+    for _, (_, w1, w2, w3, n, salt) in rows:
+        edge[w1, w2, w3, salt] += n
+        node[w1, w2, salt] += n
+        word[w1] += n
+    want = Counter({(1, w, "", ""): n for w, n in word.items()})
+    for (w1, w2, salt), n in node.items():
+        want[2, w1, w2, ""] += n if n >= 10 or salt else 0
+    for (w1, w2, w3, salt), n in edge.items():
+        want[3, w1, w2, w3] += n if n >= 10 and w3 else 0
+    assert got == +want
+
+
 def test_scores_are_exact(spark):
     rng = random.Random(3)
     rows = [(a, a + rng.randrange(10**13), a + rng.randrange(10**13)) for a in (rng.randrange(1, 10 ** rng.randint(1, 15)) for _ in range(300))]

@@ -4,9 +4,12 @@ Only the longest grams, three words, are counted in the texts: an *edge* ``w1 w2
 node ``w1 w2`` to the node ``w2 w3``. Every piece ends in two end marks (empty words), so its last pair of words
 and its last word have edges of their own.
 
-1. Edges are summed within each task, then over all tasks, per language.
+1. Every task sums the edges of about a million words at a time; the sums are shuffled by node, once.
+   A node that holds a thousandth of a small sample or more is split by its third word into
+   many parts (the sample steers the split only, never a count).
 2. Shorter counts come from the flow: a pair of words occurs as often as edges leave its node, those to
-   an end mark (the piece-end correction) included; a word as often as edges leave its nodes.
+   an end mark (the piece-end correction) included; a word as often as edges leave its nodes. Sorted by node, a
+   partition is read once and gives its edges and pairs of ``min_count`` or more and its share of the word counts.
 3. Edges of ``min_count`` or more form the graph of candidates. Nodes with one edge in and one out are *unary*;
    the paths through them are compacted: each edge learns the first edge of its path and its place, twice as far in
    each round. Along a path an edge's far node and a node's edges are read from the neighbour; only
@@ -15,7 +18,7 @@ and its last word have edges of their own.
    ranked per language: first in salted parts, then the best of all parts, so no task holds more than the
    best rows of every part.
 
-A hot word or pair is summed in every task before it is shuffled. Scores are exact: products are
+Scores are exact: products are
 decimals of 38 digits (counts up to 10**15), and the quotient is an integer division.
 
 Defined cases: null text is empty and has no pieces; null language is ``und``; a piece of one or two words has no
@@ -27,10 +30,12 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +49,9 @@ TO_MARK = bytes.maketrans(ENDS, MARK * len(ENDS))
 CUT = re.compile(b"[" + re.escape(ENDS) + b" \t]")
 SLICE = 1 << 22  # bytes of a text split into words at once
 TOKENS = 1 << 20  # words a task gathers before it sums their edges
+ROWS = 1 << 16  # of a batch that leaves a task
+BLOCK = 1 << 18  # rows added up together
+SPLIT = 64  # parts of a hot node
 EDGE = ["lang", "w1", "w2", "w3"]
 PART = 64  # edges of a path read together
 SALTS = 64
@@ -68,15 +76,15 @@ def tokens(text: bytes, numbers: Numbers) -> Iterator[np.ndarray]:
         cut = CUT.search(text, at + SLICE)
         end = cut.end() if cut else len(text)
         words = text[at:end].translate(TO_MARK).replace(MARK, b" \xff ").split()
-        yield np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        yield np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         at = end
-    yield np.zeros(2, np.int64)
+    yield np.zeros(2, np.int32)
 
 
 def summed(sequence: np.ndarray, lang: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
     """``lang, w1, w2, w3, n`` of the distinct edges of a token sequence that ends in two marks."""
     at = np.flatnonzero(sequence)
-    first, second = sequence[at], sequence[at + 1]
+    first, second = sequence[at].astype(np.int64), sequence[at + 1]
     third = np.where(second > 0, sequence[np.minimum(at + 2, len(sequence) - 1)], 0)
     pair, of = np.unique((lang[at] * words + first) * words + second, return_inverse=True)
     edge, n = np.unique(of * words + third, return_counts=True)
@@ -84,20 +92,32 @@ def summed(sequence: np.ndarray, lang: np.ndarray, words: int) -> tuple[np.ndarr
     return pair // (words * words), pair // words % words, pair % words, third, n
 
 
-def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, w1, w2, w3, n``: all grams of three words; empty words are end marks."""
+def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", hot: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """``lang, w1, w2, w3, n, salt``: grams of three words, summed within tasks; empty words are end marks.
+
+    ``salt`` is 0, and 1 to ``SPLIT`` by the third word for edges that leave a ``hot`` node (``lang, w1, w2``).
+    """
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    hot = [(lang, w1.encode(), w2.encode()) for lang, w1, w2 in hot]
+
+    def blocks(langs: dict[str, int], numbers: Numbers, parts: list, of: list) -> Iterator[pa.RecordBatch]:
+        lang, w1, w2, w3, n = summed(np.concatenate(parts), np.concatenate(of), len(numbers))
+        listed = list(numbers)
+        salt = np.zeros(len(n), np.int32)
+        known = [(langs[x], numbers[y], numbers[z]) for x, y, z in hot if x in langs and y in numbers and z in numbers]
+        if known:
+            key = lambda x, y, z: (x * len(numbers) + y) * len(numbers) + z
+            at = np.flatnonzero(np.isin(key(lang, w1, w2), [key(*k) for k in known]))
+            salt[at] = [1 + zlib.crc32(listed[w]) % SPLIT for w in w3[at]]
+        names = pa.array(list(langs), pa.string())
+        words = pa.array([b"", *listed[1:]], pa.binary()).cast(pa.string())
+        for i in range(0, len(n), ROWS):
+            j = slice(i, i + ROWS)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[j])), *(words.take(pa.array(w[j])) for w in (w1, w2, w3)),
+                                              pa.array(n[j].astype(np.int64)), pa.array(salt[j])], names=[*EDGE, "n", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs: dict[str, int] = {}
-        numbers, parts, of, held = Numbers(), [], [], 0
-
-        def block() -> pa.RecordBatch:
-            lang, w1, w2, w3, n = summed(np.concatenate(parts), np.concatenate(of), len(numbers))
-            names = pa.array(list(langs), pa.string())
-            words = pa.array([b"", *list(numbers)[1:]], pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([names.take(pa.array(lang)), *(words.take(pa.array(w)) for w in (w1, w2, w3)),
-                                               pa.array(n.astype(np.int64))], names=[*EDGE, "n"])
+        langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), column_bytes(batch, "text")):
                 if not text:
@@ -105,19 +125,78 @@ def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
                 number = langs.setdefault(lang, len(langs))
                 for part in tokens(text, numbers):
                     parts.append(part)
-                    of.append(np.full(len(part), number))
+                    of.append(np.full(len(part), number, np.int32))
                     held += len(part)
                 if held > TOKENS:
-                    yield block()
+                    yield from blocks(langs, numbers, parts, of)
                     langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
         if parts:
-            yield block()
-    return src.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long").groupBy(*EDGE).agg(F.sum("n").alias("n"))
-
-
-def flow(found: DataFrame) -> DataFrame:
-    """``lang, w1, w2, n``: occurrences of all pairs of words; with an empty ``w2``, of words that are the last of a piece."""
-    return found.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+            yield from blocks(langs, numbers, parts, of)
+    return src.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long, salt int")
+
+
+def hot_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = 2000, share: float = 0.001) -> list[tuple[str, str, str]]:
+    """Nodes that ``share`` of all edges of about ``rows`` random documents leave: at most ``1 / share``."""
+    sample = docs.select(F.col(lang_col), F.col(text_col)).sample(min(1.0, rows / max(docs.count(), 1)), 1)
+    leaving = edges(sample, text_col, lang_col).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+    leaving = written_once(lambda: leaving, "collocations-sample")
+    least = max(1, (leaving.agg(F.sum("n")).first()[0] or 0) * share)
+    out = [tuple(r) for r in leaving.where((F.col("n") >= least) & (F.col("w2") != "")).select("lang", "w1", "w2").collect()]
+    drop_scratch(leaving)
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """What the flow of a partition gives; its rows come sorted by ``h``, so a node's rows are neighbours."""
+    held: list[pa.RecordBatch] = []
+    words: list[pa.Table] = []
+
+    def total(t: pa.Table, by: list[str]) -> pa.Table:
+        return t.group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+    def rows(t: pa.Table, kind: int) -> Iterator[pa.RecordBatch]:
+        blank = pa.array([""] * len(t), pa.string())
+        cols = [pa.array([kind] * len(t), pa.int32())] + [t[c] if c in t.column_names else blank for c in [*EDGE, "n"]]
+        yield from pa.table(cols, names=["kind", *EDGE, "n"]).to_batches(max_chunksize=ROWS)
+
+    def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        edge = total(t, [*EDGE, "salt"])
+        node = total(edge, ["lang", "w1", "w2", "salt"])
+        words.append(total(node, ["lang", "w1"]))
+        if sum(map(len, words)) > 4 * BLOCK:
+            words[:] = [total(pa.concat_tables(words), ["lang", "w1"])]
+            if len(words[0]) > 2 * BLOCK:
+                yield from rows(words.pop(), 1)
+        yield from rows(edge.filter((pc.field("n") >= min_count) & (pc.field("w3") != "")), 3)
+        yield from rows(node.filter(((pc.field("n") >= min_count) | (pc.field("salt") > 0)) & (pc.field("w2") != "")), 2)
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < BLOCK:
+            continue
+        t = pa.Table.from_batches(held)
+        h = t["h"].to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield from give(t.slice(0, cut))
+            held = t.slice(cut).combine_chunks().to_batches()
+        else:  # one node so far: its equal edges become one row
+            held = total(t, [*EDGE, "salt", "h"]).select(t.column_names).to_batches()
+    if held:
+        yield from give(pa.Table.from_batches(held))
+    if words:
+        yield from rows(total(pa.concat_tables(words), ["lang", "w1"]), 1)
+
+
+def flow(docs: DataFrame, min_count: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows ``kind, lang, w1, w2, w3, n``: edges (3) and nodes (2) of ``min_count`` or more, shares of word counts (1).
+
+    Edges are whole; the rows of a hot node and of a word are to be added up.
+    """
+    found = edges(docs, text_col, lang_col, hot_nodes(docs, text_col, lang_col))
+    by = ["lang", "w1", "w2", "salt"]
+    dealt = found.repartition(*by).withColumn("h", F.xxhash64(*by)).sortWithinPartitions("h")
+    return dealt.mapInArrow(lambda batches: _settled(batches, min_count), "kind int, lang string, w1 string, w2 string, w3 string, n long")
 
 
 def name(*cols: str) -> Column:
@@ -180,7 +259,7 @@ def paths(docs: DataFrame, min_count: int = 10, text_col: str = "text", lang_col
     These are the repeated passages: ``words`` space-joined, ``counts`` of the edges in turn. Long paths come in parts of
     64 edges, so that no row grows with the input.
     """
-    found = compact(written_once(lambda: edges(docs, text_col, lang_col).where(f"n >= {int(min_count)} AND w3 <> ''"), "collocations-heavy"))
+    found = compact(written_once(lambda: flow(docs, min_count, text_col, lang_col).where("kind = 3").drop("kind"), "collocations-heavy"))
     row = F.struct("place", "w1", "w2", "w3", "n")
     parts = found.groupBy("lang", "head", F.expr(f"place div {PART}").alias("part")).agg(F.array_sort(F.collect_list(row)).alias("e"))
     words = F.concat(F.transform("e", lambda x: x["w1"]), F.array(F.element_at("e", -1)["w2"], F.element_at("e", -1)["w3"]))
@@ -201,18 +280,13 @@ def collocations(docs: DataFrame, min_count: int = 10, cover: int = 50, top: int
     ``a`` counts the phrase, ``l`` and ``r`` the parts of its lowest-scoring cut (ties: the first), ``n`` all words of the
     language. A phrase goes if a longer one of ``min_count`` or more that contains it has ``cover`` per cent of its count.
     """
-    every = written_once(lambda: edges(docs, text_col, lang_col), "collocations-edges")
-    pairs = written_once(lambda: flow(every), "collocations-pairs")
-    words = written_once(lambda: pairs.groupBy("lang", "w1").agg(F.sum("n").alias("n")), "collocations-words")
-
+    found = written_once(lambda: flow(docs, min_count, text_col, lang_col), "collocations-flow")
+    words = written_once(lambda: found.where("kind = 1").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "collocations-words")
     one = words.where(F.col("n") >= min_count)
-    nodes = written_once(lambda: pairs.where((F.col("n") >= min_count) & (F.col("w2") != "")).withColumnRenamed("n", "n12")
-                         .join(one.select("lang", "w1", F.col("n").alias("n1")), ["lang", "w1"])
+    pairs = found.where("kind = 2").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n12")).where(F.col("n12") >= min_count)
+    nodes = written_once(lambda: pairs.join(one.select("lang", "w1", F.col("n").alias("n1")), ["lang", "w1"])
                          .join(one.select("lang", F.col("w1").alias("w2"), F.col("n").alias("n2")), ["lang", "w2"]), "collocations-nodes")
-    heavy = written_once(lambda: every.where((F.col("n") >= min_count) & (F.col("w3") != ""))
-                         .join(nodes, ["lang", "w1", "w2"]), "collocations-heavy")
-    drop_scratch(every)
-    drop_scratch(pairs)
+    heavy = written_once(lambda: found.where("kind = 3").drop("kind").join(nodes, ["lang", "w1", "w2"]), "collocations-heavy")
 
     # along a path the neighbours tell the far node and the other edge of a node
     path = Window.partitionBy("lang", "head", F.expr(f"place div {PART}")).orderBy("place")
