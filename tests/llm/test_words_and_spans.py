@@ -234,13 +234,14 @@ def test_paths_are_the_repeated_passages(spark, monkeypatch):
 
 
 def test_hot_nodes_are_split(spark):
-    """A pair with a third of all rows goes to many parts by its third word, and nothing changes."""
+    """A pair with a third of all rows goes to many buckets by its third word, and nothing changes."""
     rows = [(i, " ".join(f"the same w{j % 97} x{j % 5}" for j in range(i, i + 40)), "aa", "s", 1) for i in range(60)] + collocation_rows()
     df = frame(spark, rows)
     hot = collocations.hot_nodes(df, share=0.05)
     assert ("aa", "the", "same") in hot and len(hot) <= 20
-    found = collocations.edges(df, hot=hot).where("w1 = 'the' AND w2 = 'same'").select("w3", "salt").distinct().collect()
-    assert len({r.salt for r in found}) > 20 and len({r.w3 for r in found}) == len(found)
+    found = collocations.packed_edges(df, hot, 64).where("hot").collect()
+    of = {w3: r.bucket for r in found for w1, w2, w3 in zip(r.w1.split(" "), r.w2.split(" "), r.w3.split(" ")) if (w1, w2) == ("the", "same")}
+    assert len(of) == 97 and len(set(of.values())) > 20
     assert sorted(map(tuple, collocations.collocations(df).collect())) == naive_collocations(rows)
 
 
@@ -248,25 +249,26 @@ def test_hot_nodes_are_split(spark):
 def test_flow_of_a_partition_in_small_blocks(monkeypatch, block):
     monkeypatch.setattr(collocations, "BLOCK", block)
     rng = random.Random(block)
-    rows = [("aa", rng.choice("ab"), rng.choice("xy"), rng.choice(["", "u", "v"]), rng.randint(1, 5), rng.choice([0, 0, 3])) for _ in range(200)]
-    rows = sorted((hash((r[:3], r[5])) % 50, r) for r in rows)  # neighbours; some nodes share a hash
-    cols = ["lang", "w1", "w2", "w3", "n", "salt"]
-    batches = [pa.RecordBatch.from_pylist([dict(zip(cols, r), h=h) for h, r in rows[i:i + 7]]) for i in range(0, len(rows), 7)]
+    cols = ["lang", "w1", "w2", "w3", "n"]
+    rows = [("aa", rng.choice("ab"), rng.choice("xyz"), rng.choice(["", "u", "v"]), str(rng.randint(1, 5))) for _ in range(300)]
+    hot = {("a", "x"), ("b", "z")}
+    parts = {}
+    for r in rows:
+        is_hot = r[1:3] in hot
+        parts.setdefault((sum(map(ord, "".join(r[1:4] if is_hot else r[1:3]))) % 4, is_hot, rng.randrange(3)), []).append(r)
+    packed = [dict(zip(cols, map(" ".join, zip(*of))), bucket=k[0], hot=k[1]) for k, of in sorted(parts.items())]
+    batches = [pa.RecordBatch.from_pylist(packed[i:i + 5]) for i in range(0, len(packed), 5)]
     got = Counter()
     for out in collocations._settled(iter(batches), 10):
         for r in out.to_pylist():
             got[r["kind"], r["w1"], r["w2"], r["w3"]] += r["n"]
     edge, node, word = Counter(), Counter(), Counter()
-    for _, (_, w1, w2, w3, n, salt) in rows:
-        edge[w1, w2, w3, salt] += n
-        node[w1, w2, salt] += n
-        word[w1] += n
-    want = Counter({(1, w, "", ""): n for w, n in word.items()})
-    for (w1, w2, salt), n in node.items():
-        want[2, w1, w2, ""] += n if n >= 10 or salt else 0
-    for (w1, w2, w3, salt), n in edge.items():
-        want[3, w1, w2, w3] += n if n >= 10 and w3 else 0
-    assert got == +want
+    for _, w1, w2, w3, n in rows:
+        edge[w1, w2, w3] += int(n)
+        node[w1, w2] += int(n)
+        word[w1] += int(n)
+    want = {(1, w, "", ""): n for w, n in word.items()} | {(2, *k, ""): n for k, n in node.items() if n >= 10}
+    assert got == want | {(3, *k): n for k, n in edge.items() if n >= 10 and k[2]}
 
 
 def test_scores_are_exact(spark):

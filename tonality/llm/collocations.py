@@ -4,12 +4,12 @@ Only the longest grams, three words, are counted in the texts: an *edge* ``w1 w2
 node ``w1 w2`` to the node ``w2 w3``. Every piece ends in two end marks (empty words), so its last pair of words
 and its last word have edges of their own.
 
-1. Every task sums the edges of about a million words at a time; the sums are shuffled by node, once.
-   A node that holds a thousandth of a small sample or more is split by its third word into
-   many parts (the sample steers the split only, never a count).
+1. Every task sums the edges of about a million words at a time; the sums are shuffled once, in packed
+   rows, to buckets by node. A node that holds one in 10,000 edges of a small sample or more is dealt to all
+   buckets by its third word (the sample steers this only, never a count).
 2. Shorter counts come from the flow: a pair of words occurs as often as edges leave its node, those to
-   an end mark (the piece-end correction) included; a word as often as edges leave its nodes. Sorted by node, a
-   partition is read once and gives its edges and pairs of ``min_count`` or more and its share of the word counts.
+   an end mark (the piece-end correction) included; a word as often as edges leave its nodes. Each
+   bucket is added up once and gives its edges and pairs of ``min_count`` or more and its share of the word counts.
 3. Edges of ``min_count`` or more form the graph of candidates. Nodes with one edge in and one out are *unary*;
    the paths through them are compacted: each edge learns the first edge of its path and its place, twice as far in
    each round. Along a path an edge's far node and a node's edges are read from the neighbour; only
@@ -51,7 +51,7 @@ SLICE = 1 << 22  # bytes of a text split into words at once
 TOKENS = 1 << 20  # words a task gathers before it sums their edges
 ROWS = 1 << 16  # of a batch that leaves a task
 BLOCK = 1 << 18  # rows added up together
-SPLIT = 64  # parts of a hot node
+BUCKETS = 8  # for each shuffle partition
 EDGE = ["lang", "w1", "w2", "w3"]
 PART = 64  # edges of a path read together
 SALTS = 64
@@ -92,50 +92,93 @@ def summed(sequence: np.ndarray, lang: np.ndarray, words: int) -> tuple[np.ndarr
     return pair // (words * words), pair // words % words, pair % words, third, n
 
 
-def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", hot: list[tuple[str, str, str]] = ()) -> DataFrame:
-    """``lang, w1, w2, w3, n, salt``: grams of three words, summed within tasks; empty words are end marks.
+class Sums:
+    """The distinct edges of some documents: numbers of languages and words, their names, and counts."""
+
+    def __init__(self, langs: dict[str, int], numbers: Numbers, parts: list[np.ndarray], of: list[np.ndarray]) -> None:
+        self.lang, self.w1, self.w2, self.w3, self.n = summed(np.concatenate(parts), np.concatenate(of), len(numbers))
+        self.langs, self.numbers, self.listed = langs, numbers, list(numbers)
+        self.names = pa.array(list(langs), pa.string())
+        self.words = pa.array([b"", *self.listed[1:]], pa.binary()).cast(pa.string())
+
+    def columns(self, rows) -> list[pa.Array]:
+        return [self.names.take(pa.array(self.lang[rows])), *(self.words.take(pa.array(w[rows])) for w in (self.w1, self.w2, self.w3)),
+                pa.array(self.n[rows].astype(np.int64))]
+
+    def hot(self, nodes: list[tuple[str, bytes, bytes]]) -> np.ndarray:
+        """Which edges leave one of the ``nodes``."""
+        size = len(self.numbers)
+        known = [(self.langs[x], self.numbers[y], self.numbers[z]) for x, y, z in nodes
+                 if x in self.langs and y in self.numbers and z in self.numbers]
+        return np.isin((self.lang * size + self.w1) * size + self.w2, [(x * size + y) * size + z for x, y, z in known])
+
+    def buckets(self, hot: np.ndarray, count: int) -> np.ndarray:
+        """The same number for all edges of a node, wherever they are counted; for hot nodes by the third word too."""
+        of_word = np.fromiter(map(zlib.crc32, self.listed), np.uint64, len(self.listed))
+        of_lang = np.fromiter((zlib.crc32(x.encode()) for x in self.langs), np.uint64, len(self.langs))
+        h = of_lang[self.lang]
+        for word in (of_word[self.w1], of_word[self.w2], np.where(hot, of_word[self.w3], np.uint64(0))):
+            h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(count)).astype(np.int32)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Sums]:
+    """The edges of a task's documents, about ``TOKENS`` words at a time."""
+    langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), column_bytes(batch, "text")):
+            if not text:
+                continue
+            number = langs.setdefault(lang, len(langs))
+            for part in tokens(text, numbers):
+                parts.append(part)
+                of.append(np.full(len(part), number, np.int32))
+                held += len(part)
+            if held > TOKENS:
+                yield Sums(langs, numbers, parts, of)
+                langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
+    if parts:
+        yield Sums(langs, numbers, parts, of)
+
+
+def _source(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+
+def edges(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, w1, w2, w3, n``: grams of three words, summed within tasks; empty words are end marks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sums in gathered(batches):
+            for i in range(0, len(sums.n), ROWS):
+                yield pa.RecordBatch.from_arrays(sums.columns(slice(i, i + ROWS)), names=[*EDGE, "n"])
+    return _source(docs, text_col, lang_col).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
+
+
+def packed_edges(docs: DataFrame, hot: list[tuple[str, str, str]], buckets: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The same, a row per bucket: each column lists the values of many edges, joined by spaces (words hold none).
 
-    ``salt`` is 0, and 1 to ``SPLIT`` by the third word for edges that leave a ``hot`` node (``lang, w1, w2``).
+    Sorted lists shuffle in a third of the bytes that a row per edge would take.
     """
-    src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    hot = [(lang, w1.encode(), w2.encode()) for lang, w1, w2 in hot]
-
-    def blocks(langs: dict[str, int], numbers: Numbers, parts: list, of: list) -> Iterator[pa.RecordBatch]:
-        lang, w1, w2, w3, n = summed(np.concatenate(parts), np.concatenate(of), len(numbers))
-        listed = list(numbers)
-        salt = np.zeros(len(n), np.int32)
-        known = [(langs[x], numbers[y], numbers[z]) for x, y, z in hot if x in langs and y in numbers and z in numbers]
-        if known:
-            key = lambda x, y, z: (x * len(numbers) + y) * len(numbers) + z
-            at = np.flatnonzero(np.isin(key(lang, w1, w2), [key(*k) for k in known]))
-            salt[at] = [1 + zlib.crc32(listed[w]) % SPLIT for w in w3[at]]
-        names = pa.array(list(langs), pa.string())
-        words = pa.array([b"", *listed[1:]], pa.binary()).cast(pa.string())
-        for i in range(0, len(n), ROWS):
-            j = slice(i, i + ROWS)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[j])), *(words.take(pa.array(w[j])) for w in (w1, w2, w3)),
-                                              pa.array(n[j].astype(np.int64)), pa.array(salt[j])], names=[*EDGE, "n", "salt"])
+    nodes = [(lang, w1.encode(), w2.encode()) for lang, w1, w2 in hot]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), column_bytes(batch, "text")):
-                if not text:
-                    continue
-                number = langs.setdefault(lang, len(langs))
-                for part in tokens(text, numbers):
-                    parts.append(part)
-                    of.append(np.full(len(part), number, np.int32))
-                    held += len(part)
-                if held > TOKENS:
-                    yield from blocks(langs, numbers, parts, of)
-                    langs, numbers, parts, of, held = {}, Numbers(), [], [], 0
-        if parts:
-            yield from blocks(langs, numbers, parts, of)
-    return src.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long, salt int")
-
-
-def hot_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = 2000, share: float = 0.001) -> list[tuple[str, str, str]]:
+        for sums in gathered(batches):
+            is_hot = sums.hot(nodes)
+            bucket = sums.buckets(is_hot, buckets) * 2 + is_hot  # edges of hot nodes in rows of their own
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+            for i in range(0, len(starts), 64):
+                at = slice(int(starts[i]), int(offsets[min(i + 64, len(starts))].as_py()))
+                lists = pc.subtract(offsets.slice(i, min(64, len(starts) - i) + 1), at.start)
+                cols = [pc.binary_join(pa.ListArray.from_arrays(lists, c.cast(pa.string())), " ") for c in sums.columns(order[at])]
+                rows = bucket[order[starts[i:i + 64]]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows // 2, pa.int32()), pa.array(rows % 2 == 1), *cols], names=["bucket", "hot", *EDGE, "n"])
+    return _source(docs, text_col, lang_col).mapInArrow(run, "bucket int, hot boolean, lang string, w1 string, w2 string, w3 string, n string")
+
+
+def hot_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = 2000, share: float = 0.0001) -> list[tuple[str, str, str]]:
     """Nodes that ``share`` of all edges of about ``rows`` random documents leave: at most ``1 / share``."""
     sample = docs.select(F.col(lang_col), F.col(text_col)).sample(min(1.0, rows / max(docs.count(), 1)), 1)
     leaving = edges(sample, text_col, lang_col).groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
@@ -147,9 +190,10 @@ def hot_nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
 
 def _settled(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
-    """What the flow of a partition gives; its rows come sorted by ``h``, so a node's rows are neighbours."""
-    held: list[pa.RecordBatch] = []
+    """What the flow of a partition gives, one bucket (and hot part of a bucket) after the other."""
+    held: list[pa.Table] = []
     words: list[pa.Table] = []
+    bucket = None
 
     def total(t: pa.Table, by: list[str]) -> pa.Table:
         return t.group_by(by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
@@ -159,31 +203,31 @@ def _settled(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.R
         cols = [pa.array([kind] * len(t), pa.int32())] + [t[c] if c in t.column_names else blank for c in [*EDGE, "n"]]
         yield from pa.table(cols, names=["kind", *EDGE, "n"]).to_batches(max_chunksize=ROWS)
 
-    def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        edge = total(t, [*EDGE, "salt"])
-        node = total(edge, ["lang", "w1", "w2", "salt"])
+    def give(t: pa.Table, hot: bool) -> Iterator[pa.RecordBatch]:
+        edge = total(t, EDGE)
+        node = total(edge, ["lang", "w1", "w2"])
         words.append(total(node, ["lang", "w1"]))
         if sum(map(len, words)) > 4 * BLOCK:
             words[:] = [total(pa.concat_tables(words), ["lang", "w1"])]
             if len(words[0]) > 2 * BLOCK:
                 yield from rows(words.pop(), 1)
         yield from rows(edge.filter((pc.field("n") >= min_count) & (pc.field("w3") != "")), 3)
-        yield from rows(node.filter(((pc.field("n") >= min_count) | (pc.field("salt") > 0)) & (pc.field("w2") != "")), 2)
+        yield from rows(node.filter((pc.field("n") >= (0 if hot else min_count)) & (pc.field("w2") != "")), 2)
 
     for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) < BLOCK:
-            continue
-        t = pa.Table.from_batches(held)
-        h = t["h"].to_numpy()
-        cut = int(np.searchsorted(h, h[-1]))
-        if cut:
-            yield from give(t.slice(0, cut))
-            held = t.slice(cut).combine_chunks().to_batches()
-        else:  # one node so far: its equal edges become one row
-            held = total(t, [*EDGE, "salt", "h"]).select(t.column_names).to_batches()
+        keys = list(zip(b.column("bucket").to_pylist(), b.column("hot").to_pylist()))
+        ends = [i for i in range(1, len(keys) + 1) if i == len(keys) or keys[i] != keys[i - 1]]
+        for start, end in zip([0, *ends], ends):
+            if held and keys[start] != bucket:
+                yield from give(pa.concat_tables(held), bucket[1])
+                held = []
+            bucket = keys[start]
+            cols = [pc.list_flatten(pc.split_pattern(b.column(c).slice(start, end - start), " ")) for c in [*EDGE, "n"]]
+            held.append(pa.table([*cols[:4], cols[4].cast(pa.int64())], names=[*EDGE, "n"]))
+            if len(held) > 1 and sum(map(len, held)) > BLOCK:  # a large bucket is added up as it comes
+                held = [total(pa.concat_tables(held), EDGE)]
     if held:
-        yield from give(pa.Table.from_batches(held))
+        yield from give(pa.concat_tables(held), bucket[1])
     if words:
         yield from rows(total(pa.concat_tables(words), ["lang", "w1"]), 1)
 
@@ -193,9 +237,9 @@ def flow(docs: DataFrame, min_count: int = 10, text_col: str = "text", lang_col:
 
     Edges are whole; the rows of a hot node and of a word are to be added up.
     """
-    found = edges(docs, text_col, lang_col, hot_nodes(docs, text_col, lang_col))
-    by = ["lang", "w1", "w2", "salt"]
-    dealt = found.repartition(*by).withColumn("h", F.xxhash64(*by)).sortWithinPartitions("h")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = packed_edges(docs, hot_nodes(docs, text_col, lang_col), buckets, text_col, lang_col)
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket", "hot")
     return dealt.mapInArrow(lambda batches: _settled(batches, min_count), "kind int, lang string, w1 string, w2 string, w3 string, n long")
 
 
