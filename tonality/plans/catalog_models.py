@@ -6,6 +6,7 @@ the same steps; the convex fits are checked by a property of their optimum.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -242,6 +243,35 @@ def q_fit_text_baseline(spark, sf):
     return losses.unionByName(right)
 
 
+_SPLIT_REVIEWS = f"""
+d AS (SELECT {Q.label_ge4('rating')} AS label, row_number() OVER (ORDER BY {Q.hash_order('review_id', 42)}, review_id) AS rn,
+             count(*) OVER () AS cnt FROM ({Q.reviews()})),
+s AS (SELECT label, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * cnt) THEN 'test' ELSE 'train' END AS split FROM d)"""
+
+
+_LBFGS_STEPS = 20
+
+
+@query("text_baseline_lbfgs", f"""
+WITH {_SPLIT_REVIEWS}
+SELECT label, count(*) FILTER (WHERE split = 'train') AS train_rows, CAST(count(*) FILTER (WHERE split = 'test') AS DOUBLE) AS support,
+       true AS loss_fell, true AS below_shares FROM s GROUP BY label""")
+def q_text_baseline_lbfgs(spark, sf):
+    """M1 by L-BFGS and its report (text_ana in full): the loss falls with each of 20 iterations and ends below the entropy of the
+    class shares. A fit to the optimum takes hundreds of iterations on these texts; the tests compare one with Newton's method."""
+    from tonality.operators.metrics import classification_report
+    from tonality.plans.pipelines import text_analysis
+
+    model, rows = text_analysis(S.reviews(spark, sf), max_iter=_LBFGS_STEPS)
+    losses = [loss for _, loss, _ in model.history]
+    fell = all(b < a for a, b in zip(losses, losses[1:]))
+    counts = rows.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
+    shares = [r["train_rows"] for r in counts.collect()]  # one row per class
+    entropy = -sum(x / sum(shares) * math.log(x / sum(shares)) for x in shares)
+    report = classification_report(rows.where(F.col("split") == "test"), "label", "predicted").select("label", "support")
+    return counts.join(report, "label").select("label", "train_rows", "support", F.lit(fell).alias("loss_fell"), F.lit(losses[-1] < entropy).alias("below_shares"))
+
+
 # the words of a message, by the rule: the text in lower case, cut at runs of white space
 MESSAGE_WORDS = f"list_filter(string_split_regex({Q.normalize_text('text')}, '{WS_CLASS}+'), lambda w: length(w) >= 1)"
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.labels import label_name, label_rating
-from tonality.functions.text import clean_ascii, normalize_text
+from tonality.functions.text import clean_ascii, normalize_text, words
 from tonality.operators import dist, rank
 from tonality.operators.lookup import lexicon_labels, score_lexicon
-from tonality.operators.split import split_stratified
+from tonality.operators.split import split_exact, split_stratified
+from tonality.session import materialize
 from tonality.sources import tables as S
 
 
@@ -60,3 +61,16 @@ def emoji_info(lexicon: DataFrame, names: DataFrame | None = None, split: bool =
     if split:
         info = split_stratified(info, "emoji", "label_numeric", fractions=(0.2, 0.8), names=("test", "train"))
     return info
+
+
+def text_analysis(reviews: DataFrame, tol: float = 1e-4, max_iter: int = 1000):
+    """text_ana in full: clean, label (>= 4 positive), exact 80/20 split, fit by L-BFGS, predict both parts.
+
+    Returns the model and ``review_id, label, split, probs, predicted`` of all rows.
+    """
+    from tonality.operators.text_model import class_probabilities, fit_text_optimum
+
+    d = reviews.select("review_id", words(clean_ascii("verified_reviews"), 2).alias("tokens"), label_rating("rating", "ge4").alias("label"))
+    d = materialize(split_exact(d, "review_id", (0.2, 0.8), ("test", "train"), seed=42, rounding="ceil"), "baseline-tokens")
+    model = fit_text_optimum(d.where(F.col("split") == "train"), "review_id", tol=tol, max_iter=max_iter)
+    return model, class_probabilities(model, d, "review_id").join(d.select("review_id", "label", "split"), "review_id")
