@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tonality.functions import text as X
-from tonality.functions.labels import label_rating
+from tonality.functions.labels import label_name, label_rating
 from tonality.functions import vectors as V
 from tonality.operators import dist, fuse, split
 from tonality.operators.model import (ReluClassifier, fit_relu_classifier, fit_text_baseline, history_frame, predict_text_baseline,
@@ -268,8 +268,8 @@ def q_text_baseline_lbfgs(spark, sf):
     counts = rows.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
     shares = [r["train_rows"] for r in counts.collect()]  # one row per class
     entropy = -sum(x / sum(shares) * math.log(x / sum(shares)) for x in shares)
-    report = classification_report(rows.where(F.col("split") == "test"), "label", "predicted").select("label", "support")
-    return counts.join(report, "label").select("label", "train_rows", "support", F.lit(fell).alias("loss_fell"), F.lit(losses[-1] < entropy).alias("below_shares"))
+    report = classification_report(rows.where(F.col("split") == "test"), "label", "predicted").select("class", "support")
+    return counts.withColumn("class", label_name("label")).join(report, "class").select("label", "train_rows", "support", F.lit(fell).alias("loss_fell"), F.lit(losses[-1] < entropy).alias("below_shares"))
 
 
 # the words of a message, by the rule: the text in lower case, cut at runs of white space
