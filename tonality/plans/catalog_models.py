@@ -187,6 +187,64 @@ def q_sweep_class_weights(spark, sf):
     return rec.select("run_id", *[F.round(c, 6).alias(c) for c in ("f1_weighted", "f1_macro", "accuracy")])
 
 
+_MB_ROWS, _MB_EPOCHS, _MB_PATIENCE, _MB_LR = 32, 8, 2, 0.2
+
+
+def _minibatch_sql() -> str:
+    """The mini-batch loop as a recursive query, a step of 32 rows per round; then losses, early stop and the best epoch's hits."""
+    n = HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN + CLASSES
+    w1, b1, w2 = HIDDEN * WIDTH, HIDDEN * WIDTH + HIDDEN, HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN
+    return f"""
+WITH RECURSIVE {_FEATURES_SQL.strip()}, {_WEIGHTED_SQL}, {_start_sql('t0')},
+steps AS (SELECT CAST(ceil(count(*) / {_MB_ROWS}.0) AS BIGINT) AS s FROM dat WHERE split = 'train'),
+ord AS (SELECT vec_id, (e - 1) * (SELECT s FROM steps) + (row_number() OVER (PARTITION BY e ORDER BY md5(CAST(vec_id AS VARCHAR) || ':' || CAST(42 + e AS VARCHAR)), CAST(vec_id AS VARCHAR)) - 1) // {_MB_ROWS} AS step
+        FROM dat, (SELECT unnest(range(1, {_MB_EPOCHS} + 1)) AS e) WHERE split = 'train'),
+st AS (SELECT 0::BIGINT AS t, theta, m, v, 0.0::DOUBLE AS loss FROM t0 UNION ALL SELECT * FROM (
+  WITH bt AS (SELECT d.* FROM dat d JOIN ord o USING (vec_id) JOIN st ON o.step = st.t),
+  {_step_sql('st', 'bt', 'q').strip()},
+  mv AS (SELECT s.t, s.theta, list_transform(range({n}), lambda i: 0.9 * s.m[i + 1] + 0.1 * g.g[i + 1]) AS m,
+                list_transform(range({n}), lambda i: 0.999 * s.v[i + 1] + 0.001 * g.g[i + 1] * g.g[i + 1]) AS v FROM st s, gq g
+         WHERE s.t < {_MB_EPOCHS} * (SELECT s FROM steps))
+  SELECT t + 1, list_transform(range({n}), lambda i: theta[i + 1] - {_MB_LR} * (m[i + 1] / (1 - pow(0.9, t + 1)))
+                / (sqrt(v[i + 1] / (1 - pow(0.999, t + 1))) + 1e-8)), m, v, (SELECT train_loss FROM lq) FROM mv)),
+ep AS (SELECT t // (SELECT s FROM steps) AS epoch, theta FROM st WHERE t > 0 AND t % (SELECT s FROM steps) = 0),
+tl AS (SELECT (t - 1) // (SELECT s FROM steps) + 1 AS epoch, avg(loss) AS train_loss FROM st WHERE t > 0 GROUP BY 1),
+fa AS (SELECT ep.epoch, d.y, d.split, coalesce(cw.w, 0) AS w, theta, list_transform(range({HIDDEN}), lambda i: greatest(0.0, list_sum(list_transform(range({WIDTH}),
+         lambda j: x[j + 1] * theta[i * {WIDTH} + j + 1])) + theta[{w1} + i + 1])) AS h FROM sp d LEFT JOIN cw USING (y), ep WHERE d.split <> 'train'),
+fz AS (SELECT *, list_transform(range({CLASSES}), lambda c: list_sum(list_transform(range({HIDDEN}),
+         lambda i: h[i + 1] * theta[{b1} + c * {HIDDEN} + i + 1])) + theta[{w2} + c + 1]) AS z FROM fa),
+fp AS (SELECT *, {Q.softmax('z')} AS p FROM fz),
+vl AS (SELECT epoch, sum(w * -ln(p[y + 1])) / sum(w) AS val_loss FROM fp WHERE split = 'val' GROUP BY epoch),
+lo AS (SELECT epoch, val_loss, coalesce(val_loss < min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM vl),
+im AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS best_so_far FROM lo),
+en AS (SELECT coalesce(min(epoch), {_MB_EPOCHS}) AS last FROM im WHERE epoch - best_so_far >= {_MB_PATIENCE}),
+be AS (SELECT best_so_far AS best FROM im, en WHERE epoch = last),
+hits AS (SELECT count(*) FILTER (WHERE y = {Q.argmax('z')}) AS test_right FROM fp, be WHERE epoch = best AND split = 'test')
+SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, epoch = best AS is_best, test_right
+FROM im JOIN tl USING (epoch), en, be, hits WHERE epoch <= last"""
+
+
+@query("fit_minibatch_resumed", _minibatch_sql())
+def q_fit_minibatch_resumed(spark, sf):
+    """M2b + M3: mini-batches of 32 from a closed-form start; the run breaks off after two epochs, goes on from its committed
+    state and stops early; losses per epoch, the best epoch and the test rows its parameters get right."""
+    from tonality.operators import minibatch
+    from tonality.operators.model import score
+    from tonality.session import scratch_path
+
+    feats = materialize(_labelled_vectors(spark, sf), "labelled-vectors")
+    found = dist.class_weights(feats, "label", split_col="split", scope="train").collect()  # one row per class
+    weights = {"inverse": [next((float(r["weight"]) for r in found if r["label"] == c), 0.0) for c in range(CLASSES)]}
+    state, start = scratch_path(spark, f"minibatch-{uuid.uuid4().hex}"), ReluClassifier.closed_form(WIDTH, HIDDEN, CLASSES, salt=1)
+    args = dict(batch_rows=_MB_ROWS, epochs=_MB_EPOCHS, patience=_MB_PATIENCE, lr=_MB_LR)
+    minibatch.fit_minibatches(feats, "vec_id", weights, start, state, stop_after=2, **args)
+    minibatch.fit_minibatches(feats, "vec_id", weights, start, state, **args)
+    scored = score(feats.where("split = 'test'"), "features", minibatch.best_model(spark, state, start), keep=["label"])
+    right = scored.agg(F.count(F.when(F.col("predicted") == F.col("label"), 1)).alias("test_right"))
+    return minibatch.history(spark, state).crossJoin(right).select(  # a join with one row
+        "epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"), "is_best", "test_right")
+
+
 _TEXT_STEPS, _TEXT_LR = 3, 0.01
 
 
