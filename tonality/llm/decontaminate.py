@@ -144,14 +144,14 @@ def weights(size: int) -> np.ndarray:
     return np.array([pow(MULTIPLIER, j + 1, 1 << 64) for j in range(size)], np.uint64)
 
 
-def window_sums(codes: np.ndarray, size: int) -> np.ndarray:
-    """Weighted sum of every window of ``size`` codes, with the size mixed in."""
+def window_sums(codes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Weighted sum of every window of ``size`` codes (or of those that start ``at`` some places), with the size mixed in."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, size, np.uint64)
+    out = np.full(n if at is None else len(at), size, np.uint64)
     for j, weight in enumerate(weights(size)):
-        out += codes[j:j + n] * weight
+        out += (codes[j:j + n] if at is None else codes[at + j]) * weight
     return out
 
 
@@ -167,8 +167,11 @@ def readings(t: Tokens, sums: np.ndarray, size: int, at: np.ndarray) -> Iterator
     before = np.concatenate([[0], np.cumsum(t.name != 0)])
     count = before[at + size] - before[at]
     weight = weights(size)
-    for k in np.unique(count).tolist():
+    for k in np.flatnonzero(np.bincount(count, minlength=1)).tolist():
         p = at[count == k]
+        if k == 0:
+            yield p, mixed(sums[p]), np.zeros((len(p), 0), np.int64)
+            continue
         token = either[before[p][:, None] + np.arange(k)]  # the k such words of each window
         place = token - p[:, None]
         step = (t.name[token] - t.code[token]) * weight[place]
@@ -193,10 +196,8 @@ def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool
     if whole:
         ok &= t.size[t.owner[:n]] == size
     for at, h, named in readings(t, sums, size, np.flatnonzero(ok)):
-        good = (slots[at] + named.shape[1]) * 2 <= size
-        if allowed is not None:
-            good &= allowed(h)
-        for i in np.flatnonzero(good).tolist():
+        left = np.arange(len(at)) if allowed is None else np.flatnonzero(allowed(h))
+        for i in left[(slots[at[left]] + named.shape[1]) * 2 <= size].tolist():
             p = int(at[i])
             flags = t.slot[p:p + size].copy()
             flags[named[i]] = True
@@ -204,7 +205,7 @@ def windows(template: Template, t: Tokens, size: int, allowed=None, whole: bool
     names = np.concatenate([[0], np.cumsum(t.name != 0)])
     at = np.flatnonzero(ok & ((slots + names[size:] - names[:n]) * 2 > size))
     if len(at):
-        h = mixed(window_sums(template.plain[t.word], size)[at] ^ LITERAL)
+        h = mixed(window_sums(template.plain[t.word], size, at) ^ LITERAL)
         valued = template.slot[t.word, 1]
         for i in (range(len(at)) if allowed is None else np.flatnonzero(allowed(h)).tolist()):
             p = int(at[i])
