@@ -67,8 +67,7 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_le
     body = max_len - 2
     # posexplode_outer keeps one (null) row for a document without words, so every document
     # reaches the group-by and no join back to the input is needed
-    occ = (df.select(key, F.posexplode_outer(tokens).alias("pos", "term"))
-           .where(F.col("pos").isNull() | (F.col("pos") < body)))
+    occ = df.select(key, F.posexplode_outer(F.slice(tokens, 1, body)).alias("pos", "term"))
     ids = (occ.join(vocab.select("term", "term_id"), "term", "left")
            .select(key, "pos", F.coalesce(F.col("term_id") + F.lit(FIRST_WORD_ID), F.lit(UNK_ID)).cast("int").alias("_tid")))
     seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(

@@ -190,22 +190,22 @@ def q_sweep_class_weights(spark, sf):
 _MB_ROWS, _MB_EPOCHS, _MB_PATIENCE, _MB_LR = 32, 8, 2, 0.2
 
 
-def _minibatch_sql() -> str:
-    """The mini-batch loop as a recursive query, a step of 32 rows per round; then losses, early stop and the best epoch's hits."""
+def _minibatch_sql(features: str, epochs: int, patience: int, lr: float) -> str:
+    """The mini-batch loop as a recursive query, a step of 32 rows per round; then losses, early stop and the best epoch."""
     n = HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN + CLASSES
     w1, b1, w2 = HIDDEN * WIDTH, HIDDEN * WIDTH + HIDDEN, HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN
     return f"""
-WITH RECURSIVE {_FEATURES_SQL.strip()}, {_WEIGHTED_SQL}, {_start_sql('t0')},
+WITH RECURSIVE {features.strip()}, {_WEIGHTED_SQL}, {_start_sql('t0')},
 steps AS (SELECT CAST(ceil(count(*) / {_MB_ROWS}.0) AS BIGINT) AS s FROM dat WHERE split = 'train'),
 ord AS (SELECT vec_id, (e - 1) * (SELECT s FROM steps) + (row_number() OVER (PARTITION BY e ORDER BY md5(CAST(vec_id AS VARCHAR) || ':' || CAST(42 + e AS VARCHAR)), CAST(vec_id AS VARCHAR)) - 1) // {_MB_ROWS} AS step
-        FROM dat, (SELECT unnest(range(1, {_MB_EPOCHS} + 1)) AS e) WHERE split = 'train'),
+        FROM dat, (SELECT unnest(range(1, {epochs} + 1)) AS e) WHERE split = 'train'),
 st AS (SELECT 0::BIGINT AS t, theta, m, v, 0.0::DOUBLE AS loss FROM t0 UNION ALL SELECT * FROM (
   WITH bt AS (SELECT d.* FROM dat d JOIN ord o USING (vec_id) JOIN st ON o.step = st.t),
   {_step_sql('st', 'bt', 'q').strip()},
   mv AS (SELECT s.t, s.theta, list_transform(range({n}), lambda i: 0.9 * s.m[i + 1] + 0.1 * g.g[i + 1]) AS m,
                 list_transform(range({n}), lambda i: 0.999 * s.v[i + 1] + 0.001 * g.g[i + 1] * g.g[i + 1]) AS v FROM st s, gq g
-         WHERE s.t < {_MB_EPOCHS} * (SELECT s FROM steps))
-  SELECT t + 1, list_transform(range({n}), lambda i: theta[i + 1] - {_MB_LR} * (m[i + 1] / (1 - pow(0.9, t + 1)))
+         WHERE s.t < {epochs} * (SELECT s FROM steps))
+  SELECT t + 1, list_transform(range({n}), lambda i: theta[i + 1] - {lr} * (m[i + 1] / (1 - pow(0.9, t + 1)))
                 / (sqrt(v[i + 1] / (1 - pow(0.999, t + 1))) + 1e-8)), m, v, (SELECT train_loss FROM lq) FROM mv)),
 ep AS (SELECT t // (SELECT s FROM steps) AS epoch, theta FROM st WHERE t > 0 AND t % (SELECT s FROM steps) = 0),
 tl AS (SELECT (t - 1) // (SELECT s FROM steps) + 1 AS epoch, avg(loss) AS train_loss FROM st WHERE t > 0 GROUP BY 1),
@@ -217,14 +217,17 @@ fp AS (SELECT *, {Q.softmax('z')} AS p FROM fz),
 vl AS (SELECT epoch, sum(w * -ln(p[y + 1])) / sum(w) AS val_loss FROM fp WHERE split = 'val' GROUP BY epoch),
 lo AS (SELECT epoch, val_loss, coalesce(val_loss < min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM vl),
 im AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS best_so_far FROM lo),
-en AS (SELECT coalesce(min(epoch), {_MB_EPOCHS}) AS last FROM im WHERE epoch - best_so_far >= {_MB_PATIENCE}),
-be AS (SELECT best_so_far AS best FROM im, en WHERE epoch = last),
+en AS (SELECT coalesce(min(epoch), {epochs}) AS last FROM im WHERE epoch - best_so_far >= {patience}),
+be AS (SELECT best_so_far AS best FROM im, en WHERE epoch = last)"""
+
+
+_MB_LOSSES = f"""
 hits AS (SELECT count(*) FILTER (WHERE y = {Q.argmax('z')}) AS test_right FROM fp, be WHERE epoch = best AND split = 'test')
 SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, epoch = best AS is_best, test_right
 FROM im JOIN tl USING (epoch), en, be, hits WHERE epoch <= last"""
 
 
-@query("fit_minibatch_resumed", _minibatch_sql())
+@query("fit_minibatch_resumed", f"{_minibatch_sql(_FEATURES_SQL, _MB_EPOCHS, _MB_PATIENCE, _MB_LR)},{_MB_LOSSES}")
 def q_fit_minibatch_resumed(spark, sf):
     """M2b + M3: mini-batches of 32 from a closed-form start; the run breaks off after two epochs, goes on from its committed
     state and stops early; losses per epoch, the best epoch and the test rows its parameters get right."""
@@ -245,6 +248,47 @@ def q_fit_minibatch_resumed(spark, sf):
         "epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"), "is_best", "test_right")
 
 
+_FUSED_SQL = (fusion_sql("mask").strip().removeprefix("WITH ").rsplit("SELECT vec_id,", 1)[0].rstrip() + ","
+              + _FEATURES_SQL.replace("CAST(embedding AS DOUBLE[]) AS x", "fused AS x").replace("FROM embeddings", "FROM f"))
+_FF_EPOCHS, _FF_LR = 3, 0.05
+_BIAS2, _W2, _BIAS3 = HIDDEN * WIDTH, HIDDEN * WIDTH + HIDDEN, HIDDEN * WIDTH + HIDDEN + CLASSES * HIDDEN
+
+
+@query("fused_fit_score", f"""
+{_minibatch_sql(_FUSED_SQL, _FF_EPOCHS, _FF_EPOCHS, _FF_LR)},
+sa AS (SELECT vec_id, theta, list_transform(range({HIDDEN}), lambda i: greatest(0.0, list_sum(list_transform(range({WIDTH}),
+         lambda j: x[j + 1] * theta[i * {WIDTH} + j + 1])) + theta[{_BIAS2} + i + 1])) AS h FROM sp, ep, be WHERE ep.epoch = be.best),
+sz AS (SELECT vec_id, list_transform(range({CLASSES}), lambda c: list_sum(list_transform(range({HIDDEN}),
+         lambda i: h[i + 1] * theta[{_W2} + c * {HIDDEN} + i + 1])) + theta[{_BIAS3} + c + 1]) AS z FROM sa),
+sq AS (SELECT vec_id, z, {Q.softmax('z')} AS p FROM sz)
+SELECT vec_id, {Q.label_name(Q.argmax('z'))} AS sentiment, round(list_max(p), 6) AS confidence FROM sq""")
+def q_fused_fit_score(spark, sf):
+    """S11 + M2 + M6: modalities fused, a classifier fitted on the fused vectors, its best state after one and after three epochs
+    put into the registry, the best of both loaded again and every row scored with it."""
+    from tonality.operators import minibatch
+    from tonality.operators.model import score
+    from tonality.plans import registry
+    from tonality.plans.catalog_more import _fusion_input
+    from tonality.session import scratch_path
+
+    params = fuse.FusionParams.closed_form(64, 32, 16)
+    fused = fuse.fuse_modalities(_fusion_input(spark, sf), params, missing="mask", keep=["vec_id"]).withColumnRenamed("fused", "features")
+    label = V.argmax(fuse.project_expr(F.col("features"), fuse.closed_form_linear(CLASSES, WIDTH, LABEL_SALT)))
+    feats = materialize(fused.withColumn("label", label), "fused-vectors")
+    feats = materialize(split.split_exact(feats, "vec_id", (0.7, 0.15, 0.15), ("train", "val", "test"), seed=7, rounding="floor"), "fused-splits")
+    found = dist.class_weights(feats, "label", split_col="split", scope="train").collect()  # one row per class
+    weights = {"inverse": [next((float(r["weight"]) for r in found if r["label"] == c), 0.0) for c in range(CLASSES)]}
+    base, start = scratch_path(spark, f"fused-fit-{uuid.uuid4().hex}"), ReluClassifier.closed_form(WIDTH, HIDDEN, CLASSES, salt=1)
+    for stop_after in (1, _FF_EPOCHS - 1):
+        run = minibatch.fit_minibatches(feats, "vec_id", weights, start, f"{base}/state", epochs=_FF_EPOCHS, patience=_FF_EPOCHS, lr=_FF_LR,
+                                        stop_after=stop_after)[0]
+        model = ScoringModel(params, minibatch.best_model(spark, f"{base}/state", start))
+        registry.register(spark, f"{base}/registry", f"epoch-{len(run.val_losses)}", model, {"val_loss": run.best_loss})
+    model = registry.load(spark, f"{base}/registry", "val_loss")
+    out = score(feats, "features", model.classifier, keep=["vec_id"])
+    return out.select("vec_id", "sentiment", F.round("confidence", 6).alias("confidence"))
+
+
 _TEXT_STEPS, _TEXT_LR = 3, 0.01
 
 
