@@ -169,3 +169,24 @@ def test_parse_json_requests(spark):
     got = {r.request_id: r for r in score_stream(reqs, ScoringModel.closed_form()).collect()}
     assert got["2"].sentiment == "neutral" and got["2"].confidence is None
     assert got["1"].confidence is not None
+
+
+def test_table_sink_takes_each_batch_once(spark, tmp_dir):
+    from tonality.streaming.score_stream import commit_batch, committed_rows, start_scoring_tables
+    model = ScoringModel.closed_form()
+    src, tables, ck = (os.path.join(tmp_dir, p) for p in ("in", "tables", "ck"))
+    lines = ['{"request_id": "1", "text": "nice"}', '{"request_id": "2"', "", "no json", '{"text": "no id"}', '{"request_id": "3"}', "[1]"]
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    frame.repartition(3).write.text(src)
+    start_scoring_tables(spark, src, tables, ck, model, max_files_per_trigger=1).awaitTermination()
+    once = sorted(map(tuple, committed_rows(spark, tables).select("request_id", "sentiment").collect()))
+    assert [r[0] for r in once] == ["1", "3"]
+    bad = sorted(r.value for r in committed_rows(spark, tables, "quarantine").collect())
+    assert bad == sorted(x for x in lines if x not in (lines[0], lines[5]))
+    # a batch that is replayed after its commit, and one that broke off before it and comes again
+    assert not commit_batch(frame, 0, tables, model)
+    frame.select(F.lit("9").alias("request_id")).write.parquet(os.path.join(tables, "scored/run=scoring/batch_id=7"))
+    assert sorted(map(tuple, committed_rows(spark, tables).select("request_id", "sentiment").collect())) == once
+    assert commit_batch(frame, 7, tables, model)
+    assert sorted(r.request_id for r in committed_rows(spark, tables).collect()) == ["1", "1", "3", "3"]
+    assert commit_batch(frame, 0, tables, model, run="another checkpoint")

@@ -450,4 +450,34 @@ def q_score_stream(spark, sf):
     return spark.read.parquet(sink).select("request_id", "sentiment", F.round("confidence", 6).alias("confidence"))
 
 
+# lines that are cut off in the middle, so that they are no JSON
+_CUT_OFF = "turn % 3 = 0 AND conv_id % 10 = 0"
+
+
+@query("score_stream_tables", f"""
+SELECT *, (SELECT count(*) FROM conversations WHERE {_CUT_OFF}) AS quarantined FROM ({_request_score_sql()})
+WHERE request_id NOT IN (SELECT conv_id || '-' || turn FROM conversations WHERE {_CUT_OFF})""")
+def q_score_stream_tables(spark, sf):
+    """ST1 + S6: request lines, some of them cut off, streamed into tables with a ledger; one batch is replayed and one broke off
+    before its commit, and both leave no trace."""
+    from tonality.session import checkpoint_dir
+    from tonality.streaming.score_stream import commit_batch, committed_rows, start_scoring_tables
+
+    base = os.path.join(checkpoint_dir(spark), f"score_tables_{uuid.uuid4().hex}")
+    src, tables, ck = (os.path.join(base, p) for p in ("lines", "tables", "checkpoint"))
+    conv = F.split("request_id", "-")
+    cut = (conv[1].cast("long") % 3 == 0) & (conv[0].cast("long") % 10 == 0)
+    line = F.to_json(F.struct("request_id", "text", "emoji", "sticker"))
+    S.requests(spark, sf).select(F.when(cut, F.substring(line, 1, 12)).otherwise(line).alias("value")).repartition(2).write.text(src)
+    model = ScoringModel.closed_form()
+    start_scoring_tables(spark, src, tables, ck, model, max_files_per_trigger=1).awaitTermination()
+    lines = spark.read.text(src)
+    commit_batch(lines, 0, tables, model)  # the replay
+    broken = committed_rows(spark, tables).select("request_id", "predicted", "sentiment", "confidence")
+    broken.write.parquet(f"{tables}/scored/run=scoring/batch_id=99")
+    bad = committed_rows(spark, tables, "quarantine").agg(F.count(F.lit(1)).alias("quarantined"))
+    return committed_rows(spark, tables).crossJoin(bad).select(  # a join with one row
+        "request_id", "sentiment", F.round("confidence", 6).alias("confidence"), "quarantined")
+
+
 from tonality.plans import catalog_io  # noqa: E402,F401  (sources, sinks and round trips)
