@@ -232,6 +232,54 @@ def test_scores_equal_one_trie(spark, tables, monkeypatch):
         assert sorted([(*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got], key=sort_key) == sorted(want, key=sort_key)
 
 
+def dict_trie_cost(train, text, order):
+    """log10 probability of a text and its end from plain dictionaries of followers; the end is None and stands before a text."""
+    followers = {}
+    for t in train:
+        symbols = [None] * order + [*t, None]
+        for i in range(order, len(symbols)):
+            for j in range(order + 1):
+                followers.setdefault(tuple(symbols[i - j:i]), Counter())[symbols[i]] += 1
+    cost, symbols = 0.0, [None] * order + [*text, None]
+    for i in range(order, len(symbols)):
+        ruled_out = set()
+        for j in range(order, -1, -1):
+            seen = followers.get(tuple(symbols[i - j:i]), Counter())
+            left = {s: c for s, c in seen.items() if s not in ruled_out}
+            everything = 2 * sum(left.values()) - (len(left) if len(left | dict.fromkeys(ruled_out)) == 257 else 0)
+            if symbols[i] in left:
+                cost += math.log10((2 * left[symbols[i]] - 1) / everything)
+                break
+            if left:
+                cost += math.log10(len(left) / everything)
+            ruled_out |= set(seen)
+        else:
+            cost -= math.log10(257 - len(ruled_out))
+    return cost
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3, 5])
+def test_scores_equal_a_dict_trie(spark, order):
+    texts = ["abracadabra " * 5, "the cat sat on the mat", "The Cat ate the rat", "zzz\u00e9\u4e2d\U0001f600 q", "", None, "a" * 300, "the cat sat on the mat"]
+    rows = [(i, texts[i % len(texts)]) for i in range(40)]
+    low = [(i, (t or "").encode().lower()) for i, t in rows]
+    train = [t for i, t in low if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = {i: dict_trie_cost(train, t, order) for i, t in low}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1 << 20, 200):
+        got = {r.doc_id: r.score for r in ppm.score(docs, order, size).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
+def test_answer_table():
+    keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
+    table = ppm.Table(keys[::2], keys[::2] * 3)
+    assert (table.get(keys) == np.where(np.arange(len(keys)) % 2 == 0, keys * 3, 0)).all()
+    assert (ppm.Table(keys[:0], keys[:0]).get(keys) == 0).all() and not len(table.get(keys[:0]))
+    same_slot = np.arange(64, dtype=np.int64) * 0  # repeated keys
+    assert (ppm.Table(same_slot, same_slot + 7).get(same_slot) == 7).all()
+
+
 def test_adaptive_learns_repetition(spark):
     rows = ppm.score_adaptive(spark.createDataFrame([(1, "abcd" * 30), (2, None)], "doc_id long, text string"), 3).collect()
     cost = {r.doc_id: r.score for r in rows}

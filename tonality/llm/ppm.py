@@ -11,9 +11,11 @@ the unseen symbols share evenly. The score is the log10 probability of all bytes
 
 How it runs: documents are dealt into blocks of about ``block_bytes``. A block lists its distinct
 ``order + 1``-grams and words once, with their training counts; these lists are the only thing that is
-shuffled by key. Grams are summed, priced (a partition holds all grams whose context ends alike,
-so it holds all their contexts; orders 0 and 1, at most 257 and 257**2 counts, are the only shared
-tables) and sent back to the blocks that asked, where each document adds up its prices. No
+shuffled by key. Grams are summed, priced (a partition holds all grams whose context ends in the same three
+symbols, at most 257**3 per such end at the default order, and gets the three-symbol counts that their second order needs by
+a join; orders 0 and 1, at most 257 and 257**2 counts, are the only shared
+tables) and sent back to the blocks that asked. There a task streams: the answers of a block come first and fill one
+hash table, its texts follow batch by batch, and each document adds up its prices. No
 table of the corpus reaches the driver or is broadcast.
 
 ``adaptive_cost`` prices a text by what came before it in the same text, without a corpus.
@@ -28,6 +30,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,9 @@ from tonality.session import drop_scratch
 BITS, END, SYMBOLS = 9, 256, 257
 LOW = (1 << BITS) - 1
 CHUNK = 1 << 21  # bytes sorted at a time
+PIECE = 1 << 20  # bytes priced at a time
 END_WORD = b"\n"  # stands for the end of a text among the words; no word holds white space
-GRAM, WORD = 0, 1
+GRAM, WORD, TEXT = 0, 1, 2
 
 
 def mask(symbols: int) -> int:
@@ -60,6 +65,66 @@ def grams(data: bytes, order: int) -> np.ndarray:
     return out
 
 
+def joint_grams(texts_: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of several texts laid out one after another, and where each text's begin and end (begin, end, begin, ...).
+
+    The places between an end and the next begin hold grams that belong to no text.
+    """
+    sizes = np.fromiter(map(len, texts_), np.int64, len(texts_))
+    gap = max(order, 1)
+    begins = order + np.concatenate([[0], np.cumsum(sizes + gap)[:-1]]) if len(texts_) else sizes
+    s = np.full(int(sizes.sum()) + gap * len(texts_) + order, END, np.int64)
+    for at, data in zip(begins.tolist(), texts_):
+        s[at:at + len(data)] = np.frombuffer(data, np.uint8)
+    n = len(s) - order
+    out = s[:n].copy()
+    for j in range(1, order + 1):
+        out <<= BITS
+        out |= s[j:j + n]
+    return out, np.stack([begins - order, begins - order + sizes + 1], 1).ravel()
+
+
+class Table:
+    """Values by 64-bit key in open addressing, half full at most; repeated keys must have equal values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.at = np.full(1 << bits, -1, np.int32)
+        self.keys, self.values = keys, values
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]  # of several keys for one slot the last stays
+            lost = keys[self.at[slot]] != keys[left]
+            left, slot = left[lost], slot[lost] + 1 & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        # Fixed value: an odd multiplier near 2**64 over the golden ratio
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def get(self, wanted: np.ndarray) -> np.ndarray:
+        """The value of each wanted key; 0 where it is missing."""
+        out = np.zeros(len(wanted), self.values.dtype)
+        if not len(self.keys):
+            return out
+        slot = self._slot(wanted)
+        at = self.at[slot]
+        hit = self.keys[at] == wanted  # an empty slot (-1) reads the last key: right only if that key is wanted
+        hit &= at >= 0
+        np.copyto(out, self.values[at], where=hit)
+        left = np.flatnonzero(~hit & (at >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.last
+            at = self.at[slot]
+            hit = (at >= 0) & (self.keys[at] == wanted[left])
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (at >= 0)
+            left, slot = left[on], slot[on]
+        return out
+
+
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of their weights."""
     order = np.argsort(keys, kind="stable")
@@ -174,7 +239,7 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words), np.int64, len(words))
 
 
-def block_lists(rows: list[tuple[bytes, bool]], order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def block_lists(rows: Iterable[tuple[bytes, bool]], order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """The distinct grams and words of a block ``(lower-cased text, in training)``, with training counts."""
     found: list[list[np.ndarray]] = [[], []]
     words: Counter = Counter()
@@ -212,19 +277,22 @@ def in_training(id_col: str = "doc_id", parts: int = 5, part: int = 1):
 
 def _lists(dealt: DataFrame, order: int) -> DataFrame:
     """``kind, key, block, n``: every block's distinct grams and words with their training counts."""
-    def run(batches):
-        rows: dict[int, list] = {}
-        for b in batches:
-            for block, data, train in zip(b.column("block").to_pylist(), column_bytes(b, "text"), b.column("train").to_pylist()):
-                rows.setdefault(block, []).append(((data or b"").lower(), train))
-        for block in list(rows):
-            for kind, (keys, n) in block_lists(rows.pop(block), order).items():
-                for a in range(0, len(keys), 1 << 16):
-                    k = keys[a:a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(np.full(len(k), block, np.int32)),
-                         pa.array(n[a:a + (1 << 16)])], names=["kind", "key", "block", "n"])
-    return dealt.select("block", "text", "train").mapInArrow(run, "kind int, key long, block int, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = []
+
+        def rows() -> Iterator[tuple[bytes, bool]]:
+            for b in batches:
+                block[:] = b.column("block")[:1].to_pylist()
+                for data, train in zip(column_bytes(b, "text"), b.column("train").to_pylist()):
+                    yield (data or b"").lower(), train
+
+        for kind, (keys, n) in block_lists(rows(), order).items():
+            for a in range(0, len(keys), 1 << 16):
+                k = keys[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(np.full(len(k), block[0], np.int32)),
+                     pa.array(n[a:a + (1 << 16)])], names=["kind", "key", "block", "n"])
+    return dealt.select("block", "text", "train").groupBy("block").applyInArrow(run, "kind int, key long, block int, n long")
 
 
 def _prices(sums: DataFrame, order: int) -> DataFrame:
@@ -235,16 +303,30 @@ def _prices(sums: DataFrame, order: int) -> DataFrame:
     shared = [summed(two.column("key").to_numpy() & mask(1), two.column("n").to_numpy()),
               summed(two.column("key").to_numpy(), two.column("n").to_numpy())]
     shared = spark.sparkContext.broadcast(shared[:order + 1])
-    context = F.shiftright("key", BITS).bitwiseAND(F.lit(mask(2)))
+    context = lambda n: F.shiftright("key", BITS).bitwiseAND(F.lit(mask(n)))
+    rows = sums.select(context(3).alias("end"), "key", "n", F.lit(False).alias("third"))
+    if order > 2:
+        # a context of two symbols has followers behind every symbol before it: each end that occurs gets their counts
+        threes = sums.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(mask(3))).alias("key")).agg(F.sum("n").alias("n"))
+        ends = sums.select(context(3).alias("end")).distinct().withColumn("two", F.col("end").bitwiseAND(F.lit(mask(2))))
+        rows = rows.unionByName(threes.withColumn("two", context(2)).join(ends, "two").select("end", "key", "n", F.lit(True).alias("third")))
 
     def run(batches):
-        got = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        got = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "third")] for b in batches if b.num_rows]
         if got:
-            keys, n = (np.concatenate(x) for x in zip(*got))
-            out = price(keys, levels(keys, n, order, shared.value))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], names=["key", "value"])
+            keys, n, third = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            tables = list(shared.value)
+            if order > 2:
+                k, first = np.unique(keys[third], return_index=True)
+                tables.append((k, n[third][first]))
+            keys, n = keys[~third], n[~third]
+            trie = levels(keys, n, order, tables)
+            for a in range(0, len(keys), 1 << 16):
+                k = keys[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(price(k, trie))], names=["key", "value"])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sums.repartition(n, context).mapInArrow(run, "key long, value double")
+    return rows.repartition(n, "end").select("key", "n", "third").mapInArrow(run, "key long, value double")
 
 
 def _packed(answers: DataFrame) -> DataFrame:
@@ -268,13 +350,47 @@ def _packed(answers: DataFrame) -> DataFrame:
     return answers.select("block", "kind", "key", "value").mapInArrow(run, "block int, kind int, keys binary, values binary")
 
 
-def _unpacked(keys: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0)
-    k = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in keys])
-    v = np.concatenate([np.frombuffer(zlib.decompress(x), np.float64) for x in values])
-    order = np.argsort(k)
-    return k[order], v[order]
+def _table(keys: list[bytes], values: list[bytes]) -> Table:
+    k = [np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in keys]
+    v = [np.frombuffer(zlib.decompress(x), np.float64) for x in values]
+    return Table(np.concatenate([np.zeros(0, np.int64), *k]), np.concatenate([np.zeros(0), *v]))
+
+
+class Numbers(dict):
+    """A running number for each new word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Answers:
+    """Prices and word counts that a block asked for, and what its texts come to."""
+
+    def __init__(self, packed: dict[int, tuple[list[bytes], list[bytes]]], order: int, total: float, distinct: int) -> None:
+        self.prices, self.words = (_table(*packed.get(kind, ([], []))) for kind in (GRAM, WORD))
+        self.order, self.all = order, total + 0.5 * (distinct + 1)
+        self.number = Numbers()
+        self.known, self.base = np.zeros(0, np.int64), np.zeros(0)
+
+    def costs(self, data: list[bytes]) -> np.ndarray:
+        """The price of each text."""
+        keys, edges = joint_grams(data, self.order)
+        return np.add.reduceat(np.concatenate([self.prices.get(keys), [0.0]]), edges)[::2]
+
+    def unigrams(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, known words and the base score of each text."""
+        lists = [words_of(t) for t in data]
+        flat = list(chain.from_iterable(lists))
+        seen = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        if len(self.number) > seen:
+            count = self.words.get(word_keys(list(islice(self.number, seen, None))))
+            self.known = np.concatenate([self.known, (count > 0).astype(np.int64)])
+            self.base = np.concatenate([self.base, np.log10((count + 0.5) / self.all)])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        begins = np.cumsum(sizes) - sizes
+        return sizes, np.add.reduceat(self.known[number], begins), np.add.reduceat(self.base[number], begins)
 
 
 def score(docs: DataFrame, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
@@ -286,47 +402,51 @@ def score(docs: DataFrame, order: int = 5, block_bytes: int = 24 << 20) -> DataF
     src = texts(docs).select("doc_id", "text", in_training().alias("train"), text_hash().alias("h"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    # the partition that repartition() deals a row to, so a block is one partition
     dealt = src.withColumn("block", F.pmod(F.hash("doc_id", "h"), F.lit(blocks)).cast("int"))
-    lists = written_once(lambda: _lists(dealt.repartition(blocks, "doc_id", "h"), order), "ppm-lists")
+    lists = written_once(lambda: _lists(dealt, order), "ppm-lists")
     sums = lambda kind: lists.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n"))
     gram_sums = written_once(lambda: sums(GRAM), "ppm-grams")
     prices = written_once(lambda: _prices(gram_sums, order), "ppm-prices")
     drop_scratch(gram_sums)
     counts = written_once(lambda: sums(WORD).select("key", F.col("n").cast("double").alias("value")), "ppm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.count(F.when(F.col("value") > 0, 1))).first()
-    answers = None
+    rows = dealt.select("block", F.lit(TEXT).alias("kind"), "doc_id", F.col("text").cast("binary").alias("text"), "train")
     for kind, table in ((GRAM, prices), (WORD, counts)):
-        part = _packed(lists.where(F.col("kind") == kind).select("kind", "key", "block").join(table, "key"))
-        answers = part if answers is None else answers.unionByName(part)
-
-    def run(mine: pa.Table, got: pa.Table) -> pa.Table:
-        tables = {}
-        for kind in (GRAM, WORD):
-            rows = got.filter(pa.compute.equal(got.column("kind"), kind))
-            tables[kind] = _unpacked(rows.column("keys").to_pylist(), rows.column("values").to_pylist())
-        keys, prices_ = tables[GRAM]
-        word_at, word_count = tables[WORD]
-        base = np.log10((word_count + 0.5) / (total + 0.5 * (distinct + 1)))
-        known: dict[bytes, tuple[float, int]] = {}
-        out: list[list] = [[], [], [], []]
-        for data in mine.column("text").cast(pa.binary()).to_pylist():
-            data = (data or b"").lower()
-            words = words_of(data)
-            new = list({w for w in words if w not in known})
-            at = np.searchsorted(word_at, word_keys(new))
-            known.update(zip(new, zip(base[at].tolist(), (word_count[at] > 0).tolist())))
-            cost, seen = zip(*map(known.__getitem__, words))
-            price_of = grams(data, order)
-            price_of.sort()
-            for column, value in zip(out, (len(words), sum(seen), sum(cost), prices_[np.searchsorted(keys, price_of)].sum())):
-                column.append(value)
-        return pa.table({
-            "doc_id": mine.column("doc_id"), "held_out": pa.compute.invert(mine.column("train")),
-            "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
-            "train_tokens": pa.array([int(total)] * mine.num_rows, pa.int64()),
-            "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
+        rows = rows.unionByName(_packed(lists.where(F.col("kind") == kind).select("kind", "key", "block").join(table, "key")),
+                                allowMissingColumns=True)
+
+    def scored(mine: pa.RecordBatch, answers: Answers) -> Iterator[pa.RecordBatch]:
+        data = [(t or b"").lower() for t in mine.column("text").to_pylist()]
+        at = 0
+        while at < len(data):  # pieces of about PIECE bytes
+            stop, size = at + 1, len(data[at])
+            while stop < len(data) and size + len(data[stop]) <= PIECE:
+                size += len(data[stop]) + 1
+                stop += 1
+            n, known, base = answers.unigrams(data[at:stop])
+            part = mine.slice(at, stop - at)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.compute.invert(part.column("train")), pa.array(n), pa.array(known),
+                 pa.array(np.full(len(n), int(total), np.int64)), pa.array(base), pa.array(answers.costs(data[at:stop]))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            at = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, packed, answers = None, {}, None
+        for b in batches:
+            ids, kinds = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])])) if len(ids) else []
+            for a, z in zip(edges, [*edges[1:], len(ids)]):
+                part = b.slice(a, z - a)
+                if ids[a] != block:
+                    block, packed, answers = ids[a], {}, None
+                if kinds[a] != TEXT:
+                    for into, column in zip(packed.setdefault(int(kinds[a]), ([], [])), ("keys", "values")):
+                        into += part.column(column).to_pylist()
+                    continue
+                if answers is None:
+                    answers, packed = Answers(packed, order, total, distinct), {}
+                yield from scored(part, answers)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return (dealt.select("block", "doc_id", "text", "train").groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                               "base_score double, score double"))
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
