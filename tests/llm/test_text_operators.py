@@ -405,6 +405,30 @@ def test_bundles_are_sums_of_ngram_vectors():
         assert (row == want).all()
 
 
+def test_bundles_equal_plain_lists(monkeypatch):
+    # a large alphabet: more letters and n-grams than are remembered, and more than one slab
+    monkeypatch.setattr(language_id, "CACHE", 20)
+    monkeypatch.setattr(language_id, "LETTERS", 30)
+    monkeypatch.setattr(language_id, "SLAB", 7)
+    dims, seed = 16, 3
+    language_id.letter_table.cache_clear()
+    texts = ["".join(chr(0x4e00 + (i * 37 + j * j) % 90) for j in range(40)) for i in range(3)] + ["ab ab cd", "", "12"]
+    vector = lambda c: (np.random.default_rng([seed, c]).integers(0, 2, dims, dtype=np.int8) * 2 - 1).tolist()
+    out = language_id.Bundler(3, dims, seed).bundle([language_id.ngrams(t) for t in texts])
+    for text, row in zip(texts, out):
+        want = [0] * dims
+        for word in re.findall("[^\\W\\d_]+", text):
+            codes = [0, *map(ord, word), 0]
+            for gram in zip(codes, codes[1:], codes[2:]):
+                for d in range(dims):
+                    product = 1
+                    for place, c in enumerate(gram):
+                        product *= vector(c)[(d - (2 - place)) % dims]
+                    want[d] += product
+        assert row.tolist() == want
+    language_id.letter_table.cache_clear()
+
+
 # ---------------------------------------------------------------- 10 quality
 
 def brute_counts(text):

@@ -31,6 +31,8 @@ EDGE = 0  # the code of a word edge
 BITS = 21  # of a code point
 GROUP_CHARS = 1 << 19  # characters bundled at a time
 CACHE = 1 << 15  # n-gram vectors remembered per task
+LETTERS = 1 << 16  # letter vectors remembered per task
+SLAB = 4096  # n-grams bundled at a time
 
 
 def letters(text: str) -> np.ndarray:
@@ -59,19 +61,40 @@ def ngrams(text: str | None, n: int = 3) -> np.ndarray:
     return out[inner]
 
 
-@lru_cache(maxsize=1 << 14)
-def letter_vector(code: int, dims: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, code]).integers(0, 2, dims, dtype=np.int8) * 2 - 1
+class Letters:
+    """Letter vectors as rows of one table, each drawn once from its code point; at most ``LETTERS`` are remembered."""
+
+    def __init__(self, dims: int, seed: int) -> None:
+        self.seed, self.row, self.rows = seed, {}, np.zeros((256, dims), np.int8)
+
+    def of(self, codes: list[int]) -> np.ndarray:
+        """One row for each of the distinct ``codes``."""
+        new = [c for c in codes if c not in self.row]
+        if len(self.row) + len(new) > LETTERS:
+            self.row, new = {}, codes
+        need = len(self.row) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.int8)])
+        for c in new:
+            self.row[c] = at = len(self.row)
+            self.rows[at] = np.random.default_rng([self.seed, c]).integers(0, 2, self.rows.shape[1], dtype=np.int8) * 2 - 1
+        return self.rows[np.fromiter(map(self.row.__getitem__, codes), np.int64, len(codes))]
+
+
+@lru_cache(maxsize=1)
+def letter_table(dims: int, seed: int) -> Letters:
+    return Letters(dims, seed)
 
 
 def ngram_vectors(grams: np.ndarray, n: int, dims: int, seed: int) -> np.ndarray:
     """One row for each packed n-gram: the product of its letters' vectors, rolled by place."""
     out = np.ones((len(grams), dims), np.int8)
-    for j in range(n):
-        code = grams >> BITS * (n - 1 - j) & (1 << BITS) - 1
-        used, at = np.unique(code, return_inverse=True)
-        rolled = np.stack([np.roll(letter_vector(c, dims, seed), n - 1 - j) for c in used.tolist()])
-        out *= rolled[at]
+    for a in range(0, len(grams), SLAB):  # so that a slab's letters are few and its rows stay in the processor's cache
+        part = out[a:a + SLAB]
+        for j in range(n):
+            code = grams[a:a + SLAB] >> BITS * (n - 1 - j) & (1 << BITS) - 1
+            used, at = np.unique(code, return_inverse=True)
+            part *= np.roll(letter_table(dims, seed).of(used.tolist()), n - 1 - j, axis=1)[at]
     return out
 
 
@@ -87,8 +110,6 @@ class Bundler:
         new = np.setdiff1d(grams, self.grams, assume_unique=True)
         if len(new):
             if len(self.grams) + len(new) > CACHE:
-                if len(grams) > CACHE:
-                    return ngram_vectors(grams, *self.shape)
                 self.grams, self.vectors, new = self.grams[:0], self.vectors[:0], grams
             both = np.concatenate([self.grams, new])
             order = np.argsort(both)
@@ -100,11 +121,15 @@ class Bundler:
         if not sum(map(len, docs)):
             return np.zeros((len(docs), self.dims), np.float32)
         used, at = np.unique(np.concatenate(docs), return_inverse=True)
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        counts = np.bincount(row * len(used) + at, minlength=len(docs) * len(used)).reshape(len(docs), len(used))
+        order = np.argsort(at, kind="stable")
+        row, at = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[order], at[order]
         out = np.zeros((len(docs), self.dims), np.float32)
-        for a in range(0, len(used), 4096):  # bounds the float copy of the vectors
-            out += counts[:, a:a + 4096].astype(np.float32) @ self.vectors_of(used[a:a + 4096]).astype(np.float32)
+        vectors = self.vectors_of if len(used) <= CACHE else lambda g: ngram_vectors(g, *self.shape)  # too many to remember
+        for a in range(0, len(used), SLAB):  # bounds the counts and the float copy of the vectors
+            some = used[a:a + SLAB]
+            x, z = np.searchsorted(at, [a, a + len(some)])
+            counts = np.bincount(row[x:z] * len(some) + at[x:z] - a, minlength=len(docs) * len(some)).reshape(len(docs), len(some))
+            out += counts.astype(np.float32) @ vectors(some).astype(np.float32)
         return out
 
 
