@@ -22,7 +22,7 @@ from tonality.plans.catalog import _SCORED_SQL, _SPLIT_703_SQL, _split_vectors,
 from tonality.plans.catalog_features import _docs
 from tonality.plans.catalog_models import _request_score_sql, _score_sql
 from tonality.plans.scoring import ScoringModel, load_scoring_model, save_scoring_model, score_messages, score_table
-from tonality.sources import files, jdbc
+from tonality.sources import files, images, jdbc
 from tonality.sources import tables as S
 
 
@@ -196,6 +196,57 @@ def q_normalize_images(spark, sf):
     return out.select("page_id", *[s.alias(k) for s, k in zip(sums, ("red", "green", "blue"))])
 
 
+def _half_means():
+    """An image encoder in the form of the extension point: the mean of each colour in the upper and the lower half."""
+    def encode(batch):
+        out = np.zeros((len(batch), 6))
+        for i, pixels in enumerate(batch):
+            if pixels is not None:
+                side = np.rint(np.array(pixels, np.float32) * 255).astype(float).reshape(3, 2, -1)
+                out[i] = side.mean(axis=2).T.ravel() / 255
+        return out
+    return encode
+
+
+_BYTE_SQL = "CAST(('0x' || substr(h, CAST(2 * ({at}) + 1 AS BIGINT), 2)) AS BIGINT)"
+_HALF_SQL = ", ".join("list_sum(list_transform(range(8), lambda i: " + _BYTE_SQL.format(at=f"({8 * half} + i) * 3 + {c}") + ")) / (8 * 255.0::DOUBLE)"
+                      for half in range(2) for c in range(3))
+
+
+@query("image_folder", f"""
+WITH b AS (SELECT page_id, coalesce(nullif(regexp_extract(url, '{S.PAGE_CLASS_PATTERN}', 1), ''), 'none') AS category,
+                  sha256(coalesce(html, '')) || md5(coalesce(html, '')) AS h FROM pages),
+v AS (SELECT *, list_sum(list_transform(range(48), lambda i: {_BYTE_SQL.format(at='i')})) AS pixel_sum, [{_HALF_SQL}] AS v FROM b),
+z AS (SELECT *, {Q.project('v', 3, 6, 37)} AS z FROM v),
+p AS (SELECT *, {Q.softmax('z')} AS p, {Q.argmax('z')} AS code FROM z)
+SELECT page_id, category, CAST(coalesce(list_position(['de', 'en', 'fr'], category), 0) - 1 AS INTEGER) AS label, 4 AS height, 4 AS width,
+       CAST(pixel_sum AS BIGINT) AS pixel_sum, (SELECT count(*) FROM pages) AS files, {Q.widen('v', 6, prefix='v_')},
+       {Q.widen('p', 3, prefix='prob_')}, code AS predicted, {Q.label_name('code')} AS predicted_label FROM p""")
+def q_image_folder(spark, sf):
+    """S3 + S4 + F6 + F7: a 4 x 4 PNG for every page (the hash of its html) written into a folder per class, listed,
+    decoded, resized, encoded and classified."""
+    root = _folder(spark, "images")
+    pages = S.table(spark, sf, "pages")
+    html = F.coalesce("html", F.lit(""))
+    category = F.coalesce(F.nullif(F.regexp_extract("url", S.PAGE_CLASS_PATTERN, 1), F.lit("")), F.lit("none"))
+    rows = pages.select("page_id", category.alias("category"), F.unhex(F.concat(F.sha2(html, 256), F.md5(html))).alias("pixels"))
+    totals = images.write_image_folder(rows, root, "page_id", "category", "pixels", 4, 4)
+    listed = images.image_manifest(spark, root, classes=["de", "en", "fr"]).select("filename", "category", F.coalesce("label", F.lit(-1)).alias("label"))
+    decoded = images.read_images(spark, root).select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "category", F.col("image.height").alias("height"),
+        F.col("image.width").alias("width"), "image")
+    pixels = normalize_images(decoded, size=8)
+    # the resized image holds every pixel of the 4 x 4 one four times
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 255).cast("long")) / 4
+    vectors = encode_batch(pixels.withColumn("pixel_sum", total.cast("long")).drop("shape"), "pixels", _half_means, 6, out="v", batch_size=8)
+    out = linear_head(vectors.join(listed, ["category", "filename"]), "v", fuse.closed_form_linear(3, 6, 37))
+    out = out.withColumns({"page_id": F.regexp_extract("filename", "^(.*)\\.png$", 1).cast("long"), "files": F.lit(totals["files"]).cast("long"),
+                           "predicted_label": L.label_name("predicted")})
+    keep = ["page_id", "category", "label", "height", "width", "pixel_sum", "files", "probs", "predicted", "predicted_label"]
+    wide = V.widen_vector(out, "v", 6, prefix="v_", keep=keep, digits=6)
+    return V.widen_vector(wide, "probs", 3, prefix="prob_", digits=6)
+
+
 # ---------------------------------------------------------------- the analysis scripts
 
 @query("text_analysis", f"""
