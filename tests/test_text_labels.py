@@ -31,6 +31,21 @@ def test_clean_ascii_matches_python_rule(spark):
         assert got[i] == expect, (t, got[i], expect)
 
 
+def test_every_white_space_character_cleans_and_splits(spark):
+    import re
+    import sys
+    spaces = [chr(c) for c in range(sys.maxunicode) if chr(c).isspace()]
+    texts = [t for s in spaces for t in (f"One{s}two", f"{s}a{s}{s}B ", f"{s}", f"\u00e9{s}one{s}x1")] + ["", None, "plain", "zero\u200bwidth"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = df.select("id", X.clean_ascii("t").alias("c"), X.words("t").alias("w"), X.words("t", 2).alias("w2")).collect()
+    assert len(spaces) > 25 and len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.id]
+        assert r.c == " ".join(re.sub(r"[^a-z\s]", "", (t or "").lower()).split()), repr(t)
+        assert r.w == (None if t is None else t.split()), repr(t)
+        assert r.w2 == (None if t is None else [w for w in t.split() if len(w) >= 2]), repr(t)
+
+
 def test_label_rating_variants(spark):
     ratings = [1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, None, float("nan")]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(ratings)], "id int, r double")

@@ -65,3 +65,19 @@ def test_encode_batch_extension_point(spark):
 
     got = {r.id: r.embedding for r in encode_batch(df, "t", factory, 2).collect()}
     assert got[1] == [2.0, 1.0] and got[2] is None and got[3] == [3.0, 1.0]
+
+
+def test_hash_embed_null_words_and_rows(spark):
+    rows = [(1, ["a", None, "b", "a"]), (2, None), (3, []), (4, [None]), (5, ["a", "b", "a"])]
+    d = spark.createDataFrame(rows, "id int, tokens array<string>")
+    got = {r.id: r.e for r in hash_embed(d, "tokens", 8, "e").collect()}
+    assert got[1] == got[5] and any(got[1])
+    assert got[2] == got[3] == got[4] == [0.0] * 8
+
+
+def test_word_slots_forget_nothing_they_need(monkeypatch):
+    from tonality.operators import encode
+    monkeypatch.setattr(encode, "REMEMBERED", 3)
+    words = [f"w{i}" for i in range(10)]
+    for part in (words[:5], words[5:], words):
+        assert encode.word_slots(part, 16).tolist() == [encode.word_slot(w, 16) for w in part]

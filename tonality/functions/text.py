@@ -42,6 +42,15 @@ def is_missing(col) -> Column:
     return _c(col).isNull()
 
 
+# The ASCII part of the set for a regex: Java's white space and the four separators it leaves out.
+_ASCII_WS = r"\s\x1c-\x1f"
+
+
+def _plain_ws(text: Column) -> Column:
+    """All white space made ASCII; a text of ASCII alone (as many bytes as characters) is so already."""
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.translate(text, OTHER_WS, " " * len(OTHER_WS)))
+
+
 def clean_ascii(col) -> Column:
     """Lower case, keep only ``a-z`` and white space, collapse white-space runs to one space.
 
@@ -50,15 +59,16 @@ def clean_ascii(col) -> Column:
     times faster than a class listing Unicode code points. Same result as the one-class form.
     """
     lowered = F.lower(F.coalesce(_c(col).cast("string"), F.lit("")))
-    spaced = F.translate(lowered, OTHER_WS, " " * len(OTHER_WS))
-    kept = F.regexp_replace(spaced, r"[^a-z\s]+", "")
+    kept = F.regexp_replace(_plain_ws(lowered), rf"[^a-z{_ASCII_WS}]+", "")
     # after the collapse the only white space left is a single space
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    return F.trim(F.regexp_replace(kept, f"[{_ASCII_WS}]+", " "))
 
 
 def words(col, min_len: int = 1) -> Column:
     """Split a text on runs of white space (Python's set) into words of at least ``min_len`` chars."""
-    parts = F.split(F.translate(_c(col), OTHER_WS, " " * len(OTHER_WS)), r"\s+")
+    parts = F.split(_plain_ws(_c(col)), f"[{_ASCII_WS}]+")
+    if min_len <= 1:  # stays compiled, which a filter with a lambda does not
+        return F.array_remove(parts, "") if min_len == 1 else parts
     return F.filter(parts, lambda w: F.length(w) >= min_len)
 
 

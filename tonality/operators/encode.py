@@ -1,18 +1,19 @@
 """Encoders: text -> vector, images -> normalised pixel arrays, user encoders over Arrow batches.
 
 ``hash_embed`` is the built-in text encoder: signed feature hashing of the words (md5 of each
-word picks a slot and a sign), L2-normalised. The JVM computes the slot of every word; a NumPy
-scatter-add per Arrow batch builds the vectors, so there is no shuffle and it also runs on a
-stream. ``encode_batch`` is the extension point for any other encoder (a transformer, an image
+word picks a slot and a sign), L2-normalised. The JVM cleans and splits; each Arrow batch is
+dictionary-encoded, so a word is hashed once per batch at most, and a NumPy
+scatter-add builds the vectors: no shuffle, and it also runs on a stream. ``encode_batch`` is the extension point for any other encoder (a transformer, an image
 network): it is built once per task and called once per Arrow batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,31 +21,40 @@ from tonality.operators.fuse import arrow_vectors
 from tonality.session import ship_package
 
 
-def hash_slots(tokens, dim: int) -> Column:
-    """Per word ``(slot + 1) * sign``: slot = first 8 hex digits of md5 mod ``dim``; sign from the
-    9th hex digit (< 8 -> +1)."""
-    col = F.col(tokens) if isinstance(tokens, str) else tokens
+REMEMBERED = 1 << 18  # words whose slot a worker remembers
+_SLOTS: dict[int, dict[str, int]] = {}
 
-    def one(t):
-        h = F.md5(t)
-        slot = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) + 1
-        sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-        return (slot * sign).cast("int")
 
-    return F.transform(col, one)
+def word_slot(word: str, dim: int) -> int:
+    """``(slot + 1) * sign``: slot = first 8 hex digits of md5 mod ``dim``; sign from the 9th hex digit (< 8 -> +1)."""
+    h = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+    return (int(h[:8], 16) % dim + 1) * (1 if h[8] < "8" else -1)
 
 
-def slots_to_matrix(col, dim: int, normalize: bool = True) -> np.ndarray:
-    """Arrow list<int> of signed slots (one list per row) -> ``n x dim`` hashed counts (L2-normalised)."""
+def word_slots(words: list[str], dim: int) -> np.ndarray:
+    """The slots of distinct words."""
+    known = _SLOTS.setdefault(dim, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = word_slot(w, dim)
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def words_to_matrix(col, dim: int, normalize: bool = True) -> np.ndarray:
+    """Arrow list<string> of words (one list per row) -> ``n x dim`` signed hashed counts (L2-normalised)."""
     import pyarrow.compute as pc
 
     n = len(col)
-    flat = np.asarray(pc.list_flatten(col).to_numpy(zero_copy_only=False), dtype=np.int64)
+    coded = pc.list_flatten(col).dictionary_encode()
+    slots = np.append(word_slots(coded.dictionary.to_pylist(), dim), 0)  # the last one is a null word's
+    flat = slots[pc.fill_null(coded.indices, len(slots) - 1).to_numpy(zero_copy_only=False)]
     lens = np.asarray(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     rows = np.repeat(np.arange(n), lens)
     M = np.zeros((n, dim), dtype=np.float64)
     if flat.size:
-        M = np.bincount(rows * dim + np.abs(flat) - 1, np.sign(flat), n * dim).reshape(n, dim)
+        M = np.bincount(rows * dim + np.maximum(np.abs(flat) - 1, 0), np.sign(flat), n * dim).reshape(n, dim)
     if normalize:
         M = M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-12)
     return M
@@ -54,19 +64,19 @@ def hash_embed(df: DataFrame, tokens: str, dim: int = 64, out: str = "embedding"
                keep: list[str] | None = None) -> DataFrame:
     """F4 built-in: signed hashed bag of words, L2-normalised (a row without words gets zeros).
 
-    Only the columns of ``keep`` (default: all) and the word slots travel to Python.
+    Only the columns of ``keep`` (default: all) and the words travel to Python.
     """
     ship_package(df.sparkSession)
-    staged = df.select(*(df.columns if keep is None else keep), hash_slots(tokens, dim).alias("_slots"))
-    schema = T.StructType([f for f in staged.schema.fields if f.name != "_slots"]
+    staged = df.select(*(df.columns if keep is None else keep), (F.col(tokens) if isinstance(tokens, str) else tokens).alias("_words"))
+    schema = T.StructType([f for f in staged.schema.fields if f.name != "_words"]
                           + [T.StructField(out, T.ArrayType(T.DoubleType()), True)])
-    si = staged.columns.index("_slots")
-    keep_idx = [i for i, c in enumerate(staged.columns) if c != "_slots"]
+    si = staged.columns.index("_words")
+    keep_idx = [i for i, c in enumerate(staged.columns) if c != "_words"]
 
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            M = slots_to_matrix(batch.column(si), dim, normalize)
+            M = words_to_matrix(batch.column(si), dim, normalize)
             cols = [batch.column(i) for i in keep_idx] + [arrow_vectors(M)]
             yield pa.RecordBatch.from_arrays(cols, names=[batch.schema.names[i] for i in keep_idx] + [out])
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonality.operators.split import positional_index
+from tonality.session import materialize
 
 # Special token ids of the uncased BERT vocabulary, and the first id given to a
 # fitted word (ids below it are reserved).
@@ -26,6 +27,16 @@ def terms(df: DataFrame, tokens: str, key: str | None = None, min_len: int = 1)
             .where(F.col("term").isNotNull() & (F.length("term") >= min_len)))
 
 
+def token_bundle(df: DataFrame) -> DataFrame:
+    """The word lists of ``df`` written once, for the operators below to read.
+
+    A vocabulary is fitted by several passes (sample, range partitioning, ids) and its users read the documents again;
+    without the copy every pass cleans and splits every text anew. Parquet keeps a list of words as codes into the
+    dictionary of its column chunk, and a reader takes only the columns it names.
+    """
+    return materialize(df, "token-bundle")
+
+
 def fit_vocabulary(df: DataFrame, tokens: str, min_len: int = 2) -> DataFrame:
     """``term, term_id`` with ids 0.. in term order (code-point order), from the distinct terms.
 
@@ -74,7 +85,7 @@ def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_le
         F.when(F.col("pos").isNotNull(), F.struct("pos", "_tid")))).alias("_s"))
     base = seqs.select(key, F.transform("_s", lambda s: s["_tid"]).alias("_ids"))
     full = F.concat(F.array(F.lit(CLS_ID)), F.coalesce(F.col("_ids"), F.array().cast("array<int>")), F.array(F.lit(SEP_ID)))
-    longest = df.agg(F.max(F.size(tokens))).first()[0] if pad == "longest" else body
+    longest = df.agg(F.max(F.least(F.size(tokens), F.lit(body)))).first()[0] if pad == "longest" else body
     base = base.withColumn("_full", full).withColumn("_target", F.lit(min(max(longest or 0, 0), body) + 2))
     n = F.size("_full")
     return base.select(

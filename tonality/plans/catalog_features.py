@@ -28,11 +28,11 @@ v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id
 
 
 def _vocab(spark, sf):
-    """Training documents and their fitted vocabulary. The vocabulary is used several times by
-    each query (lookup side, anti-join side, largest id), so it is written once as a Parquet
-    table in the shared folder, like a stored vocabulary."""
+    """Training documents and their fitted vocabulary. Both are used several times by each query (the
+    vocabulary as lookup side, anti-join side, largest id), so the word lists and the vocabulary are
+    written once as Parquet tables in the shared folder."""
     from tonality.session import materialize
-    d = _docs(spark, sf)
+    d = tokens.token_bundle(_docs(spark, sf))
     return d, materialize(tokens.fit_vocabulary(d.where(F.col("split") == "train"), "tokens", min_len=2), "vocabulary")
 
 

@@ -58,7 +58,7 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
                    sticker: str = "sticker") -> DataFrame:
     """``key, predicted, sentiment, confidence`` for each message row, in one Arrow pass.
 
-    The JVM cleans the inputs and hashes every word to a signed slot; one NumPy kernel per
+    The JVM cleans the inputs and splits them into words; one NumPy kernel per
     batch then builds the three hashed vectors, fuses them (missing modalities masked) and runs
     the classifier. A message whose text is missing but has an emoji or sticker is scored on a
     zero text vector; a message with all three inputs missing is ``neutral`` with a null
@@ -67,16 +67,16 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
     ship_package(df.sparkSession)
     from pyspark.sql import types as T
 
-    from tonality.operators.encode import hash_slots, slots_to_matrix
+    from tonality.operators.encode import words_to_matrix
     from tonality.operators.fuse import fuse_arrays
     from tonality.operators.model import class_names, softmax_rows
 
     dt, de, ds = model.dims
     staged = df.select(
         key,
-        F.when(F.col(text).isNotNull(), hash_slots(words(normalize_text(text)), dt)).alias("_ts"),
-        F.when(F.col(emoji).isNotNull(), hash_slots(_emoji_tokens(emoji), de)).alias("_es"),
-        F.when(F.col(sticker).isNotNull(), hash_slots(F.array(F.lower(F.col(sticker))), ds)).alias("_ss"),
+        F.when(F.col(text).isNotNull(), words(normalize_text(text))).alias("_ts"),
+        F.when(F.col(emoji).isNotNull(), _emoji_tokens(emoji)).alias("_es"),
+        F.when(F.col(sticker).isNotNull(), F.array(F.lower(F.col(sticker)))).alias("_ss"),
         (F.col(text).isNotNull() | F.col(emoji).isNotNull() | F.col(sticker).isNotNull()).alias("_any"))
     check_broadcast([*model.params.layers().values(), model.classifier.fc1, model.classifier.fc2])
     bc = df.sparkSession.sparkContext.broadcast(model)
@@ -94,9 +94,9 @@ def score_messages(df: DataFrame, model: ScoringModel, key: str, text: str = "te
             valid = {c: np.asarray(pc.is_valid(batch.column(c)).to_numpy(zero_copy_only=False), dtype=bool)
                      for c in ("_ts", "_es", "_ss")}
             anyin = np.asarray(batch.column("_any").to_numpy(zero_copy_only=False), dtype=bool)
-            Xt = slots_to_matrix(batch.column("_ts"), dt)
-            Xe = slots_to_matrix(batch.column("_es"), de)
-            Xs = slots_to_matrix(batch.column("_ss"), ds)
+            Xt = words_to_matrix(batch.column("_ts"), dt)
+            Xe = words_to_matrix(batch.column("_es"), de)
+            Xs = words_to_matrix(batch.column("_ss"), ds)
             Y = fuse_arrays(Xt, Xe, valid["_es"].astype(np.float64), Xs, valid["_ss"].astype(np.float64),
                             m.params, "mask")
             P = softmax_rows(m.classifier.logits(Y))
