@@ -100,3 +100,17 @@ def test_fits_beat_chance_on_held_out_rows(spark):
     assert losses[-1] < losses[0] / 2
     pred = M.predict_text_baseline(model, train, "k").join(train, "k")
     assert pred.where("predicted = label").count() == 80
+
+
+def test_reviews_of_one_line_each_split_a_large_file(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("review_id,verified_reviews,rating\n" + "".join(f'{i},"text, ""{i}"" caf\u00e9",{i % 5 + 1}\n' for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        whole, cut = files.read_reviews(spark, path), files.read_reviews(spark, path, multiline=False)
+        assert whole.rdd.getNumPartitions() == 1 and cut.rdd.getNumPartitions() > 3
+        assert cut.exceptAll(whole).count() == 0 == whole.exceptAll(cut).count() and cut.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -72,3 +72,9 @@ def test_cluster_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
     assert cluster_conf(1 << 30, 8, image_rows=True)["spark.sql.execution.arrow.maxRecordsPerBatch"] == "64"
+
+
+def test_word_lists_are_cleaned_once(spark):
+    for name in ("encode_tokens", "bag_of_words"):
+        plan = _plan(E.queries()[name](spark, SF001))
+        assert "token-bundle" in plan and "regexp_replace" not in plan, name

@@ -34,3 +34,23 @@ def test_ties_go_to_the_newest(spark, tmp_path):
     for run in ("z", "a"):
         registry.register(spark, path, run, _model(1), {"val_loss": 0.5})
     assert registry.chosen(registry.runs(spark, path), "val_loss") == "a"
+
+
+def test_text_models_as_saved(spark, tmp_path):
+    from tonality.operators.model import TextBaseline
+    from tonality.operators.text_model import FittedText, class_probabilities, fit_text_optimum, load_text_model, save_text_model
+    rows = [(i, ["good day", "bad rain", "so so", "good good bad"][i % 4].split(), [2, 0, 1, 2][i % 4]) for i in range(24)] + [(99, [], 1)]
+    docs = spark.createDataFrame(rows, "k long, tokens array<string>, label int")
+    fitted = fit_text_optimum(docs, "k")
+    path = str(tmp_path / "registry")
+    registry.register(spark, path, "fitted", fitted, {"loss": 0.1})
+    plain = TextBaseline(fitted.vocabulary, fitted.coefficients, [0.0, 0.0, 0.0], [(0, 1.0)])
+    registry.register(spark, path, "plain", plain, {"loss": 0.5})
+    best = registry.load_text(spark, path, "loss")
+    assert isinstance(best, FittedText) and best.converged == fitted.converged and best.intercepts == fitted.intercepts
+    assert [tuple(h) for h in best.history] == [tuple(h) for h in fitted.history]
+    score = lambda m: {r.k: (r.probs, r.predicted) for r in class_probabilities(m, docs, "k").collect()}
+    assert score(best) == score(fitted) and len(score(best)) == 25
+    assert type(registry.load_text(spark, path)) is TextBaseline  # the newest
+    save_text_model(plain, f"{path}/models/fitted")  # overwritten as a whole
+    assert load_text_model(spark, f"{path}/models/fitted").intercepts == [0.0] * 3

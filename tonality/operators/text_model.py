@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonality.functions.labels import CLASS_NAMES
@@ -242,3 +242,24 @@ def class_probabilities(model: TextBaseline, df: DataFrame, key: str, tokens: st
     z = _text_logits(src.select("_key"), bag, model.coefficients, model.intercepts)
     return (z.select(F.col("_key").alias(key), softmax(F.array(*_class_columns("z", len(model.intercepts)))).alias("probs"))
             .withColumn("predicted", argmax("probs")))
+
+
+def save_text_model(model: TextBaseline, path: str) -> None:
+    """Vocabulary and coefficients as tables, then one row with intercepts and history: a folder without that row is not whole."""
+    spark = model.vocabulary.sparkSession
+    model.vocabulary.select("term", "term_id").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.coefficients.select("term_id", *[f"w{c}" for c in range(len(model.intercepts))]).write.mode("overwrite").parquet(f"{path}/coefficients")
+    history = [[float(x) for x in step] for step in model.history]
+    row = spark.createDataFrame([([float(b) for b in model.intercepts], history, getattr(model, "converged", None))],
+                                "intercepts array<double>, history array<array<double>>, converged boolean")
+    row.write.mode("overwrite").parquet(f"{path}/summary")
+
+
+def load_text_model(spark: SparkSession, path: str) -> TextBaseline:
+    """The model as saved; the tables stay tables, whatever their size. ``FittedText`` if it says whether it converged."""
+    row = spark.read.parquet(f"{path}/summary").first()
+    if row is None:
+        raise ValueError(f"{path} holds no whole text model")
+    history = [(int(step[0]), *step[1:]) for step in row.history]
+    parts = (spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/coefficients"), list(row.intercepts), history)
+    return TextBaseline(*parts) if row.converged is None else FittedText(*parts, row.converged)

@@ -164,3 +164,38 @@ def q_emoji_preprocess(spark, sf):
 
 
 from tonality.plans import catalog_models  # noqa: E402,F401  (rows-only model and stream queries)
+
+
+_TEXT_SALT = 41
+
+
+@query("text_model_registry", f"""
+WITH {_DOCS_SQL},
+t AS (SELECT doc_id, unnest(l) AS term FROM d),
+s AS (SELECT doc_id, {', '.join(f"sum({Q.weight(str(c), 'term_id', _TEXT_SALT)} / 100.0) AS s{c}" for c in range(3))}
+      FROM t JOIN v USING (term) WHERE length(term) >= 2 GROUP BY doc_id),
+z AS (SELECT d.doc_id, [{', '.join(f"coalesce(s{c}, 0.0::DOUBLE) + {Q.bias(str(c), _TEXT_SALT)}" for c in range(3))}] AS z
+      FROM d LEFT JOIN s ON d.doc_id = s.doc_id),
+p AS (SELECT doc_id, {Q.softmax('z')} AS p FROM z)
+SELECT doc_id, {Q.widen('p', 3, prefix='prob_')}, {Q.argmax('p')} AS predicted, {Q.label_name(Q.argmax('p'))} AS sentiment FROM p""")
+def q_text_model_registry(spark, sf):
+    """S11 for the text model: two text models with a term table of the training documents stored in a registry, the one
+    with the smaller loss loaded, all documents scored with it."""
+    import uuid
+
+    from tonality.functions import labels as L
+    from tonality.operators.fuse import closed_form_bias
+    from tonality.operators.model import TextBaseline
+    from tonality.operators.text_model import class_probabilities
+    from tonality.plans import registry
+    from tonality.session import scratch_path
+    d, vocabulary = _vocab(spark, sf)
+    rule = [(((F.lit(31 * c + _TEXT_SALT) + F.col("term_id") * 17) % 101 - 50).cast("double") / 100.0 / 100.0).alias(f"w{c}") for c in range(3)]
+    bias = [float(closed_form_bias(c, _TEXT_SALT)) for c in range(3)]
+    path = scratch_path(spark, f"round-trips/text-models-{uuid.uuid4().hex}")
+    zero = vocabulary.select("term_id", *[F.lit(0.0).alias(f"w{c}") for c in range(3)])
+    registry.register(spark, path, "by-rule", TextBaseline(vocabulary, vocabulary.select("term_id", *rule), bias, [(0, 1.0)]), {"loss": 1.0})
+    registry.register(spark, path, "zero", TextBaseline(vocabulary, zero, [0.0] * 3, [(0, 1.1)]), {"loss": 1.1})
+    out = class_probabilities(registry.load_text(spark, path, "loss"), d, "doc_id", "tokens")
+    wide = V.widen_vector(out, "probs", 3, prefix="prob_", keep=["doc_id", "predicted"], digits=6)
+    return wide.withColumn("sentiment", L.label_name("predicted"))

@@ -27,13 +27,16 @@ def _read_named(spark: SparkSession, path: str, columns: dict[str, str], multili
                       *[c for c in raw.columns if c not in columns and c == "review_id"])
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """``review_id, verified_reviews, rating``.
 
+    A quoted review may hold line breaks, so by default a file is read by one task. ``multiline=False``
+    promises that no field holds one: large files are then split among tasks.
+
     A ``review_id`` column in the file is used as the key; otherwise one is assigned: the row's
     position in the order of file path and content, which no split of the files changes.
     """
-    df = _read_named(spark, path, REVIEW_COLUMNS, multiline=True)
+    df = _read_named(spark, path, REVIEW_COLUMNS, multiline)
     if "review_id" in df.columns:
         return df.select(F.col("review_id").cast("long"), "verified_reviews", "rating")
     from tonality.operators.split import positional_index
