@@ -120,9 +120,11 @@ class Bundler:
         """Sum of the n-gram vectors of each document; one row for each, float32."""
         if not sum(map(len, docs)):
             return np.zeros((len(docs), self.dims), np.float32)
-        used, at = np.unique(np.concatenate(docs), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        row, at = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[order], at[order]
+        grams = np.concatenate(docs)
+        order = np.argsort(grams)
+        grams, row = grams[order], np.repeat(np.arange(len(docs)), [len(d) for d in docs])[order]
+        first = np.concatenate([[True], grams[1:] != grams[:-1]])
+        used, at = grams[first], np.cumsum(first) - 1
         out = np.zeros((len(docs), self.dims), np.float32)
         vectors = self.vectors_of if len(used) <= CACHE else lambda g: ngram_vectors(g, *self.shape)  # too many to remember
         for a in range(0, len(used), SLAB):  # bounds the counts and the float copy of the vectors
