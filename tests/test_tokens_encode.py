@@ -81,3 +81,14 @@ def test_word_slots_forget_nothing_they_need(monkeypatch):
     words = [f"w{i}" for i in range(10)]
     for part in (words[:5], words[5:], words):
         assert encode.word_slots(part, 16).tolist() == [encode.word_slot(w, 16) for w in part]
+
+
+def test_bag_of_words_sends_no_word_per_document(spark):
+    rows = [(1, ["aa", "bb", "aa", None, "c"]), (1, ["aa"]), (None, ["aa", "aa"]), (None, ["bb"]), (2, None), (3, [])]
+    d = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(3)
+    vocab = spark.createDataFrame([("aa", 5), ("bb", 7)], "term string, term_id long")
+    bag = TK.bag_of_words(d, "id", "tokens", vocab)
+    assert sorted((r.id or 0, r.term_id, r["count"]) for r in bag.collect()) == [(0, 5, 2), (0, 7, 1), (1, 5, 3), (1, 7, 1)]
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[id#" in plan and not any("hashpartitioning(id#" in line and "term#" in line for line in plan.splitlines())
+    assert TK.postings(d.coalesce(1), "id", "tokens", 2).count() == 2
