@@ -86,3 +86,36 @@ def test_fit_of_nothing(spark):
     lone = spark.createDataFrame([(1, [], 2), (2, None, 2)], "id long, tokens array<string>, label int")
     model = T.fit_text_optimum(lone, "id", max_iter=3)
     assert T.class_probabilities(model, lone, "id").where(F.col("predicted") == 2).count() == 2
+
+
+def test_blocks_travel_by_distinct_term(spark):
+    from tonality.operators.text_blocks import TOTALS, text_blocks
+    from tonality.operators.tokens import fit_vocabulary
+
+    rows = [(i % 40, ["aa", "bb", "aa"][:1 + i % 3], i % 3) for i in range(90)] + [(None, ["cc", "aa"], 1), (None, [], 0)]
+    src = spark.createDataFrame(rows, "_key long, tokens array<string>, _y int").repartition(5)
+    vocabulary = fit_vocabulary(src, "tokens").cache()
+    blocks = text_blocks(src, vocabulary, 3)
+    ids = {r.term: r.term_id for r in vocabulary.collect()}
+    assert blocks.n == len(rows) and blocks.wants.count() == 2 * blocks.blocks.count()  # not one row per document; no "cc"
+    W = spark.createDataFrame([(ids["aa"], 0.5, -0.25, 0.0), (ids["bb"], 1.0, 0.0, -1.0)], "term_id long, w0 double, w1 double, w2 double")
+    bias = np.array([0.1, 0.2, 0.3])
+    got = {r.term_id: list(r)[1:] for r in blocks.gradient(W, ["w0", "w1", "w2"], bias).collect()}
+    counts = {}
+    for k, words, _ in rows:
+        for w in words if k is not None else []:
+            counts.setdefault(k, dict.fromkeys(("aa", "bb"), 0))[w] += 1
+    w = {"aa": np.array([0.5, -0.25, 0.0]), "bb": np.array([1.0, 0.0, -1.0])}
+    want, total, loss = {"aa": np.zeros(3), "bb": np.zeros(3)}, np.zeros(3), 0.0
+    for k, _, y in rows:
+        own = counts.get(k, {})
+        z = bias + sum((n * w[t] for t, n in own.items()), np.zeros(3))
+        p = np.exp(z) / np.exp(z).sum()
+        loss -= np.log(p[y])
+        total += p - np.eye(3)[y]
+        for t, n in own.items():
+            want[t] += n * (p - np.eye(3)[y])
+    for t in want:
+        assert got[ids[t]][:3] == pytest.approx(want[t])
+    assert got[TOTALS] == pytest.approx([*total, loss])
+    blocks.drop()
