@@ -292,3 +292,28 @@ def test_collocations_of_nothing(spark, tmp_dir):
     write_tables(tmp_dir, spark, [])
     assert queries.QUERIES["op13_collocations"](spark, tmp_dir).count() == 0
     assert collocations.collocations(frame(spark, [(None, None, None, None, None), (1, " \n.,", "aa", "s", 1)])).count() == 0
+
+
+def test_a_block_sums_its_grams_as_it_goes(monkeypatch):
+    import numpy as np
+    from tonality.llm import ppm
+    rows = [(f"word {i % 7} again {i % 3}".encode(), i % 2 == 0) for i in range(60)]
+    want = ppm.block_lists(rows, 3)
+    monkeypatch.setattr(ppm, "CHUNK", 10)
+    monkeypatch.setattr(ppm, "LISTED", 8)
+    most, plain = [], ppm.summed
+    monkeypatch.setattr(ppm, "summed", lambda k, n: most.append(len(k)) or plain(k, n))
+    got = ppm.block_lists(rows, 3)
+    for kind in want:
+        assert all(np.array_equal(a, b) for a, b in zip(got[kind], want[kind]))
+    assert max(most) < 2 * len(want[ppm.GRAM][0]) + 80
+
+
+def test_positions_of_a_batch_are_slices():
+    import numpy as np
+    import pyarrow as pa
+    from tonality.llm import substring_dedup as S
+    batch = pa.record_batch([pa.array([[9], [3, 1], None, [], [4]], pa.list_(pa.int32()))], names=["at"])
+    assert [p.tolist() for p in S._positions(batch.slice(1))] == [[3, 1], [], [], [4]]
+    assert S.spread(np.array([1, 4]), 1, 0, 5).tolist() == [True, True, False, True, True]
+    assert S.kept_words(b"a b c d", np.array([1]), 2) == (4, [b"a", b"d"])

@@ -45,7 +45,8 @@ from tonality.session import drop_scratch
 BITS, END, SYMBOLS = 9, 256, 257
 LOW = (1 << BITS) - 1
 CHUNK = 1 << 21  # bytes sorted at a time
-PIECE = 1 << 20  # bytes priced at a time
+PIECE = 1 << 19  # bytes priced at a time
+LISTED = 1 << 21  # grams of chunks held before they are summed
 END_WORD = b"\n"  # stands for the end of a text among the words; no word holds white space
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -253,6 +254,8 @@ def block_lists(rows: Iterable[tuple[bytes, bool]], order: int) -> dict[int, tup
                 found[0].append(k)
                 found[1].append(n * train)
         group, size = ([], []), 0
+        if sum(map(len, found[0][1:])) > LISTED:  # the first are sums already
+            found[:] = [[x] for x in summed(*map(np.concatenate, found))]
 
     for data, train in rows:
         group[train].append(grams(data, order))
@@ -416,18 +419,19 @@ def score(docs: DataFrame, order: int = 5, block_bytes: int = 24 << 20) -> DataF
                                 allowMissingColumns=True)
 
     def scored(mine: pa.RecordBatch, answers: Answers) -> Iterator[pa.RecordBatch]:
-        data = [(t or b"").lower() for t in mine.column("text").to_pylist()]
+        sizes = pa.compute.binary_length(mine.column("text")).fill_null(0).to_pylist()
         at = 0
-        while at < len(data):  # pieces of about PIECE bytes
-            stop, size = at + 1, len(data[at])
-            while stop < len(data) and size + len(data[stop]) <= PIECE:
-                size += len(data[stop]) + 1
+        while at < len(sizes):  # pieces of about PIECE bytes; no more of the batch is copied at once
+            stop, size = at + 1, sizes[at]
+            while stop < len(sizes) and size + sizes[stop] <= PIECE:
+                size += sizes[stop] + 1
                 stop += 1
-            n, known, base = answers.unigrams(data[at:stop])
             part = mine.slice(at, stop - at)
+            data = [(t or b"").lower() for t in part.column("text").to_pylist()]
+            n, known, base = answers.unigrams(data)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.compute.invert(part.column("train")), pa.array(n), pa.array(known),
-                 pa.array(np.full(len(n), int(total), np.int64)), pa.array(base), pa.array(answers.costs(data[at:stop]))],
+                 pa.array(np.full(len(n), int(total), np.int64)), pa.array(base), pa.array(answers.costs(data))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
             at = stop
 

@@ -23,7 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, compress
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +81,8 @@ def anchors(docs: DataFrame, length: int, period: int) -> DataFrame:
                 continue
             joined = b" ".join(words)
             starts, ends = word_offsets(words)
-            at = np.flatnonzero(np.isin(np.arange(n) % period, cover))
+            at = np.add.outer(np.arange(0, n, period), cover).ravel()
+            at = at[:np.searchsorted(at, n)]
             keys += [xxhash.xxh3_64_digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + size - 1].tolist())]
             pos += at.tolist()
             counts.append(len(at))
@@ -91,12 +92,17 @@ def anchors(docs: DataFrame, length: int, period: int) -> DataFrame:
 
 def spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     """Which of ``n`` places lie in ``[a - before, a + after]`` for some ``a`` of ``at``."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.clip(at - before, 0, n), 1)
-    np.add.at(change, np.clip(at + after + 1, 0, n), -1)
+    change = np.bincount(np.clip(at - before, 0, n), minlength=n + 1) - np.bincount(np.clip(at + after + 1, 0, n), minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
+def _positions(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The lists of column ``at`` as slices of one array; a null list is empty."""
+    at = batch.column("at")
+    values, edges = at.values.to_numpy(zero_copy_only=False).astype(np.int64), at.offsets.to_numpy().tolist()
+    return [values[a:z] for a, z in zip(edges, edges[1:])]
+
+
 def _joined(docs: DataFrame, starts: DataFrame, how: str) -> DataFrame:
     """``d1, d2, text`` and ``at``, the positions found in each document."""
     by_doc = (starts.groupBy("d1", "d2").agg(F.collect_set("pos").alias("at"))
@@ -109,12 +115,12 @@ def windows(docs: DataFrame, anchored: DataFrame, length: int, period: int) -> D
     """``ROW``: every window of ``length`` words around the repeated anchors ``d1, d2, pos``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, pos, counts = [], [], []
-        for text, at in zip(column_bytes(batch, "text"), batch.column("at").to_pylist()):
+        for text, at in zip(column_bytes(batch, "text"), _positions(batch)):
             words = (text or b"").split()
             n = len(words) - length + 1
             joined = b" ".join(words)
             starts, ends = word_offsets(words)
-            here = np.flatnonzero(spread(np.array(at), period - 1, 0, n))
+            here = np.flatnonzero(spread(at, period - 1, 0, n))
             keys += [xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(starts[here].tolist(), ends[here + length - 1].tolist())]
             pos += here.tolist()
             counts.append(len(here))
@@ -132,13 +138,13 @@ def repeated_windows(docs: DataFrame, length: int = 35, period: int = 21) -> Dat
     return settle(far, 2)
 
 
-def kept_words(text: bytes, at: list[int] | None, length: int) -> tuple[int, list[bytes]]:
+def kept_words(text: bytes, at: np.ndarray | None, length: int) -> tuple[int, list[bytes]]:
     """Number of words before, and the words that stay."""
     words = text.split()
-    if not at:
+    if at is None or not len(at):
         return len(words), words
-    gone = spread(np.array(at), 0, length - 1, len(words))
-    return len(words), [w for w, g in zip(words, gone.tolist()) if not g]
+    gone = spread(np.asarray(at), 0, length - 1, len(words))
+    return len(words), list(compress(words, (~gone).tolist()))
 
 
 def remove_repeated(docs: DataFrame, length: int = 35, period: int = 21) -> DataFrame:
@@ -146,7 +152,7 @@ def remove_repeated(docs: DataFrame, length: int = 35, period: int = 21) -> Data
     joined = _joined(docs, repeated_windows(docs, length, period), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [kept_words(t or b"", a, length) for t, a in zip(column_bytes(batch, "text"), batch.column("at").to_pylist())]
+        done = [kept_words(t or b"", a, length) for t, a in zip(column_bytes(batch, "text"), _positions(batch))]
         return pa.RecordBatch.from_arrays(
             [batch.column("d1"), pa.array([n for n, _ in done], pa.int64()), pa.array([n - len(k) for n, k in done], pa.int64()),
              pa.array([b" ".join(k) for _, k in done], pa.binary()).cast(pa.string())],
