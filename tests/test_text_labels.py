@@ -86,3 +86,12 @@ def test_label_name_code_roundtrip(spark):
     got = df.select(L.label_name("c").alias("n")).withColumn("back", L.label_code("n")).collect()
     assert [r.n for r in got] == ["negative", "neutral", "positive", None, None]
     assert [r.back for r in got] == [0, 1, 2, None, None]
+
+
+def test_cleaning_into_words_stays_compiled(spark):
+    """A lambda in the word filter made Spark interpret the whole cleaning, several times for each row."""
+    df = spark.createDataFrame([("One a  two\tB x1éy Kİ zz\x1c\x00q-r",), (None,)], "t string")
+    out = df.select(X.words(X.clean_ascii("t"), 2).alias("w"))
+    assert [r.w for r in out.collect()] == [["one", "two", "xy", "ki", "zz", "qr"], []]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "[^a-z\\s" not in plan

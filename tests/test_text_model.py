@@ -119,3 +119,52 @@ def test_blocks_travel_by_distinct_term(spark):
         assert got[ids[t]][:3] == pytest.approx(want[t])
     assert got[TOTALS] == pytest.approx([*total, loss])
     blocks.drop()
+
+
+def test_a_pass_travels_by_block_and_shard(spark):
+    """Terms of several shards, word lists cut over Arrow batches: sums as on dense matrices, one row for each block and shard."""
+    from tonality.operators.text_blocks import SHARD, TOTALS, text_blocks
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i % 150 if i % 13 else None, [str(w) for w in rng.choice(words, 20)] + ["z", None], int(rng.integers(0, 3))) for i in range(400)]
+    src = spark.createDataFrame([*rows, (7, None, 1), (900, [], 2)], "_key long, tokens array<string>, _y int").repartition(3)
+    ids = {w: i * (SHARD // 100) + 5 for i, w in enumerate(words[:-1])}  # the last word is not in the vocabulary
+    vocabulary = spark.createDataFrame(list(ids.items()), "term string, term_id long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        blocks = text_blocks(src, vocabulary, 3)
+        shards = blocks.shards(1, lambda squares: squares).cache()
+        made = {r.shard: np.frombuffer(r.local, np.uint16) for r in shards.collect()}
+        sent = blocks.sent(shards, lambda shard: shard.V[0]).collect()
+        number = blocks.blocks.count()
+        W = {w: rng.normal(size=3) for w in ids}
+        values = spark.createDataFrame([(ids[w], *map(float, v)) for w, v in W.items()], "term_id long, w0 double, w1 double, w2 double")
+        bias = np.array([0.3, 0.0, -0.1])
+        got = {r.term_id: np.array(r[1:]) for r in blocks.gradient(values, ["w0", "w1", "w2"], bias).collect()}
+        squares = {r.shard: np.frombuffer(r.scale) for r in shards.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    docs, counts, labels = [None, *range(150), 900], {}, {}
+    for k, tokens, y in [*rows, (7, [], 1), (900, [], 2)]:
+        labels.setdefault(k, []).append(y)
+        for w in tokens if k is not None else []:
+            if w in ids:
+                counts[k, w] = counts.get((k, w), 0) + 1
+    X = np.array([[counts.get((k, w), 0) for w in ids] for k in docs if k in labels])
+    Y = np.array([np.bincount(labels[k], minlength=3) for k in docs if k in labels])
+    Z = X @ np.array(list(W.values())) + bias
+    P = np.exp(Z) / np.exp(Z).sum(axis=1, keepdims=True)
+    R = Y.sum(axis=1, keepdims=True) * P - Y
+    want = X.T @ R
+    held = [i for i, w in enumerate(ids) if X[:, i].any()]
+    assert got.keys() == {TOTALS, *(list(ids.values())[i] for i in held)}
+    for i in held:
+        term = list(ids.values())[i]
+        assert got[term][:3] == pytest.approx(want[i])
+        at = np.searchsorted(made[term // SHARD], term % SHARD)
+        assert squares[term // SHARD][at] == (X[:, i] ** 2).sum()
+    assert got[TOTALS] == pytest.approx([*R.sum(axis=0), -(Y * np.log(P)).sum()])
+    assert len(made) == 3 and len(sent) <= number * len(made) and len({(r.block, r.shard) for r in sent}) == len(sent)
+    blocks.drop()
