@@ -168,3 +168,15 @@ def test_a_pass_travels_by_block_and_shard(spark):
     assert got[TOTALS] == pytest.approx([*R.sum(axis=0), -(Y * np.log(P)).sum()])
     assert len(made) == 3 and len(sent) <= number * len(made) and len({(r.block, r.shard) for r in sent}) == len(sent)
     blocks.drop()
+
+
+def test_steps_of_shards_take_the_words_of_rows_without_key_as_zeros(spark, monkeypatch):
+    from tonality.operators import text_blocks as B
+    from tonality.operators.model import fit_text_baseline
+
+    monkeypatch.setattr(B.TextBlocks, "gradient", None)  # sums by row of a term: no step takes them
+    df = spark.createDataFrame([(None, ["only", "here"], 0), (1, ["else"], 1), (1, ["else", "where"], 2), (2, None, 0)], "k long, tokens array<string>, label int")
+    model = fit_text_baseline(df, "k", steps=2, lr=0.1)
+    got = {r.term: [r.w0, r.w1, r.w2] for r in model.vocabulary.join(model.coefficients, "term_id").collect()}
+    assert got.keys() == {"only", "here", "else", "where"} and got["only"] == got["here"] == [0.0] * 3
+    assert all(got["else"]) and model.history[1][1] < model.history[0][1] == pytest.approx(np.log(3))
